@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfwise.functions import flag_sum
 from shelfwise.operators.common import cover, money, pair_tiebreak, pct, r2, top
-from shelfwise.operators.metrics import group_metrics, row_value
+from shelfwise.operators.metrics import group_metrics
 from shelfwise.operators.risk import opportunity_classes
 from shelfwise.params import DEFAULT, Params
 from shelfwise.schema import PAIR
@@ -15,15 +15,16 @@ from shelfwise.schema import PAIR
 
 def executive_kpis(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """Q701."""
-    return df.agg(
-        F.count_distinct("SKU_ID").alias("total_skus"),
-        F.count_distinct("Warehouse_ID").alias("total_warehouses"),
-        r2(F.avg("Units_Sold")).alias("avg_daily_demand"),
-        r2(F.avg("Inventory_Level")).alias("avg_inventory"),
-        money(F.sum(row_value())).alias("inventory_value"),
-        F.sum("Stockout_Flag").cast("bigint").alias("stockout_days"),
-        flag_sum(F.col("Order_Quantity") > 0).alias("replenishment_events"),
-        pct(F.avg("Promotion_Flag")).alias("promotion_rate"),
+    m = group_metrics(df, [], params, distinct=["SKU_ID", "Warehouse_ID"])
+    return m.select(
+        F.col("distinct_SKU_ID").alias("total_skus"),
+        F.col("distinct_Warehouse_ID").alias("total_warehouses"),
+        r2("demand").alias("avg_daily_demand"),
+        r2("inventory").alias("avg_inventory"),
+        money("inventory_value").alias("inventory_value"),
+        "stockout_days",
+        "replenishment_events",
+        pct("promotion_rate").alias("promotion_rate"),
     )
 
 

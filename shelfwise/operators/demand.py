@@ -5,23 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.functions import ratio, stddev_pop_exact
+from shelfwise.functions import ratio
 from shelfwise.operators.common import pair_tiebreak, r2, r3, top
-from shelfwise.operators.metrics import abs_forecast_error, dec_avg, group_metrics
+from shelfwise.operators.metrics import fact_metrics, group_metrics
 from shelfwise.params import DEFAULT, Params
 from shelfwise.schema import PAIR
 
 
 def overall(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """Q401: demand level, population std-dev and forecast error."""
-    mae = dec_avg(abs_forecast_error())
-    return df.agg(
-        F.count(F.lit(1)).alias("total_records"),
-        r2(F.avg("Units_Sold")).alias("avg_daily_demand"),
-        r2(stddev_pop_exact("Units_Sold")).alias("demand_std_dev"),
-        r2(dec_avg(F.col("Demand_Forecast"))).alias("avg_forecast"),
-        r2(mae).alias("forecast_mae"),
-        r2(ratio(F.lit(100) * mae, F.avg("Units_Sold"))).alias("forecast_error_pct"),
+    m = group_metrics(df, [], params)
+    return m.select(
+        F.col("records").alias("total_records"),
+        r2("demand").alias("avg_daily_demand"),
+        r2("demand_std").alias("demand_std_dev"),
+        r2("forecast").alias("avg_forecast"),
+        r2("forecast_error").alias("forecast_mae"),
+        r2(ratio(F.lit(100) * F.col("forecast_error"), "demand")).alias("forecast_error_pct"),
     )
 
 
@@ -74,7 +74,7 @@ def volatility_segments(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
 
 def promotion_impact(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """Q405: demand and forecast bias per promotion flag."""
-    m = group_metrics(df, ["Promotion_Flag"], params).select(
+    m = fact_metrics(df, ["Promotion_Flag"], params).select(
         "Promotion_Flag",
         F.col("records").alias("records"),
         r2("demand").alias("avg_demand"),
@@ -86,7 +86,7 @@ def promotion_impact(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
 
 def stockout_risk(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """Q406: profile per stockout flag."""
-    m = group_metrics(df, ["Stockout_Flag"], params).select(
+    m = fact_metrics(df, ["Stockout_Flag"], params).select(
         "Stockout_Flag",
         F.col("records").alias("records"),
         r2("demand").alias("avg_demand"),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfwise.functions import ratio
 from shelfwise.operators.common import cover, money, pair_tiebreak, r2, r3, top
-from shelfwise.operators.metrics import group_metrics, row_value
+from shelfwise.operators.metrics import group_metrics
 from shelfwise.operators.ranking import with_grand_total, with_running_sum
 from shelfwise.params import DEFAULT, Params
 from shelfwise.schema import PAIR
@@ -15,31 +15,31 @@ from shelfwise.schema import PAIR
 
 def overall(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """Q301: whole-table demand, stock, value, cover and turnover."""
-    return df.agg(
-        F.count(F.lit(1)).alias("total_records"),
-        F.count_distinct("SKU_ID").alias("total_skus"),
-        F.count_distinct("Warehouse_ID").alias("total_warehouses"),
-        r2(F.avg("Units_Sold")).alias("avg_daily_demand"),
-        r2(F.avg("Inventory_Level")).alias("avg_inventory"),
-        money(F.sum(row_value())).alias("estimated_inventory_value"),
-        r2(ratio(F.avg("Inventory_Level"), F.avg("Units_Sold"))).alias("avg_days_of_cover"),
+    m = group_metrics(df, [], params, distinct=["SKU_ID", "Warehouse_ID"])
+    return m.select(
+        F.col("records").alias("total_records"),
+        F.col("distinct_SKU_ID").alias("total_skus"),
+        F.col("distinct_Warehouse_ID").alias("total_warehouses"),
+        r2("demand").alias("avg_daily_demand"),
+        r2("inventory").alias("avg_inventory"),
+        money("inventory_value").alias("estimated_inventory_value"),
+        r2("cover").alias("avg_days_of_cover"),
         # "annualized" turnover is SUM(units) / AVG(inventory), no annual factor
-        r2(ratio(F.sum("Units_Sold"), F.avg("Inventory_Level"))).alias(
-            "annualized_inventory_turnover"
-        ),
+        r2(ratio("total_demand", "inventory")).alias("annualized_inventory_turnover"),
     )
 
 
 def warehouse_efficiency(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """Q302."""
-    m = df.groupBy("Warehouse_ID").agg(
-        F.count_distinct("SKU_ID").alias("active_skus"),
-        r2(F.avg("Units_Sold")).alias("avg_daily_demand"),
-        r2(F.avg("Inventory_Level")).alias("avg_inventory"),
-        r2(F.avg("Reorder_Point")).alias("avg_reorder_point"),
-        r2(ratio(F.avg("Inventory_Level"), F.avg("Units_Sold"))).alias("days_of_cover"),
-        money(F.sum(row_value())).alias("inventory_value"),
-        r2(ratio(F.sum("Units_Sold"), F.avg("Inventory_Level"))).alias("inventory_turnover"),
+    m = group_metrics(df, ["Warehouse_ID"], params, distinct=["SKU_ID"]).select(
+        "Warehouse_ID",
+        F.col("distinct_SKU_ID").alias("active_skus"),
+        r2("demand").alias("avg_daily_demand"),
+        r2("inventory").alias("avg_inventory"),
+        r2("reorder_point").alias("avg_reorder_point"),
+        r2("cover").alias("days_of_cover"),
+        money("inventory_value").alias("inventory_value"),
+        r2(ratio("total_demand", "inventory")).alias("inventory_turnover"),
     )
     return m.orderBy(F.col("inventory_value").desc(), "Warehouse_ID")
 
@@ -106,7 +106,9 @@ def abc_concentration(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
 
     The SKU that crosses a line falls in the lower class; a zero total gives C.
     """
-    sku = df.groupBy("SKU_ID").agg(F.sum(row_value()).alias("value"))
+    sku = group_metrics(df, ["SKU_ID"], params).select(
+        "SKU_ID", F.col("inventory_value").alias("value")
+    )
     order = [F.col("value").desc_nulls_last(), F.col("SKU_ID").asc()]
     ranked = with_running_sum(sku, "value", order, "cumulative", params)
     ranked = with_grand_total(ranked, "value", "total")

@@ -1,17 +1,23 @@
-"""Grouped measures shared by most operators.
-
-``group_metrics(df, keys)`` returns one row per group with every measure the
-reports use.  Operators select the few they need; Catalyst's column pruning
-drops the unused aggregate expressions and the unused scan columns, so a
-report that needs three measures reads three columns.
-
-The aggregation is algebraic (count / sum / min / max), so Spark runs it as
-partial aggregate -> shuffle on ``keys`` -> final aggregate.  A hot key
-(one SKU holding a third of all rows) is folded to one partial row per map
-task before the shuffle, so skew does not reach the reducers.
-
-Means of DECIMAL columns are written as exact decimal SUM / COUNT in double
-(the same two operations in every engine); means of INT columns are AVG.
+"""Mergeable summary of the fact table and the grouped measures built on it.
+
+Most reports are means, sums and ratios per SKU x warehouse, SKU, warehouse,
+supplier or the whole table.  All of them are functions of per-group
+*mergeable* sums (counts, sums, sums of squares, min / max), so the fact
+table is summarised once at the finest grain any report groups by
+(Supplier x Region x SKU x Warehouse; ``summarize``), and every coarser grain is a
+re-aggregation of that summary (``group_metrics``).  On a 100 TB fact table
+that is one scan and one shuffle of partial aggregates instead of one per
+report; the reports then read a table the size of the key space.
+
+Partial aggregation happens map-side, so a hot key (one SKU with a third of
+all rows) is folded to one row per task before the shuffle.
+
+Exactness: integer sums stay integral (BIGINT / DECIMAL(38,0)), money and
+other DECIMAL sums stay decimal, and each mean is SUM / COUNT of the column's
+non-NULL values, which is what AVG computes.  A mean of DECIMAL values is the
+exact decimal sum cast to double over the count; the population standard
+deviation comes from exact integer moments.  Only the mean of the per-row
+cover ratio is a sum of doubles.
 """
 
 from __future__ import annotations
@@ -21,9 +27,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.functions import flag_sum, ratio, stddev_pop_exact
+from shelfwise.functions import ratio
 from shelfwise.params import DEFAULT, Params
 
+SUMMARY_KEYS = ["Supplier_ID", "Region", "SKU_ID", "Warehouse_ID"]
+_DEC0 = "decimal(38,0)"
+
 
 def dec_avg(x: Column) -> Column:
     """Mean of a DECIMAL expression: exact SUM cast to double / COUNT."""
@@ -43,50 +52,167 @@ def abs_forecast_error() -> Column:
     return F.abs(F.col("Units_Sold") - F.col("Demand_Forecast"))
 
 
-def group_metrics(df: DataFrame, keys: Sequence[str], params: Params = DEFAULT) -> DataFrame:
+def _row_measures(params: Params) -> dict[str, Column]:
+    """Row-level expressions whose sum and non-NULL count the summary keeps."""
     inv, rop, oq, cost = (
         F.col("Inventory_Level"),
         F.col("Reorder_Point"),
         F.col("Order_Quantity"),
         F.col("Unit_Cost"),
     )
-    gap_value = F.when(inv < rop, (rop - inv) * cost).otherwise(F.lit(0))
-    excess_value = F.when(
-        inv > rop * F.lit(params.overstock_rop_multiple), (inv - rop) * cost
-    ).otherwise(F.lit(0))
-    g = df.groupBy(*keys) if keys else df.groupBy()
-    out = g.agg(
-        F.count(F.lit(1)).alias("records"),
-        F.avg("Units_Sold").alias("demand"),
-        F.avg("Inventory_Level").alias("inventory"),
-        F.avg("Reorder_Point").alias("reorder_point"),
-        F.avg("Supplier_Lead_Time_Days").alias("lead_time"),
-        F.avg("Stockout_Flag").alias("stockout_rate"),
-        F.avg("Promotion_Flag").alias("promotion_rate"),
-        F.avg("Order_Quantity").alias("avg_order_all"),
-        F.avg(F.nullif(oq, F.lit(0))).alias("avg_order_nonzero"),
-        F.avg((oq > 0).cast("int")).alias("replenishment_share"),
-        F.avg(inv - rop).alias("avg_buffer"),
-        F.avg(rop - inv).alias("avg_gap"),
-        F.avg(ratio(inv, units())).alias("row_cover"),
-        dec_avg(cost).alias("unit_cost"),
-        dec_avg(F.col("Demand_Forecast")).alias("forecast"),
-        dec_avg(abs_forecast_error()).alias("forecast_error"),
-        dec_avg(units() - F.col("Demand_Forecast")).alias("forecast_bias"),
-        dec_avg(row_value()).alias("avg_row_value"),
-        dec_avg(F.col("Unit_Price") - cost).alias("unit_margin"),
-        dec_avg(gap_value).alias("gap_value"),
-        dec_avg(excess_value).alias("excess_value"),
-        F.sum(row_value()).alias("inventory_value"),
-        F.sum("Units_Sold").alias("total_demand"),
-        F.sum("Order_Quantity").alias("total_replenished"),
-        flag_sum(oq > 0).alias("replenishment_events"),
-        F.sum("Stockout_Flag").alias("stockout_days"),
-        F.min("Supplier_Lead_Time_Days").alias("min_lead_time"),
-        F.max("Supplier_Lead_Time_Days").alias("max_lead_time"),
-        stddev_pop_exact("Units_Sold").alias("demand_std"),
-        stddev_pop_exact("Supplier_Lead_Time_Days").alias("lead_time_std"),
-    )
-    return out.withColumn("cover", ratio("inventory", "demand")).withColumn(
+    return {
+        "units": units(),
+        "inv": inv,
+        "rop": rop,
+        "lead": F.col("Supplier_Lead_Time_Days"),
+        "stockout": F.col("Stockout_Flag"),
+        "promo": F.col("Promotion_Flag"),
+        "order": oq,
+        "order_nz": F.nullif(oq, F.lit(0)),
+        "order_pos": (oq > 0).cast("int"),
+        "buffer": inv - rop,
+        "row_cover": ratio(inv, units()),
+        "cost": cost,
+        "forecast": F.col("Demand_Forecast"),
+        "abs_err": abs_forecast_error(),
+        "bias": units() - F.col("Demand_Forecast"),
+        "value": row_value(),
+        "margin": F.col("Unit_Price") - cost,
+        "gap_value": F.when(inv < rop, (rop - inv) * cost).otherwise(F.lit(0)),
+        "excess_value": F.when(
+            inv > rop * F.lit(params.overstock_rop_multiple), (inv - rop) * cost
+        ).otherwise(F.lit(0)),
+    }
+
+
+def summary_aggs(params: Params = DEFAULT) -> list[Column]:
+    """Aggregates over fact rows producing the mergeable summary columns."""
+    aggs = [F.count(F.lit(1)).alias("n")]
+    for name, expr in _row_measures(params).items():
+        aggs.append(F.sum(expr).alias(f"s_{name}"))
+        aggs.append(F.count(expr).alias(f"c_{name}"))
+    u = units().cast(_DEC0)
+    lt = F.col("Supplier_Lead_Time_Days").cast(_DEC0)
+    aggs += [
+        F.sum(u * u).alias("q_units"),
+        F.sum(lt * lt).alias("q_lead"),
+        F.min("Supplier_Lead_Time_Days").alias("min_lead"),
+        F.max("Supplier_Lead_Time_Days").alias("max_lead"),
+    ]
+    return aggs
+
+
+def merge_aggs(params: Params = DEFAULT) -> list[Column]:
+    """Aggregates over summary rows producing the same columns at a coarser grain."""
+    aggs = [F.sum("n").alias("n")]
+    for name in _row_measures(params):
+        aggs.append(F.sum(f"s_{name}").alias(f"s_{name}"))
+        aggs.append(F.sum(f"c_{name}").alias(f"c_{name}"))
+    aggs += [
+        F.sum("q_units").alias("q_units"),
+        F.sum("q_lead").alias("q_lead"),
+        F.min("min_lead").alias("min_lead"),
+        F.max("max_lead").alias("max_lead"),
+    ]
+    return aggs
+
+
+def summarize(fact: DataFrame, params: Params = DEFAULT) -> DataFrame:
+    """The mergeable summary: one row per Supplier x Region x SKU x Warehouse."""
+    return fact.groupBy(*SUMMARY_KEYS).agg(*summary_aggs(params))
+
+
+class Inventory:
+    """The inventory fact table and its summary.
+
+    ``summary`` is derived lazily from ``fact`` unless a stored summary is
+    given (``sources.store.inventory_data``)."""
+
+    def __init__(self, fact: DataFrame, summary: DataFrame | None = None, params: Params = DEFAULT):
+        self.fact = fact
+        self._summary = summary
+        self._params = params
+
+    @property
+    def summary(self) -> DataFrame:
+        if self._summary is None:
+            self._summary = summarize(self.fact, self._params)
+        return self._summary
+
+
+def as_inventory(data, params: Params = DEFAULT) -> Inventory:
+    return data if isinstance(data, Inventory) else Inventory(data, params=params)
+
+
+def _std(n: Column, s: Column, q: Column) -> Column:
+    nd = n.cast(_DEC0)
+    sd = s.cast(_DEC0)
+    return F.sqrt((nd * q - sd * sd).cast("double")) / n
+
+
+def _mean(name: str) -> Column:
+    return F.col(f"s_{name}") / F.col(f"c_{name}")
+
+
+def _dec_mean(name: str) -> Column:
+    return F.col(f"s_{name}").cast("double") / F.col(f"c_{name}")
+
+
+def measures(sums: DataFrame) -> DataFrame:
+    """Named means, totals and ratios from the mergeable sums (narrow projection)."""
+    c = F.col
+    return sums.select(
+        *[x for x in sums.columns if not x.startswith(("s_", "c_", "q_")) and x not in ("n", "min_lead", "max_lead")],
+        c("n").alias("records"),
+        _mean("units").alias("demand"),
+        _mean("inv").alias("inventory"),
+        _mean("rop").alias("reorder_point"),
+        _mean("lead").alias("lead_time"),
+        _mean("stockout").alias("stockout_rate"),
+        _mean("promo").alias("promotion_rate"),
+        _mean("order").alias("avg_order_all"),
+        _mean("order_nz").alias("avg_order_nonzero"),
+        _mean("order_pos").alias("replenishment_share"),
+        _mean("buffer").alias("avg_buffer"),
+        (-c("s_buffer") / c("c_buffer")).alias("avg_gap"),
+        _mean("row_cover").alias("row_cover"),
+        _dec_mean("cost").alias("unit_cost"),
+        _dec_mean("forecast").alias("forecast"),
+        _dec_mean("abs_err").alias("forecast_error"),
+        _dec_mean("bias").alias("forecast_bias"),
+        _dec_mean("value").alias("avg_row_value"),
+        _dec_mean("margin").alias("unit_margin"),
+        _dec_mean("gap_value").alias("gap_value"),
+        _dec_mean("excess_value").alias("excess_value"),
+        c("s_value").alias("inventory_value"),
+        c("s_units").alias("total_demand"),
+        c("s_order").alias("total_replenished"),
+        c("s_order_pos").alias("replenishment_events"),
+        c("s_stockout").alias("stockout_days"),
+        c("min_lead").alias("min_lead_time"),
+        c("max_lead").alias("max_lead_time"),
+        _std(c("c_units"), c("s_units"), c("q_units")).alias("demand_std"),
+        _std(c("c_lead"), c("s_lead"), c("q_lead")).alias("lead_time_std"),
+    ).withColumn("cover", ratio("inventory", "demand")).withColumn(
         "demand_cv", ratio("demand_std", "demand")
     )
+
+
+def group_metrics(data, keys: Sequence[str], params: Params = DEFAULT, distinct: Sequence[str] = ()) -> DataFrame:
+    """One row per ``keys`` group with every named measure.
+
+    ``keys`` must be a subset of ``SUMMARY_KEYS``.  ``distinct`` adds exact
+    distinct counts (``distinct_<col>``) of other summary keys per group.
+    Callers select what they need; Catalyst prunes the rest of the aggregates.
+    """
+    inv = as_inventory(data, params)
+    extra = [F.count_distinct(k).alias(f"distinct_{k}") for k in distinct]
+    g = inv.summary.groupBy(*keys) if keys else inv.summary.groupBy()
+    return measures(g.agg(*merge_aggs(params), *extra))
+
+
+def fact_metrics(data, keys: Sequence[str], params: Params = DEFAULT) -> DataFrame:
+    """Same measures, grouped on fact-table columns outside the summary keys
+    (e.g. the promotion / stockout flags)."""
+    fact = as_inventory(data, params).fact
+    return measures(fact.groupBy(*keys).agg(*summary_aggs(params)))

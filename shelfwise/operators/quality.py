@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from shelfwise.functions import flag_sum
 from shelfwise.operators.common import r2, round_half_up
-from shelfwise.operators.metrics import dec_avg, group_metrics, row_value
+from shelfwise.operators.metrics import as_inventory, group_metrics
 from shelfwise.params import DEFAULT, Params
 from shelfwise.schema import COLUMNS, GRAIN
 
@@ -49,11 +49,13 @@ RULE_VIOLATIONS = [
 
 def row_count(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """Q201."""
+    df = as_inventory(df).fact
     return df.agg(F.count(F.lit(1)).alias("total_rows"))
 
 
 def span_cardinality(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """Q202: date span and exact distinct counts (one scan; Catalyst Expand)."""
+    df = as_inventory(df).fact
     return df.agg(
         F.min("Date").alias("start_date"),
         F.max("Date").alias("end_date"),
@@ -67,6 +69,7 @@ def span_cardinality(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
 
 def null_counts(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """Q203: NULLs per column in one pass."""
+    df = as_inventory(df).fact
     return df.agg(*[flag_sum(F.col(c).isNull()).alias(n) for c, n in NULL_COUNT_NAMES])
 
 
@@ -94,6 +97,7 @@ def duplicate_groups(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def full_row_duplicates(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """Q204: number of distinct full rows that occur more than once."""
+    df = as_inventory(df).fact
     return duplicate_groups(df, COLUMNS).agg(
         F.count(F.lit(1)).alias("duplicate_full_rows")
     )
@@ -101,16 +105,19 @@ def full_row_duplicates(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
 
 def business_key_duplicates(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """Q205: Date x SKU x Warehouse keys with more than one row."""
+    df = as_inventory(df).fact
     return duplicate_groups(df, GRAIN).select(*GRAIN, "record_count")
 
 
 def rule_violations(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """Q206: rows breaking each domain rule (NULL input is not counted)."""
+    df = as_inventory(df).fact
     return df.agg(*[flag_sum(F.expr(cond)).alias(n) for n, cond in RULE_VIOLATIONS])
 
 
 def commercial_logic(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """Q207."""
+    df = as_inventory(df).fact
     return df.agg(
         flag_sum(F.col("Unit_Price") <= F.col("Unit_Cost")).alias("non_positive_margin"),
         flag_sum((F.col("Order_Quantity") > 0) & (F.col("Inventory_Level") == 0)).alias(
@@ -121,6 +128,7 @@ def commercial_logic(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
 
 def coverage(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """Q208: is the Date x SKU x Warehouse cube dense?"""
+    df = as_inventory(df).fact
     d = "decimal(38,0)"
     expected = (
         F.count_distinct("Date").cast(d)
@@ -149,17 +157,19 @@ def _flag_distribution(df: DataFrame, flag: str) -> DataFrame:
 
 def promotion_distribution(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """Q209."""
+    df = as_inventory(df).fact
     return _flag_distribution(df, "Promotion_Flag")
 
 
 def stockout_distribution(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """Q210."""
+    df = as_inventory(df).fact
     return _flag_distribution(df, "Stockout_Flag")
 
 
 def dimension_cardinality(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
-    """Q211: distinct values per dimension, one scan then unpivot."""
-    wide = df.agg(
+    """Q211: distinct values per dimension (from the summary), unpivoted."""
+    wide = as_inventory(df).summary.agg(
         F.count_distinct("SKU_ID").alias("SKU"),
         F.count_distinct("Warehouse_ID").alias("Warehouse"),
         F.count_distinct("Supplier_ID").alias("Supplier"),
@@ -172,28 +182,30 @@ def dimension_cardinality(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
 
 def warehouse_profile(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """Q212."""
-    m = df.groupBy("Warehouse_ID").agg(
-        F.count(F.lit(1)).alias("observations"),
-        F.count_distinct("SKU_ID").alias("active_skus"),
-        F.count_distinct("Supplier_ID").alias("suppliers"),
-        r2(F.avg("Units_Sold")).alias("avg_daily_demand"),
-        r2(F.avg("Inventory_Level")).alias("avg_inventory"),
-        r2(F.avg("Reorder_Point")).alias("avg_reorder_point"),
-        r2(F.avg("Order_Quantity")).alias("avg_order_quantity"),
-        r2(dec_avg(row_value())).alias("avg_inventory_value"),
+    m = group_metrics(df, ["Warehouse_ID"], params, distinct=["SKU_ID", "Supplier_ID"]).select(
+        "Warehouse_ID",
+        F.col("records").alias("observations"),
+        F.col("distinct_SKU_ID").alias("active_skus"),
+        F.col("distinct_Supplier_ID").alias("suppliers"),
+        r2("demand").alias("avg_daily_demand"),
+        r2("inventory").alias("avg_inventory"),
+        r2("reorder_point").alias("avg_reorder_point"),
+        r2("avg_order_all").alias("avg_order_quantity"),
+        r2("avg_row_value").alias("avg_inventory_value"),
     )
-    return m.orderBy(F.col("avg_inventory_value").desc(), "Warehouse_ID")
+    return m.orderBy(F.col("avg_inventory_value").desc_nulls_last(), "Warehouse_ID")
 
 
 def sku_profile(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """Q213: top SKUs by mean daily inventory value."""
-    m = df.groupBy("SKU_ID").agg(
-        F.count_distinct("Warehouse_ID").alias("warehouse_count"),
-        F.sum("Units_Sold").alias("total_units_sold"),
-        r2(F.avg("Units_Sold")).alias("avg_daily_demand"),
-        r2(F.avg("Inventory_Level")).alias("avg_inventory"),
-        r2(dec_avg(row_value())).alias("avg_inventory_value"),
-        r2(dec_avg(F.col("Unit_Price") - F.col("Unit_Cost"))).alias("unit_margin"),
+    m = group_metrics(df, ["SKU_ID"], params, distinct=["Warehouse_ID"]).select(
+        "SKU_ID",
+        F.col("distinct_Warehouse_ID").alias("warehouse_count"),
+        F.col("total_demand").alias("total_units_sold"),
+        r2("demand").alias("avg_daily_demand"),
+        r2("inventory").alias("avg_inventory"),
+        r2("avg_row_value").alias("avg_inventory_value"),
+        r2("unit_margin").alias("unit_margin"),
     )
     return m.orderBy(F.col("avg_inventory_value").desc_nulls_last(), "SKU_ID").limit(
         params.sku_profile_top
@@ -202,6 +214,7 @@ def sku_profile(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
 
 def summary(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """Q214."""
+    df = as_inventory(df).fact
     return df.agg(
         F.count(F.lit(1)).alias("total_records"),
         F.count_distinct("Date").alias("dates"),

@@ -10,9 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.functions import ratio
 from shelfwise.operators.common import cover, money, pair_tiebreak, pct, r2, round_half_up, top
-from shelfwise.operators.metrics import group_metrics, row_value
+from shelfwise.operators.metrics import group_metrics
 from shelfwise.operators.ranking import with_ntile
 from shelfwise.params import DEFAULT, Params
 from shelfwise.schema import PAIR
@@ -37,13 +36,14 @@ def with_cover_quartile(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
 
 def executive_summary(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """Q751: KPI row; cover is the mean of daily ratios (zero-demand days drop out)."""
-    return df.agg(
-        F.count_distinct("SKU_ID").alias("skus"),
-        F.count_distinct("Warehouse_ID").alias("warehouses"),
-        money(F.sum(row_value())).alias("inventory_value"),
-        r2(F.avg(ratio("Inventory_Level", "Units_Sold"))).alias("avg_days_cover"),
-        F.sum("Stockout_Flag").cast("bigint").alias("stockout_days"),
-        pct(F.avg("Promotion_Flag")).alias("promotion_rate"),
+    m = group_metrics(df, [], params, distinct=["SKU_ID", "Warehouse_ID"])
+    return m.select(
+        F.col("distinct_SKU_ID").alias("skus"),
+        F.col("distinct_Warehouse_ID").alias("warehouses"),
+        money("inventory_value").alias("inventory_value"),
+        r2("row_cover").alias("avg_days_cover"),
+        "stockout_days",
+        pct("promotion_rate").alias("promotion_rate"),
     )
 
 

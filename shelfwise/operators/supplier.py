@@ -5,35 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.functions import avg_nonzero, flag_sum, ratio, stddev_pop_exact
+from shelfwise.functions import ratio
 from shelfwise.operators.common import cover, pair_tiebreak, r2, r3
-from shelfwise.operators.metrics import dec_avg, group_metrics
+from shelfwise.operators.metrics import group_metrics
 from shelfwise.params import DEFAULT, Params
 from shelfwise.schema import PAIR
 
 
 def overall(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """Q501: replenishment events, their rate and mean size (zero orders skipped)."""
-    oq = F.col("Order_Quantity")
-    return df.agg(
-        F.count(F.lit(1)).alias("total_records"),
-        flag_sum(oq > 0).alias("replenishment_events"),
-        r2(F.lit(100) * F.avg((oq > 0).cast("int"))).alias("replenishment_rate"),
-        r2(avg_nonzero(oq)).alias("avg_order_quantity"),
-        r2(F.avg("Supplier_Lead_Time_Days")).alias("avg_lead_time"),
+    return group_metrics(df, [], params).select(
+        F.col("records").alias("total_records"),
+        "replenishment_events",
+        r2(F.lit(100) * F.col("replenishment_share")).alias("replenishment_rate"),
+        r2("avg_order_nonzero").alias("avg_order_quantity"),
+        r2("lead_time").alias("avg_lead_time"),
     )
 
 
 def profile(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """Q502."""
-    oq = F.col("Order_Quantity")
-    m = df.groupBy("Supplier_ID").agg(
-        F.count_distinct("SKU_ID").alias("sku_count"),
-        F.count_distinct("Warehouse_ID").alias("warehouse_count"),
-        r2(F.avg("Supplier_Lead_Time_Days")).alias("avg_lead_time"),
-        r2(avg_nonzero(oq)).alias("avg_order_quantity"),
-        flag_sum(oq > 0).alias("replenishment_events"),
-        r2(dec_avg(F.col("Unit_Cost"))).alias("avg_unit_cost"),
+    m = group_metrics(df, ["Supplier_ID"], params, distinct=["SKU_ID", "Warehouse_ID"]).select(
+        "Supplier_ID",
+        F.col("distinct_SKU_ID").alias("sku_count"),
+        F.col("distinct_Warehouse_ID").alias("warehouse_count"),
+        r2("lead_time").alias("avg_lead_time"),
+        r2("avg_order_nonzero").alias("avg_order_quantity"),
+        "replenishment_events",
+        r2("unit_cost").alias("avg_unit_cost"),
     )
     return m.orderBy(F.col("avg_lead_time").desc_nulls_last(), "Supplier_ID")
 
@@ -60,14 +59,8 @@ def replenishment_efficiency(df: DataFrame, params: Params = DEFAULT) -> DataFra
 
 def lead_time_risk(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """Q504: lead-time level and (population) spread per supplier."""
-    lt = F.col("Supplier_Lead_Time_Days")
-    m = df.groupBy("Supplier_ID").agg(
-        F.avg(lt).alias("_avg"),
-        stddev_pop_exact(lt).alias("_std"),
-        F.min(lt).alias("min_lead_time"),
-        F.max(lt).alias("max_lead_time"),
-    )
-    a = F.col("_avg")
+    m = group_metrics(df, ["Supplier_ID"], params)
+    a = F.col("lead_time")
     risk = (
         F.when(a >= params.lead_high_days, "High Risk")
         .when(a >= params.lead_medium_days, "Medium Risk")
@@ -76,7 +69,7 @@ def lead_time_risk(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
     out = m.select(
         "Supplier_ID",
         r2(a).alias("avg_lead_time"),
-        r2("_std").alias("lead_time_std"),
+        r2("lead_time_std").alias("lead_time_std"),
         "min_lead_time",
         "max_lead_time",
         risk.alias("lead_time_risk"),

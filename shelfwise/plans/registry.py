@@ -15,7 +15,7 @@ from shelfwise.operators import actions, demand, inventory, quality, quartile_ac
 from shelfwise.params import DEFAULT, Params
 from shelfwise.sources import contract
 from shelfwise.sources.catalog import table_inventory
-from shelfwise.sources.store import inventory_table
+from shelfwise.sources.store import inventory_data, inventory_table
 
 Operator = Callable[[DataFrame, Params], DataFrame]
 
@@ -97,7 +97,7 @@ SOURCE_TABLES = [
 
 def run(spark: SparkSession, key: str, sf_dir: str, params: Params = DEFAULT) -> DataFrame:
     _, op = REPORTS[key]
-    return op(inventory_table(spark, sf_dir), params)
+    return op(inventory_data(spark, sf_dir), params)
 
 
 def ingest_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -44,15 +44,48 @@ def scratch_path(spark: SparkSession, *parts: str) -> str:
     return "/".join([checkpoint_root(spark).rstrip("/"), f"shelfwise-{app}", *parts])
 
 
-def inventory_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The inventory fact table derived from ``sf_dir``, written once, then scanned."""
-    sf_dir = os.path.abspath(sf_dir) if "://" not in sf_dir else sf_dir
-    key = (spark.sparkContext.applicationId, sf_dir)
+def _materialize(spark: SparkSession, key: tuple[str, str], build) -> str:
     with _LOCK:
         path = _TABLES.get(key)
         if path is None:
-            name = sf_dir.rstrip("/").replace("/", "_").replace(":", "_").strip("_")
-            path = scratch_path(spark, "inventory_raw", name)
-            derive_inventory(spark, sf_dir).write.mode("overwrite").parquet(path)
+            app, label = key
+            path = scratch_path(spark, *label.split("|"))
+            build().write.mode("overwrite").parquet(path)
             _TABLES[key] = path
+    return path
+
+
+def _label(sf_dir: str) -> tuple[str, str]:
+    sf_dir = os.path.abspath(sf_dir) if "://" not in sf_dir else sf_dir
+    name = sf_dir.rstrip("/").replace("/", "_").replace(":", "_").strip("_")
+    return sf_dir, name
+
+
+def inventory_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The inventory fact table derived from ``sf_dir``, written once, then scanned.
+
+    The file is hash-partitioned by SKU x warehouse into as many files as the
+    cluster has cores: scans run in parallel and each file holds whole pairs,
+    so the map-side partial aggregation of pair reports is complete.  A hot
+    pair makes one file large, but Parquet splits it by row group on read.
+    """
+    src, name = _label(sf_dir)
+    app = spark.sparkContext.applicationId
+
+    def build() -> DataFrame:
+        n = spark.sparkContext.defaultParallelism
+        return derive_inventory(spark, src).repartition(n, "SKU_ID", "Warehouse_ID")
+
+    path = _materialize(spark, (app, f"inventory_raw|{name}"), build)
     return spark.read.parquet(path)
+
+
+def inventory_data(spark: SparkSession, sf_dir: str):
+    """Fact table + its mergeable summary, each derived and written once per application."""
+    from shelfwise.operators.metrics import Inventory, summarize
+
+    fact = inventory_table(spark, sf_dir)
+    _, name = _label(sf_dir)
+    app = spark.sparkContext.applicationId
+    path = _materialize(spark, (app, f"inventory_summary|{name}"), lambda: summarize(fact))
+    return Inventory(fact, spark.read.parquet(path))
