@@ -6,16 +6,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.functions import flag_sum
-from shelfwise.operators.common import cover, money, pair_tiebreak, pct, r2, top
+from shelfwise.operators.common import money, pair_tiebreak, pct, r2, top
 from shelfwise.operators.metrics import group_metrics
 from shelfwise.operators.risk import opportunity_classes
 from shelfwise.params import DEFAULT, Params
 from shelfwise.schema import PAIR
 
+_PAIR_MEASURES = ("inventory", "reorder_point", "lead_time", "cover", "stockout_rate", "inventory_value")
 
-def executive_kpis(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
+
+def executive_kpis(df, params: Params = DEFAULT) -> DataFrame:
     """Q701."""
-    m = group_metrics(df, [], params, distinct=["SKU_ID", "Warehouse_ID"])
+    m = group_metrics(
+        df, [], "demand", "inventory", "inventory_value", "stockout_days",
+        "replenishment_events", "promotion_rate", params=params,
+        distinct=["SKU_ID", "Warehouse_ID"],
+    )
     return m.select(
         F.col("distinct_SKU_ID").alias("total_skus"),
         F.col("distinct_Warehouse_ID").alias("total_warehouses"),
@@ -29,7 +35,7 @@ def executive_kpis(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
 
 
 def _conditions(params: Params):
-    inv, rop, lt, c = F.col("inventory"), F.col("reorder_point"), F.col("lead_time"), cover()
+    inv, rop, lt, c = F.col("inventory"), F.col("reorder_point"), F.col("lead_time"), F.col("cover")
     under = inv < rop
     short = c < lt
     high = c > lt * params.high_cover_lead_multiple
@@ -37,9 +43,9 @@ def _conditions(params: Params):
     return under, short, high, stockouts
 
 
-def action_matrix(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
+def action_matrix(df, params: Params = DEFAULT) -> DataFrame:
     """Q702: one recommended action per pair, most urgent first."""
-    m = group_metrics(df, PAIR, params)
+    m = group_metrics(df, PAIR, *_PAIR_MEASURES, params=params)
     under, short, high, stockouts = _conditions(params)
     rank = F.when(under | short, 1).when(high, 2).when(stockouts, 3).otherwise(4)
     action = (
@@ -51,7 +57,7 @@ def action_matrix(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
     out = m.select(
         *PAIR,
         money("inventory_value").alias("inventory_value"),
-        r2(cover()).alias("days_of_cover"),
+        r2("cover").alias("days_of_cover"),
         pct("stockout_rate").alias("stockout_rate"),
         action.alias("recommended_action"),
         rank.alias("_rank"),
@@ -59,15 +65,15 @@ def action_matrix(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
     return out.orderBy("_rank", F.col("inventory_value").desc(), *pair_tiebreak()).drop("_rank")
 
 
-def top_value_attention(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
+def top_value_attention(df, params: Params = DEFAULT) -> DataFrame:
     """Q703: highest-value pairs that are under- or overstocked."""
-    m = group_metrics(df, PAIR, params)
+    m = group_metrics(df, PAIR, *_PAIR_MEASURES, params=params)
     under, _, high, _ = _conditions(params)
     status = F.when(under, "UNDERSTOCK").when(high, "OVERSTOCK").otherwise("BALANCED")
     out = m.filter(under | high).select(
         *PAIR,
         money("inventory_value").alias("inventory_value"),
-        r2(cover()).alias("days_of_cover"),
+        r2("cover").alias("days_of_cover"),
         r2("reorder_point").alias("reorder_point"),
         r2("lead_time").alias("lead_time"),
         status.alias("inventory_status"),
@@ -75,12 +81,15 @@ def top_value_attention(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
     return top(out, [F.col("inventory_value").desc(), *pair_tiebreak()], params.attention_top)
 
 
-def warehouse_priorities(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
+def warehouse_priorities(df, params: Params = DEFAULT) -> DataFrame:
     """Q704."""
-    m = group_metrics(df, ["Warehouse_ID"], params)
+    m = group_metrics(
+        df, ["Warehouse_ID"], "demand", "inventory", "inventory_value", "stockout_rate", "cover",
+        params=params,
+    )
     priority = (
         F.when(F.col("stockout_rate") > params.service_stockout_rate, "HIGH SERVICE RISK")
-        .when(cover() > params.warehouse_cover_days, "HIGH INVENTORY")
+        .when(F.col("cover") > params.warehouse_cover_days, "HIGH INVENTORY")
         .otherwise("STABLE")
     )
     out = m.select(
@@ -94,7 +103,7 @@ def warehouse_priorities(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
     return out.orderBy(F.col("inventory_value").desc(), "Warehouse_ID")
 
 
-def opportunity_by_action(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
+def opportunity_by_action(df, params: Params = DEFAULT) -> DataFrame:
     """Q705: pairs and value per action type."""
     classes = opportunity_classes(
         df,
@@ -108,9 +117,9 @@ def opportunity_by_action(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
     return out.orderBy(F.col("estimated_inventory_value").desc_nulls_last(), "action_type")
 
 
-def prioritized_list(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
+def prioritized_list(df, params: Params = DEFAULT) -> DataFrame:
     """Q706 (flagship): five-level action, LOW dropped, top by level then value."""
-    m = group_metrics(df, PAIR, params)
+    m = group_metrics(df, PAIR, *_PAIR_MEASURES, params=params)
     under, short, high, stockouts = _conditions(params)
     level = (
         F.when(under & stockouts, 1)
@@ -119,38 +128,34 @@ def prioritized_list(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
         .when(stockouts, 4)
         .otherwise(5)
     )
+    out = m.select(
+        *PAIR,
+        money("inventory_value").alias("inventory_value"),
+        r2("cover").alias("days_of_cover"),
+        pct("stockout_rate").alias("stockout_rate"),
+        level.alias("_level"),
+    ).filter(F.col("_level") < 5)
+    lv = F.col("_level")
     action = (
-        F.when(level == 1, "CRITICAL - REPLENISH")
-        .when(level == 2, "HIGH - REPLENISH")
-        .when(level == 3, "HIGH - REDUCE INVENTORY")
-        .when(level == 4, "MEDIUM - REVIEW SERVICE")
-        .otherwise("LOW - MONITOR")
+        F.when(lv == 1, "CRITICAL - REPLENISH")
+        .when(lv == 2, "HIGH - REPLENISH")
+        .when(lv == 3, "HIGH - REDUCE INVENTORY")
+        .otherwise("MEDIUM - REVIEW SERVICE")
     )
     # sort rank: CRITICAL 1, both HIGH 2, MEDIUM 3 (LOW is filtered out)
-    lv = F.col("_level")
     rank = F.when(lv == 1, 1).when(lv <= 3, 2).otherwise(3)
-    out = (
-        m.select(
-            *PAIR,
-            money("inventory_value").alias("inventory_value"),
-            r2(cover()).alias("days_of_cover"),
-            pct("stockout_rate").alias("stockout_rate"),
-            action.alias("priority_action"),
-            level.alias("_level"),
-        )
-        .filter(F.col("_level") < 5)
-        .withColumn("_rank", rank)
-    )
+    out = out.select(*PAIR, "inventory_value", "days_of_cover", "stockout_rate",
+                     action.alias("priority_action"), rank.alias("_rank"))
     return top(
         out,
         [F.col("_rank").asc(), F.col("inventory_value").desc(), *pair_tiebreak()],
         params.priority_list_top,
-    ).drop("_level", "_rank")
+    ).drop("_rank")
 
 
-def condition_counts(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
+def condition_counts(df, params: Params = DEFAULT) -> DataFrame:
     """Q707: pairs meeting each condition (a NULL cover counts in none)."""
-    m = group_metrics(df, PAIR, params)
+    m = group_metrics(df, PAIR, *_PAIR_MEASURES, params=params)
     under, short, high, stockouts = _conditions(params)
     return m.agg(
         F.count(F.lit(1)).alias("total_sku_warehouse_pairs"),

@@ -24,10 +24,6 @@ def pct(x) -> Column:
     return round_half_up(F.lit(100) * (F.col(x) if isinstance(x, str) else x), 2)
 
 
-def cover() -> Column:
-    return ratio("inventory", "demand")
-
-
 def top(df: DataFrame, order: Sequence[Column], k: int) -> DataFrame:
     """ORDER BY ... LIMIT k: TakeOrderedAndProject (per-partition top-k, one merge)."""
     return df.orderBy(*order).limit(k)
@@ -37,4 +33,4 @@ def pair_tiebreak() -> list[Column]:
     return [F.col(c).asc() for c in PAIR]
 
 
-__all__ = ["cover", "money", "pair_tiebreak", "pct", "r2", "r3", "ratio", "top"]
+__all__ = ["money", "pair_tiebreak", "pct", "r2", "r3", "ratio", "round_half_up", "top"]

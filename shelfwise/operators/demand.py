@@ -7,14 +7,16 @@ from pyspark.sql import functions as F
 
 from shelfwise.functions import ratio
 from shelfwise.operators.common import pair_tiebreak, r2, r3, top
-from shelfwise.operators.metrics import fact_metrics, group_metrics
+from shelfwise.operators.metrics import abs_forecast_error, as_inventory, dec_avg, group_metrics
 from shelfwise.params import DEFAULT, Params
 from shelfwise.schema import PAIR
 
 
-def overall(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
+def overall(df, params: Params = DEFAULT) -> DataFrame:
     """Q401: demand level, population std-dev and forecast error."""
-    m = group_metrics(df, [], params)
+    m = group_metrics(
+        df, [], "records", "demand", "demand_std", "forecast", "forecast_error", params=params
+    )
     return m.select(
         F.col("records").alias("total_records"),
         r2("demand").alias("avg_daily_demand"),
@@ -25,21 +27,23 @@ def overall(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
     )
 
 
-def sku_volatility(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
+def sku_volatility(df, params: Params = DEFAULT) -> DataFrame:
     """Q402."""
-    m = group_metrics(df, ["SKU_ID"], params).select(
+    m = group_metrics(
+        df, ["SKU_ID"], "demand", "demand_std", "demand_cv", "total_demand", params=params
+    ).select(
         "SKU_ID",
         r2("demand").alias("avg_daily_demand"),
         r2("demand_std").alias("demand_std_dev"),
         r3("demand_cv").alias("demand_cv"),
-        F.col("total_demand").cast("bigint").alias("total_demand"),
+        "total_demand",
     )
     return m.orderBy(F.col("demand_cv").desc_nulls_last(), "SKU_ID")
 
 
-def pair_forecast_accuracy(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
+def pair_forecast_accuracy(df, params: Params = DEFAULT) -> DataFrame:
     """Q403: worst forecast error per pair."""
-    m = group_metrics(df, PAIR, params).select(
+    m = group_metrics(df, PAIR, "demand", "forecast", "forecast_error", params=params).select(
         *PAIR,
         r2("demand").alias("avg_demand"),
         r2("forecast").alias("avg_forecast"),
@@ -53,9 +57,9 @@ def pair_forecast_accuracy(df: DataFrame, params: Params = DEFAULT) -> DataFrame
     )
 
 
-def volatility_segments(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
+def volatility_segments(df, params: Params = DEFAULT) -> DataFrame:
     """Q404: SKU class by coefficient of variation."""
-    m = group_metrics(df, ["SKU_ID"], params)
+    m = group_metrics(df, ["SKU_ID"], "demand", "demand_std", "demand_cv", params=params)
     cv = F.col("demand_cv")
     seg = (
         F.when(cv >= params.cv_high, "High Volatility")
@@ -72,35 +76,40 @@ def volatility_segments(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
     return out.orderBy(F.col("demand_cv").desc_nulls_last(), "SKU_ID")
 
 
-def promotion_impact(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
-    """Q405: demand and forecast bias per promotion flag."""
-    m = fact_metrics(df, ["Promotion_Flag"], params).select(
-        "Promotion_Flag",
-        F.col("records").alias("records"),
-        r2("demand").alias("avg_demand"),
-        r2("forecast").alias("avg_forecast"),
-        r2("forecast_bias").alias("avg_forecast_bias"),
+def promotion_impact(df, params: Params = DEFAULT) -> DataFrame:
+    """Q405: demand and forecast bias per promotion flag (fact table, flag-keyed)."""
+    fact = as_inventory(df).fact
+    forecast = F.col("Demand_Forecast")
+    m = fact.groupBy("Promotion_Flag").agg(
+        F.count(F.lit(1)).alias("records"),
+        r2(F.avg("Units_Sold")).alias("avg_demand"),
+        r2(dec_avg(forecast)).alias("avg_forecast"),
+        r2(dec_avg(F.col("Units_Sold") - forecast)).alias("avg_forecast_bias"),
     )
     return m.orderBy(F.col("Promotion_Flag").asc_nulls_first())
 
 
-def stockout_risk(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
-    """Q406: profile per stockout flag."""
-    m = fact_metrics(df, ["Stockout_Flag"], params).select(
-        "Stockout_Flag",
-        F.col("records").alias("records"),
-        r2("demand").alias("avg_demand"),
-        r2("inventory").alias("avg_inventory"),
-        r2("forecast").alias("avg_forecast"),
-        r2("forecast_error").alias("forecast_mae"),
-        r2("avg_buffer").alias("avg_inventory_buffer"),
+def stockout_risk(df, params: Params = DEFAULT) -> DataFrame:
+    """Q406: profile per stockout flag (fact table, flag-keyed)."""
+    fact = as_inventory(df).fact
+    m = fact.groupBy("Stockout_Flag").agg(
+        F.count(F.lit(1)).alias("records"),
+        r2(F.avg("Units_Sold")).alias("avg_demand"),
+        r2(F.avg("Inventory_Level")).alias("avg_inventory"),
+        r2(dec_avg(F.col("Demand_Forecast"))).alias("avg_forecast"),
+        r2(dec_avg(abs_forecast_error())).alias("forecast_mae"),
+        r2(F.avg(F.col("Inventory_Level") - F.col("Reorder_Point"))).alias(
+            "avg_inventory_buffer"
+        ),
     )
     return m.orderBy(F.col("Stockout_Flag").asc_nulls_first())
 
 
-def risk_matrix(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
+def risk_matrix(df, params: Params = DEFAULT) -> DataFrame:
     """Q407: (below reorder point) x (volatile demand), most severe first."""
-    m = group_metrics(df, PAIR, params)
+    m = group_metrics(
+        df, PAIR, "demand", "demand_cv", "forecast", "inventory", "reorder_point", params=params
+    )
     below = F.col("inventory") < F.col("reorder_point")
     volatile = F.col("demand_cv") >= params.cv_high
     # severity from unrounded metrics; label and sort rank from one rule chain

@@ -6,16 +6,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.functions import ratio
-from shelfwise.operators.common import cover, money, pair_tiebreak, r2, r3, top
+from shelfwise.operators.common import money, pair_tiebreak, r2, r3, top
 from shelfwise.operators.metrics import group_metrics
 from shelfwise.operators.ranking import with_grand_total, with_running_sum
 from shelfwise.params import DEFAULT, Params
 from shelfwise.schema import PAIR
 
 
-def overall(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
+def overall(df, params: Params = DEFAULT) -> DataFrame:
     """Q301: whole-table demand, stock, value, cover and turnover."""
-    m = group_metrics(df, [], params, distinct=["SKU_ID", "Warehouse_ID"])
+    m = group_metrics(
+        df, [], "records", "demand", "inventory", "inventory_value", "cover", "total_demand",
+        params=params, distinct=["SKU_ID", "Warehouse_ID"],
+    )
     return m.select(
         F.col("records").alias("total_records"),
         F.col("distinct_SKU_ID").alias("total_skus"),
@@ -29,9 +32,12 @@ def overall(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
     )
 
 
-def warehouse_efficiency(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
+def warehouse_efficiency(df, params: Params = DEFAULT) -> DataFrame:
     """Q302."""
-    m = group_metrics(df, ["Warehouse_ID"], params, distinct=["SKU_ID"]).select(
+    m = group_metrics(
+        df, ["Warehouse_ID"], "demand", "inventory", "reorder_point", "cover",
+        "inventory_value", "total_demand", params=params, distinct=["SKU_ID"],
+    ).select(
         "Warehouse_ID",
         F.col("distinct_SKU_ID").alias("active_skus"),
         r2("demand").alias("avg_daily_demand"),
@@ -44,23 +50,26 @@ def warehouse_efficiency(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
     return m.orderBy(F.col("inventory_value").desc(), "Warehouse_ID")
 
 
-def pair_profile(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
+def pair_profile(df, params: Params = DEFAULT) -> DataFrame:
     """Q303: SKU x warehouse profile, top by inventory value."""
-    m = group_metrics(df, PAIR, params).select(
+    m = group_metrics(
+        df, PAIR, "demand", "inventory", "reorder_point", "cover", "inventory_value",
+        "total_demand", params=params,
+    ).select(
         *PAIR,
         r2("demand").alias("avg_daily_demand"),
         r2("inventory").alias("avg_inventory"),
         r2("reorder_point").alias("avg_reorder_point"),
-        r2(cover()).alias("days_of_cover"),
+        r2("cover").alias("days_of_cover"),
         money("inventory_value").alias("inventory_value"),
         r2(ratio("total_demand", "inventory")).alias("inventory_turnover"),
     )
     return top(m, [F.col("inventory_value").desc(), *pair_tiebreak()], params.pair_profile_top)
 
 
-def coverage_risk(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
+def coverage_risk(df, params: Params = DEFAULT) -> DataFrame:
     """Q304: days of cover against supplier lead time."""
-    m = group_metrics(df, PAIR, params)
+    m = group_metrics(df, PAIR, "demand", "inventory", "lead_time", "cover", params=params)
     c, lt = F.col("cover"), F.col("lead_time")
     status = (
         F.when(c < lt, "Below Lead-Time Coverage")
@@ -71,7 +80,7 @@ def coverage_risk(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
         *PAIR,
         r2("demand").alias("avg_daily_demand"),
         r2("inventory").alias("avg_inventory"),
-        r2("lead_time").alias("avg_lead_time"),
+        r2(lt).alias("avg_lead_time"),
         r2(c).alias("days_of_cover"),
         r2(F.col("demand") * lt).alias("lead_time_demand"),
         r2(c - lt).alias("cover_above_lead_time"),
@@ -80,9 +89,9 @@ def coverage_risk(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
     return out.orderBy(F.col("days_of_cover").desc_nulls_last(), *pair_tiebreak())
 
 
-def reorder_buffer(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
+def reorder_buffer(df, params: Params = DEFAULT) -> DataFrame:
     """Q305: stock above the reorder point, in units and value."""
-    m = group_metrics(df, PAIR, params)
+    m = group_metrics(df, PAIR, "inventory", "reorder_point", "unit_cost", params=params)
     inv, rop = F.col("inventory"), F.col("reorder_point")
     status = (
         F.when(inv < rop, "Below Reorder Point")
@@ -101,17 +110,17 @@ def reorder_buffer(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
     return out.orderBy(F.col("buffer_value").desc_nulls_last(), *pair_tiebreak())
 
 
-def abc_concentration(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
+def abc_concentration(df, params: Params = DEFAULT) -> DataFrame:
     """Q306: ABC (Pareto) classes of SKUs by running share of inventory value.
 
     The SKU that crosses a line falls in the lower class; a zero total gives C.
     """
-    sku = group_metrics(df, ["SKU_ID"], params).select(
-        "SKU_ID", F.col("inventory_value").alias("value")
+    sku = group_metrics(df, ["SKU_ID"], "inventory_value", params=params).withColumnRenamed(
+        "inventory_value", "value"
     )
     order = [F.col("value").desc_nulls_last(), F.col("SKU_ID").asc()]
     ranked = with_running_sum(sku, "value", order, "cumulative", params)
-    ranked = with_grand_total(ranked, "value", "total")
+    ranked = with_grand_total(ranked, sku, "value", "total")
     total = F.nullif(F.col("total"), F.lit(0)).cast("double")
     share = F.col("cumulative").cast("double") / total
     segment = (
@@ -131,9 +140,12 @@ def abc_concentration(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
     return out.orderBy(F.col("inventory_value").desc_nulls_last(), "SKU_ID")
 
 
-def replenishment_efficiency(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
+def replenishment_efficiency(df, params: Params = DEFAULT) -> DataFrame:
     """Q307: ordered / sold per pair."""
-    m = group_metrics(df, PAIR, params)
+    m = group_metrics(
+        df, PAIR, "total_demand", "total_replenished", "replenishment_events", "lead_time",
+        params=params,
+    )
     rr = ratio("total_replenished", "total_demand")
     status = (
         F.when(rr < params.repl_low, "Potential Under-Replenishment")
@@ -142,8 +154,8 @@ def replenishment_efficiency(df: DataFrame, params: Params = DEFAULT) -> DataFra
     )
     out = m.select(
         *PAIR,
-        F.col("total_demand").cast("bigint").alias("total_demand"),
-        F.col("total_replenished").cast("bigint").alias("total_replenished"),
+        "total_demand",
+        "total_replenished",
         "replenishment_events",
         r2("lead_time").alias("avg_lead_time"),
         r3(rr).alias("replenishment_to_demand_ratio"),
@@ -154,9 +166,12 @@ def replenishment_efficiency(df: DataFrame, params: Params = DEFAULT) -> DataFra
     )
 
 
-def priority_ranking(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
+def priority_ranking(df, params: Params = DEFAULT) -> DataFrame:
     """Q308: cover score + buffer score -> management priority."""
-    m = group_metrics(df, PAIR, params)
+    m = group_metrics(
+        df, PAIR, "demand", "inventory", "cover", "lead_time", "reorder_point",
+        "inventory_value", params=params,
+    )
     c, lt = F.col("cover"), F.col("lead_time")
     inv, rop = F.col("inventory"), F.col("reorder_point")
     cover_score = (

@@ -145,74 +145,83 @@ def as_inventory(data, params: Params = DEFAULT) -> Inventory:
 
 
 def _std(n: Column, s: Column, q: Column) -> Column:
+    """Population std-dev from count, sum and sum of squares (exact integer part)."""
     nd = n.cast(_DEC0)
     sd = s.cast(_DEC0)
     return F.sqrt((nd * q - sd * sd).cast("double")) / n
 
 
-def _mean(name: str) -> Column:
-    return F.col(f"s_{name}") / F.col(f"c_{name}")
+def _s(name: str) -> Column:
+    return F.sum(f"s_{name}")
 
 
-def _dec_mean(name: str) -> Column:
-    return F.col(f"s_{name}").cast("double") / F.col(f"c_{name}")
-
-
-def measures(sums: DataFrame) -> DataFrame:
-    """Named means, totals and ratios from the mergeable sums (narrow projection)."""
-    c = F.col
-    return sums.select(
-        *[x for x in sums.columns if not x.startswith(("s_", "c_", "q_")) and x not in ("n", "min_lead", "max_lead")],
-        c("n").alias("records"),
-        _mean("units").alias("demand"),
-        _mean("inv").alias("inventory"),
-        _mean("rop").alias("reorder_point"),
-        _mean("lead").alias("lead_time"),
-        _mean("stockout").alias("stockout_rate"),
-        _mean("promo").alias("promotion_rate"),
-        _mean("order").alias("avg_order_all"),
-        _mean("order_nz").alias("avg_order_nonzero"),
-        _mean("order_pos").alias("replenishment_share"),
-        _mean("buffer").alias("avg_buffer"),
-        (-c("s_buffer") / c("c_buffer")).alias("avg_gap"),
-        _mean("row_cover").alias("row_cover"),
-        _dec_mean("cost").alias("unit_cost"),
-        _dec_mean("forecast").alias("forecast"),
-        _dec_mean("abs_err").alias("forecast_error"),
-        _dec_mean("bias").alias("forecast_bias"),
-        _dec_mean("value").alias("avg_row_value"),
-        _dec_mean("margin").alias("unit_margin"),
-        _dec_mean("gap_value").alias("gap_value"),
-        _dec_mean("excess_value").alias("excess_value"),
-        c("s_value").alias("inventory_value"),
-        c("s_units").alias("total_demand"),
-        c("s_order").alias("total_replenished"),
-        c("s_order_pos").alias("replenishment_events"),
-        c("s_stockout").alias("stockout_days"),
-        c("min_lead").alias("min_lead_time"),
-        c("max_lead").alias("max_lead_time"),
-        _std(c("c_units"), c("s_units"), c("q_units")).alias("demand_std"),
-        _std(c("c_lead"), c("s_lead"), c("q_lead")).alias("lead_time_std"),
-    ).withColumn("cover", ratio("inventory", "demand")).withColumn(
-        "demand_cv", ratio("demand_std", "demand")
-    )
+def _n(name: str) -> Column:
+    return F.sum(f"c_{name}")
+
 
+def _mean(name: str) -> Column:
+    return _s(name) / _n(name)
 
-def group_metrics(data, keys: Sequence[str], params: Params = DEFAULT, distinct: Sequence[str] = ()) -> DataFrame:
-    """One row per ``keys`` group with every named measure.
 
-    ``keys`` must be a subset of ``SUMMARY_KEYS``.  ``distinct`` adds exact
+def _dec_mean(name: str) -> Column:
+    return _s(name).cast("double") / _n(name)
+
+
+# Every named measure as an aggregate over summary rows.  Identical sub-
+# aggregates (e.g. the sums behind ``demand`` used by ``cover``) are computed
+# once by the Aggregate operator.
+MEASURES = {
+    # COUNT(*) is 0, not NULL, on an empty input
+    "records": lambda: F.coalesce(F.sum("n"), F.lit(0).cast("bigint")),
+    "demand": lambda: _mean("units"),
+    "inventory": lambda: _mean("inv"),
+    "reorder_point": lambda: _mean("rop"),
+    "lead_time": lambda: _mean("lead"),
+    "stockout_rate": lambda: _mean("stockout"),
+    "promotion_rate": lambda: _mean("promo"),
+    "avg_order_all": lambda: _mean("order"),
+    "avg_order_nonzero": lambda: _mean("order_nz"),
+    "replenishment_share": lambda: _mean("order_pos"),
+    "avg_buffer": lambda: _mean("buffer"),
+    "avg_gap": lambda: -_s("buffer") / _n("buffer"),
+    "row_cover": lambda: _mean("row_cover"),
+    "unit_cost": lambda: _dec_mean("cost"),
+    "forecast": lambda: _dec_mean("forecast"),
+    "forecast_error": lambda: _dec_mean("abs_err"),
+    "forecast_bias": lambda: _dec_mean("bias"),
+    "avg_row_value": lambda: _dec_mean("value"),
+    "unit_margin": lambda: _dec_mean("margin"),
+    "gap_value": lambda: _dec_mean("gap_value"),
+    "excess_value": lambda: _dec_mean("excess_value"),
+    "inventory_value": lambda: _s("value"),
+    "total_demand": lambda: _s("units"),
+    "total_replenished": lambda: _s("order"),
+    "replenishment_events": lambda: _s("order_pos"),
+    "stockout_days": lambda: _s("stockout"),
+    "min_lead_time": lambda: F.min("min_lead"),
+    "max_lead_time": lambda: F.max("max_lead"),
+    "demand_std": lambda: _std(_n("units"), _s("units"), F.sum("q_units")),
+    "lead_time_std": lambda: _std(_n("lead"), _s("lead"), F.sum("q_lead")),
+    "cover": lambda: ratio(_mean("inv"), _mean("units")),
+    "demand_cv": lambda: ratio(MEASURES["demand_std"](), _mean("units")),
+}
+
+
+def group_metrics(
+    data,
+    keys: Sequence[str],
+    *names: str,
+    params: Params = DEFAULT,
+    distinct: Sequence[str] = (),
+) -> DataFrame:
+    """One row per ``keys`` group with the requested named measures.
+
+    ``keys`` must be a subset of ``SUMMARY_KEYS``; ``distinct`` adds exact
     distinct counts (``distinct_<col>``) of other summary keys per group.
-    Callers select what they need; Catalyst prunes the rest of the aggregates.
+    The plan is one aggregate over the summary (partial + final).
     """
     inv = as_inventory(data, params)
-    extra = [F.count_distinct(k).alias(f"distinct_{k}") for k in distinct]
+    aggs = [MEASURES[n]().alias(n) for n in names]
+    aggs += [F.count_distinct(k).alias(f"distinct_{k}") for k in distinct]
     g = inv.summary.groupBy(*keys) if keys else inv.summary.groupBy()
-    return measures(g.agg(*merge_aggs(params), *extra))
-
-
-def fact_metrics(data, keys: Sequence[str], params: Params = DEFAULT) -> DataFrame:
-    """Same measures, grouped on fact-table columns outside the summary keys
-    (e.g. the promotion / stockout flags)."""
-    fact = as_inventory(data, params).fact
-    return measures(fact.groupBy(*keys).agg(*summary_aggs(params)))
+    return g.agg(*aggs)

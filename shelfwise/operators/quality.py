@@ -182,7 +182,10 @@ def dimension_cardinality(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
 
 def warehouse_profile(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """Q212."""
-    m = group_metrics(df, ["Warehouse_ID"], params, distinct=["SKU_ID", "Supplier_ID"]).select(
+    m = group_metrics(
+        df, ["Warehouse_ID"], "records", "demand", "inventory", "reorder_point", "avg_order_all",
+        "avg_row_value", params=params, distinct=["SKU_ID", "Supplier_ID"],
+    ).select(
         "Warehouse_ID",
         F.col("records").alias("observations"),
         F.col("distinct_SKU_ID").alias("active_skus"),
@@ -198,7 +201,10 @@ def warehouse_profile(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
 
 def sku_profile(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """Q213: top SKUs by mean daily inventory value."""
-    m = group_metrics(df, ["SKU_ID"], params, distinct=["Warehouse_ID"]).select(
+    m = group_metrics(
+        df, ["SKU_ID"], "total_demand", "demand", "inventory", "avg_row_value", "unit_margin",
+        params=params, distinct=["Warehouse_ID"],
+    ).select(
         "SKU_ID",
         F.col("distinct_Warehouse_ID").alias("warehouse_count"),
         F.col("total_demand").alias("total_units_sold"),

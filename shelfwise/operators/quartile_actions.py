@@ -2,7 +2,8 @@
 
 The quartile is NTILE(4) over all SKU x warehouse pairs ordered by days of
 cover (zero demand = NULL cover sorts first), ties broken by SKU, warehouse.
-It is computed with the distributed global ranking (see ``ranking``).
+It is computed with the global ranking of ``ranking`` (distributed path
+beyond a checked row count).
 """
 
 from __future__ import annotations
@@ -10,33 +11,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.operators.common import cover, money, pair_tiebreak, pct, r2, round_half_up, top
+from shelfwise.operators.common import money, pair_tiebreak, pct, r2, round_half_up, top
 from shelfwise.operators.metrics import group_metrics
 from shelfwise.operators.ranking import with_ntile
 from shelfwise.params import DEFAULT, Params
 from shelfwise.schema import PAIR
 
-_NEEDED = [
-    "SKU_ID",
-    "Warehouse_ID",
-    "demand",
-    "inventory",
-    "reorder_point",
-    "forecast",
-    "stockout_rate",
-    "inventory_value",
-]
 
-
-def with_cover_quartile(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
-    m = group_metrics(df, PAIR, params).select(*_NEEDED).withColumn("cover", cover())
+def with_cover_quartile(df, params: Params = DEFAULT, *extra: str) -> DataFrame:
+    m = group_metrics(
+        df, PAIR, "cover", "inventory", "reorder_point", "inventory_value", *extra, params=params
+    )
     order = [F.col("cover").asc_nulls_first(), *pair_tiebreak()]
     return with_ntile(m, params.cover_quantiles, order, "cover_quartile", params)
 
 
-def executive_summary(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
+def executive_summary(df, params: Params = DEFAULT) -> DataFrame:
     """Q751: KPI row; cover is the mean of daily ratios (zero-demand days drop out)."""
-    m = group_metrics(df, [], params, distinct=["SKU_ID", "Warehouse_ID"])
+    m = group_metrics(
+        df, [], "inventory_value", "row_cover", "stockout_days", "promotion_rate",
+        params=params, distinct=["SKU_ID", "Warehouse_ID"],
+    )
     return m.select(
         F.col("distinct_SKU_ID").alias("skus"),
         F.col("distinct_Warehouse_ID").alias("warehouses"),
@@ -47,12 +42,15 @@ def executive_summary(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
     )
 
 
-def decision_profile(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
+def decision_profile(df, params: Params = DEFAULT) -> DataFrame:
     """Q752: top pairs by value with forecast error and promotion rate."""
-    m = group_metrics(df, PAIR, params).select(
+    m = group_metrics(
+        df, PAIR, "inventory_value", "cover", "reorder_point", "lead_time", "forecast_error",
+        "promotion_rate", params=params,
+    ).select(
         *PAIR,
         money("inventory_value").alias("inventory_value"),
-        r2(cover()).alias("days_cover"),
+        r2("cover").alias("days_cover"),
         r2("reorder_point").alias("reorder_point"),
         r2("lead_time").alias("lead_time"),
         r2("forecast_error").alias("forecast_error"),
@@ -61,22 +59,25 @@ def decision_profile(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
     return top(m, [F.col("inventory_value").desc(), *pair_tiebreak()], params.decision_profile_top)
 
 
-def warehouse_concentration(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
+def warehouse_concentration(df, params: Params = DEFAULT) -> DataFrame:
     """Q753."""
-    m = group_metrics(df, ["Warehouse_ID"], params).select(
+    m = group_metrics(
+        df, ["Warehouse_ID"], "inventory_value", "row_cover", "reorder_point", "lead_time",
+        "stockout_days", params=params,
+    ).select(
         "Warehouse_ID",
         money("inventory_value").alias("inventory_value"),
         r2("row_cover").alias("avg_days_cover"),
         r2("reorder_point").alias("avg_reorder_point"),
         r2("lead_time").alias("avg_lead_time"),
-        F.col("stockout_days").cast("bigint").alias("stockout_days"),
+        "stockout_days",
     )
     return m.orderBy(F.col("inventory_value").desc(), "Warehouse_ID")
 
 
-def excess_inventory(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
+def excess_inventory(df, params: Params = DEFAULT) -> DataFrame:
     """Q754: top cover quartile; REVIEW EXCESS when also above the reorder point."""
-    q = with_cover_quartile(df, params)
+    q = with_cover_quartile(df, params, "forecast")
     top_q = F.col("cover_quartile") == params.cover_quantiles
     action = F.when(top_q & (F.col("inventory") > F.col("reorder_point")), "REVIEW EXCESS")
     out = q.filter(top_q).select(
@@ -90,22 +91,16 @@ def excess_inventory(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
     return out.orderBy(F.col("inventory_value").desc(), *pair_tiebreak())
 
 
-def _quartile_action(params: Params, labels: tuple[str, str, str, str]):
+def action_summary(df, params: Params = DEFAULT) -> DataFrame:
+    """Q755: pairs and value per management action."""
+    q = with_cover_quartile(df, params, "stockout_rate")
     inv, rop = F.col("inventory"), F.col("reorder_point")
     top_q = F.col("cover_quartile") == params.cover_quantiles
-    return (
-        F.when(inv < rop, labels[0])
-        .when(F.col("stockout_rate") > 0, labels[1])
-        .when(top_q & (inv > rop), labels[2])
-        .otherwise(labels[3])
-    )
-
-
-def action_summary(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
-    """Q755: pairs and value per management action."""
-    q = with_cover_quartile(df, params)
-    action = _quartile_action(
-        params, ("REPLENISH", "SERVICE REVIEW", "EXCESS INVENTORY REVIEW", "MONITOR")
+    action = (
+        F.when(inv < rop, "REPLENISH")
+        .when(F.col("stockout_rate") > 0, "SERVICE REVIEW")
+        .when(top_q & (inv > rop), "EXCESS INVENTORY REVIEW")
+        .otherwise("MONITOR")
     )
     out = q.groupBy(action.alias("management_action")).agg(
         F.count(F.lit(1)).alias("sku_warehouse_pairs"),
@@ -114,9 +109,9 @@ def action_summary(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
     return out.orderBy(F.col("inventory_value").desc_nulls_last(), "management_action")
 
 
-def priority_list(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
+def priority_list(df, params: Params = DEFAULT) -> DataFrame:
     """Q756: flagged pairs (under reorder point, stockouts or top quartile), top by value."""
-    q = with_cover_quartile(df, params)
+    q = with_cover_quartile(df, params, "stockout_rate")
     inv, rop = F.col("inventory"), F.col("reorder_point")
     top_q = F.col("cover_quartile") == params.cover_quantiles
     keep = (inv < rop) | (F.col("stockout_rate") > 0) | top_q

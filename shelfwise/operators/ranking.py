@@ -19,6 +19,10 @@ row into one task (``Exchange SinglePartition``).  The distributed path:
    inside the partition.
 
 ``Params.global_window="builtin"`` uses Spark's Window instead; same result.
+``"auto"`` (default) counts the rows first and uses the single-task Window
+only when that count is at most ``Params.single_task_rows``: the one task
+then holds a bounded number of rows, and larger inputs take the distributed
+path.
 """
 
 from __future__ import annotations
@@ -40,6 +44,14 @@ def _partitions(df: DataFrame, params: Params) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def _single_task(df: DataFrame, params: Params) -> bool:
+    if params.global_window == "builtin":
+        return True
+    if params.global_window == "distributed":
+        return False
+    return df.count() <= params.single_task_rows
+
+
 def _positioned(df: DataFrame, order: Sequence[Column], params: Params) -> DataFrame:
     """df + _pid, _pos (0-based position inside its range partition), checkpointed."""
     ensure_checkpoint_dir(df.sparkSession)
@@ -96,7 +108,7 @@ def with_ntile(
     params: Params = DEFAULT,
 ) -> DataFrame:
     """df + ``out`` = NTILE(k) OVER (ORDER BY order); order must be a total order."""
-    if params.global_window == "builtin":
+    if _single_task(df, params):
         return df.withColumn(out, F.ntile(k).over(Window.orderBy(*order)))
     tagged = _positioned(df, order, params)
     offs = F.broadcast(_offsets(tagged, None))
@@ -116,7 +128,7 @@ def with_running_sum(
     params: Params = DEFAULT,
 ) -> DataFrame:
     """df + ``out`` = SUM(value) OVER (ORDER BY order ROWS UNBOUNDED PRECEDING)."""
-    if params.global_window == "builtin":
+    if _single_task(df, params):
         w = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         return df.withColumn(out, F.sum(value).over(w))
     tagged = _positioned(df, order, params)
@@ -133,6 +145,6 @@ def with_running_sum(
     )
 
 
-def with_grand_total(df: DataFrame, value: str, out: str) -> DataFrame:
-    """df + ``out`` = SUM(value) over all rows, as a scalar subquery."""
-    return df.withColumn(out, df.agg(F.sum(value)).scalar())
+def with_grand_total(df: DataFrame, source: DataFrame, value: str, out: str) -> DataFrame:
+    """df + ``out`` = SUM(source.value) over all rows, as a scalar subquery."""
+    return df.withColumn(out, source.agg(F.sum(value)).scalar())

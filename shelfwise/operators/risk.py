@@ -5,16 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.operators.common import cover, money, pair_tiebreak, pct, r2
+from shelfwise.operators.common import money, pair_tiebreak, pct, r2
 from shelfwise.operators.metrics import group_metrics
 from shelfwise.params import DEFAULT, Params
 from shelfwise.schema import PAIR
 
 
-def pair_profile(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
+def pair_profile(df, params: Params = DEFAULT) -> DataFrame:
     """Q601: four-way stock status per pair (classes from unrounded means)."""
-    m = group_metrics(df, PAIR, params)
-    inv, rop, lt, c = F.col("inventory"), F.col("reorder_point"), F.col("lead_time"), cover()
+    m = group_metrics(
+        df, PAIR, "demand", "inventory", "reorder_point", "lead_time", "cover",
+        "inventory_value", params=params,
+    )
+    inv, rop, lt, c = F.col("inventory"), F.col("reorder_point"), F.col("lead_time"), F.col("cover")
     status = (
         F.when(inv < rop, "Understock")
         .when(c < lt, "Lead-Time Risk")
@@ -34,9 +37,9 @@ def pair_profile(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
     return out.orderBy(F.col("inventory_value").desc(), *pair_tiebreak())
 
 
-def understock_exposure(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
+def understock_exposure(df, params: Params = DEFAULT) -> DataFrame:
     """Q602: pairs below their reorder point on average, with the mean daily gap value."""
-    m = group_metrics(df, PAIR, params)
+    m = group_metrics(df, PAIR, "inventory", "reorder_point", "avg_gap", "gap_value", params=params)
     out = m.filter(F.col("inventory") < F.col("reorder_point")).select(
         *PAIR,
         r2("inventory").alias("avg_inventory"),
@@ -47,26 +50,31 @@ def understock_exposure(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
     return out.orderBy(F.col("estimated_gap_value").desc_nulls_last(), *pair_tiebreak())
 
 
-def overstock_exposure(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
+def overstock_exposure(df, params: Params = DEFAULT) -> DataFrame:
     """Q603: pairs above 1.5 x reorder point on average, with mean daily excess value."""
-    m = group_metrics(df, PAIR, params)
+    m = group_metrics(
+        df, PAIR, "inventory", "reorder_point", "demand", "cover", "excess_value", params=params
+    )
     keep = F.col("inventory") > F.col("reorder_point") * params.overstock_rop_multiple
     out = m.filter(keep).select(
         *PAIR,
         r2("inventory").alias("avg_inventory"),
         r2("demand").alias("avg_demand"),
-        r2(cover()).alias("days_of_cover"),
+        r2("cover").alias("days_of_cover"),
         r2("excess_value").alias("excess_inventory_value"),
     )
     return out.orderBy(F.col("excess_inventory_value").desc_nulls_last(), *pair_tiebreak())
 
 
-def stockout(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
+def stockout(df, params: Params = DEFAULT) -> DataFrame:
     """Q604: pairs with at least one stockout day."""
-    m = group_metrics(df, PAIR, params)
+    m = group_metrics(
+        df, PAIR, "stockout_days", "records", "stockout_rate", "demand", "inventory",
+        params=params,
+    )
     out = m.filter(F.col("stockout_days") > 0).select(
         *PAIR,
-        F.col("stockout_days").cast("bigint").alias("stockout_days"),
+        "stockout_days",
         F.col("records").alias("total_days"),
         pct("stockout_rate").alias("stockout_rate"),
         r2("demand").alias("avg_demand"),
@@ -77,10 +85,13 @@ def stockout(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
     )
 
 
-def composite_score(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
+def composite_score(df, params: Params = DEFAULT) -> DataFrame:
     """Q605: sum of four 0/1 risks; a NULL risk (no demand) makes the score NULL."""
-    m = group_metrics(df, PAIR, params)
-    inv, rop, lt, c = F.col("inventory"), F.col("reorder_point"), F.col("lead_time"), cover()
+    m = group_metrics(
+        df, PAIR, "inventory", "reorder_point", "lead_time", "cover", "stockout_rate",
+        "inventory_value", params=params,
+    )
+    inv, rop, lt, c = F.col("inventory"), F.col("reorder_point"), F.col("lead_time"), F.col("cover")
     score = (
         (inv < rop).cast("int")
         + (c < lt).cast("int")
@@ -103,11 +114,13 @@ def composite_score(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
     )
 
 
-def opportunity_classes(df: DataFrame, params: Params, labels: tuple[str, str, str]) -> DataFrame:
-    """Pair metrics + (label, opportunity value) for under / over / neither."""
-    m = group_metrics(df, PAIR, params)
+def opportunity_classes(df, params: Params, labels: tuple[str, str, str]) -> DataFrame:
+    """(label, opportunity value) per pair for under / over / neither."""
+    m = group_metrics(
+        df, PAIR, "inventory", "reorder_point", "unit_cost", "cover", "lead_time", params=params
+    )
     inv, rop, uc = F.col("inventory"), F.col("reorder_point"), F.col("unit_cost")
-    over = cover() > F.col("lead_time") * params.high_cover_lead_multiple
+    over = F.col("cover") > F.col("lead_time") * params.high_cover_lead_multiple
     under = inv < rop
     label = F.when(under, labels[0]).when(over, labels[1]).otherwise(labels[2])
     value = (
@@ -116,7 +129,7 @@ def opportunity_classes(df: DataFrame, params: Params, labels: tuple[str, str, s
     return m.select(label.alias("_class"), value.alias("_value"))
 
 
-def opportunity_summary(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
+def opportunity_summary(df, params: Params = DEFAULT) -> DataFrame:
     """Q606: pairs and opportunity value per stock status (aggregate of aggregates)."""
     classes = opportunity_classes(df, params, ("Understock", "Overstock", "Balanced"))
     out = classes.groupBy(F.col("_class").alias("inventory_status")).agg(

@@ -6,15 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.functions import ratio
-from shelfwise.operators.common import cover, pair_tiebreak, r2, r3
+from shelfwise.operators.common import pair_tiebreak, r2, r3
 from shelfwise.operators.metrics import group_metrics
 from shelfwise.params import DEFAULT, Params
 from shelfwise.schema import PAIR
 
 
-def overall(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
+def overall(df, params: Params = DEFAULT) -> DataFrame:
     """Q501: replenishment events, their rate and mean size (zero orders skipped)."""
-    return group_metrics(df, [], params).select(
+    return group_metrics(
+        df, [], "records", "replenishment_events", "replenishment_share",
+        "avg_order_nonzero", "lead_time", params=params,
+    ).select(
         F.col("records").alias("total_records"),
         "replenishment_events",
         r2(F.lit(100) * F.col("replenishment_share")).alias("replenishment_rate"),
@@ -23,9 +26,12 @@ def overall(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
     )
 
 
-def profile(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
+def profile(df, params: Params = DEFAULT) -> DataFrame:
     """Q502."""
-    m = group_metrics(df, ["Supplier_ID"], params, distinct=["SKU_ID", "Warehouse_ID"]).select(
+    m = group_metrics(
+        df, ["Supplier_ID"], "lead_time", "avg_order_nonzero", "replenishment_events",
+        "unit_cost", params=params, distinct=["SKU_ID", "Warehouse_ID"],
+    ).select(
         "Supplier_ID",
         F.col("distinct_SKU_ID").alias("sku_count"),
         F.col("distinct_Warehouse_ID").alias("warehouse_count"),
@@ -37,9 +43,12 @@ def profile(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
     return m.orderBy(F.col("avg_lead_time").desc_nulls_last(), "Supplier_ID")
 
 
-def replenishment_efficiency(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
+def replenishment_efficiency(df, params: Params = DEFAULT) -> DataFrame:
     """Q503: ordered / sold per supplier."""
-    m = group_metrics(df, ["Supplier_ID"], params)
+    m = group_metrics(
+        df, ["Supplier_ID"], "total_demand", "total_replenished", "replenishment_events",
+        params=params,
+    )
     rr = ratio("total_replenished", "total_demand")
     status = (
         F.when(rr < params.repl_low, "Under-Replenishment")
@@ -48,8 +57,8 @@ def replenishment_efficiency(df: DataFrame, params: Params = DEFAULT) -> DataFra
     )
     out = m.select(
         "Supplier_ID",
-        F.col("total_demand").cast("bigint").alias("total_demand"),
-        F.col("total_replenished").cast("bigint").alias("total_replenished"),
+        "total_demand",
+        "total_replenished",
         "replenishment_events",
         r3(rr).alias("replenishment_ratio"),
         status.alias("replenishment_status"),
@@ -57,9 +66,12 @@ def replenishment_efficiency(df: DataFrame, params: Params = DEFAULT) -> DataFra
     return out.orderBy(F.col("replenishment_ratio").desc_nulls_last(), "Supplier_ID")
 
 
-def lead_time_risk(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
+def lead_time_risk(df, params: Params = DEFAULT) -> DataFrame:
     """Q504: lead-time level and (population) spread per supplier."""
-    m = group_metrics(df, ["Supplier_ID"], params)
+    m = group_metrics(
+        df, ["Supplier_ID"], "lead_time", "lead_time_std", "min_lead_time", "max_lead_time",
+        params=params,
+    )
     a = F.col("lead_time")
     risk = (
         F.when(a >= params.lead_high_days, "High Risk")
@@ -77,25 +89,28 @@ def lead_time_risk(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
     return out.orderBy(F.col("avg_lead_time").desc_nulls_last(), "Supplier_ID")
 
 
-def replenishment_gaps(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
+def replenishment_gaps(df, params: Params = DEFAULT) -> DataFrame:
     """Q505: pairs whose ordered / sold ratio lies outside the balanced band."""
-    m = group_metrics(df, PAIR, params)
+    m = group_metrics(
+        df, PAIR, "demand", "total_demand", "total_replenished", "replenishment_events",
+        params=params,
+    )
     rr = ratio("total_replenished", "total_demand")
     out = m.filter((rr < params.repl_low) | (rr > params.repl_high)).select(
         *PAIR,
         r2("demand").alias("avg_daily_demand"),
-        F.col("total_replenished").cast("bigint").alias("total_replenished"),
+        "total_replenished",
         "replenishment_events",
         r3(rr).alias("replenishment_ratio"),
     )
     return out.orderBy(F.col("replenishment_ratio").asc_nulls_first(), *pair_tiebreak())
 
 
-def high_risk_combinations(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
+def high_risk_combinations(df, params: Params = DEFAULT) -> DataFrame:
     """Q506: supplier x SKU x warehouse with cover below 1.5 x lead time."""
     keys = ["Supplier_ID", *PAIR]
-    m = group_metrics(df, keys, params)
-    c, lt = cover(), F.col("lead_time")
+    m = group_metrics(df, keys, "lead_time", "demand", "inventory", "cover", params=params)
+    c, lt = F.col("cover"), F.col("lead_time")
     risk = (
         F.when(c < lt, "Immediate Attention")
         .when(c < lt * params.supply_monitor_multiple, "Monitor")

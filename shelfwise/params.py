@@ -39,8 +39,10 @@ class Params:
     # --- execution knobs (not part of the semantics) ---
     # Global (un-partitioned) windows: "distributed" uses range partitioning
     # plus per-partition offsets; "builtin" uses Spark's single-partition
-    # Window, which is fine only while the ranked table is small.
-    global_window: str = "distributed"
+    # Window; "auto" counts the rows to rank first and uses the single task
+    # only up to ``single_task_rows`` rows.
+    global_window: str = "auto"
+    single_task_rows: int = 1_000_000
     # Range partitions for the distributed path; None = session's
     # spark.sql.shuffle.partitions.
     window_partitions: int | None = None
