@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfwise.functions import ratio
 from shelfwise.operators.common import money, pair_tiebreak, r2, r3, top
-from shelfwise.operators.metrics import group_metrics
+from shelfwise.operators.metrics import as_inventory, group_metrics
 from shelfwise.operators.ranking import with_grand_total, with_running_sum
 from shelfwise.params import DEFAULT, Params
 from shelfwise.schema import PAIR
@@ -115,11 +115,12 @@ def abc_concentration(df, params: Params = DEFAULT) -> DataFrame:
 
     The SKU that crosses a line falls in the lower class; a zero total gives C.
     """
-    sku = group_metrics(df, ["SKU_ID"], "inventory_value", params=params).withColumnRenamed(
+    inv = as_inventory(df, params)
+    sku = group_metrics(inv, ["SKU_ID"], "inventory_value", params=params).withColumnRenamed(
         "inventory_value", "value"
     )
     order = [F.col("value").desc_nulls_last(), F.col("SKU_ID").asc()]
-    ranked = with_running_sum(sku, "value", order, "cumulative", params)
+    ranked = with_running_sum(sku, "value", order, "cumulative", params, row_bound=inv.summary_rows)
     ranked = with_grand_total(ranked, sku, "value", "total")
     total = F.nullif(F.col("total"), F.lit(0)).cast("double")
     share = F.col("cumulative").cast("double") / total

@@ -126,12 +126,21 @@ class Inventory:
     """The inventory fact table and its summary.
 
     ``summary`` is derived lazily from ``fact`` unless a stored summary is
-    given (``sources.store.inventory_data``)."""
-
-    def __init__(self, fact: DataFrame, summary: DataFrame | None = None, params: Params = DEFAULT):
+    given (``sources.store.inventory_data``).  ``summary_rows`` is the row
+    count of a stored summary (a table statistic, taken once when it was
+    written); any grouping of the summary has at most that many rows."""
+
+    def __init__(
+        self,
+        fact: DataFrame,
+        summary: DataFrame | None = None,
+        params: Params = DEFAULT,
+        summary_rows: int | None = None,
+    ):
         self.fact = fact
         self._summary = summary
         self._params = params
+        self.summary_rows = summary_rows
 
     @property
     def summary(self) -> DataFrame:
@@ -144,66 +153,59 @@ def as_inventory(data, params: Params = DEFAULT) -> Inventory:
     return data if isinstance(data, Inventory) else Inventory(data, params=params)
 
 
-def _std(n: Column, s: Column, q: Column) -> Column:
-    """Population std-dev from count, sum and sum of squares (exact integer part)."""
-    nd = n.cast(_DEC0)
-    sd = s.cast(_DEC0)
-    return F.sqrt((nd * q - sd * sd).cast("double")) / n
-
-
-def _s(name: str) -> Column:
-    return F.sum(f"s_{name}")
+def _mean(name: str) -> str:
+    return f"sum(s_{name}) / sum(c_{name})"
 
 
-def _n(name: str) -> Column:
-    return F.sum(f"c_{name}")
+def _dec_mean(name: str) -> str:
+    return f"CAST(sum(s_{name}) AS DOUBLE) / sum(c_{name})"
 
 
-def _mean(name: str) -> Column:
-    return _s(name) / _n(name)
-
-
-def _dec_mean(name: str) -> Column:
-    return _s(name).cast("double") / _n(name)
+def _std_sql(name: str, sq: str) -> str:
+    n, s = f"sum(c_{name})", f"sum(s_{name})"
+    return (
+        f"sqrt(CAST(CAST({n} AS DECIMAL(38,0)) * sum({sq}) "
+        f"- CAST({s} AS DECIMAL(38,0)) * CAST({s} AS DECIMAL(38,0)) AS DOUBLE)) / {n}"
+    )
 
 
-# Every named measure as an aggregate over summary rows.  Identical sub-
-# aggregates (e.g. the sums behind ``demand`` used by ``cover``) are computed
-# once by the Aggregate operator.
-MEASURES = {
+# Every named measure as an aggregate expression over summary rows (SQL text:
+# one JVM call per measure).  Identical sub-aggregates (e.g. the sums behind
+# ``demand`` used by ``cover``) are computed once by the Aggregate operator.
+MEASURES: dict[str, str] = {
     # COUNT(*) is 0, not NULL, on an empty input
-    "records": lambda: F.coalesce(F.sum("n"), F.lit(0).cast("bigint")),
-    "demand": lambda: _mean("units"),
-    "inventory": lambda: _mean("inv"),
-    "reorder_point": lambda: _mean("rop"),
-    "lead_time": lambda: _mean("lead"),
-    "stockout_rate": lambda: _mean("stockout"),
-    "promotion_rate": lambda: _mean("promo"),
-    "avg_order_all": lambda: _mean("order"),
-    "avg_order_nonzero": lambda: _mean("order_nz"),
-    "replenishment_share": lambda: _mean("order_pos"),
-    "avg_buffer": lambda: _mean("buffer"),
-    "avg_gap": lambda: -_s("buffer") / _n("buffer"),
-    "row_cover": lambda: _mean("row_cover"),
-    "unit_cost": lambda: _dec_mean("cost"),
-    "forecast": lambda: _dec_mean("forecast"),
-    "forecast_error": lambda: _dec_mean("abs_err"),
-    "forecast_bias": lambda: _dec_mean("bias"),
-    "avg_row_value": lambda: _dec_mean("value"),
-    "unit_margin": lambda: _dec_mean("margin"),
-    "gap_value": lambda: _dec_mean("gap_value"),
-    "excess_value": lambda: _dec_mean("excess_value"),
-    "inventory_value": lambda: _s("value"),
-    "total_demand": lambda: _s("units"),
-    "total_replenished": lambda: _s("order"),
-    "replenishment_events": lambda: _s("order_pos"),
-    "stockout_days": lambda: _s("stockout"),
-    "min_lead_time": lambda: F.min("min_lead"),
-    "max_lead_time": lambda: F.max("max_lead"),
-    "demand_std": lambda: _std(_n("units"), _s("units"), F.sum("q_units")),
-    "lead_time_std": lambda: _std(_n("lead"), _s("lead"), F.sum("q_lead")),
-    "cover": lambda: ratio(_mean("inv"), _mean("units")),
-    "demand_cv": lambda: ratio(MEASURES["demand_std"](), _mean("units")),
+    "records": "coalesce(sum(n), CAST(0 AS BIGINT))",
+    "demand": _mean("units"),
+    "inventory": _mean("inv"),
+    "reorder_point": _mean("rop"),
+    "lead_time": _mean("lead"),
+    "stockout_rate": _mean("stockout"),
+    "promotion_rate": _mean("promo"),
+    "avg_order_all": _mean("order"),
+    "avg_order_nonzero": _mean("order_nz"),
+    "replenishment_share": _mean("order_pos"),
+    "avg_buffer": _mean("buffer"),
+    "avg_gap": "-sum(s_buffer) / sum(c_buffer)",
+    "row_cover": _mean("row_cover"),
+    "unit_cost": _dec_mean("cost"),
+    "forecast": _dec_mean("forecast"),
+    "forecast_error": _dec_mean("abs_err"),
+    "forecast_bias": _dec_mean("bias"),
+    "avg_row_value": _dec_mean("value"),
+    "unit_margin": _dec_mean("margin"),
+    "gap_value": _dec_mean("gap_value"),
+    "excess_value": _dec_mean("excess_value"),
+    "inventory_value": "sum(s_value)",
+    "total_demand": "sum(s_units)",
+    "total_replenished": "sum(s_order)",
+    "replenishment_events": "sum(s_order_pos)",
+    "stockout_days": "sum(s_stockout)",
+    "min_lead_time": "min(min_lead)",
+    "max_lead_time": "max(max_lead)",
+    "demand_std": _std_sql("units", "q_units"),
+    "lead_time_std": _std_sql("lead", "q_lead"),
+    "cover": f"({_mean('inv')}) / nullif({_mean('units')}, 0)",
+    "demand_cv": f"({_std_sql('units', 'q_units')}) / nullif({_mean('units')}, 0)",
 }
 
 
@@ -221,7 +223,7 @@ def group_metrics(
     The plan is one aggregate over the summary (partial + final).
     """
     inv = as_inventory(data, params)
-    aggs = [MEASURES[n]().alias(n) for n in names]
+    aggs = [F.expr(MEASURES[n]).alias(n) for n in names]
     aggs += [F.count_distinct(k).alias(f"distinct_{k}") for k in distinct]
     g = inv.summary.groupBy(*keys) if keys else inv.summary.groupBy()
     return g.agg(*aggs)

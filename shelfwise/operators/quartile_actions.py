@@ -12,18 +12,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.operators.common import money, pair_tiebreak, pct, r2, round_half_up, top
-from shelfwise.operators.metrics import group_metrics
+from shelfwise.operators.metrics import as_inventory, group_metrics
 from shelfwise.operators.ranking import with_ntile
 from shelfwise.params import DEFAULT, Params
 from shelfwise.schema import PAIR
 
 
 def with_cover_quartile(df, params: Params = DEFAULT, *extra: str) -> DataFrame:
+    inv = as_inventory(df, params)
     m = group_metrics(
-        df, PAIR, "cover", "inventory", "reorder_point", "inventory_value", *extra, params=params
+        inv, PAIR, "cover", "inventory", "reorder_point", "inventory_value", *extra, params=params
     )
     order = [F.col("cover").asc_nulls_first(), *pair_tiebreak()]
-    return with_ntile(m, params.cover_quantiles, order, "cover_quartile", params)
+    return with_ntile(
+        m, params.cover_quantiles, order, "cover_quartile", params, row_bound=inv.summary_rows
+    )
 
 
 def executive_summary(df, params: Params = DEFAULT) -> DataFrame:

@@ -44,11 +44,15 @@ def _partitions(df: DataFrame, params: Params) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def _single_task(df: DataFrame, params: Params) -> bool:
+def _single_task(df: DataFrame, params: Params, row_bound: int | None) -> bool:
+    """Use the one-task Window only for a proven small input: a known upper
+    bound of its rows (e.g. the stored summary's row count) or a count."""
     if params.global_window == "builtin":
         return True
     if params.global_window == "distributed":
         return False
+    if row_bound is not None and row_bound <= params.single_task_rows:
+        return True
     return df.count() <= params.single_task_rows
 
 
@@ -106,9 +110,10 @@ def with_ntile(
     order: Sequence[Column],
     out: str,
     params: Params = DEFAULT,
+    row_bound: int | None = None,
 ) -> DataFrame:
     """df + ``out`` = NTILE(k) OVER (ORDER BY order); order must be a total order."""
-    if _single_task(df, params):
+    if _single_task(df, params, row_bound):
         return df.withColumn(out, F.ntile(k).over(Window.orderBy(*order)))
     tagged = _positioned(df, order, params)
     offs = F.broadcast(_offsets(tagged, None))
@@ -126,9 +131,10 @@ def with_running_sum(
     order: Sequence[Column],
     out: str,
     params: Params = DEFAULT,
+    row_bound: int | None = None,
 ) -> DataFrame:
     """df + ``out`` = SUM(value) OVER (ORDER BY order ROWS UNBOUNDED PRECEDING)."""
-    if _single_task(df, params):
+    if _single_task(df, params, row_bound):
         w = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         return df.withColumn(out, F.sum(value).over(w))
     tagged = _positioned(df, order, params)

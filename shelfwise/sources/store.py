@@ -20,6 +20,7 @@ from shelfwise.sources.derive import derive_inventory
 
 _LOCK = threading.Lock()
 _TABLES: dict[tuple[str, str], str] = {}
+_ROWS: dict[str, int] = {}
 
 
 def checkpoint_root(spark: SparkSession) -> str:
@@ -88,4 +89,8 @@ def inventory_data(spark: SparkSession, sf_dir: str):
     _, name = _label(sf_dir)
     app = spark.sparkContext.applicationId
     path = _materialize(spark, (app, f"inventory_summary|{name}"), lambda: summarize(fact))
-    return Inventory(fact, spark.read.parquet(path))
+    summary = spark.read.parquet(path)
+    with _LOCK:
+        if path not in _ROWS:
+            _ROWS[path] = summary.count()  # statistic of the stored, immutable table
+    return Inventory(fact, summary, summary_rows=_ROWS[path])
