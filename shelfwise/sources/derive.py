@@ -11,10 +11,10 @@ text for the DuckDB oracle).
 Plan shape: lineitem scan (5 columns pruned, no filter) -> partial
 HashAggregate on (day, sku, warehouse) -> one shuffle -> final aggregate.
 The aggregate has at most days x 200 x 5 rows, whatever the lineitem size.
-``nation`` and ``region`` are TPC-H fixed-size dimensions (25 / 5 rows);
-``supplier`` grows with scale, so no join is hinted: AQE picks broadcast from
-runtime sizes (``spark.sql.autoBroadcastJoinThreshold``) and sort-merge join
-beyond it.
+No join is hinted: ``supplier`` grows with scale, so the planner picks a
+broadcast from its size (``spark.sql.autoBroadcastJoinThreshold``, AQE at
+run time) and a sort-merge join beyond it; ``nation`` / ``region`` are
+TPC-H's fixed 25 / 5-row dimensions and are broadcast the same way.
 """
 
 from __future__ import annotations
@@ -59,13 +59,14 @@ def derive_from_frames(lineitem, supplier, nation, region) -> DataFrame:
             (F.year("d") * 372 + F.month("d") * 31 + F.dayofmonth("d")).cast("int"),
         )
     )
-    supplier_region = supplier.join(
-        nation, supplier.s_nationkey == nation.n_nationkey
-    ).join(region, F.col("n_regionkey") == region.r_regionkey)
+    # grain -> supplier -> nation -> region: every join has the aggregate on
+    # the probe side, so the planner's size checks broadcast the dimension
+    # whenever it is small and fall back to sort-merge join when it is not.
     p, w, t, q = F.col("p"), F.col("w"), F.col("t"), F.col("q")
-    keyed = grain.join(
-        supplier_region.select("s_suppkey", "r_name"),
-        grain.sk == supplier_region.s_suppkey,
+    keyed = (
+        grain.join(supplier, grain.sk == supplier.s_suppkey)
+        .join(nation, F.col("s_nationkey") == nation.n_nationkey)
+        .join(region, F.col("n_regionkey") == region.r_regionkey)
     ).select(
         "d",
         "p",
