@@ -82,15 +82,35 @@ def inventory_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def inventory_data(spark: SparkSession, sf_dir: str):
-    """Fact table + its mergeable summary, each derived and written once per application."""
+    """Fact table + its mergeable summary, each derived and written once per application.
+
+    The summary is stored bucketed by SKU x warehouse (one file per bucket):
+    pair- and supplier x pair-level reports then aggregate it without any
+    shuffle.  Bucketing the summary cannot concentrate skew - a hot pair has
+    only as many summary rows as it has suppliers x regions.
+    """
     from shelfwise.operators.metrics import Inventory, summarize
+    from shelfwise.schema import PAIR
 
     fact = inventory_table(spark, sf_dir)
     _, name = _label(sf_dir)
     app = spark.sparkContext.applicationId
-    path = _materialize(spark, (app, f"inventory_summary|{name}"), lambda: summarize(fact))
-    summary = spark.read.parquet(path)
+    key = (app, f"inventory_summary|{name}")
+    table = "shelfwise_summary_" + "".join(ch if ch.isalnum() else "_" for ch in name)
     with _LOCK:
-        if path not in _ROWS:
-            _ROWS[path] = summary.count()  # statistic of the stored, immutable table
-    return Inventory(fact, summary, summary_rows=_ROWS[path])
+        if key not in _TABLES:
+            path = scratch_path(spark, "inventory_summary", name)
+            n = spark.sparkContext.defaultParallelism
+            (
+                summarize(fact)
+                .repartition(n, *PAIR)
+                .write.mode("overwrite")
+                .bucketBy(n, *PAIR)
+                .sortBy(*PAIR)
+                .option("path", path)
+                .saveAsTable(table)
+            )
+            _TABLES[key] = path
+            _ROWS[path] = spark.table(table).count()  # statistic of the stored table
+        path = _TABLES[key]
+    return Inventory(fact, spark.table(table), summary_rows=_ROWS[path])

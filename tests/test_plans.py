@@ -21,13 +21,19 @@ def data(spark):
 
 def test_pair_report_reads_only_needed_summary_columns(data):
     p = plan(inventory.coverage_risk(data))
-    scan = re.search(r"ReadSchema: struct<([^>]*)>", p) or re.search(r"FileScan parquet \[([^\]]*)\]", p)
-    cols = scan.group(1)
+    cols = re.search(r"FileScan parquet [^\[]*\[([^\]]*)\]", p).group(1)
     assert "s_units" in cols and "s_lead" in cols
     for unused in ("s_margin", "s_value", "q_units", "s_forecast"):
         assert unused not in cols
 
 
+def test_pair_reports_aggregate_bucketed_summary_without_shuffle(data):
+    for op in (inventory.coverage_risk, actions.prioritized_list):
+        p = plan(op(data))
+        assert "Bucketed: true" in p
+        assert "hashpartitioning" not in p
+
+
 def test_limit_reports_use_take_ordered(data):
     for op in (actions.prioritized_list, inventory.pair_profile, actions.top_value_attention):
         assert "TakeOrderedAndProject" in plan(op(data))
@@ -35,7 +41,7 @@ def test_limit_reports_use_take_ordered(data):
 
 def test_fact_report_prunes_scan(data):
     p = plan(quality.commercial_logic(data))
-    m = re.search(r"FileScan parquet \[([^\]]*)\]", p)
+    m = re.search(r"FileScan parquet [^\[]*\[([^\]]*)\]", p)
     cols = {c.split("#")[0] for c in m.group(1).split(",")}
     assert cols == {"Unit_Price", "Unit_Cost", "Order_Quantity", "Inventory_Level"}
 
