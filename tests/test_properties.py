@@ -81,3 +81,22 @@ def test_csv_source_roundtrip(spark):
     assert [f.dataType for f in back.schema.fields] == [f.dataType for f in fact.schema.fields]
     assert _rows(back) == _rows(fact)
     assert _rows(actions.prioritized_list(back)) == _rows(actions.prioritized_list(fact))
+
+
+@pytest.mark.parametrize(
+    "op",
+    [
+        inventory.abc_concentration,
+        quartile_actions.excess_inventory,
+        quartile_actions.action_summary,
+        quartile_actions.priority_list,
+    ],
+)
+def test_reports_identical_on_distributed_window_path(data, op):
+    from dataclasses import replace
+
+    from shelfwise.params import DEFAULT
+
+    dist = replace(DEFAULT, global_window="distributed", window_partitions=5)
+    single = replace(DEFAULT, global_window="builtin")
+    assert _rows(op(data, dist)) == _rows(op(data, single))
