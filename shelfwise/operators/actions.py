@@ -6,13 +6,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.functions import flag_sum
-from shelfwise.operators.common import money, pair_tiebreak, pct, r2, top
+from shelfwise.operators.common import ordered, money, pair_tiebreak, pct, r2, top
 from shelfwise.operators.metrics import group_metrics
 from shelfwise.operators.risk import opportunity_classes
 from shelfwise.params import DEFAULT, Params
 from shelfwise.schema import PAIR
 
-_PAIR_MEASURES = ("inventory", "reorder_point", "lead_time", "cover", "stockout_rate", "inventory_value")
+_PAIR_MEASURES = (
+    "inventory",
+    "reorder_point",
+    "lead_time",
+    "cover",
+    "stockout_rate",
+    "inventory_value",
+)
 
 
 def executive_kpis(df, params: Params = DEFAULT) -> DataFrame:
@@ -62,7 +69,11 @@ def action_matrix(df, params: Params = DEFAULT) -> DataFrame:
         action.alias("recommended_action"),
         rank.alias("_rank"),
     )
-    return out.orderBy("_rank", F.col("inventory_value").desc(), *pair_tiebreak()).drop("_rank")
+    return ordered(
+        out,
+        ["_rank", F.col("inventory_value").desc(), *pair_tiebreak()],
+        df,
+    ).drop("_rank")
 
 
 def top_value_attention(df, params: Params = DEFAULT) -> DataFrame:
@@ -100,7 +111,7 @@ def warehouse_priorities(df, params: Params = DEFAULT) -> DataFrame:
         pct("stockout_rate").alias("stockout_rate"),
         priority.alias("warehouse_priority"),
     )
-    return out.orderBy(F.col("inventory_value").desc(), "Warehouse_ID")
+    return ordered(out, [F.col("inventory_value").desc(), "Warehouse_ID"], df)
 
 
 def opportunity_by_action(df, params: Params = DEFAULT) -> DataFrame:
@@ -114,7 +125,12 @@ def opportunity_by_action(df, params: Params = DEFAULT) -> DataFrame:
         F.count(F.lit(1)).alias("sku_warehouse_pairs"),
         r2(F.sum("_value")).alias("estimated_inventory_value"),
     )
-    return out.orderBy(F.col("estimated_inventory_value").desc_nulls_last(), "action_type")
+    return ordered(
+        out,
+        [F.col("estimated_inventory_value").desc_nulls_last(), "action_type"],
+        df,
+        max_rows=3,
+    )
 
 
 def prioritized_list(df, params: Params = DEFAULT) -> DataFrame:

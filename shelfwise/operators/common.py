@@ -24,6 +24,28 @@ def pct(x) -> Column:
     return round_half_up(F.lit(100) * (F.col(x) if isinstance(x, str) else x), 2)
 
 
+def ordered(
+    df: DataFrame, order: Sequence[Column], data=None, max_rows: int | None = None
+) -> DataFrame:
+    """ORDER BY for a report.
+
+    A global sort samples range bounds in an extra job.  When the result has
+    a proven row bound (``max_rows``, or the stored summary's row count for a
+    report grouped from the summary) no larger than
+    ``Params.single_task_rows``, the rows are sorted in one partition instead;
+    otherwise the sort is range-partitioned across the cluster.
+    """
+    from shelfwise.operators.metrics import Inventory
+    from shelfwise.params import DEFAULT
+
+    bound = max_rows
+    if bound is None and isinstance(data, Inventory):
+        bound = data.summary_rows
+    if bound is not None and bound <= DEFAULT.single_task_rows:
+        return df.repartition(1).sortWithinPartitions(*order)
+    return df.orderBy(*order)
+
+
 def top(df: DataFrame, order: Sequence[Column], k: int) -> DataFrame:
     """ORDER BY ... LIMIT k: TakeOrderedAndProject (per-partition top-k, one merge)."""
     return df.orderBy(*order).limit(k)
@@ -33,4 +55,4 @@ def pair_tiebreak() -> list[Column]:
     return [F.col(c).asc() for c in PAIR]
 
 
-__all__ = ["money", "pair_tiebreak", "pct", "r2", "r3", "ratio", "round_half_up", "top"]
+__all__ = ["money", "ordered", "pair_tiebreak", "pct", "r2", "r3", "ratio", "round_half_up", "top"]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.functions import ratio
-from shelfwise.operators.common import pair_tiebreak, r2, r3, top
+from shelfwise.operators.common import ordered, pair_tiebreak, r2, r3, top
 from shelfwise.operators.metrics import abs_forecast_error, as_inventory, dec_avg, group_metrics
 from shelfwise.params import DEFAULT, Params
 from shelfwise.schema import PAIR
@@ -38,7 +38,7 @@ def sku_volatility(df, params: Params = DEFAULT) -> DataFrame:
         r3("demand_cv").alias("demand_cv"),
         "total_demand",
     )
-    return m.orderBy(F.col("demand_cv").desc_nulls_last(), "SKU_ID")
+    return ordered(m, [F.col("demand_cv").desc_nulls_last(), "SKU_ID"], df)
 
 
 def pair_forecast_accuracy(df, params: Params = DEFAULT) -> DataFrame:
@@ -73,7 +73,7 @@ def volatility_segments(df, params: Params = DEFAULT) -> DataFrame:
         r3(cv).alias("demand_cv"),
         seg.alias("volatility_segment"),
     )
-    return out.orderBy(F.col("demand_cv").desc_nulls_last(), "SKU_ID")
+    return ordered(out, [F.col("demand_cv").desc_nulls_last(), "SKU_ID"], df)
 
 
 def promotion_impact(df, params: Params = DEFAULT) -> DataFrame:
@@ -130,6 +130,8 @@ def risk_matrix(df, params: Params = DEFAULT) -> DataFrame:
         label.alias("risk_status"),
         rank.alias("_severity"),
     )
-    return out.orderBy(
-        "_severity", F.col("demand_cv").desc_nulls_last(), *pair_tiebreak()
+    return ordered(
+        out,
+        ["_severity", F.col("demand_cv").desc_nulls_last(), *pair_tiebreak()],
+        df,
     ).drop("_severity")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.functions import ratio
-from shelfwise.operators.common import money, pair_tiebreak, r2, r3, top
+from shelfwise.operators.common import ordered, money, pair_tiebreak, r2, r3, top
 from shelfwise.operators.metrics import as_inventory, group_metrics
 from shelfwise.operators.ranking import with_grand_total, with_running_sum
 from shelfwise.params import DEFAULT, Params
@@ -47,7 +47,7 @@ def warehouse_efficiency(df, params: Params = DEFAULT) -> DataFrame:
         money("inventory_value").alias("inventory_value"),
         r2(ratio("total_demand", "inventory")).alias("inventory_turnover"),
     )
-    return m.orderBy(F.col("inventory_value").desc(), "Warehouse_ID")
+    return ordered(m, [F.col("inventory_value").desc(), "Warehouse_ID"], df)
 
 
 def pair_profile(df, params: Params = DEFAULT) -> DataFrame:
@@ -86,7 +86,7 @@ def coverage_risk(df, params: Params = DEFAULT) -> DataFrame:
         r2(c - lt).alias("cover_above_lead_time"),
         status.alias("coverage_status"),
     )
-    return out.orderBy(F.col("days_of_cover").desc_nulls_last(), *pair_tiebreak())
+    return ordered(out, [F.col("days_of_cover").desc_nulls_last(), *pair_tiebreak()], df)
 
 
 def reorder_buffer(df, params: Params = DEFAULT) -> DataFrame:
@@ -107,7 +107,7 @@ def reorder_buffer(df, params: Params = DEFAULT) -> DataFrame:
         r2((inv - rop) * F.col("unit_cost")).alias("buffer_value"),
         status.alias("buffer_status"),
     )
-    return out.orderBy(F.col("buffer_value").desc_nulls_last(), *pair_tiebreak())
+    return ordered(out, [F.col("buffer_value").desc_nulls_last(), *pair_tiebreak()], df)
 
 
 def abc_concentration(df, params: Params = DEFAULT) -> DataFrame:
@@ -138,7 +138,7 @@ def abc_concentration(df, params: Params = DEFAULT) -> DataFrame:
         ),
         segment.alias("value_segment"),
     )
-    return out.orderBy(F.col("inventory_value").desc_nulls_last(), "SKU_ID")
+    return ordered(out, [F.col("inventory_value").desc_nulls_last(), "SKU_ID"], df)
 
 
 def replenishment_efficiency(df, params: Params = DEFAULT) -> DataFrame:
@@ -162,8 +162,10 @@ def replenishment_efficiency(df, params: Params = DEFAULT) -> DataFrame:
         r3(rr).alias("replenishment_to_demand_ratio"),
         status.alias("replenishment_status"),
     )
-    return out.orderBy(
-        F.col("replenishment_to_demand_ratio").desc_nulls_last(), *pair_tiebreak()
+    return ordered(
+        out,
+        [F.col("replenishment_to_demand_ratio").desc_nulls_last(), *pair_tiebreak()],
+        df,
     )
 
 
@@ -196,8 +198,6 @@ def priority_ranking(df, params: Params = DEFAULT) -> DataFrame:
         .otherwise("Low Priority")
         .alias("management_priority"),
     )
-    return out.orderBy(
-        F.col("inventory_priority_score").desc(),
+    return ordered(out, [F.col("inventory_priority_score").desc(),
         F.col("inventory_value").desc(),
-        *pair_tiebreak(),
-    )
+        *pair_tiebreak()], df)

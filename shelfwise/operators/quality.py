@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.functions import flag_sum
-from shelfwise.operators.common import r2, round_half_up
+from shelfwise.operators.common import ordered, r2, round_half_up
 from shelfwise.operators.metrics import as_inventory, group_metrics
 from shelfwise.params import DEFAULT, Params
 from shelfwise.schema import COLUMNS, GRAIN
@@ -53,16 +53,19 @@ def row_count(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("total_rows"))
 
 
+_DIMENSIONS = ("SKU_ID", "Warehouse_ID", "Supplier_ID", "Region")
+
+
 def dimension_counts(df) -> dict[str, object]:
     """Exact distinct SKU / warehouse / supplier / region counts, read from the
     summary (one small scan) as scalar subqueries of one struct."""
     inv = as_inventory(df)
     counts = inv.summary.agg(
         F.struct(
-            *[F.count_distinct(k).alias(k) for k in ("SKU_ID", "Warehouse_ID", "Supplier_ID", "Region")]
+            *[F.count_distinct(k).alias(k) for k in _DIMENSIONS]
         ).alias("c")
     ).scalar()
-    return {k: counts.getField(k) for k in ("SKU_ID", "Warehouse_ID", "Supplier_ID", "Region")}
+    return {k: counts.getField(k) for k in _DIMENSIONS}
 
 
 def span_cardinality(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
@@ -217,7 +220,7 @@ def warehouse_profile(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
         r2("avg_order_all").alias("avg_order_quantity"),
         r2("avg_row_value").alias("avg_inventory_value"),
     )
-    return m.orderBy(F.col("avg_inventory_value").desc_nulls_last(), "Warehouse_ID")
+    return ordered(m, [F.col("avg_inventory_value").desc_nulls_last(), "Warehouse_ID"], df)
 
 
 def sku_profile(df: DataFrame, params: Params = DEFAULT) -> DataFrame:

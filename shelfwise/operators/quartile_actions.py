@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.operators.common import money, pair_tiebreak, pct, r2, round_half_up, top
+from shelfwise.operators.common import ordered, money, pair_tiebreak, pct, r2, round_half_up, top
 from shelfwise.operators.metrics import as_inventory, group_metrics
 from shelfwise.operators.ranking import with_ntile
 from shelfwise.params import DEFAULT, Params
@@ -75,7 +75,7 @@ def warehouse_concentration(df, params: Params = DEFAULT) -> DataFrame:
         r2("lead_time").alias("avg_lead_time"),
         "stockout_days",
     )
-    return m.orderBy(F.col("inventory_value").desc(), "Warehouse_ID")
+    return ordered(m, [F.col("inventory_value").desc(), "Warehouse_ID"], df)
 
 
 def excess_inventory(df, params: Params = DEFAULT) -> DataFrame:
@@ -91,7 +91,7 @@ def excess_inventory(df, params: Params = DEFAULT) -> DataFrame:
         r2("forecast").alias("forecast"),
         action.otherwise("NORMAL").alias("action"),
     )
-    return out.orderBy(F.col("inventory_value").desc(), *pair_tiebreak())
+    return ordered(out, [F.col("inventory_value").desc(), *pair_tiebreak()], df)
 
 
 def action_summary(df, params: Params = DEFAULT) -> DataFrame:
@@ -109,7 +109,12 @@ def action_summary(df, params: Params = DEFAULT) -> DataFrame:
         F.count(F.lit(1)).alias("sku_warehouse_pairs"),
         money(F.sum("inventory_value")).alias("inventory_value"),
     )
-    return out.orderBy(F.col("inventory_value").desc_nulls_last(), "management_action")
+    return ordered(
+        out,
+        [F.col("inventory_value").desc_nulls_last(), "management_action"],
+        df,
+        max_rows=4,
+    )
 
 
 def priority_list(df, params: Params = DEFAULT) -> DataFrame:
@@ -130,4 +135,6 @@ def priority_list(df, params: Params = DEFAULT) -> DataFrame:
         r2("cover").alias("days_cover"),
         action.alias("priority_action"),
     )
-    return top(out, [F.col("inventory_value").desc(), *pair_tiebreak()], params.quartile_priority_top)
+    return top(
+        out, [F.col("inventory_value").desc(), *pair_tiebreak()], params.quartile_priority_top
+    )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.operators.common import money, pair_tiebreak, pct, r2
+from shelfwise.operators.common import ordered, money, pair_tiebreak, pct, r2
 from shelfwise.operators.metrics import group_metrics
 from shelfwise.params import DEFAULT, Params
 from shelfwise.schema import PAIR
@@ -34,7 +34,7 @@ def pair_profile(df, params: Params = DEFAULT) -> DataFrame:
         money("inventory_value").alias("inventory_value"),
         status.alias("inventory_status"),
     )
-    return out.orderBy(F.col("inventory_value").desc(), *pair_tiebreak())
+    return ordered(out, [F.col("inventory_value").desc(), *pair_tiebreak()], df)
 
 
 def understock_exposure(df, params: Params = DEFAULT) -> DataFrame:
@@ -47,7 +47,7 @@ def understock_exposure(df, params: Params = DEFAULT) -> DataFrame:
         r2("avg_gap").alias("inventory_gap"),
         r2("gap_value").alias("estimated_gap_value"),
     )
-    return out.orderBy(F.col("estimated_gap_value").desc_nulls_last(), *pair_tiebreak())
+    return ordered(out, [F.col("estimated_gap_value").desc_nulls_last(), *pair_tiebreak()], df)
 
 
 def overstock_exposure(df, params: Params = DEFAULT) -> DataFrame:
@@ -63,7 +63,7 @@ def overstock_exposure(df, params: Params = DEFAULT) -> DataFrame:
         r2("cover").alias("days_of_cover"),
         r2("excess_value").alias("excess_inventory_value"),
     )
-    return out.orderBy(F.col("excess_inventory_value").desc_nulls_last(), *pair_tiebreak())
+    return ordered(out, [F.col("excess_inventory_value").desc_nulls_last(), *pair_tiebreak()], df)
 
 
 def stockout(df, params: Params = DEFAULT) -> DataFrame:
@@ -80,8 +80,10 @@ def stockout(df, params: Params = DEFAULT) -> DataFrame:
         r2("demand").alias("avg_demand"),
         r2("inventory").alias("avg_inventory"),
     )
-    return out.orderBy(
-        F.col("stockout_rate").desc(), F.col("stockout_days").desc(), *pair_tiebreak()
+    return ordered(
+        out,
+        [F.col("stockout_rate").desc(), F.col("stockout_days").desc(), *pair_tiebreak()],
+        df,
     )
 
 
@@ -109,8 +111,10 @@ def composite_score(df, params: Params = DEFAULT) -> DataFrame:
         .otherwise("Low Priority")
         .alias("management_priority"),
     )
-    return out.orderBy(
-        F.col("risk_score").desc_nulls_last(), F.col("inventory_value").desc(), *pair_tiebreak()
+    return ordered(
+        out,
+        [F.col("risk_score").desc_nulls_last(), F.col("inventory_value").desc(), *pair_tiebreak()],
+        df,
     )
 
 
@@ -136,4 +140,9 @@ def opportunity_summary(df, params: Params = DEFAULT) -> DataFrame:
         F.count(F.lit(1)).alias("sku_warehouse_pairs"),
         r2(F.sum("_value")).alias("estimated_opportunity_value"),
     )
-    return out.orderBy(F.col("estimated_opportunity_value").desc_nulls_last(), "inventory_status")
+    return ordered(
+        out,
+        [F.col("estimated_opportunity_value").desc_nulls_last(), "inventory_status"],
+        df,
+        max_rows=3,
+    )

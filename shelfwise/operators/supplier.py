@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.functions import ratio
-from shelfwise.operators.common import pair_tiebreak, r2, r3
+from shelfwise.operators.common import ordered, pair_tiebreak, r2, r3
 from shelfwise.operators.metrics import group_metrics
 from shelfwise.params import DEFAULT, Params
 from shelfwise.schema import PAIR
@@ -40,7 +40,7 @@ def profile(df, params: Params = DEFAULT) -> DataFrame:
         "replenishment_events",
         r2("unit_cost").alias("avg_unit_cost"),
     )
-    return m.orderBy(F.col("avg_lead_time").desc_nulls_last(), "Supplier_ID")
+    return ordered(m, [F.col("avg_lead_time").desc_nulls_last(), "Supplier_ID"], df)
 
 
 def replenishment_efficiency(df, params: Params = DEFAULT) -> DataFrame:
@@ -63,7 +63,7 @@ def replenishment_efficiency(df, params: Params = DEFAULT) -> DataFrame:
         r3(rr).alias("replenishment_ratio"),
         status.alias("replenishment_status"),
     )
-    return out.orderBy(F.col("replenishment_ratio").desc_nulls_last(), "Supplier_ID")
+    return ordered(out, [F.col("replenishment_ratio").desc_nulls_last(), "Supplier_ID"], df)
 
 
 def lead_time_risk(df, params: Params = DEFAULT) -> DataFrame:
@@ -86,7 +86,7 @@ def lead_time_risk(df, params: Params = DEFAULT) -> DataFrame:
         "max_lead_time",
         risk.alias("lead_time_risk"),
     )
-    return out.orderBy(F.col("avg_lead_time").desc_nulls_last(), "Supplier_ID")
+    return ordered(out, [F.col("avg_lead_time").desc_nulls_last(), "Supplier_ID"], df)
 
 
 def replenishment_gaps(df, params: Params = DEFAULT) -> DataFrame:
@@ -103,7 +103,7 @@ def replenishment_gaps(df, params: Params = DEFAULT) -> DataFrame:
         "replenishment_events",
         r3(rr).alias("replenishment_ratio"),
     )
-    return out.orderBy(F.col("replenishment_ratio").asc_nulls_first(), *pair_tiebreak())
+    return ordered(out, [F.col("replenishment_ratio").asc_nulls_first(), *pair_tiebreak()], df)
 
 
 def high_risk_combinations(df, params: Params = DEFAULT) -> DataFrame:
@@ -124,4 +124,4 @@ def high_risk_combinations(df, params: Params = DEFAULT) -> DataFrame:
         r2(c).alias("days_of_cover"),
         risk.alias("supply_risk"),
     )
-    return out.orderBy(F.col("days_of_cover").asc_nulls_first(), *keys)
+    return ordered(out, [F.col("days_of_cover").asc_nulls_first(), *keys], df)

@@ -100,3 +100,16 @@ def test_reports_identical_on_distributed_window_path(data, op):
     dist = replace(DEFAULT, global_window="distributed", window_partitions=5)
     single = replace(DEFAULT, global_window="builtin")
     assert _rows(op(data, dist)) == _rows(op(data, single))
+
+
+@pytest.mark.parametrize(
+    "op",
+    [inventory.coverage_risk, risk.pair_profile, actions.action_matrix, quartile_actions.excess_inventory],
+)
+def test_report_order_same_on_single_and_distributed_sort(data, op):
+    # summary_rows=None forces the range-partitioned global sort
+    unbounded = Inventory(data.fact, data.summary, summary_rows=None)
+    single = [tuple(r) for r in op(data).collect()]
+    distributed = [tuple(r) for r in op(unbounded).collect()]
+    assert single == distributed
+    assert len(single) > 1
