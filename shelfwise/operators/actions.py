@@ -6,9 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.functions import flag_sum
-from shelfwise.operators.common import ordered, money, pair_tiebreak, pct, r2, top
+from shelfwise.operators.common import first_match, money, ordered, pair_tiebreak, pct, r2, top
 from shelfwise.operators.metrics import group_metrics
 from shelfwise.operators.risk import opportunity_classes
+from shelfwise.labels import (
+    ACTION_TYPE,
+    ATTENTION_STATUS,
+    PRIORITY_ACTION,
+    RECOMMENDED_ACTION,
+    WAREHOUSE_PRIORITY,
+)
 from shelfwise.params import DEFAULT, Params
 from shelfwise.schema import PAIR
 
@@ -54,13 +61,9 @@ def action_matrix(df, params: Params = DEFAULT) -> DataFrame:
     """Q702: one recommended action per pair, most urgent first."""
     m = group_metrics(df, PAIR, *_PAIR_MEASURES, params=params)
     under, short, high, stockouts = _conditions(params)
-    rank = F.when(under | short, 1).when(high, 2).when(stockouts, 3).otherwise(4)
-    action = (
-        F.when(under | short, "EXPEDITE REPLENISHMENT")
-        .when(high, "REDUCE / HOLD ORDERS")
-        .when(stockouts, "REVIEW SERVICE LEVEL")
-        .otherwise("MONITOR")
-    )
+    rules = [under | short, high, stockouts]
+    rank = first_match(rules, [1, 2, 3, 4])
+    action = first_match(rules, RECOMMENDED_ACTION)
     out = m.select(
         *PAIR,
         money("inventory_value").alias("inventory_value"),
@@ -80,7 +83,7 @@ def top_value_attention(df, params: Params = DEFAULT) -> DataFrame:
     """Q703: highest-value pairs that are under- or overstocked."""
     m = group_metrics(df, PAIR, *_PAIR_MEASURES, params=params)
     under, _, high, _ = _conditions(params)
-    status = F.when(under, "UNDERSTOCK").when(high, "OVERSTOCK").otherwise("BALANCED")
+    status = first_match([under, high], ATTENTION_STATUS)
     out = m.filter(under | high).select(
         *PAIR,
         money("inventory_value").alias("inventory_value"),
@@ -98,10 +101,12 @@ def warehouse_priorities(df, params: Params = DEFAULT) -> DataFrame:
         df, ["Warehouse_ID"], "demand", "inventory", "inventory_value", "stockout_rate", "cover",
         params=params,
     )
-    priority = (
-        F.when(F.col("stockout_rate") > params.service_stockout_rate, "HIGH SERVICE RISK")
-        .when(F.col("cover") > params.warehouse_cover_days, "HIGH INVENTORY")
-        .otherwise("STABLE")
+    priority = first_match(
+        [
+            F.col("stockout_rate") > params.service_stockout_rate,
+            F.col("cover") > params.warehouse_cover_days,
+        ],
+        WAREHOUSE_PRIORITY,
     )
     out = m.select(
         "Warehouse_ID",
@@ -116,11 +121,7 @@ def warehouse_priorities(df, params: Params = DEFAULT) -> DataFrame:
 
 def opportunity_by_action(df, params: Params = DEFAULT) -> DataFrame:
     """Q705: pairs and value per action type."""
-    classes = opportunity_classes(
-        df,
-        params,
-        ("Replenishment Opportunity", "Excess Inventory Opportunity", "No Immediate Action"),
-    )
+    classes = opportunity_classes(df, params, ACTION_TYPE)
     out = classes.groupBy(F.col("_class").alias("action_type")).agg(
         F.count(F.lit(1)).alias("sku_warehouse_pairs"),
         r2(F.sum("_value")).alias("estimated_inventory_value"),
@@ -137,13 +138,7 @@ def prioritized_list(df, params: Params = DEFAULT) -> DataFrame:
     """Q706 (flagship): five-level action, LOW dropped, top by level then value."""
     m = group_metrics(df, PAIR, *_PAIR_MEASURES, params=params)
     under, short, high, stockouts = _conditions(params)
-    level = (
-        F.when(under & stockouts, 1)
-        .when(under | short, 2)
-        .when(high, 3)
-        .when(stockouts, 4)
-        .otherwise(5)
-    )
+    level = first_match([under & stockouts, under | short, high, stockouts], [1, 2, 3, 4, 5])
     out = m.select(
         *PAIR,
         money("inventory_value").alias("inventory_value"),
@@ -152,12 +147,7 @@ def prioritized_list(df, params: Params = DEFAULT) -> DataFrame:
         level.alias("_level"),
     ).filter(F.col("_level") < 5)
     lv = F.col("_level")
-    action = (
-        F.when(lv == 1, "CRITICAL - REPLENISH")
-        .when(lv == 2, "HIGH - REPLENISH")
-        .when(lv == 3, "HIGH - REDUCE INVENTORY")
-        .otherwise("MEDIUM - REVIEW SERVICE")
-    )
+    action = first_match([lv == 1, lv == 2, lv == 3, lv == 4], PRIORITY_ACTION)
     # sort rank: CRITICAL 1, both HIGH 2, MEDIUM 3 (LOW is filtered out)
     rank = F.when(lv == 1, 1).when(lv <= 3, 2).otherwise(3)
     out = out.select(*PAIR, "inventory_value", "days_of_cover", "stockout_rate",

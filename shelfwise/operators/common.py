@@ -46,6 +46,14 @@ def ordered(
     return df.orderBy(*order)
 
 
+def first_match(conditions: Sequence[Column], labels: Sequence[str]) -> Column:
+    """CASE WHEN c1 THEN l1 WHEN c2 THEN l2 ... ELSE last label END."""
+    out = F.when(conditions[0], labels[0])
+    for cond, label in zip(conditions[1:], labels[1:]):
+        out = out.when(cond, label)
+    return out.otherwise(labels[len(conditions)])
+
+
 def top(df: DataFrame, order: Sequence[Column], k: int) -> DataFrame:
     """ORDER BY ... LIMIT k: TakeOrderedAndProject (per-partition top-k, one merge)."""
     return df.orderBy(*order).limit(k)
@@ -55,4 +63,15 @@ def pair_tiebreak() -> list[Column]:
     return [F.col(c).asc() for c in PAIR]
 
 
-__all__ = ["money", "ordered", "pair_tiebreak", "pct", "r2", "r3", "ratio", "round_half_up", "top"]
+__all__ = [
+    "first_match",
+    "money",
+    "ordered",
+    "pair_tiebreak",
+    "pct",
+    "r2",
+    "r3",
+    "ratio",
+    "round_half_up",
+    "top",
+]

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.functions import ratio
-from shelfwise.operators.common import ordered, pair_tiebreak, r2, r3, top
+from shelfwise.operators.common import first_match, ordered, pair_tiebreak, r2, r3, top
 from shelfwise.operators.metrics import abs_forecast_error, as_inventory, dec_avg, group_metrics
+from shelfwise.labels import RISK_STATUS, VOLATILITY_SEGMENT
 from shelfwise.params import DEFAULT, Params
 from shelfwise.schema import PAIR
 
@@ -61,11 +62,7 @@ def volatility_segments(df, params: Params = DEFAULT) -> DataFrame:
     """Q404: SKU class by coefficient of variation."""
     m = group_metrics(df, ["SKU_ID"], "demand", "demand_std", "demand_cv", params=params)
     cv = F.col("demand_cv")
-    seg = (
-        F.when(cv >= params.cv_high, "High Volatility")
-        .when(cv >= params.cv_medium, "Medium Volatility")
-        .otherwise("Low Volatility")
-    )
+    seg = first_match([cv >= params.cv_high, cv >= params.cv_medium], VOLATILITY_SEGMENT)
     out = m.select(
         "SKU_ID",
         r2("demand").alias("avg_demand"),
@@ -113,13 +110,9 @@ def risk_matrix(df, params: Params = DEFAULT) -> DataFrame:
     below = F.col("inventory") < F.col("reorder_point")
     volatile = F.col("demand_cv") >= params.cv_high
     # severity from unrounded metrics; label and sort rank from one rule chain
-    rank = F.when(below & volatile, 1).when(below, 2).when(volatile, 3).otherwise(4)
-    label = (
-        F.when(below & volatile, "Critical")
-        .when(below, "Replenishment Risk")
-        .when(volatile, "Demand Risk")
-        .otherwise("Normal")
-    )
+    rules = [below & volatile, below, volatile]
+    rank = first_match(rules, [1, 2, 3, 4])
+    label = first_match(rules, RISK_STATUS)
     out = m.select(
         *PAIR,
         r2("demand").alias("avg_demand"),

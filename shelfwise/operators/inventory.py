@@ -6,9 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.functions import ratio
-from shelfwise.operators.common import ordered, money, pair_tiebreak, r2, r3, top
+from shelfwise.operators.common import first_match, money, ordered, pair_tiebreak, r2, r3, top
 from shelfwise.operators.metrics import as_inventory, group_metrics
 from shelfwise.operators.ranking import with_grand_total, with_running_sum
+from shelfwise.labels import (
+    BUFFER_STATUS,
+    COVERAGE_STATUS,
+    INVENTORY_PRIORITY,
+    PAIR_REPLENISHMENT_STATUS,
+    VALUE_SEGMENT,
+)
 from shelfwise.params import DEFAULT, Params
 from shelfwise.schema import PAIR
 
@@ -71,11 +78,7 @@ def coverage_risk(df, params: Params = DEFAULT) -> DataFrame:
     """Q304: days of cover against supplier lead time."""
     m = group_metrics(df, PAIR, "demand", "inventory", "lead_time", "cover", params=params)
     c, lt = F.col("cover"), F.col("lead_time")
-    status = (
-        F.when(c < lt, "Below Lead-Time Coverage")
-        .when(c <= lt * params.high_cover_lead_multiple, "Balanced Coverage")
-        .otherwise("High Coverage")
-    )
+    status = first_match([c < lt, c <= lt * params.high_cover_lead_multiple], COVERAGE_STATUS)
     out = m.select(
         *PAIR,
         r2("demand").alias("avg_daily_demand"),
@@ -93,11 +96,9 @@ def reorder_buffer(df, params: Params = DEFAULT) -> DataFrame:
     """Q305: stock above the reorder point, in units and value."""
     m = group_metrics(df, PAIR, "inventory", "reorder_point", "unit_cost", params=params)
     inv, rop = F.col("inventory"), F.col("reorder_point")
-    status = (
-        F.when(inv < rop, "Below Reorder Point")
-        .when(inv <= rop * params.buffer_tight, "Tight Buffer")
-        .when(inv <= rop * params.buffer_healthy, "Healthy Buffer")
-        .otherwise("High Buffer")
+    status = first_match(
+        [inv < rop, inv <= rop * params.buffer_tight, inv <= rop * params.buffer_healthy],
+        BUFFER_STATUS,
     )
     out = m.select(
         *PAIR,
@@ -124,11 +125,7 @@ def abc_concentration(df, params: Params = DEFAULT) -> DataFrame:
     ranked = with_grand_total(ranked, sku, "value", "total")
     total = F.nullif(F.col("total"), F.lit(0)).cast("double")
     share = F.col("cumulative").cast("double") / total
-    segment = (
-        F.when(share <= params.abc_a_share, "A - High Value")
-        .when(share <= params.abc_b_share, "B - Medium Value")
-        .otherwise("C - Low Value")
-    )
+    segment = first_match([share <= params.abc_a_share, share <= params.abc_b_share], VALUE_SEGMENT)
     out = ranked.select(
         "SKU_ID",
         money("value").alias("inventory_value"),
@@ -148,11 +145,7 @@ def replenishment_efficiency(df, params: Params = DEFAULT) -> DataFrame:
         params=params,
     )
     rr = ratio("total_replenished", "total_demand")
-    status = (
-        F.when(rr < params.repl_low, "Potential Under-Replenishment")
-        .when(rr <= params.repl_high, "Balanced")
-        .otherwise("Potential Over-Replenishment")
-    )
+    status = first_match([rr < params.repl_low, rr <= params.repl_high], PAIR_REPLENISHMENT_STATUS)
     out = m.select(
         *PAIR,
         "total_demand",
@@ -193,10 +186,7 @@ def priority_ranking(df, params: Params = DEFAULT) -> DataFrame:
         r2(rop).alias("avg_reorder_point"),
         money("inventory_value").alias("inventory_value"),
         score.alias("inventory_priority_score"),
-        F.when(score >= 3, "High Priority")
-        .when(score == 2, "Medium Priority")
-        .otherwise("Low Priority")
-        .alias("management_priority"),
+        first_match([score >= 3, score == 2], INVENTORY_PRIORITY).alias("management_priority"),
     )
     return ordered(out, [F.col("inventory_priority_score").desc(),
         F.col("inventory_value").desc(),

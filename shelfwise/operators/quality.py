@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.functions import flag_sum
-from shelfwise.operators.common import ordered, r2, round_half_up
+from shelfwise.operators.common import first_match, ordered, r2, round_half_up
 from shelfwise.operators.metrics import as_inventory, group_metrics
+from shelfwise.labels import COVERAGE_CHECK, DIMENSIONS
 from shelfwise.params import DEFAULT, Params
 from shelfwise.schema import COLUMNS, GRAIN
 
@@ -163,9 +164,7 @@ def coverage(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
     )
     return base.select(expected.alias("expected_rows"), "actual_rows").withColumn(
         "coverage_status",
-        F.when(F.col("expected_rows") == F.col("actual_rows"), "COMPLETE").otherwise(
-            "INCOMPLETE"
-        ),
+        first_match([F.col("expected_rows") == F.col("actual_rows")], COVERAGE_CHECK),
     )
 
 
@@ -194,14 +193,9 @@ def stockout_distribution(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
 def dimension_cardinality(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """Q211: distinct values per dimension (from the summary), unpivoted."""
     wide = as_inventory(df).summary.agg(
-        F.count_distinct("SKU_ID").alias("SKU"),
-        F.count_distinct("Warehouse_ID").alias("Warehouse"),
-        F.count_distinct("Supplier_ID").alias("Supplier"),
-        F.count_distinct("Region").alias("Region"),
-    )
-    return wide.unpivot(
-        [], ["SKU", "Warehouse", "Supplier", "Region"], "dimension", "unique_values"
+        *[F.count_distinct(c).alias(name) for c, name in zip(_DIMENSIONS, DIMENSIONS)]
     )
+    return wide.unpivot([], list(DIMENSIONS), "dimension", "unique_values")
 
 
 def warehouse_profile(df: DataFrame, params: Params = DEFAULT) -> DataFrame:

@@ -11,9 +11,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.operators.common import ordered, money, pair_tiebreak, pct, r2, round_half_up, top
+from shelfwise.operators.common import (
+    first_match,
+    money,
+    ordered,
+    pair_tiebreak,
+    pct,
+    r2,
+    round_half_up,
+    top,
+)
 from shelfwise.operators.metrics import as_inventory, group_metrics
 from shelfwise.operators.ranking import with_ntile
+from shelfwise.labels import EXCESS_ACTION, MANAGEMENT_ACTION, QUARTILE_PRIORITY_ACTION
 from shelfwise.params import DEFAULT, Params
 from shelfwise.schema import PAIR
 
@@ -82,14 +92,14 @@ def excess_inventory(df, params: Params = DEFAULT) -> DataFrame:
     """Q754: top cover quartile; REVIEW EXCESS when also above the reorder point."""
     q = with_cover_quartile(df, params, "forecast")
     top_q = F.col("cover_quartile") == params.cover_quantiles
-    action = F.when(top_q & (F.col("inventory") > F.col("reorder_point")), "REVIEW EXCESS")
+    action = first_match([top_q & (F.col("inventory") > F.col("reorder_point"))], EXCESS_ACTION)
     out = q.filter(top_q).select(
         *PAIR,
         money("inventory_value").alias("inventory_value"),
         r2("cover").alias("days_cover"),
         r2("reorder_point").alias("reorder_point"),
         r2("forecast").alias("forecast"),
-        action.otherwise("NORMAL").alias("action"),
+        action.alias("action"),
     )
     return ordered(out, [F.col("inventory_value").desc(), *pair_tiebreak()], df)
 
@@ -99,11 +109,8 @@ def action_summary(df, params: Params = DEFAULT) -> DataFrame:
     q = with_cover_quartile(df, params, "stockout_rate")
     inv, rop = F.col("inventory"), F.col("reorder_point")
     top_q = F.col("cover_quartile") == params.cover_quantiles
-    action = (
-        F.when(inv < rop, "REPLENISH")
-        .when(F.col("stockout_rate") > 0, "SERVICE REVIEW")
-        .when(top_q & (inv > rop), "EXCESS INVENTORY REVIEW")
-        .otherwise("MONITOR")
+    action = first_match(
+        [inv < rop, F.col("stockout_rate") > 0, top_q & (inv > rop)], MANAGEMENT_ACTION
     )
     out = q.groupBy(action.alias("management_action")).agg(
         F.count(F.lit(1)).alias("sku_warehouse_pairs"),
@@ -123,12 +130,7 @@ def priority_list(df, params: Params = DEFAULT) -> DataFrame:
     inv, rop = F.col("inventory"), F.col("reorder_point")
     top_q = F.col("cover_quartile") == params.cover_quantiles
     keep = (inv < rop) | (F.col("stockout_rate") > 0) | top_q
-    action = (
-        F.when(inv < rop, "HIGH - REPLENISH")
-        .when(F.col("stockout_rate") > 0, "MEDIUM - SERVICE REVIEW")
-        .when(top_q, "MEDIUM - EXCESS REVIEW")
-        .otherwise("LOW - MONITOR")
-    )
+    action = first_match([inv < rop, F.col("stockout_rate") > 0, top_q], QUARTILE_PRIORITY_ACTION)
     out = q.filter(keep).select(
         *PAIR,
         money("inventory_value").alias("inventory_value"),

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.operators.common import ordered, money, pair_tiebreak, pct, r2
+from shelfwise.operators.common import first_match, money, ordered, pair_tiebreak, pct, r2
 from shelfwise.operators.metrics import group_metrics
+from shelfwise.labels import INVENTORY_STATUS, OPPORTUNITY_STATUS, RISK_PRIORITY
 from shelfwise.params import DEFAULT, Params
 from shelfwise.schema import PAIR
 
@@ -18,11 +19,8 @@ def pair_profile(df, params: Params = DEFAULT) -> DataFrame:
         "inventory_value", params=params,
     )
     inv, rop, lt, c = F.col("inventory"), F.col("reorder_point"), F.col("lead_time"), F.col("cover")
-    status = (
-        F.when(inv < rop, "Understock")
-        .when(c < lt, "Lead-Time Risk")
-        .when(c > lt * params.high_cover_lead_multiple, "Overstock")
-        .otherwise("Balanced")
+    status = first_match(
+        [inv < rop, c < lt, c > lt * params.high_cover_lead_multiple], INVENTORY_STATUS
     )
     out = m.select(
         *PAIR,
@@ -106,10 +104,7 @@ def composite_score(df, params: Params = DEFAULT) -> DataFrame:
         r2(c).alias("days_of_cover"),
         pct("stockout_rate").alias("stockout_rate"),
         score.alias("risk_score"),
-        F.when(score >= 2, "High Priority")
-        .when(score == 1, "Medium Priority")
-        .otherwise("Low Priority")
-        .alias("management_priority"),
+        first_match([score >= 2, score == 1], RISK_PRIORITY).alias("management_priority"),
     )
     return ordered(
         out,
@@ -126,7 +121,7 @@ def opportunity_classes(df, params: Params, labels: tuple[str, str, str]) -> Dat
     inv, rop, uc = F.col("inventory"), F.col("reorder_point"), F.col("unit_cost")
     over = F.col("cover") > F.col("lead_time") * params.high_cover_lead_multiple
     under = inv < rop
-    label = F.when(under, labels[0]).when(over, labels[1]).otherwise(labels[2])
+    label = first_match([under, over], labels)
     value = (
         F.when(under, (rop - inv) * uc).when(over, (inv - rop) * uc).otherwise(F.lit(0.0))
     )
@@ -135,7 +130,7 @@ def opportunity_classes(df, params: Params, labels: tuple[str, str, str]) -> Dat
 
 def opportunity_summary(df, params: Params = DEFAULT) -> DataFrame:
     """Q606: pairs and opportunity value per stock status (aggregate of aggregates)."""
-    classes = opportunity_classes(df, params, ("Understock", "Overstock", "Balanced"))
+    classes = opportunity_classes(df, params, OPPORTUNITY_STATUS)
     out = classes.groupBy(F.col("_class").alias("inventory_status")).agg(
         F.count(F.lit(1)).alias("sku_warehouse_pairs"),
         r2(F.sum("_value")).alias("estimated_opportunity_value"),

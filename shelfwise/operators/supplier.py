@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.functions import ratio
-from shelfwise.operators.common import ordered, pair_tiebreak, r2, r3
+from shelfwise.operators.common import first_match, ordered, pair_tiebreak, r2, r3
 from shelfwise.operators.metrics import group_metrics
+from shelfwise.labels import LEAD_TIME_RISK, SUPPLIER_REPLENISHMENT_STATUS, SUPPLY_RISK
 from shelfwise.params import DEFAULT, Params
 from shelfwise.schema import PAIR
 
@@ -50,10 +51,8 @@ def replenishment_efficiency(df, params: Params = DEFAULT) -> DataFrame:
         params=params,
     )
     rr = ratio("total_replenished", "total_demand")
-    status = (
-        F.when(rr < params.repl_low, "Under-Replenishment")
-        .when(rr <= params.repl_high, "Balanced")
-        .otherwise("Over-Replenishment")
+    status = first_match(
+        [rr < params.repl_low, rr <= params.repl_high], SUPPLIER_REPLENISHMENT_STATUS
     )
     out = m.select(
         "Supplier_ID",
@@ -73,11 +72,7 @@ def lead_time_risk(df, params: Params = DEFAULT) -> DataFrame:
         params=params,
     )
     a = F.col("lead_time")
-    risk = (
-        F.when(a >= params.lead_high_days, "High Risk")
-        .when(a >= params.lead_medium_days, "Medium Risk")
-        .otherwise("Low Risk")
-    )
+    risk = first_match([a >= params.lead_high_days, a >= params.lead_medium_days], LEAD_TIME_RISK)
     out = m.select(
         "Supplier_ID",
         r2(a).alias("avg_lead_time"),
@@ -111,11 +106,7 @@ def high_risk_combinations(df, params: Params = DEFAULT) -> DataFrame:
     keys = ["Supplier_ID", *PAIR]
     m = group_metrics(df, keys, "lead_time", "demand", "inventory", "cover", params=params)
     c, lt = F.col("cover"), F.col("lead_time")
-    risk = (
-        F.when(c < lt, "Immediate Attention")
-        .when(c < lt * params.supply_monitor_multiple, "Monitor")
-        .otherwise("Stable")
-    )
+    risk = first_match([c < lt, c < lt * params.supply_monitor_multiple], SUPPLY_RISK)
     out = m.filter(c < lt * params.supply_monitor_multiple).select(
         *keys,
         r2(lt).alias("avg_lead_time"),
