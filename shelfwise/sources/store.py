@@ -20,7 +20,7 @@ from shelfwise.sources.derive import derive_inventory
 
 _LOCK = threading.Lock()
 _TABLES: dict[tuple[str, str], str] = {}
-_ROWS: dict[str, int] = {}
+_ROWS: dict[tuple[str, str], int] = {}  # row count of each stored summary
 
 
 def checkpoint_root(spark: SparkSession) -> str:
@@ -65,17 +65,21 @@ def _label(sf_dir: str) -> tuple[str, str]:
 def inventory_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The inventory fact table derived from ``sf_dir``, written once, then scanned.
 
-    The file is hash-partitioned by SKU x warehouse into as many files as the
-    cluster has cores: scans run in parallel and each file holds whole pairs,
-    so the map-side partial aggregation of pair reports is complete.  A hot
-    pair makes one file large, but Parquet splits it by row group on read.
+    Layout: range-partitioned and sorted by SKU, warehouse, date into as many
+    files as the cluster has cores.  Each file holds a contiguous run of
+    pairs, so map-side partial aggregation by pair folds almost everything
+    before the shuffle, and Parquet min/max statistics prune files on SKU.
+    Range bounds are sampled on the full (SKU, warehouse, date) key, so a pair
+    holding a third of all rows is split across files by date instead of
+    landing in one write task.
     """
     src, name = _label(sf_dir)
     app = spark.sparkContext.applicationId
 
     def build() -> DataFrame:
         n = spark.sparkContext.defaultParallelism
-        return derive_inventory(spark, src).repartition(n, "SKU_ID", "Warehouse_ID")
+        key = ["SKU_ID", "Warehouse_ID", "Date"]
+        return derive_inventory(spark, src).repartitionByRange(n, *key).sortWithinPartitions(*key)
 
     path = _materialize(spark, (app, f"inventory_raw|{name}"), build)
     return spark.read.parquet(path)
@@ -101,16 +105,25 @@ def inventory_data(spark: SparkSession, sf_dir: str):
         if key not in _TABLES:
             path = scratch_path(spark, "inventory_summary", name)
             n = spark.sparkContext.defaultParallelism
-            (
-                summarize(fact)
-                .repartition(n, *PAIR)
-                .write.mode("overwrite")
-                .bucketBy(n, *PAIR)
-                .sortBy(*PAIR)
-                .option("path", path)
-                .saveAsTable(table)
-            )
-            _TABLES[key] = path
-            _ROWS[path] = spark.table(table).count()  # statistic of the stored table
-        path = _TABLES[key]
-    return Inventory(fact, spark.table(table), summary_rows=_ROWS[path])
+            summary = summarize(fact).repartition(n, *PAIR)
+            try:
+                (
+                    summary.write.mode("overwrite")
+                    .bucketBy(n, *PAIR)
+                    .sortBy(*PAIR)
+                    .option("path", path)
+                    .saveAsTable(table)
+                )
+                _TABLES[key] = f"table:{table}"
+            except Exception:  # a session without a writable catalog: plain files
+                summary.write.mode("overwrite").parquet(path)
+                _TABLES[key] = path
+            _ROWS[key] = _read_stored(spark, _TABLES[key]).count()  # table statistic
+        stored = _TABLES[key]
+    return Inventory(fact, _read_stored(spark, stored), summary_rows=_ROWS[key])
+
+
+def _read_stored(spark: SparkSession, stored: str) -> DataFrame:
+    if stored.startswith("table:"):
+        return spark.table(stored[len("table:"):])
+    return spark.read.parquet(stored)
