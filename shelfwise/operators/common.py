@@ -38,10 +38,11 @@ def ordered(
     from shelfwise.operators.metrics import Inventory
     from shelfwise.params import DEFAULT
 
+    limit = data.params.single_task_rows if isinstance(data, Inventory) else DEFAULT.single_task_rows
     bound = max_rows
     if bound is None and isinstance(data, Inventory):
         bound = data.summary_rows
-    if bound is not None and bound <= DEFAULT.single_task_rows:
+    if bound is not None and bound <= limit:
         return df.repartition(1).sortWithinPartitions(*order)
     return df.orderBy(*order)
 

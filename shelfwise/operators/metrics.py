@@ -139,13 +139,13 @@ class Inventory:
     ):
         self.fact = fact
         self._summary = summary
-        self._params = params
+        self.params = params
         self.summary_rows = summary_rows
 
     @property
     def summary(self) -> DataFrame:
         if self._summary is None:
-            self._summary = summarize(self.fact, self._params)
+            self._summary = summarize(self.fact, self.params)
         return self._summary
 
 

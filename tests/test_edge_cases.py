@@ -280,3 +280,14 @@ def test_round_half_away_from_zero(make_inventory):
 def test_population_std_dev(make_inventory):
     rows = [dict(Supplier_ID="S", Supplier_Lead_Time_Days=v, SKU_ID=f"s{v}") for v in (2, 4, 4, 4, 5, 5, 7, 9)]
     assert one(supplier.lead_time_risk(make_inventory(rows)))["lead_time_std"] == 2.0
+
+
+def test_reports_group_case_insensitively_with_collation(make_inventory):
+    df = make_inventory(
+        [dict(SKU_ID=s, Date=D1 + dt.timedelta(days=i)) for i, s in enumerate(("ab", "AB", "áb", "ab "))]
+    )
+    binary = inventory.coverage_risk(df).count()
+    ci = inventory.coverage_risk(with_collation(df, "UNICODE_CI_AI"))
+    assert binary == 4 and ci.count() == 2
+    prof = {r["warehouse_count"] for r in quality.sku_profile(with_collation(df, "UNICODE_CI_AI")).collect()}
+    assert prof == {1}
