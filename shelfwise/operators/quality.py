@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.functions import flag_sum
@@ -57,16 +57,16 @@ def row_count(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
 _DIMENSIONS = ("SKU_ID", "Warehouse_ID", "Supplier_ID", "Region")
 
 
-def dimension_counts(df) -> dict[str, object]:
-    """Exact distinct SKU / warehouse / supplier / region counts, read from the
-    summary (one small scan) as scalar subqueries of one struct."""
+def dimension_counts(df) -> Column:
+    """Exact distinct SKU / warehouse / supplier / region counts as one struct,
+    read from the summary (a small scan) as a scalar subquery.  Callers select
+    it once into a column and take its fields in a following projection, so
+    the subquery runs once (an expensive expression used several times is not
+    inlined by the optimizer)."""
     inv = as_inventory(df)
-    counts = inv.summary.agg(
-        F.struct(
-            *[F.count_distinct(k).alias(k) for k in _DIMENSIONS]
-        ).alias("c")
+    return inv.summary.agg(
+        F.struct(*[F.count_distinct(k).alias(k) for k in _DIMENSIONS]).alias("c")
     ).scalar()
-    return {k: counts.getField(k) for k in _DIMENSIONS}
 
 
 def span_cardinality(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
@@ -75,20 +75,23 @@ def span_cardinality(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
     Dates are counted on the fact table (one distinct column, no Expand); the
     other dimensions come from the summary, whose key columns hold exactly the
     fact table's values."""
-    dims = dimension_counts(df)
     fact = as_inventory(df).fact
-    return fact.agg(
-        F.min("Date").alias("start_date"),
-        F.max("Date").alias("end_date"),
-        F.count_distinct("Date").alias("unique_dates"),
-    ).select(
-        "start_date",
-        "end_date",
-        "unique_dates",
-        dims["SKU_ID"].alias("unique_skus"),
-        dims["Warehouse_ID"].alias("unique_warehouses"),
-        dims["Supplier_ID"].alias("unique_suppliers"),
-        dims["Region"].alias("unique_regions"),
+    return (
+        fact.agg(
+            F.min("Date").alias("start_date"),
+            F.max("Date").alias("end_date"),
+            F.count_distinct("Date").alias("unique_dates"),
+        )
+        .withColumn("_dims", dimension_counts(df))
+        .select(
+            "start_date",
+            "end_date",
+            "unique_dates",
+            F.col("_dims.SKU_ID").alias("unique_skus"),
+            F.col("_dims.Warehouse_ID").alias("unique_warehouses"),
+            F.col("_dims.Supplier_ID").alias("unique_suppliers"),
+            F.col("_dims.Region").alias("unique_regions"),
+        )
     )
 
 
@@ -153,14 +156,15 @@ def commercial_logic(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
 
 def coverage(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """Q208: is the Date x SKU x Warehouse cube dense?"""
-    dims = dimension_counts(df)
     fact = as_inventory(df).fact
     d = "decimal(38,0)"
     base = fact.agg(
         F.count_distinct("Date").alias("_dates"), F.count(F.lit(1)).alias("actual_rows")
-    )
+    ).withColumn("_dims", dimension_counts(df))
     expected = (
-        F.col("_dates").cast(d) * dims["SKU_ID"].cast(d) * dims["Warehouse_ID"].cast(d)
+        F.col("_dates").cast(d)
+        * F.col("_dims.SKU_ID").cast(d)
+        * F.col("_dims.Warehouse_ID").cast(d)
     )
     return base.select(expected.alias("expected_rows"), "actual_rows").withColumn(
         "coverage_status",
@@ -238,7 +242,6 @@ def sku_profile(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
 
 def summary(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """Q214."""
-    dims = dimension_counts(df)
     fact = as_inventory(df).fact
     return fact.agg(
         F.count(F.lit(1)).alias("total_records"),
@@ -246,13 +249,13 @@ def summary(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
         flag_sum(F.col("Stockout_Flag") == 1).alias("stockout_records"),
         flag_sum(F.col("Promotion_Flag") == 1).alias("promotion_records"),
         flag_sum(F.col("Order_Quantity") > 0).alias("replenishment_records"),
-    ).select(
+    ).withColumn("_dims", dimension_counts(df)).select(
         "total_records",
         "dates",
-        dims["SKU_ID"].alias("skus"),
-        dims["Warehouse_ID"].alias("warehouses"),
-        dims["Supplier_ID"].alias("suppliers"),
-        dims["Region"].alias("regions"),
+        F.col("_dims.SKU_ID").alias("skus"),
+        F.col("_dims.Warehouse_ID").alias("warehouses"),
+        F.col("_dims.Supplier_ID").alias("suppliers"),
+        F.col("_dims.Region").alias("regions"),
         "stockout_records",
         "promotion_records",
         "replenishment_records",
