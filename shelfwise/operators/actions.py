@@ -30,7 +30,7 @@ _PAIR_MEASURES = (
 
 
 def executive_kpis(df, params: Params = DEFAULT) -> DataFrame:
-    """Q701."""
+    """Q701: executive KPI row."""
     m = group_metrics(
         df, [], "demand", "inventory", "inventory_value", "stockout_days",
         "replenishment_events", "promotion_rate", params=params,
@@ -96,7 +96,7 @@ def top_value_attention(df, params: Params = DEFAULT) -> DataFrame:
 
 
 def warehouse_priorities(df, params: Params = DEFAULT) -> DataFrame:
-    """Q704."""
+    """Q704: per-warehouse service / inventory priority."""
     m = group_metrics(
         df, ["Warehouse_ID"], "demand", "inventory", "inventory_value", "stockout_rate", "cover",
         params=params,

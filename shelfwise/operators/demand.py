@@ -29,7 +29,7 @@ def overall(df, params: Params = DEFAULT) -> DataFrame:
 
 
 def sku_volatility(df, params: Params = DEFAULT) -> DataFrame:
-    """Q402."""
+    """Q402: per-SKU mean, population std-dev, CV and total demand."""
     m = group_metrics(
         df, ["SKU_ID"], "demand", "demand_std", "demand_cv", "total_demand", params=params
     ).select(

@@ -40,7 +40,7 @@ def overall(df, params: Params = DEFAULT) -> DataFrame:
 
 
 def warehouse_efficiency(df, params: Params = DEFAULT) -> DataFrame:
-    """Q302."""
+    """Q302: demand, stock, cover, value and turnover per warehouse."""
     m = group_metrics(
         df, ["Warehouse_ID"], "demand", "inventory", "reorder_point", "cover",
         "inventory_value", "total_demand", params=params, distinct=["SKU_ID"],

@@ -49,7 +49,7 @@ RULE_VIOLATIONS = [
 
 
 def row_count(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
-    """Q201."""
+    """Q201: number of rows."""
     df = as_inventory(df).fact
     return df.agg(F.count(F.lit(1)).alias("total_rows"))
 
@@ -144,7 +144,7 @@ def rule_violations(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
 
 
 def commercial_logic(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
-    """Q207."""
+    """Q207: rows priced at or below cost; orders placed at zero stock."""
     df = as_inventory(df).fact
     return df.agg(
         flag_sum(F.col("Unit_Price") <= F.col("Unit_Cost")).alias("non_positive_margin"),
@@ -183,13 +183,13 @@ def _flag_distribution(df: DataFrame, flag: str) -> DataFrame:
 
 
 def promotion_distribution(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
-    """Q209."""
+    """Q209: rows and share of all rows per promotion flag."""
     df = as_inventory(df).fact
     return _flag_distribution(df, "Promotion_Flag")
 
 
 def stockout_distribution(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
-    """Q210."""
+    """Q210: rows and share of all rows per stockout flag."""
     df = as_inventory(df).fact
     return _flag_distribution(df, "Stockout_Flag")
 
@@ -203,7 +203,7 @@ def dimension_cardinality(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
 
 
 def warehouse_profile(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
-    """Q212."""
+    """Q212: per-warehouse observations, footprint and daily means."""
     m = group_metrics(
         df, ["Warehouse_ID"], "records", "demand", "inventory", "reorder_point", "avg_order_all",
         "avg_row_value", params=params, distinct=["SKU_ID", "Supplier_ID"],
@@ -241,7 +241,7 @@ def sku_profile(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
 
 
 def summary(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
-    """Q214."""
+    """Q214: validation summary counts."""
     fact = as_inventory(df).fact
     return fact.agg(
         F.count(F.lit(1)).alias("total_records"),

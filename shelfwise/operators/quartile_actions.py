@@ -73,7 +73,7 @@ def decision_profile(df, params: Params = DEFAULT) -> DataFrame:
 
 
 def warehouse_concentration(df, params: Params = DEFAULT) -> DataFrame:
-    """Q753."""
+    """Q753: per-warehouse value, mean daily cover, lead time and stockout days."""
     m = group_metrics(
         df, ["Warehouse_ID"], "inventory_value", "row_cover", "reorder_point", "lead_time",
         "stockout_days", params=params,

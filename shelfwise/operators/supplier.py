@@ -28,7 +28,7 @@ def overall(df, params: Params = DEFAULT) -> DataFrame:
 
 
 def profile(df, params: Params = DEFAULT) -> DataFrame:
-    """Q502."""
+    """Q502: per-supplier footprint, lead time, order size and unit cost."""
     m = group_metrics(
         df, ["Supplier_ID"], "lead_time", "avg_order_nonzero", "replenishment_events",
         "unit_cost", params=params, distinct=["SKU_ID", "Warehouse_ID"],
