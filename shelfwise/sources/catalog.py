@@ -27,3 +27,17 @@ def table_inventory(tables: dict[str, DataFrame]) -> DataFrame:
         .select("table_name", F.coalesce("table_rows", F.lit(0).cast("bigint")).alias("table_rows"))
         .orderBy("table_name")
     )
+
+
+def catalog_inventory(spark, database: str | None = None) -> DataFrame:
+    """Table inventory of a catalog database (tables and temporary views).
+
+    Names come from ``spark.catalog.listTables`` (metadata only); the counts
+    are exact, computed by ``table_inventory`` in one grouped pass."""
+    tables = {
+        t.name: spark.table(t.name if t.isTemporary or not t.database else f"{t.database}.{t.name}")
+        for t in spark.catalog.listTables(database)
+    }
+    if not tables:
+        return spark.createDataFrame([], "table_name string, table_rows bigint")
+    return table_inventory(tables)

@@ -291,3 +291,14 @@ def test_reports_group_case_insensitively_with_collation(make_inventory):
     assert binary == 4 and ci.count() == 2
     prof = {r["warehouse_count"] for r in quality.sku_profile(with_collation(df, "UNICODE_CI_AI")).collect()}
     assert prof == {1}
+
+
+def test_catalog_inventory_counts_views(spark, make_inventory):
+    from shelfwise.sources.catalog import catalog_inventory
+
+    make_inventory([dict(), dict(SKU_ID="B")]).createOrReplaceTempView("inv_two_rows")
+    spark.createDataFrame([], "x int").createOrReplaceTempView("inv_empty")
+    got = {r["table_name"]: r["table_rows"] for r in catalog_inventory(spark).collect()}
+    assert got["inv_two_rows"] == 2 and got["inv_empty"] == 0
+    spark.catalog.dropTempView("inv_two_rows")
+    spark.catalog.dropTempView("inv_empty")
