@@ -1,5 +1,4 @@
 from shelfwise.functions.numeric import (
-    avg_nonzero,
     flag_sum,
     money,
     ratio,
@@ -8,7 +7,6 @@ from shelfwise.functions.numeric import (
 )
 
 __all__ = [
-    "avg_nonzero",
     "flag_sum",
     "money",
     "ratio",

@@ -44,11 +44,6 @@ def flag_sum(cond) -> Column:
     return F.sum(_c(cond).cast("bigint"))
 
 
-def avg_nonzero(x) -> Column:
-    """AVG(NULLIF(x, 0)): mean over rows where x is not zero."""
-    return F.avg(F.nullif(_c(x), F.lit(0)))
-
-
 def stddev_pop_exact(x) -> Column:
     """sqrt(n * sum(x^2) - sum(x)^2) / n with the integer part in DECIMAL(38,0)."""
     v = _c(x).cast(_DEC_INT)

@@ -113,3 +113,20 @@ def test_report_order_same_on_single_and_distributed_sort(data, op):
     distributed = [tuple(r) for r in op(unbounded).collect()]
     assert single == distributed
     assert len(single) > 1
+
+
+def test_summary_std_dev_equals_row_level_formula(data):
+    from shelfwise.functions import stddev_pop_exact
+    from shelfwise.operators.metrics import group_metrics
+
+    direct = {
+        r["SKU_ID"]: r["s"]
+        for r in data.fact.groupBy("SKU_ID").agg(stddev_pop_exact("Units_Sold").alias("s")).collect()
+    }
+    rolled = {r["SKU_ID"]: r["demand_std"] for r in group_metrics(data, ["SKU_ID"], "demand_std").collect()}
+    assert direct == rolled
+    spark_pop = {
+        r["SKU_ID"]: r["s"]
+        for r in data.fact.groupBy("SKU_ID").agg(F.stddev_pop("Units_Sold").alias("s")).collect()
+    }
+    assert all(abs(spark_pop[k] - v) < 1e-9 for k, v in direct.items())
