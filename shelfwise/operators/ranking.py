@@ -74,7 +74,7 @@ def _positioned(df: DataFrame, order: Sequence[Column], params: Params) -> DataF
 def _offsets(tagged: DataFrame, value: str | None) -> DataFrame:
     aggs = [F.count(F.lit(1)).alias("_n")]
     if value:
-        aggs.append(F.sum(value).alias("_s"))
+        aggs += [F.sum(value).alias("_s"), F.count(value).alias("_c")]
     per = tagged.groupBy("_pid").agg(*aggs)
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.orderBy("_pid").rowsBetween(
@@ -86,7 +86,10 @@ def _offsets(tagged: DataFrame, value: str | None) -> DataFrame:
         F.sum("_n").over(everything).alias("_total_n"),
     ]
     if value:
-        cols.append(F.sum("_s").over(before).alias("_off_s"))
+        cols += [
+            F.sum("_s").over(before).alias("_off_s"),
+            F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off_c"),
+        ]
     # at most one row per range partition: a bounded broadcast
     return per.select(*cols)
 
@@ -142,12 +145,16 @@ def with_running_sum(
     inside = Window.partitionBy("_pid").orderBy("_pos").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
+    # SQL semantics: NULLs are skipped; the sum is NULL while no non-NULL
+    # value has been seen yet (counted across partitions with _off_c)
+    seen = F.col("_off_c") + F.count(value).over(inside)
+    running = F.coalesce(F.col("_off_s"), F.lit(0)) + F.coalesce(
+        F.sum(value).over(inside), F.lit(0)
+    )
     return (
         tagged.join(offs, "_pid")
-        .withColumn(
-            out, F.coalesce(F.col("_off_s"), F.lit(0)) + F.sum(value).over(inside)
-        )
-        .drop("_pid", "_pos", "_off_n", "_total_n", "_off_s")
+        .withColumn(out, F.when(seen > 0, running))
+        .drop("_pid", "_pos", "_off_n", "_total_n", "_off_s", "_off_c")
     )
 
 

@@ -38,9 +38,10 @@ def test_ntile_distributed_equals_builtin(spark, values):
 @given(st.lists(st.one_of(st.none(), st.integers(0, 5).map(float)), min_size=0, max_size=40))
 def test_running_sum_distributed_equals_builtin(spark, values):
     df = _frame(spark, values)
-    a = {r["k"]: r["s"] for r in with_running_sum(df, "value", order(), "s", DIST).collect()}
-    b = {r["k"]: r["s"] for r in with_running_sum(df, "value", order(), "s", BUILTIN).collect()}
-    assert a == b
+    for o in (order(), [F.col("value").desc_nulls_last(), F.col("k").asc()]):
+        a = {r["k"]: r["s"] for r in with_running_sum(df, "value", o, "s", DIST).collect()}
+        b = {r["k"]: r["s"] for r in with_running_sum(df, "value", o, "s", BUILTIN).collect()}
+        assert a == b
 
 
 def test_distributed_plan_has_no_single_partition_exchange(spark):
