@@ -11,6 +11,9 @@ passes, as in SQL; the NOT NULL rule of that column reports it.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,19 +63,37 @@ def rule_checks() -> list[tuple[str, Column]]:
     return rules
 
 
-def annotate(df: DataFrame, column: str = "violations") -> DataFrame:
+def _checked(df: DataFrame) -> None:
     problems = check_schema(df)
     if problems:
         raise ValueError("inventory schema mismatch: " + "; ".join(problems))
-    broken = [F.when(cond, F.lit(name)) for name, cond in rule_checks()]
-    return df.withColumn(column, F.array_compact(F.array(*broken)))
+
+
+def any_broken() -> Column:
+    """TRUE when the row breaks at least one rule (one OR of the rule
+    predicates, NULL counted as passing, as a CHECK does)."""
+    return reduce(or_, [F.coalesce(cond, F.lit(False)) for _, cond in rule_checks()])
+
+
+def violation_names() -> Column:
+    """Array of the names of the rules the row breaks."""
+    return F.array_compact(F.array(*[F.when(cond, F.lit(name)) for name, cond in rule_checks()]))
+
+
+def annotate(df: DataFrame, column: str = "violations") -> DataFrame:
+    """Every row with the array of broken rules (empty when the row is fine)."""
+    _checked(df)
+    return df.withColumn(column, violation_names())
 
 
 def split(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(accepted rows, quarantined rows with a ``violations`` array)."""
-    tagged = annotate(df)
-    ok = F.size("violations") == 0
-    return tagged.filter(ok).drop("violations"), tagged.filter(~ok)
+    """(accepted rows, quarantined rows with a ``violations`` array).
+
+    Rows are tested with one OR of the rule predicates; the array of rule
+    names is built only for the (few) rows that break something."""
+    _checked(df)
+    bad = any_broken()
+    return df.filter(~bad), df.filter(bad).withColumn("violations", violation_names())
 
 
 def quarantine_report(df: DataFrame) -> DataFrame:

@@ -32,22 +32,26 @@ from shelfwise.sources import contract
 def snapshot_stream(
     spark: SparkSession, source_dir: str, fmt: str = "parquet", max_files_per_trigger: int | None = None
 ) -> DataFrame:
-    """Streaming DataFrame of snapshot rows with a ``violations`` array column."""
+    """Streaming DataFrame of snapshot rows (fixed schema, checked)."""
     reader = spark.readStream.schema(INVENTORY_SCHEMA).format(fmt)
     if fmt == "csv":
         reader = reader.option("header", True)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    return contract.annotate(reader.load(source_dir))
+    stream = reader.load(source_dir)
+    problems = contract.check_schema(stream)
+    if problems:
+        raise ValueError("inventory schema mismatch: " + "; ".join(problems))
+    return stream
 
 
 def _write_batch(out_dir: str):
     def write(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
         try:
-            ok = F.size("violations") == 0
-            accepted = batch.filter(ok).select(*COLUMNS)
-            bad = batch.filter(~ok).withColumn("violations", F.concat_ws(",", "violations"))
+            accepted, bad = contract.split(batch)
+            accepted = accepted.select(*COLUMNS)
+            bad = bad.withColumn("violations", F.concat_ws(",", "violations"))
             accepted.write.mode("overwrite").parquet(f"{out_dir}/fact/batch={batch_id}")
             bad.write.mode("overwrite").parquet(f"{out_dir}/quarantine/batch={batch_id}")
             summarize(accepted).write.mode("overwrite").parquet(
