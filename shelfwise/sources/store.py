@@ -23,25 +23,48 @@ _TABLES: dict[tuple[str, str], str] = {}
 _ROWS: dict[tuple[str, str], int] = {}  # row count of each stored summary
 
 
+def _context(spark: SparkSession):
+    """The SparkContext of a classic session (None on a remote session)."""
+    try:
+        return spark.sparkContext
+    except Exception:
+        return None
+
+
+def app_id(spark: SparkSession) -> str:
+    sc = _context(spark)
+    return sc.applicationId if sc is not None else spark.conf.get("spark.app.id", "remote")
+
+
+def parallelism(spark: SparkSession) -> int:
+    sc = _context(spark)
+    if sc is not None:
+        return sc.defaultParallelism
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared checkpoint folder of this session (set one only if unset)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.sparkContext.getCheckpointDir()
+    sc = _context(spark)
+    if not root and sc is not None:
+        root = sc.getCheckpointDir()
     if not root:
         root = tempfile.mkdtemp(prefix="run-", dir=tempfile.gettempdir())
-        spark.sparkContext.setCheckpointDir(root)
+        if sc is not None:
+            sc.setCheckpointDir(root)
     return root
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Make sure ``DataFrame.checkpoint`` has a reliable target folder."""
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(checkpoint_root(spark))
+    sc = _context(spark)
+    if sc is not None and not sc.getCheckpointDir():
+        sc.setCheckpointDir(checkpoint_root(spark))
 
 
 def scratch_path(spark: SparkSession, *parts: str) -> str:
-    app = spark.sparkContext.applicationId
+    app = app_id(spark)
     return "/".join([checkpoint_root(spark).rstrip("/"), f"shelfwise-{app}", *parts])
 
 
@@ -74,10 +97,10 @@ def inventory_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     landing in one write task.
     """
     src, name = _label(sf_dir)
-    app = spark.sparkContext.applicationId
+    app = app_id(spark)
 
     def build() -> DataFrame:
-        n = spark.sparkContext.defaultParallelism
+        n = parallelism(spark)
         key = ["SKU_ID", "Warehouse_ID", "Date"]
         return derive_inventory(spark, src).repartitionByRange(n, *key).sortWithinPartitions(*key)
 
@@ -98,13 +121,13 @@ def inventory_data(spark: SparkSession, sf_dir: str):
 
     fact = inventory_table(spark, sf_dir)
     _, name = _label(sf_dir)
-    app = spark.sparkContext.applicationId
+    app = app_id(spark)
     key = (app, f"inventory_summary|{name}")
     table = "shelfwise_summary_" + "".join(ch if ch.isalnum() else "_" for ch in name)
     with _LOCK:
         if key not in _TABLES:
             path = scratch_path(spark, "inventory_summary", name)
-            n = spark.sparkContext.defaultParallelism
+            n = parallelism(spark)
             summary = summarize(fact).repartition(n, *PAIR)
             try:
                 (
