@@ -19,10 +19,10 @@ row into one task (``Exchange SinglePartition``).  The distributed path:
    inside the partition.
 
 ``Params.global_window="builtin"`` uses Spark's Window instead; same result.
-``"auto"`` (default) counts the rows first and uses the single-task Window
-only when that count is at most ``Params.single_task_rows``: the one task
-then holds a bounded number of rows, and larger inputs take the distributed
-path.
+``"auto"`` (default) uses the single-task Window only for a proven small
+input: a known upper bound of its rows (the stored summary's row count,
+passed as ``row_bound``) or, without one, a count - at most
+``Params.single_task_rows``.  Larger inputs take the distributed path.
 """
 
 from __future__ import annotations

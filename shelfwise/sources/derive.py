@@ -8,7 +8,7 @@ integer / decimal formulas of those keys, so Spark and any SQL engine produce
 the same rows (see FIXTURES.md; ``FIXTURE_SQL`` is the same derivation as SQL
 text for the DuckDB oracle).
 
-Plan shape: lineitem scan (5 columns pruned, no filter) -> partial
+Plan shape: lineitem scan (6 of 11 columns, no filter) -> partial
 HashAggregate on (day, sku, warehouse) -> one shuffle -> final aggregate.
 The aggregate has at most days x 200 x 5 rows, whatever the lineitem size.
 No join is hinted: ``supplier`` grows with scale, so the planner picks a
