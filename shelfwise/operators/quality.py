@@ -172,10 +172,15 @@ def coverage(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
     )
 
 
-def _flag_distribution(df: DataFrame, flag: str) -> DataFrame:
-    counts = df.groupBy(flag).agg(F.count(F.lit(1)).alias("records"))
-    # share of all rows: the total is a scalar subquery over the (few) groups
-    total = counts.agg(F.sum("records")).scalar()
+def _flag_distribution(data, flag: str) -> DataFrame:
+    inv = as_inventory(data)
+    counts = inv.fact.groupBy(flag).agg(F.count(F.lit(1)).alias("records"))
+    # share of all rows; the total is a scalar subquery: the stored summary's
+    # row total (small scan) when there is one, else the grouped counts
+    if inv.summary_rows is not None:
+        total = inv.summary.agg(F.sum("n")).scalar()
+    else:
+        total = counts.agg(F.sum("records")).scalar()
     share = (F.col("records") * 100).cast("double") / F.nullif(total, F.lit(0)).cast("double")
     return counts.select(flag, "records", round_half_up(share, 2).alias("percentage")).orderBy(
         F.col(flag).asc_nulls_first()
@@ -184,13 +189,11 @@ def _flag_distribution(df: DataFrame, flag: str) -> DataFrame:
 
 def promotion_distribution(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """Q209: rows and share of all rows per promotion flag."""
-    df = as_inventory(df).fact
     return _flag_distribution(df, "Promotion_Flag")
 
 
 def stockout_distribution(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """Q210: rows and share of all rows per stockout flag."""
-    df = as_inventory(df).fact
     return _flag_distribution(df, "Stockout_Flag")
 
 
