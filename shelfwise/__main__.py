@@ -15,6 +15,15 @@ import argparse
 import sys
 
 
+def _parse(value: str):
+    for cast in (int, float):
+        try:
+            return cast(value)
+        except ValueError:
+            pass
+    return value
+
+
 def main(argv: list[str] | None = None) -> int:
     ap = argparse.ArgumentParser(prog="shelfwise")
     sub = ap.add_subparsers(dest="cmd", required=True)
@@ -27,6 +36,13 @@ def main(argv: list[str] | None = None) -> int:
     run.add_argument("--format", default="parquet", choices=["parquet", "csv"])
     run.add_argument("--out", help="write each report as Parquet under this folder")
     run.add_argument("--rows", type=int, default=50, help="rows to show when not writing")
+    run.add_argument(
+        "--param",
+        action="append",
+        default=[],
+        metavar="NAME=VALUE",
+        help="override a threshold or limit of Params, e.g. --param cv_high=0.5",
+    )
     args = ap.parse_args(argv)
 
     from shelfwise.plans.registry import REPORTS
@@ -41,8 +57,21 @@ def main(argv: list[str] | None = None) -> int:
         print(f"no report matches {args.what!r}", file=sys.stderr)
         return 2
 
+    from dataclasses import fields, replace
+
     from shelfwise.operators.metrics import Inventory
+    from shelfwise.params import DEFAULT
     from shelfwise.session import local_session
+
+    known = [f.name for f in fields(DEFAULT)]
+    overrides = {}
+    for item in args.param:
+        name, _, value = item.partition("=")
+        if name not in known:
+            print(f"unknown parameter {name!r}; known: {', '.join(known)}", file=sys.stderr)
+            return 2
+        overrides[name] = _parse(value)
+    params = replace(DEFAULT, **overrides)
     from shelfwise.sources.loader import read_inventory
     from shelfwise.sources.store import inventory_data
 
@@ -50,11 +79,12 @@ def main(argv: list[str] | None = None) -> int:
 
     spark = SparkSession.getActiveSession() or local_session()
     if args.sf_dir:
-        data = inventory_data(spark, args.sf_dir)
+        stored = inventory_data(spark, args.sf_dir)
+        data = Inventory(stored.fact, stored.summary, params, stored.summary_rows)
     else:
-        data = Inventory(read_inventory(spark, args.fact, fmt=args.format))
+        data = Inventory(read_inventory(spark, args.fact, fmt=args.format), params=params)
     for key in keys:
-        df = REPORTS[key][1](data)
+        df = REPORTS[key][1](data, params)
         if args.out:
             df.write.mode("overwrite").parquet(f"{args.out.rstrip('/')}/{key}")
             print(f"wrote {key}")

@@ -20,3 +20,12 @@ def test_run_family_to_parquet(spark):
 
 def test_unknown_report():
     assert main(["run", "nope", "--sf-dir", SF_SMALL]) == 2
+
+
+def test_param_override_changes_classes(spark, capsys):
+    out = tempfile.mkdtemp(prefix="run-cli-")
+    assert main(["run", "sup_lead_time_risk", "--sf-dir", SF_SMALL, "--out", out,
+                 "--param", "lead_high_days=100", "--param", "lead_medium_days=100"]) == 0
+    classes = {r["lead_time_risk"] for r in spark.read.parquet(f"{out}/sup_lead_time_risk").collect()}
+    assert classes == {"Low Risk"}
+    assert main(["run", "sup_overall", "--sf-dir", SF_SMALL, "--param", "nope=1"]) == 2
