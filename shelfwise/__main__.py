@@ -80,7 +80,10 @@ def main(argv: list[str] | None = None) -> int:
     spark = SparkSession.getActiveSession() or local_session()
     if args.sf_dir:
         stored = inventory_data(spark, args.sf_dir)
-        data = Inventory(stored.fact, stored.summary, params, stored.summary_rows)
+        if params.overstock_rop_multiple == DEFAULT.overstock_rop_multiple:
+            data = Inventory(stored.fact, stored.summary, params, stored.summary_rows)
+        else:  # the stored summary's row-level excess value used the default line
+            data = Inventory(stored.fact, params=params)
     else:
         data = Inventory(read_inventory(spark, args.fact, fmt=args.format), params=params)
     for key in keys:

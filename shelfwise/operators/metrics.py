@@ -126,7 +126,9 @@ class Inventory:
     """The inventory fact table and its summary.
 
     ``summary`` is derived lazily from ``fact`` unless a stored summary is
-    given (``sources.store.inventory_data``).  ``summary_rows`` is the row
+    given (``sources.store.inventory_data``).  Of all ``Params`` only
+    ``overstock_rop_multiple`` enters the summary (row-level excess value); a
+    stored summary is valid for the value it was built with.  ``summary_rows`` is the row
     count of a stored summary (a table statistic, taken once when it was
     written); any grouping of the summary has at most that many rows."""
 

@@ -29,3 +29,14 @@ def test_param_override_changes_classes(spark, capsys):
     classes = {r["lead_time_risk"] for r in spark.read.parquet(f"{out}/sup_lead_time_risk").collect()}
     assert classes == {"Low Risk"}
     assert main(["run", "sup_overall", "--sf-dir", SF_SMALL, "--param", "nope=1"]) == 2
+
+
+def test_summary_param_override_rebuilds_summary(spark):
+    out = tempfile.mkdtemp(prefix="run-cli-")
+    base = tempfile.mkdtemp(prefix="run-cli-")
+    assert main(["run", "risk_overstock_exposure", "--sf-dir", SF_SMALL, "--out", base]) == 0
+    assert main(["run", "risk_overstock_exposure", "--sf-dir", SF_SMALL, "--out", out,
+                 "--param", "overstock_rop_multiple=3.0"]) == 0
+    a = spark.read.parquet(f"{base}/risk_overstock_exposure")
+    b = spark.read.parquet(f"{out}/risk_overstock_exposure")
+    assert b.count() < a.count()
