@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.functions import ratio
+from shelfwise.operators.quality_rules import row_predicates
 from shelfwise.params import DEFAULT, Params
 
 SUMMARY_KEYS = ["Supplier_ID", "Region", "SKU_ID", "Warehouse_ID"]
@@ -99,6 +100,8 @@ def summary_aggs(params: Params = DEFAULT) -> list[Column]:
         F.min("Supplier_Lead_Time_Days").alias("min_lead"),
         F.max("Supplier_Lead_Time_Days").alias("max_lead"),
     ]
+    # row-level quality counts (SUM of a predicate; NULL predicate not counted)
+    aggs += [F.sum(F.expr(cond).cast("bigint")).alias(name) for name, cond in row_predicates()]
     return aggs
 
 
@@ -114,6 +117,7 @@ def merge_aggs(params: Params = DEFAULT) -> list[Column]:
         F.min("min_lead").alias("min_lead"),
         F.max("max_lead").alias("max_lead"),
     ]
+    aggs += [F.sum(name).alias(name) for name, _ in row_predicates()]
     return aggs
 
 
@@ -209,6 +213,7 @@ MEASURES: dict[str, str] = {
     "cover": f"({_mean('inv')}) / nullif({_mean('units')}, 0)",
     "demand_cv": f"({_std_sql('units', 'q_units')}) / nullif({_mean('units')}, 0)",
 }
+MEASURES.update({name: f"sum({name})" for name, _ in row_predicates()})
 
 
 def group_metrics(

@@ -7,66 +7,42 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.functions import flag_sum
 from shelfwise.operators.common import first_match, ordered, r2, round_half_up
 from shelfwise.operators.metrics import as_inventory, group_metrics
 from shelfwise.labels import COVERAGE_CHECK, DIMENSIONS
 from shelfwise.params import DEFAULT, Params
+from shelfwise.operators.quality_rules import (
+    COMMERCIAL_CHECKS,
+    FLAG_COUNTS,
+    NULL_COUNT_NAMES,
+    RULE_VIOLATIONS,
+)
 from shelfwise.schema import COLUMNS, GRAIN
 
-# Output names of the per-column NULL counts, in column order.
-NULL_COUNT_NAMES = [
-    ("Date", "missing_date"),
-    ("SKU_ID", "missing_sku"),
-    ("Warehouse_ID", "missing_warehouse"),
-    ("Supplier_ID", "missing_supplier"),
-    ("Region", "missing_region"),
-    ("Units_Sold", "missing_units_sold"),
-    ("Inventory_Level", "missing_inventory"),
-    ("Supplier_Lead_Time_Days", "missing_lead_time"),
-    ("Reorder_Point", "missing_reorder_point"),
-    ("Order_Quantity", "missing_order_quantity"),
-    ("Unit_Cost", "missing_unit_cost"),
-    ("Unit_Price", "missing_unit_price"),
-    ("Promotion_Flag", "missing_promotion_flag"),
-    ("Stockout_Flag", "missing_stockout_flag"),
-    ("Demand_Forecast", "missing_forecast"),
-]
-
-# Domain rules counted by the rule-violation report.
-RULE_VIOLATIONS = [
-    ("negative_demand", "Units_Sold < 0"),
-    ("negative_inventory", "Inventory_Level < 0"),
-    ("invalid_lead_time", "Supplier_Lead_Time_Days <= 0"),
-    ("negative_reorder_point", "Reorder_Point < 0"),
-    ("negative_order_quantity", "Order_Quantity < 0"),
-    ("invalid_unit_cost", "Unit_Cost <= 0"),
-    ("invalid_unit_price", "Unit_Price <= 0"),
-    ("invalid_promotion_flag", "Promotion_Flag NOT IN (0, 1)"),
-    ("invalid_stockout_flag", "Stockout_Flag NOT IN (0, 1)"),
-    ("negative_forecast", "Demand_Forecast < 0"),
-]
+def _summed(df, params: Params, names: list[tuple[str, str]]) -> DataFrame:
+    """One row of summary-held row counts: (summary column, output name)."""
+    m = group_metrics(df, [], *[c for c, _ in names], params=params)
+    return m.select(*[F.col(c).alias(n) for c, n in names])
 
 
 def row_count(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
-    """Q201: number of rows."""
-    df = as_inventory(df).fact
-    return df.agg(F.count(F.lit(1)).alias("total_rows"))
+    """Q201: number of rows (sum of the summary's row counts)."""
+    return _summed(df, params, [("records", "total_rows")])
 
 
 _DIMENSIONS = ("SKU_ID", "Warehouse_ID", "Supplier_ID", "Region")
 
 
-def dimension_counts(df) -> Column:
-    """Exact distinct SKU / warehouse / supplier / region counts as one struct,
-    read from the summary (a small scan) as a scalar subquery.  Callers select
-    it once into a column and take its fields in a following projection, so
-    the subquery runs once (an expensive expression used several times is not
-    inlined by the optimizer)."""
-    inv = as_inventory(df)
-    return inv.summary.agg(
-        F.struct(*[F.count_distinct(k).alias(k) for k in _DIMENSIONS]).alias("c")
-    ).scalar()
+def dimension_counts(df, *measures: str) -> Column:
+    """Exact distinct SKU / warehouse / supplier / region counts (and any
+    summary ``measures``) as one struct, read from the summary (a small scan)
+    as a scalar subquery.  Callers select it once into a column and take its
+    fields in a following projection, so the subquery runs once (an expensive
+    expression used several times is not inlined by the optimizer)."""
+    m = group_metrics(df, [], *measures, distinct=_DIMENSIONS)
+    fields = [F.col(f"distinct_{k}").alias(k) for k in _DIMENSIONS]
+    fields += [F.col(x).alias(x) for x in measures]
+    return m.select(F.struct(*fields).alias("c")).scalar()
 
 
 def span_cardinality(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
@@ -96,9 +72,8 @@ def span_cardinality(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
 
 
 def null_counts(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
-    """Q203: NULLs per column in one pass."""
-    df = as_inventory(df).fact
-    return df.agg(*[flag_sum(F.col(c).isNull()).alias(n) for c, n in NULL_COUNT_NAMES])
+    """Q203: NULLs per column (counted while the summary is built)."""
+    return _summed(df, params, [(f"qc_{n}", n) for _, n in NULL_COUNT_NAMES])
 
 
 def duplicate_groups(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -139,19 +114,12 @@ def business_key_duplicates(df: DataFrame, params: Params = DEFAULT) -> DataFram
 
 def rule_violations(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """Q206: rows breaking each domain rule (NULL input is not counted)."""
-    df = as_inventory(df).fact
-    return df.agg(*[flag_sum(F.expr(cond)).alias(n) for n, cond in RULE_VIOLATIONS])
+    return _summed(df, params, [(f"qc_{n}", n) for n, _ in RULE_VIOLATIONS])
 
 
 def commercial_logic(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """Q207: rows priced at or below cost; orders placed at zero stock."""
-    df = as_inventory(df).fact
-    return df.agg(
-        flag_sum(F.col("Unit_Price") <= F.col("Unit_Cost")).alias("non_positive_margin"),
-        flag_sum((F.col("Order_Quantity") > 0) & (F.col("Inventory_Level") == 0)).alias(
-            "replenishment_at_zero_inventory"
-        ),
-    )
+    return _summed(df, params, [(f"qc_{n}", n) for n, _ in COMMERCIAL_CHECKS])
 
 
 def coverage(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
@@ -244,24 +212,26 @@ def sku_profile(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
 
 
 def summary(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
-    """Q214: validation summary counts."""
+    """Q214: validation summary counts.
+
+    Only the distinct dates need the fact table; the row count, dimension
+    counts and flag counts come from the summary in one scalar subquery."""
     fact = as_inventory(df).fact
-    return fact.agg(
-        F.count(F.lit(1)).alias("total_records"),
-        F.count_distinct("Date").alias("dates"),
-        flag_sum(F.col("Stockout_Flag") == 1).alias("stockout_records"),
-        flag_sum(F.col("Promotion_Flag") == 1).alias("promotion_records"),
-        flag_sum(F.col("Order_Quantity") > 0).alias("replenishment_records"),
-    ).withColumn("_dims", dimension_counts(df)).select(
-        "total_records",
-        "dates",
-        F.col("_dims.SKU_ID").alias("skus"),
-        F.col("_dims.Warehouse_ID").alias("warehouses"),
-        F.col("_dims.Supplier_ID").alias("suppliers"),
-        F.col("_dims.Region").alias("regions"),
-        "stockout_records",
-        "promotion_records",
-        "replenishment_records",
+    held = ["records", "qc_stockout_records", "qc_promotion_records", "replenishment_events"]
+    return (
+        fact.agg(F.count_distinct("Date").alias("dates"))
+        .withColumn("_s", dimension_counts(df, *held))
+        .select(
+            F.col("_s.records").alias("total_records"),
+            "dates",
+            F.col("_s.SKU_ID").alias("skus"),
+            F.col("_s.Warehouse_ID").alias("warehouses"),
+            F.col("_s.Supplier_ID").alias("suppliers"),
+            F.col("_s.Region").alias("regions"),
+            F.col("_s.qc_stockout_records").alias("stockout_records"),
+            F.col("_s.qc_promotion_records").alias("promotion_records"),
+            F.col("_s.replenishment_events").alias("replenishment_records"),
+        )
     )
 
 

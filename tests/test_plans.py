@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from shelfwise.operators import actions, inventory, quality
+from shelfwise.operators import actions, demand, inventory, quality
 from shelfwise.sources.derive import derive_inventory
 from shelfwise.sources.store import inventory_data
 from tests.conftest import SF_SMALL
@@ -39,11 +39,26 @@ def test_limit_reports_use_take_ordered(data):
         assert "TakeOrderedAndProject" in plan(op(data))
 
 
-def test_fact_report_prunes_scan(data):
-    p = plan(quality.commercial_logic(data))
+def _scan_cols(p):
     m = re.search(r"FileScan parquet [^\[]*\[([^\]]*)\]", p)
-    cols = {c.split("#")[0] for c in m.group(1).split(",")}
-    assert cols == {"Unit_Price", "Unit_Cost", "Order_Quantity", "Inventory_Level"}
+    return {c.split("#")[0] for c in m.group(1).split(",")}
+
+
+def test_row_checks_read_two_summary_columns(data):
+    assert _scan_cols(plan(quality.commercial_logic(data))) == {
+        "qc_non_positive_margin",
+        "qc_replenishment_at_zero_inventory",
+    }
+
+
+def test_fact_report_prunes_scan(data):
+    assert _scan_cols(plan(demand.stockout_risk(data))) == {
+        "Stockout_Flag",
+        "Units_Sold",
+        "Inventory_Level",
+        "Demand_Forecast",
+        "Reorder_Point",
+    }
 
 
 def test_derivation_prunes_lineitem(spark):
