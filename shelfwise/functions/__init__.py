@@ -1,4 +1,5 @@
 from shelfwise.functions.numeric import (
+    distinct_count,
     flag_sum,
     money,
     ratio,
@@ -7,6 +8,7 @@ from shelfwise.functions.numeric import (
 )
 
 __all__ = [
+    "distinct_count",
     "flag_sum",
     "money",
     "ratio",

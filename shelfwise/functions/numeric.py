@@ -40,6 +40,12 @@ def money(x) -> Column:
     return F.round(_c(x), 2).cast("decimal(38,2)")
 
 
+def distinct_count(x, approx: bool = False) -> Column:
+    """COUNT(DISTINCT x), or its HyperLogLog++ estimate (1 % relative
+    standard deviation) when ``approx``."""
+    return F.approx_count_distinct(_c(x), rsd=0.01) if approx else F.count_distinct(_c(x))
+
+
 def flag_sum(cond) -> Column:
     return F.sum(_c(cond).cast("bigint"))
 

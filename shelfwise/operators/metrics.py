@@ -27,7 +27,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.functions import ratio
+from shelfwise.functions import distinct_count, ratio
 from shelfwise.operators.quality_rules import row_predicates
 from shelfwise.params import DEFAULT, Params
 
@@ -231,6 +231,7 @@ def group_metrics(
     """
     inv = as_inventory(data, params)
     aggs = [F.expr(MEASURES[n]).alias(n) for n in names]
-    aggs += [F.count_distinct(k).alias(f"distinct_{k}") for k in distinct]
+    approx = params.approx_distinct
+    aggs += [distinct_count(k, approx).alias(f"distinct_{k}") for k in distinct]
     g = inv.summary.groupBy(*keys) if keys else inv.summary.groupBy()
     return g.agg(*aggs)

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfwise.functions import distinct_count
 from shelfwise.operators.common import first_match, ordered, r2, round_half_up
 from shelfwise.operators.metrics import as_inventory, group_metrics
 from shelfwise.labels import COVERAGE_CHECK, DIMENSIONS
@@ -33,13 +34,13 @@ def row_count(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
 _DIMENSIONS = ("SKU_ID", "Warehouse_ID", "Supplier_ID", "Region")
 
 
-def dimension_counts(df, *measures: str) -> Column:
+def dimension_counts(df, *measures: str, params: Params = DEFAULT) -> Column:
     """Exact distinct SKU / warehouse / supplier / region counts (and any
     summary ``measures``) as one struct, read from the summary (a small scan)
     as a scalar subquery.  Callers select it once into a column and take its
     fields in a following projection, so the subquery runs once (an expensive
     expression used several times is not inlined by the optimizer)."""
-    m = group_metrics(df, [], *measures, distinct=_DIMENSIONS)
+    m = group_metrics(df, [], *measures, params=params, distinct=_DIMENSIONS)
     fields = [F.col(f"distinct_{k}").alias(k) for k in _DIMENSIONS]
     fields += [F.col(x).alias(x) for x in measures]
     return m.select(F.struct(*fields).alias("c")).scalar()
@@ -56,9 +57,9 @@ def span_cardinality(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
         fact.agg(
             F.min("Date").alias("start_date"),
             F.max("Date").alias("end_date"),
-            F.count_distinct("Date").alias("unique_dates"),
+            distinct_count("Date", params.approx_distinct).alias("unique_dates"),
         )
-        .withColumn("_dims", dimension_counts(df))
+        .withColumn("_dims", dimension_counts(df, params=params))
         .select(
             "start_date",
             "end_date",
@@ -127,8 +128,9 @@ def coverage(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
     fact = as_inventory(df).fact
     d = "decimal(38,0)"
     base = fact.agg(
-        F.count_distinct("Date").alias("_dates"), F.count(F.lit(1)).alias("actual_rows")
-    ).withColumn("_dims", dimension_counts(df))
+        distinct_count("Date", params.approx_distinct).alias("_dates"),
+        F.count(F.lit(1)).alias("actual_rows"),
+    ).withColumn("_dims", dimension_counts(df, params=params))
     expected = (
         F.col("_dates").cast(d)
         * F.col("_dims.SKU_ID").cast(d)
@@ -168,7 +170,10 @@ def stockout_distribution(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
 def dimension_cardinality(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """Q211: distinct values per dimension (from the summary), unpivoted."""
     wide = as_inventory(df).summary.agg(
-        *[F.count_distinct(c).alias(name) for c, name in zip(_DIMENSIONS, DIMENSIONS)]
+        *[
+            distinct_count(c, params.approx_distinct).alias(name)
+            for c, name in zip(_DIMENSIONS, DIMENSIONS)
+        ]
     )
     return wide.unpivot([], list(DIMENSIONS), "dimension", "unique_values")
 
@@ -219,8 +224,8 @@ def summary(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
     fact = as_inventory(df).fact
     held = ["records", "qc_stockout_records", "qc_promotion_records", "replenishment_events"]
     return (
-        fact.agg(F.count_distinct("Date").alias("dates"))
-        .withColumn("_s", dimension_counts(df, *held))
+        fact.agg(distinct_count("Date", params.approx_distinct).alias("dates"))
+        .withColumn("_s", dimension_counts(df, *held, params=params))
         .select(
             F.col("_s.records").alias("total_records"),
             "dates",

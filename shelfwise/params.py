@@ -36,7 +36,11 @@ class Params:
     priority_list_top: int = 30
     decision_profile_top: int = 20
     quartile_priority_top: int = 30
-    # --- execution knobs (not part of the semantics) ---
+    # --- execution knobs ---
+    # Distinct counts are exact by default; True switches them to
+    # approx_count_distinct (HyperLogLog++, 1 % relative standard deviation;
+    # no shuffle of the distinct values themselves).
+    approx_distinct: bool = False
     # Global (un-partitioned) windows: "distributed" uses range partitioning
     # plus per-partition offsets; "builtin" uses Spark's single-partition
     # Window; "auto" counts the rows to rank first and uses the single task

@@ -130,3 +130,17 @@ def test_summary_std_dev_equals_row_level_formula(data):
         for r in data.fact.groupBy("SKU_ID").agg(F.stddev_pop("Units_Sold").alias("s")).collect()
     }
     assert all(abs(spark_pop[k] - v) < 1e-9 for k, v in direct.items())
+
+
+def test_approx_distinct_opt_in_is_close(data):
+    from dataclasses import replace
+
+    from shelfwise.params import DEFAULT
+
+    approx = replace(DEFAULT, approx_distinct=True)
+    exact_row = quality.span_cardinality(data).first().asDict()
+    approx_row = quality.span_cardinality(data, approx).first().asDict()
+    for k in ("unique_dates", "unique_skus", "unique_warehouses", "unique_suppliers", "unique_regions"):
+        assert abs(approx_row[k] - exact_row[k]) <= 0.03 * exact_row[k] + 1  # 3 sigma
+    plan = quality.span_cardinality(data, approx)._jdf.queryExecution().executedPlan().toString()
+    assert "approx_count_distinct" in plan
