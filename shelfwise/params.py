@@ -43,8 +43,10 @@ class Params:
     approx_distinct: bool = False
     # Global (un-partitioned) windows: "distributed" uses range partitioning
     # plus per-partition offsets; "builtin" uses Spark's single-partition
-    # Window; "auto" counts the rows to rank first and uses the single task
-    # only up to ``single_task_rows`` rows.
+    # Window; "auto" uses the single task only for a proven small input (a
+    # known row bound such as the stored summary's row count, or a count) of
+    # at most ``single_task_rows`` rows; the same bound decides whether a
+    # report's final sort runs in one partition.
     global_window: str = "auto"
     single_task_rows: int = 1_000_000
     # Range partitions for the distributed path; None = session's
