@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfwise.functions import ratio
 from shelfwise.operators.common import first_match, ordered, pair_tiebreak, r2, r3, top
-from shelfwise.operators.metrics import abs_forecast_error, as_inventory, dec_avg, group_metrics
+from shelfwise.operators.metrics import group_metrics
 from shelfwise.labels import RISK_STATUS, VOLATILITY_SEGMENT
 from shelfwise.params import DEFAULT, Params
 from shelfwise.schema import PAIR
@@ -74,30 +74,32 @@ def volatility_segments(df, params: Params = DEFAULT) -> DataFrame:
 
 
 def promotion_impact(df, params: Params = DEFAULT) -> DataFrame:
-    """Q405: demand and forecast bias per promotion flag (fact table, flag-keyed)."""
-    fact = as_inventory(df).fact
-    forecast = F.col("Demand_Forecast")
-    m = fact.groupBy("Promotion_Flag").agg(
-        F.count(F.lit(1)).alias("records"),
-        r2(F.avg("Units_Sold")).alias("avg_demand"),
-        r2(dec_avg(forecast)).alias("avg_forecast"),
-        r2(dec_avg(F.col("Units_Sold") - forecast)).alias("avg_forecast_bias"),
+    """Q405: demand and forecast bias per promotion flag (from the flag profile)."""
+    m = group_metrics(
+        df, ["Promotion_Flag"], "records", "demand", "forecast", "forecast_bias", params=params
+    ).select(
+        "Promotion_Flag",
+        "records",
+        r2("demand").alias("avg_demand"),
+        r2("forecast").alias("avg_forecast"),
+        r2("forecast_bias").alias("avg_forecast_bias"),
     )
     return m.orderBy(F.col("Promotion_Flag").asc_nulls_first())
 
 
 def stockout_risk(df, params: Params = DEFAULT) -> DataFrame:
-    """Q406: profile per stockout flag (fact table, flag-keyed)."""
-    fact = as_inventory(df).fact
-    m = fact.groupBy("Stockout_Flag").agg(
-        F.count(F.lit(1)).alias("records"),
-        r2(F.avg("Units_Sold")).alias("avg_demand"),
-        r2(F.avg("Inventory_Level")).alias("avg_inventory"),
-        r2(dec_avg(F.col("Demand_Forecast"))).alias("avg_forecast"),
-        r2(dec_avg(abs_forecast_error())).alias("forecast_mae"),
-        r2(F.avg(F.col("Inventory_Level") - F.col("Reorder_Point"))).alias(
-            "avg_inventory_buffer"
-        ),
+    """Q406: profile per stockout flag (from the flag profile)."""
+    m = group_metrics(
+        df, ["Stockout_Flag"], "records", "demand", "inventory", "forecast", "forecast_error",
+        "avg_buffer", params=params,
+    ).select(
+        "Stockout_Flag",
+        "records",
+        r2("demand").alias("avg_demand"),
+        r2("inventory").alias("avg_inventory"),
+        r2("forecast").alias("avg_forecast"),
+        r2("forecast_error").alias("forecast_mae"),
+        r2("avg_buffer").alias("avg_inventory_buffer"),
     )
     return m.orderBy(F.col("Stockout_Flag").asc_nulls_first())
 

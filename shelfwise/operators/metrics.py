@@ -32,6 +32,7 @@ from shelfwise.operators.quality_rules import row_predicates
 from shelfwise.params import DEFAULT, Params
 
 SUMMARY_KEYS = ["Supplier_ID", "Region", "SKU_ID", "Warehouse_ID"]
+FLAG_KEYS = ["Promotion_Flag", "Stockout_Flag"]
 _DEC0 = "decimal(38,0)"
 
 
@@ -126,6 +127,24 @@ def summarize(fact: DataFrame, params: Params = DEFAULT) -> DataFrame:
     return fact.groupBy(*SUMMARY_KEYS).agg(*summary_aggs(params))
 
 
+def summarize_flags(fact: DataFrame, params: Params = DEFAULT) -> DataFrame:
+    """The same mergeable sums per promotion x stockout flag (at most a few rows)."""
+    return fact.groupBy(*FLAG_KEYS).agg(*summary_aggs(params))
+
+
+# grouping_id of each grouping set in summarize_both (bit set = column not grouped)
+MAIN_SET_ID = (1 << len(FLAG_KEYS)) - 1
+FLAG_SET_ID = ((1 << len(SUMMARY_KEYS)) - 1) << len(FLAG_KEYS)
+
+
+def summarize_both(fact: DataFrame, params: Params = DEFAULT) -> DataFrame:
+    """Summary and flag profile from one pass: GROUPING SETS over the two key
+    sets, one shuffle; ``_set`` tells the rows apart (MAIN_SET_ID / FLAG_SET_ID)."""
+    return fact.groupingSets(
+        [SUMMARY_KEYS, FLAG_KEYS], *SUMMARY_KEYS, *FLAG_KEYS
+    ).agg(*summary_aggs(params), F.grouping_id().alias("_set"))
+
+
 class Inventory:
     """The inventory fact table and its summary.
 
@@ -142,11 +161,13 @@ class Inventory:
         summary: DataFrame | None = None,
         params: Params = DEFAULT,
         summary_rows: int | None = None,
+        flags: DataFrame | None = None,
     ):
         self.fact = fact
         self._summary = summary
         self.params = params
         self.summary_rows = summary_rows
+        self._flags = flags
 
     @property
     def summary(self) -> DataFrame:
@@ -154,6 +175,13 @@ class Inventory:
             self._summary = summarize(self.fact, self.params)
         return self._summary
 
+    @property
+    def flags(self) -> DataFrame:
+        """Mergeable sums per promotion x stockout flag (stored, or derived)."""
+        if self._flags is None:
+            self._flags = summarize_flags(self.fact, self.params)
+        return self._flags
+
 
 def as_inventory(data, params: Params = DEFAULT) -> Inventory:
     return data if isinstance(data, Inventory) else Inventory(data, params=params)
@@ -225,13 +253,16 @@ def group_metrics(
 ) -> DataFrame:
     """One row per ``keys`` group with the requested named measures.
 
-    ``keys`` must be a subset of ``SUMMARY_KEYS``; ``distinct`` adds exact
-    distinct counts (``distinct_<col>``) of other summary keys per group.
-    The plan is one aggregate over the summary (partial + final).
+    ``keys`` must be a subset of ``SUMMARY_KEYS`` (read from the summary) or
+    of ``FLAG_KEYS`` (read from the flag profile); ``distinct`` adds distinct
+    counts (``distinct_<col>``) of other summary keys per group.  The plan is
+    one aggregate over the chosen table (partial + final).
     """
     inv = as_inventory(data, params)
+    flag_keyed = bool(keys) and all(k in FLAG_KEYS for k in keys)
+    source = inv.flags if flag_keyed else inv.summary
     aggs = [F.expr(MEASURES[n]).alias(n) for n in names]
     approx = params.approx_distinct
     aggs += [distinct_count(k, approx).alias(f"distinct_{k}") for k in distinct]
-    g = inv.summary.groupBy(*keys) if keys else inv.summary.groupBy()
+    g = source.groupBy(*keys) if keys else source.groupBy()
     return g.agg(*aggs)

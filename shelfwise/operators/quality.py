@@ -142,15 +142,11 @@ def coverage(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
     )
 
 
-def _flag_distribution(data, flag: str) -> DataFrame:
-    inv = as_inventory(data)
-    counts = inv.fact.groupBy(flag).agg(F.count(F.lit(1)).alias("records"))
-    # share of all rows; the total is a scalar subquery: the stored summary's
-    # row total (small scan) when there is one, else the grouped counts
-    if inv.summary_rows is not None:
-        total = inv.summary.agg(F.sum("n")).scalar()
-    else:
-        total = counts.agg(F.sum("records")).scalar()
+def _flag_distribution(data, flag: str, params: Params = DEFAULT) -> DataFrame:
+    """Rows and share of all rows per flag value, from the flag profile."""
+    inv = as_inventory(data, params)
+    counts = group_metrics(inv, [flag], "records", params=params)
+    total = inv.flags.agg(F.sum("n")).scalar()  # all rows: a scalar over a few rows
     share = (F.col("records") * 100).cast("double") / F.nullif(total, F.lit(0)).cast("double")
     return counts.select(flag, "records", round_half_up(share, 2).alias("percentage")).orderBy(
         F.col(flag).asc_nulls_first()
@@ -159,12 +155,12 @@ def _flag_distribution(data, flag: str) -> DataFrame:
 
 def promotion_distribution(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """Q209: rows and share of all rows per promotion flag."""
-    return _flag_distribution(df, "Promotion_Flag")
+    return _flag_distribution(df, "Promotion_Flag", params)
 
 
 def stockout_distribution(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """Q210: rows and share of all rows per stockout flag."""
-    return _flag_distribution(df, "Stockout_Flag")
+    return _flag_distribution(df, "Stockout_Flag", params)
 
 
 def dimension_cardinality(df: DataFrame, params: Params = DEFAULT) -> DataFrame:

@@ -15,6 +15,7 @@ import tempfile
 import threading
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from shelfwise.sources.derive import derive_inventory
 
@@ -115,41 +116,71 @@ def inventory_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def inventory_data(spark: SparkSession, sf_dir: str):
-    """Fact table + its mergeable summary, each derived and written once per application.
+    """Fact table + its mergeable summary + flag profile, derived and written
+    once per application.
 
+    Summary (Supplier x Region x SKU x Warehouse) and flag profile (promotion x
+    stockout flag) come from one pass over the fact table (GROUPING SETS, one
+    shuffle of partial sums); the result is persisted while both are written.
     The summary is stored bucketed by SKU x warehouse (one file per bucket):
     pair- and supplier x pair-level reports then aggregate it without any
     shuffle.  Bucketing the summary cannot concentrate skew - a hot pair has
     only as many summary rows as it has suppliers x regions.
     """
-    from shelfwise.operators.metrics import Inventory, summarize
+    from shelfwise.operators.metrics import (
+        FLAG_KEYS,
+        FLAG_SET_ID,
+        MAIN_SET_ID,
+        SUMMARY_KEYS,
+        Inventory,
+        summarize_both,
+    )
     from shelfwise.schema import PAIR
 
     fact = inventory_table(spark, sf_dir)
     _, name = _label(sf_dir)
     app = app_id(spark)
     key = (app, f"inventory_summary|{name}")
+    flags_key = (app, f"inventory_flags|{name}")
     table = "shelfwise_summary_" + "".join(ch if ch.isalnum() else "_" for ch in name)
     with _LOCK:
         if key not in _TABLES:
             path = scratch_path(spark, "inventory_summary", name)
+            flags_path = scratch_path(spark, "inventory_flags", name)
             n = parallelism(spark)
-            summary = summarize(fact).repartition(n, *PAIR)
+            both = summarize_both(fact).persist()
             try:
-                (
-                    summary.write.mode("overwrite")
-                    .bucketBy(n, *PAIR)
-                    .sortBy(*PAIR)
-                    .option("path", path)
-                    .saveAsTable(table)
+                summary = (
+                    both.filter(F.col("_set") == MAIN_SET_ID)
+                    .drop("_set", *FLAG_KEYS)
+                    .repartition(n, *PAIR)
                 )
-                _TABLES[key] = f"table:{table}"
-            except Exception:  # a session without a writable catalog: plain files
-                summary.write.mode("overwrite").parquet(path)
-                _TABLES[key] = path
+                flags = both.filter(F.col("_set") == FLAG_SET_ID).drop("_set", *SUMMARY_KEYS)
+                flags.coalesce(1).write.mode("overwrite").parquet(flags_path)
+                try:
+                    (
+                        summary.write.mode("overwrite")
+                        .bucketBy(n, *PAIR)
+                        .sortBy(*PAIR)
+                        .option("path", path)
+                        .saveAsTable(table)
+                    )
+                    _TABLES[key] = f"table:{table}"
+                except Exception:  # a session without a writable catalog: plain files
+                    summary.write.mode("overwrite").parquet(path)
+                    _TABLES[key] = path
+            finally:
+                both.unpersist()
+            _TABLES[flags_key] = flags_path
             _ROWS[key] = _read_stored(spark, _TABLES[key]).count()  # table statistic
         stored = _TABLES[key]
-    return Inventory(fact, _read_stored(spark, stored), summary_rows=_ROWS[key])
+        flags_stored = _TABLES[flags_key]
+    return Inventory(
+        fact,
+        _read_stored(spark, stored),
+        summary_rows=_ROWS[key],
+        flags=spark.read.parquet(flags_stored),
+    )
 
 
 def _read_stored(spark: SparkSession, stored: str) -> DataFrame:

@@ -51,14 +51,21 @@ def test_row_checks_read_two_summary_columns(data):
     }
 
 
-def test_fact_report_prunes_scan(data):
-    assert _scan_cols(plan(demand.stockout_risk(data))) == {
-        "Stockout_Flag",
-        "Units_Sold",
-        "Inventory_Level",
-        "Demand_Forecast",
-        "Reorder_Point",
-    }
+def _all_scans(p):
+    return [
+        {c.split("#")[0] for c in m.split(",")}
+        for m in re.findall(r"FileScan parquet [^\[]*\[([^\]]*)\]", p)
+    ]
+
+
+def test_flag_reports_read_the_flag_profile(data):
+    cols = _scan_cols(plan(demand.stockout_risk(data)))
+    assert "Stockout_Flag" in cols and "s_units" in cols
+    assert "SKU_ID" not in cols and "s_margin" not in cols
+
+
+def test_date_counts_read_only_the_date_column_of_the_fact_table(data):
+    assert {"Date"} in _all_scans(plan(quality.span_cardinality(data)))
 
 
 def test_derivation_prunes_lineitem(spark):
