@@ -28,6 +28,8 @@ def shape(plan: str) -> dict[str, object]:
             scans.add("fact")
         elif "inventory_summary" in loc:
             scans.add("summary")
+        elif "inventory_flags" in loc:
+            scans.add("flags")
         else:
             scans.add(os.path.basename(loc.rstrip("/").split(",")[0]).replace(".parquet", "").rstrip("."))
     scans.discard("parquet")
