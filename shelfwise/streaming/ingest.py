@@ -7,7 +7,8 @@ micro-batch:
 
 * ``<out>/fact/batch=<id>``: accepted rows (the fact table, appended);
 * ``<out>/quarantine/batch=<id>``: broken rows with the names of the rules;
-* ``<out>/summary/batch=<id>``: the batch's mergeable partial summary.
+* ``<out>/summary/batch=<id>``: the batch's mergeable partial summary;
+* ``<out>/flags/batch=<id>``: the batch's partial flag profile (same pass).
 
 Each batch overwrites only its own ``batch=<id>`` folder, so a batch replayed
 after a failure (same id, from the checkpoint) replaces its earlier partial
@@ -24,7 +25,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from shelfwise.operators.metrics import SUMMARY_KEYS, Inventory, merge_aggs, summarize
+from shelfwise.operators.metrics import (
+    FLAG_KEYS,
+    FLAG_SET_ID,
+    MAIN_SET_ID,
+    SUMMARY_KEYS,
+    Inventory,
+    merge_aggs,
+    summarize_both,
+)
 from shelfwise.schema import COLUMNS, INVENTORY_SCHEMA
 from shelfwise.sources import contract
 
@@ -54,9 +63,13 @@ def _write_batch(out_dir: str):
             bad = bad.withColumn("violations", F.concat_ws(",", "violations"))
             accepted.write.mode("overwrite").parquet(f"{out_dir}/fact/batch={batch_id}")
             bad.write.mode("overwrite").parquet(f"{out_dir}/quarantine/batch={batch_id}")
-            summarize(accepted).write.mode("overwrite").parquet(
-                f"{out_dir}/summary/batch={batch_id}"
-            )
+            both = summarize_both(accepted)
+            both.filter(F.col("_set") == MAIN_SET_ID).drop("_set", *FLAG_KEYS).write.mode(
+                "overwrite"
+            ).parquet(f"{out_dir}/summary/batch={batch_id}")
+            both.filter(F.col("_set") == FLAG_SET_ID).drop("_set", *SUMMARY_KEYS).write.mode(
+                "overwrite"
+            ).parquet(f"{out_dir}/flags/batch={batch_id}")
         finally:
             batch.unpersist()
 
@@ -86,10 +99,11 @@ def start_ingest(
 
 
 def read_ingested(spark: SparkSession, out_dir: str) -> Inventory:
-    """The ingested fact table and its (partial) summary as an ``Inventory``."""
+    """The ingested fact table with its (partial) summary and flag profile."""
     fact = spark.read.parquet(f"{out_dir}/fact").drop("batch")
     summary = spark.read.parquet(f"{out_dir}/summary").drop("batch")
-    return Inventory(fact, summary)
+    flags = spark.read.parquet(f"{out_dir}/flags").drop("batch")
+    return Inventory(fact, summary, flags=flags)
 
 
 def read_quarantine(spark: SparkSession, out_dir: str) -> DataFrame:

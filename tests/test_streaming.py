@@ -44,6 +44,8 @@ def test_stream_ingest_matches_batch(spark):
         quartile_actions.action_summary,
         quality.warehouse_profile,
         quality.span_cardinality,
+        quality.promotion_distribution,
+        quality.null_counts,
     ):
         assert _rows(op(got)) == _rows(op(batch)), op.__name__
 
