@@ -63,13 +63,14 @@ def _write_batch(out_dir: str):
             bad = bad.withColumn("violations", F.concat_ws(",", "violations"))
             accepted.write.mode("overwrite").parquet(f"{out_dir}/fact/batch={batch_id}")
             bad.write.mode("overwrite").parquet(f"{out_dir}/quarantine/batch={batch_id}")
-            both = summarize_both(accepted)
+            both = summarize_both(accepted).persist()  # key-space sized, used twice
             both.filter(F.col("_set") == MAIN_SET_ID).drop("_set", *FLAG_KEYS).write.mode(
                 "overwrite"
             ).parquet(f"{out_dir}/summary/batch={batch_id}")
             both.filter(F.col("_set") == FLAG_SET_ID).drop("_set", *SUMMARY_KEYS).write.mode(
                 "overwrite"
             ).parquet(f"{out_dir}/flags/batch={batch_id}")
+            both.unpersist()
         finally:
             batch.unpersist()
 
