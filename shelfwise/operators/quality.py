@@ -8,18 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.functions import distinct_count
+from shelfwise.labels import COVERAGE_CHECK, DIMENSIONS
 from shelfwise.operators.common import first_match, ordered, r2, round_half_up
 from shelfwise.operators.metrics import as_inventory, group_metrics
-from shelfwise.labels import COVERAGE_CHECK, DIMENSIONS
+from shelfwise.operators.quality_rules import COMMERCIAL_CHECKS, NULL_COUNT_NAMES, RULE_VIOLATIONS
 from shelfwise.params import DEFAULT, Params
-from shelfwise.operators.quality_rules import (
-    COMMERCIAL_CHECKS,
-    FLAG_COUNTS,
-    NULL_COUNT_NAMES,
-    RULE_VIOLATIONS,
-)
 from shelfwise.schema import COLUMNS, GRAIN
 
+
 def _summed(df, params: Params, names: list[tuple[str, str]]) -> DataFrame:
     """One row of summary-held row counts: (summary column, output name)."""
     m = group_metrics(df, [], *[c for c, _ in names], params=params)

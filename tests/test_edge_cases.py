@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from shelfwise.operators import actions, demand, inventory, quality, quartile_actions, risk, supplier
 from shelfwise.sources import contract
 from shelfwise.sources.loader import with_collation
-from tests.conftest import NULLABLE_SCHEMA, row
+from tests.conftest import NULLABLE_SCHEMA
 
 D1, D2 = dt.date(2024, 1, 1), dt.date(2024, 1, 2)
 
