@@ -6,7 +6,9 @@ part key mod 200 -> SKU, order key mod 5 -> warehouse, the smallest supplier
 key of the day -> supplier, its region -> Region.  The remaining measures are
 integer / decimal formulas of those keys, so Spark and any SQL engine produce
 the same rows (see FIXTURES.md; ``FIXTURE_SQL`` is the same derivation as SQL
-text for the DuckDB oracle).
+text for the DuckDB oracle).  The modulo operations map keys onto the SKU and
+warehouse space; nothing is filtered - every lineitem row contributes to
+exactly one daily snapshot row.
 
 Plan shape: lineitem scan (6 of 11 columns, no filter) -> partial
 HashAggregate on (day, sku, warehouse) -> one shuffle -> final aggregate.
