@@ -15,7 +15,7 @@ from shelfwise.operators import actions, demand, inventory, quality, quartile_ac
 from shelfwise.params import DEFAULT, Params
 from shelfwise.sources import contract
 from shelfwise.sources.catalog import table_inventory
-from shelfwise.sources.store import inventory_data, inventory_table
+from shelfwise.sources.store import inventory_data, inventory_table, source_table
 
 Operator = Callable[[DataFrame, Params], DataFrame]
 
@@ -108,7 +108,7 @@ def ingest_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
 def catalog_table_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """I3: exact row count of every table (source tables + derived fact table)."""
     tables = {
-        name: spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet") for name in SOURCE_TABLES
+        name: source_table(spark, f"{sf_dir.rstrip('/')}/{name}.parquet") for name in SOURCE_TABLES
     }
     tables["inventory_raw"] = inventory_table(spark, sf_dir)
     return table_inventory(tables)

@@ -17,11 +17,16 @@ import threading
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfwise.schema import INVENTORY_SCHEMA
 from shelfwise.sources.derive import derive_inventory
 
 _LOCK = threading.Lock()
 _TABLES: dict[tuple[str, str], str] = {}
 _ROWS: dict[tuple[str, str], int] = {}  # row count of each stored summary
+# One DataFrame handle per stored (immutable) table and application, like a
+# catalog entry: its schema and file listing are resolved once instead of by
+# a schema-inference job on every read.
+_FRAMES: dict[tuple[str, str], DataFrame] = {}
 
 
 def _context(spark: SparkSession):
@@ -86,6 +91,15 @@ def _label(sf_dir: str) -> tuple[str, str]:
     return sf_dir, name
 
 
+def source_table(spark: SparkSession, path: str) -> DataFrame:
+    """A read-only source table, its schema resolved once per application."""
+    key = (app_id(spark), f"source|{path}")
+    with _LOCK:
+        if key not in _FRAMES:
+            _FRAMES[key] = spark.read.parquet(path)
+        return _FRAMES[key]
+
+
 def fact_layout(fact: DataFrame, n: int) -> DataFrame:
     """Write layout of the fact table: n range partitions on (SKU, warehouse,
     date), sorted.  Bounds are sampled on the whole key, so one pair with a
@@ -111,8 +125,12 @@ def inventory_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     def build() -> DataFrame:
         return fact_layout(derive_inventory(spark, src), parallelism(spark))
 
-    path = _materialize(spark, (app, f"inventory_raw|{name}"), build)
-    return spark.read.parquet(path)
+    key = (app, f"inventory_raw|{name}")
+    path = _materialize(spark, key, build)
+    with _LOCK:
+        if key not in _FRAMES:
+            _FRAMES[key] = spark.read.schema(INVENTORY_SCHEMA).parquet(path)
+        return _FRAMES[key]
 
 
 def inventory_data(spark: SparkSession, sf_dir: str):
@@ -172,15 +190,11 @@ def inventory_data(spark: SparkSession, sf_dir: str):
             finally:
                 both.unpersist()
             _TABLES[flags_key] = flags_path
-            _ROWS[key] = _read_stored(spark, _TABLES[key]).count()  # table statistic
-        stored = _TABLES[key]
-        flags_stored = _TABLES[flags_key]
-    return Inventory(
-        fact,
-        _read_stored(spark, stored),
-        summary_rows=_ROWS[key],
-        flags=spark.read.parquet(flags_stored),
-    )
+            _FRAMES[key] = _read_stored(spark, _TABLES[key])
+            _FRAMES[flags_key] = spark.read.parquet(flags_path)
+            _ROWS[key] = _FRAMES[key].count()  # table statistic
+        summary, flags = _FRAMES[key], _FRAMES[flags_key]
+    return Inventory(fact, summary, summary_rows=_ROWS[key], flags=flags)
 
 
 def _read_stored(spark: SparkSession, stored: str) -> DataFrame:
