@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from shelfwise.functions import ratio
 from shelfwise.labels import RISK_STATUS, VOLATILITY_SEGMENT
 from shelfwise.operators.common import first_match, ordered, pair_tiebreak, r2, r3, top
-from shelfwise.operators.metrics import group_metrics
+from shelfwise.operators.metrics import Inventory, group_metrics
 from shelfwise.params import DEFAULT, Params
 from shelfwise.schema import PAIR
 
@@ -73,6 +73,11 @@ def volatility_segments(df, params: Params = DEFAULT) -> DataFrame:
     return ordered(out, [F.col("demand_cv").desc_nulls_last(), "SKU_ID"], df)
 
 
+def _flag_rows(df) -> int | None:
+    """Row count of a stored flag profile (bounds a flag-keyed report), if known."""
+    return df.flag_rows if isinstance(df, Inventory) else None
+
+
 def promotion_impact(df, params: Params = DEFAULT) -> DataFrame:
     """Q405: demand and forecast bias per promotion flag (from the flag profile)."""
     m = group_metrics(
@@ -84,7 +89,7 @@ def promotion_impact(df, params: Params = DEFAULT) -> DataFrame:
         r2("forecast").alias("avg_forecast"),
         r2("forecast_bias").alias("avg_forecast_bias"),
     )
-    return m.orderBy(F.col("Promotion_Flag").asc_nulls_first())
+    return ordered(m, [F.col("Promotion_Flag").asc_nulls_first()], max_rows=_flag_rows(df))
 
 
 def stockout_risk(df, params: Params = DEFAULT) -> DataFrame:
@@ -101,7 +106,7 @@ def stockout_risk(df, params: Params = DEFAULT) -> DataFrame:
         r2("forecast_error").alias("forecast_mae"),
         r2("avg_buffer").alias("avg_inventory_buffer"),
     )
-    return m.orderBy(F.col("Stockout_Flag").asc_nulls_first())
+    return ordered(m, [F.col("Stockout_Flag").asc_nulls_first()], max_rows=_flag_rows(df))
 
 
 def risk_matrix(df, params: Params = DEFAULT) -> DataFrame:

@@ -162,12 +162,14 @@ class Inventory:
         params: Params = DEFAULT,
         summary_rows: int | None = None,
         flags: DataFrame | None = None,
+        flag_rows: int | None = None,
     ):
         self.fact = fact
         self._summary = summary
         self.params = params
         self.summary_rows = summary_rows
         self._flags = flags
+        self.flag_rows = flag_rows  # row count of a stored flag profile
 
     @property
     def summary(self) -> DataFrame:

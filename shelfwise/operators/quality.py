@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfwise.functions import distinct_count
@@ -142,11 +142,16 @@ def _flag_distribution(data, flag: str, params: Params = DEFAULT) -> DataFrame:
     """Rows and share of all rows per flag value, from the flag profile."""
     inv = as_inventory(data, params)
     counts = group_metrics(inv, [flag], "records", params=params)
-    total = inv.flags.agg(F.sum("n")).scalar()  # all rows: a scalar over a few rows
+    bounded = inv.flag_rows is not None and inv.flag_rows <= params.single_task_rows
+    if bounded:
+        # at most flag_rows groups (a stored statistic): the total is a window
+        # over them in one task, and they are sorted in one partition
+        total = F.sum("records").over(Window.partitionBy())
+    else:
+        total = inv.flags.agg(F.sum("n")).scalar()
     share = (F.col("records") * 100).cast("double") / F.nullif(total, F.lit(0)).cast("double")
-    return counts.select(flag, "records", round_half_up(share, 2).alias("percentage")).orderBy(
-        F.col(flag).asc_nulls_first()
-    )
+    out = counts.select(flag, "records", round_half_up(share, 2).alias("percentage"))
+    return ordered(out, [F.col(flag).asc_nulls_first()], max_rows=inv.flag_rows)
 
 
 def promotion_distribution(df: DataFrame, params: Params = DEFAULT) -> DataFrame:

@@ -22,7 +22,7 @@ from shelfwise.sources.derive import derive_inventory
 
 _LOCK = threading.Lock()
 _TABLES: dict[tuple[str, str], str] = {}
-_ROWS: dict[tuple[str, str], int] = {}  # row count of each stored summary
+_ROWS: dict[tuple[str, str], int] = {}  # row count of each stored summary / profile
 # One DataFrame handle per stored (immutable) table and application, like a
 # catalog entry: its schema and file listing are resolved once instead of by
 # a schema-inference job on every read.
@@ -192,9 +192,12 @@ def inventory_data(spark: SparkSession, sf_dir: str):
             _TABLES[flags_key] = flags_path
             _FRAMES[key] = _read_stored(spark, _TABLES[key])
             _FRAMES[flags_key] = spark.read.parquet(flags_path)
-            _ROWS[key] = _FRAMES[key].count()  # table statistic
+            _ROWS[key] = _FRAMES[key].count()  # table statistics
+            _ROWS[flags_key] = _FRAMES[flags_key].count()
         summary, flags = _FRAMES[key], _FRAMES[flags_key]
-    return Inventory(fact, summary, summary_rows=_ROWS[key], flags=flags)
+    return Inventory(
+        fact, summary, summary_rows=_ROWS[key], flags=flags, flag_rows=_ROWS[flags_key]
+    )
 
 
 def _read_stored(spark: SparkSession, stored: str) -> DataFrame:
