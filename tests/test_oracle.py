@@ -47,15 +47,23 @@ def test_entry_smoke(spark):
     ]
 
 
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "date": "DATE"}
+
+
 @pytest.mark.parametrize("key", sorted(E.queries()))
 def test_report_matches_oracle(spark, duck, key):
     sdf = E.queries()[key](spark, SF_SMALL)
     scols = sdf.columns
     srows = sdf.collect()
+    rel = duck.sql(E.oracle_sql()[key])
+    dtypes = dict(zip(rel.columns, [str(t) for t in rel.types]))
     res = duck.execute(E.oracle_sql()[key])
     dcols = [d[0] for d in res.description]
     drows = res.fetchall()
     assert sorted(scols) == sorted(dcols)
+    for f in sdf.schema.fields:  # same column types in both engines
+        t = f.dataType.simpleString()
+        assert dtypes[f.name] == SPARK_TO_DUCK.get(t, t.upper()), (f.name, t, dtypes[f.name])
     si = sorted(range(len(scols)), key=lambda i: scols[i])
     di = sorted(range(len(dcols)), key=lambda i: dcols[i])
     got = sorted(tuple(_norm(r[i]) for i in si) for r in srows)
