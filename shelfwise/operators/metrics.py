@@ -127,6 +127,12 @@ def summarize(fact: DataFrame, params: Params = DEFAULT) -> DataFrame:
     return fact.groupBy(*SUMMARY_KEYS).agg(*summary_aggs(params))
 
 
+def summarize_dates(fact: DataFrame) -> DataFrame:
+    """Date profile: one row per snapshot date (NULL included) with its row count.
+    Reads one column of the fact table; at most one row per calendar day."""
+    return fact.groupBy("Date").agg(F.count(F.lit(1)).alias("n"))
+
+
 def summarize_flags(fact: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """The same mergeable sums per promotion x stockout flag (at most a few rows)."""
     return fact.groupBy(*FLAG_KEYS).agg(*summary_aggs(params))
@@ -163,6 +169,7 @@ class Inventory:
         summary_rows: int | None = None,
         flags: DataFrame | None = None,
         flag_rows: int | None = None,
+        dates: DataFrame | None = None,
     ):
         self.fact = fact
         self._summary = summary
@@ -170,6 +177,7 @@ class Inventory:
         self.summary_rows = summary_rows
         self._flags = flags
         self.flag_rows = flag_rows  # row count of a stored flag profile
+        self._dates = dates
 
     @property
     def summary(self) -> DataFrame:
@@ -177,6 +185,13 @@ class Inventory:
             self._summary = summarize(self.fact, self.params)
         return self._summary
 
+    @property
+    def dates(self) -> DataFrame:
+        """One row per snapshot date with its row count (stored, or derived)."""
+        if self._dates is None:
+            self._dates = summarize_dates(self.fact)
+        return self._dates
+
     @property
     def flags(self) -> DataFrame:
         """Mergeable sums per promotion x stockout flag (stored, or derived)."""

@@ -152,6 +152,7 @@ def inventory_data(spark: SparkSession, sf_dir: str):
         SUMMARY_KEYS,
         Inventory,
         summarize_both,
+        summarize_dates,
     )
     from shelfwise.schema import PAIR
 
@@ -160,6 +161,7 @@ def inventory_data(spark: SparkSession, sf_dir: str):
     app = app_id(spark)
     key = (app, f"inventory_summary|{name}")
     flags_key = (app, f"inventory_flags|{name}")
+    dates_key = (app, f"inventory_dates|{name}")
     table = "shelfwise_summary_" + "".join(ch if ch.isalnum() else "_" for ch in name)
     with _LOCK:
         if key not in _TABLES:
@@ -190,13 +192,21 @@ def inventory_data(spark: SparkSession, sf_dir: str):
             finally:
                 both.unpersist()
             _TABLES[flags_key] = flags_path
+            dates_path = scratch_path(spark, "inventory_dates", name)
+            summarize_dates(fact).coalesce(1).write.mode("overwrite").parquet(dates_path)
+            _FRAMES[dates_key] = spark.read.parquet(dates_path)
             _FRAMES[key] = _read_stored(spark, _TABLES[key])
             _FRAMES[flags_key] = spark.read.parquet(flags_path)
             _ROWS[key] = _FRAMES[key].count()  # table statistics
             _ROWS[flags_key] = _FRAMES[flags_key].count()
-        summary, flags = _FRAMES[key], _FRAMES[flags_key]
+        summary, flags, dates = _FRAMES[key], _FRAMES[flags_key], _FRAMES[dates_key]
     return Inventory(
-        fact, summary, summary_rows=_ROWS[key], flags=flags, flag_rows=_ROWS[flags_key]
+        fact,
+        summary,
+        summary_rows=_ROWS[key],
+        flags=flags,
+        flag_rows=_ROWS[flags_key],
+        dates=dates,
     )
 
 

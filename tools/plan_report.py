@@ -30,6 +30,8 @@ def shape(plan: str) -> dict[str, object]:
             scans.add("summary")
         elif "inventory_flags" in loc:
             scans.add("flags")
+        elif "inventory_dates" in loc:
+            scans.add("dates")
         else:
             scans.add(os.path.basename(loc.rstrip("/").split(",")[0]).replace(".parquet", "").rstrip("."))
     scans.discard("parquet")
