@@ -8,7 +8,8 @@ micro-batch:
 * ``<out>/fact/batch=<id>``: accepted rows (the fact table, appended);
 * ``<out>/quarantine/batch=<id>``: broken rows with the names of the rules;
 * ``<out>/summary/batch=<id>``: the batch's mergeable partial summary;
-* ``<out>/flags/batch=<id>``: the batch's partial flag profile (same pass).
+* ``<out>/flags/batch=<id>``: the batch's partial flag profile (same pass);
+* ``<out>/dates/batch=<id>``: the batch's partial date profile (rows per date).
 
 Each batch overwrites only its own ``batch=<id>`` folder, so a batch replayed
 after a failure (same id, from the checkpoint) replaces its earlier partial
@@ -33,6 +34,7 @@ from shelfwise.operators.metrics import (
     Inventory,
     merge_aggs,
     summarize_both,
+    summarize_dates,
 )
 from shelfwise.schema import COLUMNS, INVENTORY_SCHEMA
 from shelfwise.sources import contract
@@ -71,6 +73,9 @@ def _write_batch(out_dir: str):
                 "overwrite"
             ).parquet(f"{out_dir}/flags/batch={batch_id}")
             both.unpersist()
+            summarize_dates(accepted).write.mode("overwrite").parquet(
+                f"{out_dir}/dates/batch={batch_id}"
+            )
         finally:
             batch.unpersist()
 
@@ -104,7 +109,13 @@ def read_ingested(spark: SparkSession, out_dir: str) -> Inventory:
     fact = spark.read.parquet(f"{out_dir}/fact").drop("batch")
     summary = spark.read.parquet(f"{out_dir}/summary").drop("batch")
     flags = spark.read.parquet(f"{out_dir}/flags").drop("batch")
-    return Inventory(fact, summary, flags=flags)
+    # a date can arrive in several batches: merge the partial date profiles
+    dates = (
+        spark.read.parquet(f"{out_dir}/dates")
+        .groupBy("Date")
+        .agg(F.sum("n").alias("n"))
+    )
+    return Inventory(fact, summary, flags=flags, dates=dates)
 
 
 def read_quarantine(spark: SparkSession, out_dir: str) -> DataFrame:

@@ -26,7 +26,18 @@ def test_stream_ingest_matches_batch(spark):
     fact.filter(F.year("Date") < half).write.parquet(f"{src}/part1")
     # one broken row arrives with the second file
     bad = fact.limit(1).withColumn("Unit_Cost", F.lit(Decimal("0.00")).cast("decimal(10,2)"))
-    fact.filter(F.year("Date") >= half).unionByName(bad).write.parquet(f"{src}/part2")
+    # the second file repeats one day of the first, so a date spans two batches
+    first_day = fact.filter(F.year("Date") < half).agg(F.min("Date")).first()[0]
+    overlap = (
+        fact.filter(F.col("Date") == first_day)
+        .orderBy("SKU_ID", "Warehouse_ID")
+        .limit(1)
+        .withColumn("Warehouse_ID", F.lit("WH_9"))
+    )
+    fact.filter(F.year("Date") >= half).unionByName(bad).unionByName(overlap).write.parquet(
+        f"{src}/part2"
+    )
+    fact = fact.unionByName(overlap)
 
     q = start_ingest(spark, f"{src}/*", out, ckpt)
     q.awaitTermination(300)
@@ -46,6 +57,8 @@ def test_stream_ingest_matches_batch(spark):
         quality.span_cardinality,
         quality.promotion_distribution,
         quality.null_counts,
+        quality.coverage,
+        quality.summary,
     ):
         assert _rows(op(got)) == _rows(op(batch)), op.__name__
 
