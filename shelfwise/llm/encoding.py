@@ -2,16 +2,32 @@
 
 The ids of a text are those of its white-space chunks, one after the other, so
 each task encodes a chunk once and keeps its ids as bytes in a bounded table.
+A new chunk is normalised, split into the tokenizer's words and handed to the
+tokenizer's own BPE model word by word; chunks beyond Latin letters go through
+the whole tokenizer.
 """
 
 from __future__ import annotations
 
 import os
-from collections.abc import Iterable
+import re
+from array import array
+from collections.abc import Iterable, Iterator
 
-#: A task's chunk table is emptied when it holds so many chunks; longer chunks are not kept.
+#: A task's table starts anew at so many chunks and drops those not met again by the next time; longer chunks are not kept.
 KEPT_CHUNKS, KEPT_LENGTH = 400_000, 64
 
+#: The word pattern of the tokenizer (a fixed value of its file), for chunks without white space.
+_ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+_ASCII_PLAIN = re.compile(r"[!-~]+")
+_LATIN_PLAIN = re.compile("[!-~¡-ɏ]+")
+
+
+def word_bpe_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
 
 def _chunks(text: str | None) -> list[str]:
     text = text or ""
@@ -20,37 +36,73 @@ def _chunks(text: str | None) -> list[str]:
     return text.split(" ")
 
 
-def word_bpe_path() -> str:
-    import public_tokenizers
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable bytes for themselves, the rest from 256 up."""
+    own = [*range(ord("!"), ord("~") + 1), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
-    return public_tokenizers.path("word_bpe_49k.json")
+
+class _Words(dict):
+    """word -> its ids as bytes, filled on demand."""
+
+    def __init__(self, model) -> None:
+        self._model = model
+        self._letters = _byte_letters()
+
+    def __missing__(self, word: str) -> bytes:
+        known = word if word.isascii() else "".join(map(self._letters.__getitem__, word.encode()))
+        ids = array("I", [t.id for t in self._model.tokenize(known)]).tobytes()
+        if len(word) <= KEPT_LENGTH:
+            self[word] = ids
+        return ids
+
+
+class _ChunkIds(dict):
+    """chunk without white space -> its ids as bytes, filled on demand."""
+
+    def __init__(self, tokenizer) -> None:
+        import regex
+
+        self._tokenizer = tokenizer
+        self._normalizer = tokenizer.normalizer
+        self._words = _Words(tokenizer.model)
+        self._older: dict[str, bytes] = {}
+        self._latin_words = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+
+    def __missing__(self, chunk: str) -> bytes:
+        if chunk in self._older:
+            ids = self._older[chunk]
+        elif _ASCII_PLAIN.fullmatch(chunk):
+            ids = b"".join(map(self._words.__getitem__, _ASCII_WORDS.findall(chunk.lower())))
+        elif _LATIN_PLAIN.fullmatch(chunk):
+            ids = b"".join(map(self._words.__getitem__, self._latin_words.findall(self._normalizer.normalize_str(chunk))))
+        else:
+            ids = array("I", self._tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
+        if len(chunk) <= KEPT_LENGTH:
+            self[chunk] = ids
+        return ids
+
+    def trim(self) -> None:
+        if len(self) > KEPT_CHUNKS:
+            self._older = dict(self)
+            self.clear()
+            self._words.clear()
 
 
 class ChunkEncoder:
-    """Encodes batches of texts to little-endian unsigned 32-bit ids, without special tokens."""
+    """Encodes texts to unsigned 32-bit ids (machine order, little-endian here), without special tokens."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self._ids: dict[str, bytes] = {"": b""}
-
-    def encode(self, texts: Iterable[str | None]) -> Iterable[bytes]:
-        import numpy as np
+        tokenizer = Tokenizer.from_file(path)
+        tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self._ids = _ChunkIds(tokenizer)
 
+    def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
+        known = self._ids
         for text in texts:
-            chunks = _chunks(text)
-            if len(self._ids) > KEPT_CHUNKS:
-                self._ids = {"": b""}
-            known = self._ids
-            new = [c for c in set(chunks) if c not in known]
-            once: dict[str, bytes] = {}
-            if new:
-                for chunk, e in zip(new, self._tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                    (known if len(chunk) <= KEPT_LENGTH else once)[chunk] = np.asarray(e.ids, "<u4").tobytes()
-            if once:
-                yield b"".join([known[c] if c in known else once[c] for c in chunks])
-            else:
-                yield b"".join(map(known.__getitem__, chunks))
+            known.trim()
+            yield b"".join(map(known.__getitem__, _chunks(text)))
