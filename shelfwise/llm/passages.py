@@ -31,7 +31,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import bound_batches, written
+from shelfwise.llm.common import bound_batches, free_name, written
 from shelfwise.llm.jaccard_join import _Order, _frequent
 
 K, MIN_WORDS, NUMERATOR, DENOMINATOR = 5, 50, 80, 100
@@ -296,7 +296,7 @@ def without_repeats(docs: DataFrame, **how) -> DataFrame:
     Cut passages leave no trace but their white space; n_chars, where it is a column, follows. A
     document whose every word is cut goes.
     """
-    name = "_cut_words"
+    name = free_name(docs.columns, "cut_words")
     spans = repeats(docs, **how).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("first_word", "last_word"))).alias(name))
     joined = docs.join(spans, "doc_id", "left").select(*docs.columns, name)
     columns = docs.columns

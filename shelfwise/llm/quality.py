@@ -21,8 +21,9 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from shelfwise.llm.common import bound_batches
+from shelfwise.llm.common import bound_batches, free_name
 
 #: Labelled documents used for fitting, at most, and chunks of each.
 SAMPLE, CHUNKS = 6000, 6
@@ -227,11 +228,11 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> ByteNet:
     return fit([r[2] for r in rows], np.array([r[1] for r in rows], float), np.array([r[0] for r in rows], np.int64))
 
 
-def scored(docs: DataFrame, net: ByteNet) -> DataFrame:
-    """``docs`` (doc_id, text, any others) with column score, one row each."""
-    bound_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(net)  # some 30 KB
-    name = "score"
+def scored(docs: DataFrame, net: ByteNet, name: str = "score") -> DataFrame:
+    """``docs`` (doc_id, text, any others but ``name``) with column ``name``, one row each."""
+    spark = docs.sparkSession
+    bound_batches(spark)
+    shared = spark.sparkContext.broadcast(net)  # some 30 KB
 
     def score(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -240,8 +241,14 @@ def scored(docs: DataFrame, net: ByteNet) -> DataFrame:
             texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
             yield batch.append_column(name, pa.array(shared.value.score(texts), pa.float64()))
 
-    docs = docs.drop(name).withColumn("text", F.col("text").cast("string"))
-    return docs.mapInArrow(score, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", {name} double")
+    docs = docs.withColumn("text", F.col("text").cast("string"))
+    return docs.mapInArrow(score, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
+
+
+def without_rejected(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """``docs`` without the documents that the classifier scores below ``threshold``."""
+    name = free_name(docs.columns, "score")
+    return scored(docs, train(docs, labels), name).filter(F.col(name) >= threshold).select(docs.columns)
 
 
 def op5(spark, sf_dir: str) -> DataFrame:

@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_quality_classifier": quality.op5,
         "op7_jaccard_join": jaccard_join.op7,
         "op10_packing": packing.op10,
+        "pipeline": _pipeline,
     }
 
 
