@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Rows per Arrow batch handed to a Python task, so that a batch of long texts stays small.
 BATCH_ROWS = 2000
+#: Bits of a map of repeated keys (8 MB, whatever the input): a hint for a scan, which then exchanges little more than those keys.
+MAP_BITS = 1 << 26
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -49,6 +51,17 @@ def free_name(columns: list[str], name: str) -> str:
     return name
 
 
+def bit_map(keys: DataFrame) -> bytes:
+    """MAP_BITS bits; bit (key mod MAP_BITS, key unsigned) is set for every key given. Its size never grows."""
+    bit = F.col("key").bitwiseAND(F.lit(MAP_BITS - 1))
+    word = keys.select((bit / 32768).cast("int").alias("word"), (bit % 32768).alias("place")).groupBy("word").agg(F.bitmap_construct_agg("place").alias("bits"))
+    rows = word.collect()  # at most MAP_BITS / 32768 rows of 4 KB
+    out = bytearray(MAP_BITS // 8)
+    for r in rows:
+        out[r.word * 4096 : r.word * 4096 + len(r.bits)] = r.bits
+    return bytes(out)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges`` (a, b: long): (id, component), component = smallest id reachable.
 

@@ -31,7 +31,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import bound_batches, free_name, written
+from shelfwise.llm.common import MAP_BITS, bit_map, bound_batches, free_name, written
 from shelfwise.llm.jaccard_join import _Order, _frequent
 
 K, MIN_WORDS, NUMERATOR, DENOMINATOR = 5, 50, 80, 100
@@ -39,8 +39,6 @@ HASHES, SHIFT = 3, 2
 SEEDS = (0x2545F4914F6CDD1D, 0x9FB21C651E98DF25, 0xD1B54A32D192ED03)
 #: Members of a group dealt to one task.
 PART = 4096
-#: Bits of the map of repeated signatures (8 MB): a hint for the scan only.
-MAP_BITS = 1 << 26
 
 WINDOWS = "key long, hi long, lo long, doc_id long, c long, left int, around array<int>"
 
@@ -247,7 +245,7 @@ def repeats(docs: DataFrame, k: int = K, min_words: int = MIN_WORDS, numerator:
     docs = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     order = spark.sparkContext.broadcast(_frequent(docs, k))
     again = _keys(docs, order, k, span).groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    bits = spark.sparkContext.broadcast(_bit_map(again))
+    bits = spark.sparkContext.broadcast(bit_map(again))
     found = written(_repeated(docs, order, bits, k, span))
 
     members = found.groupBy("key", "hi", "lo").agg(
@@ -279,17 +277,6 @@ def repeats(docs: DataFrame, k: int = K, min_words: int = MIN_WORDS, numerator:
     )
 
 
-def _bit_map(keys: DataFrame) -> bytes:
-    """MAP_BITS bits; bit (key mod MAP_BITS, key unsigned) is set for every key given. Its size never grows."""
-    bit = F.col("key").bitwiseAND(F.lit(MAP_BITS - 1))
-    word = keys.select((bit / 32768).cast("int").alias("word"), (bit % 32768).alias("place")).groupBy("word").agg(F.bitmap_construct_agg("place").alias("bits"))
-    rows = word.collect()  # at most MAP_BITS / 32768 rows of 4 KB
-    out = bytearray(MAP_BITS // 8)
-    for r in rows:
-        out[r.word * 4096 : r.word * 4096 + len(r.bits)] = r.bits
-    return bytes(out)
-
-
 def without_repeats(docs: DataFrame, **how) -> DataFrame:
     """``docs`` (doc_id, text, n_chars, any others) without the passages that repeat an earlier document's.
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfwise.llm import jaccard_join, packing, passages, quality, token_counts
+from shelfwise.llm import exact_substrings, jaccard_join, packing, passages, quality, token_counts
 
 
 def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_substring_dedup": passages.op4,
         "op5_quality_classifier": quality.op5,
         "op7_jaccard_join": jaccard_join.op7,
+        "op9_suffix_array_dedup": exact_substrings.op9,
         "op10_packing": packing.op10,
         "pipeline": _pipeline,
     }
