@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfwise.llm import exact_substrings, jaccard_join, packing, passages, quality, token_counts
+from shelfwise.llm import exact_substrings, jaccard_join, neighbours, packing, passages, quality, token_counts
 
 
 def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +17,7 @@ def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_neighbours": neighbours.op1,
         "op2_token_counts": token_counts.op2,
         "op4_substring_dedup": passages.op4,
         "op5_quality_classifier": quality.op5,
