@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfwise.llm import exact_substrings, jaccard_join, neighbours, packing, passages, quality, token_counts
+from shelfwise.llm import edit_fingerprints, exact_substrings, html_text, jaccard_join, neighbours, packing, passages, quality, token_counts
 
 
 def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,9 +19,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_neighbours": neighbours.op1,
         "op2_token_counts": token_counts.op2,
+        "op3_html_extraction": html_text.op3,
         "op4_substring_dedup": passages.op4,
         "op5_quality_classifier": quality.op5,
         "op7_jaccard_join": jaccard_join.op7,
+        "op8_fingerprints": edit_fingerprints.op8,
         "op9_suffix_array_dedup": exact_substrings.op9,
         "op10_packing": packing.op10,
         "pipeline": _pipeline,
