@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfwise.llm import edit_fingerprints, exact_substrings, html_text, jaccard_join, neighbours, packing, passages, quality, token_counts
+from shelfwise.llm import edit_fingerprints, exact_substrings, html_text, jaccard_join, neighbours, packing, passages, piece_sampling, quality, token_counts
 
 
 def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_html_extraction": html_text.op3,
         "op4_substring_dedup": passages.op4,
         "op5_quality_classifier": quality.op5,
+        "op6_piece_sampling": piece_sampling.op6,
         "op7_jaccard_join": jaccard_join.op7,
         "op8_fingerprints": edit_fingerprints.op8,
         "op9_suffix_array_dedup": exact_substrings.op9,
