@@ -75,7 +75,6 @@ def action_matrix(df, params: Params = DEFAULT) -> DataFrame:
     return ordered(
         out,
         ["_rank", F.col("inventory_value").desc(), *pair_tiebreak()],
-        df,
     ).drop("_rank")
 
 
@@ -116,7 +115,7 @@ def warehouse_priorities(df, params: Params = DEFAULT) -> DataFrame:
         pct("stockout_rate").alias("stockout_rate"),
         priority.alias("warehouse_priority"),
     )
-    return ordered(out, [F.col("inventory_value").desc(), "Warehouse_ID"], df)
+    return ordered(out, [F.col("inventory_value").desc(), "Warehouse_ID"])
 
 
 def opportunity_by_action(df, params: Params = DEFAULT) -> DataFrame:
@@ -129,8 +128,6 @@ def opportunity_by_action(df, params: Params = DEFAULT) -> DataFrame:
     return ordered(
         out,
         [F.col("estimated_inventory_value").desc_nulls_last(), "action_type"],
-        df,
-        max_rows=3,
     )
 
 

@@ -24,26 +24,8 @@ def pct(x) -> Column:
     return round_half_up(F.lit(100) * (F.col(x) if isinstance(x, str) else x), 2)
 
 
-def ordered(
-    df: DataFrame, order: Sequence[Column], data=None, max_rows: int | None = None
-) -> DataFrame:
-    """ORDER BY for a report.
-
-    A global sort samples range bounds in an extra job.  When the result has
-    a proven row bound (``max_rows``, or the stored summary's row count for a
-    report grouped from the summary) no larger than
-    ``Params.single_task_rows``, the rows are sorted in one partition instead;
-    otherwise the sort is range-partitioned across the cluster.
-    """
-    from shelfwise.operators.metrics import Inventory
-    from shelfwise.params import DEFAULT
-
-    limit = data.params.single_task_rows if isinstance(data, Inventory) else DEFAULT.single_task_rows
-    bound = max_rows
-    if bound is None and isinstance(data, Inventory):
-        bound = data.summary_rows
-    if bound is not None and bound <= limit:
-        return df.repartition(1).sortWithinPartitions(*order)
+def ordered(df: DataFrame, order: Sequence[Column]) -> DataFrame:
+    """ORDER BY for a report: range-partitioned whatever its size (AQE merges small ranges)."""
     return df.orderBy(*order)
 
 

@@ -39,7 +39,7 @@ def sku_volatility(df, params: Params = DEFAULT) -> DataFrame:
         r3("demand_cv").alias("demand_cv"),
         "total_demand",
     )
-    return ordered(m, [F.col("demand_cv").desc_nulls_last(), "SKU_ID"], df)
+    return ordered(m, [F.col("demand_cv").desc_nulls_last(), "SKU_ID"])
 
 
 def pair_forecast_accuracy(df, params: Params = DEFAULT) -> DataFrame:
@@ -70,12 +70,7 @@ def volatility_segments(df, params: Params = DEFAULT) -> DataFrame:
         r3(cv).alias("demand_cv"),
         seg.alias("volatility_segment"),
     )
-    return ordered(out, [F.col("demand_cv").desc_nulls_last(), "SKU_ID"], df)
-
-
-def _flag_rows(df) -> int | None:
-    """Row count of a stored flag profile (bounds a flag-keyed report), if known."""
-    return df.flag_rows if isinstance(df, Inventory) else None
+    return ordered(out, [F.col("demand_cv").desc_nulls_last(), "SKU_ID"])
 
 
 def promotion_impact(df, params: Params = DEFAULT) -> DataFrame:
@@ -89,7 +84,7 @@ def promotion_impact(df, params: Params = DEFAULT) -> DataFrame:
         r2("forecast").alias("avg_forecast"),
         r2("forecast_bias").alias("avg_forecast_bias"),
     )
-    return ordered(m, [F.col("Promotion_Flag").asc_nulls_first()], max_rows=_flag_rows(df))
+    return ordered(m, [F.col("Promotion_Flag").asc_nulls_first()])
 
 
 def stockout_risk(df, params: Params = DEFAULT) -> DataFrame:
@@ -106,7 +101,7 @@ def stockout_risk(df, params: Params = DEFAULT) -> DataFrame:
         r2("forecast_error").alias("forecast_mae"),
         r2("avg_buffer").alias("avg_inventory_buffer"),
     )
-    return ordered(m, [F.col("Stockout_Flag").asc_nulls_first()], max_rows=_flag_rows(df))
+    return ordered(m, [F.col("Stockout_Flag").asc_nulls_first()])
 
 
 def risk_matrix(df, params: Params = DEFAULT) -> DataFrame:
@@ -133,5 +128,4 @@ def risk_matrix(df, params: Params = DEFAULT) -> DataFrame:
     return ordered(
         out,
         ["_severity", F.col("demand_cv").desc_nulls_last(), *pair_tiebreak()],
-        df,
     ).drop("_severity")

@@ -15,7 +15,7 @@ from shelfwise.labels import (
 )
 from shelfwise.operators.common import first_match, money, ordered, pair_tiebreak, r2, r3, top
 from shelfwise.operators.metrics import as_inventory, group_metrics
-from shelfwise.operators.ranking import with_grand_total, with_running_sum
+from shelfwise.operators.ranking import with_running_sum
 from shelfwise.params import DEFAULT, Params
 from shelfwise.schema import PAIR
 
@@ -54,7 +54,7 @@ def warehouse_efficiency(df, params: Params = DEFAULT) -> DataFrame:
         money("inventory_value").alias("inventory_value"),
         r2(ratio("total_demand", "inventory")).alias("inventory_turnover"),
     )
-    return ordered(m, [F.col("inventory_value").desc(), "Warehouse_ID"], df)
+    return ordered(m, [F.col("inventory_value").desc(), "Warehouse_ID"])
 
 
 def pair_profile(df, params: Params = DEFAULT) -> DataFrame:
@@ -89,7 +89,7 @@ def coverage_risk(df, params: Params = DEFAULT) -> DataFrame:
         r2(c - lt).alias("cover_above_lead_time"),
         status.alias("coverage_status"),
     )
-    return ordered(out, [F.col("days_of_cover").desc_nulls_last(), *pair_tiebreak()], df)
+    return ordered(out, [F.col("days_of_cover").desc_nulls_last(), *pair_tiebreak()])
 
 
 def reorder_buffer(df, params: Params = DEFAULT) -> DataFrame:
@@ -108,7 +108,7 @@ def reorder_buffer(df, params: Params = DEFAULT) -> DataFrame:
         r2((inv - rop) * F.col("unit_cost")).alias("buffer_value"),
         status.alias("buffer_status"),
     )
-    return ordered(out, [F.col("buffer_value").desc_nulls_last(), *pair_tiebreak()], df)
+    return ordered(out, [F.col("buffer_value").desc_nulls_last(), *pair_tiebreak()])
 
 
 def abc_concentration(df, params: Params = DEFAULT) -> DataFrame:
@@ -121,8 +121,7 @@ def abc_concentration(df, params: Params = DEFAULT) -> DataFrame:
         "inventory_value", "value"
     )
     order = [F.col("value").desc_nulls_last(), F.col("SKU_ID").asc()]
-    ranked = with_running_sum(sku, "value", order, "cumulative", params, row_bound=inv.summary_rows)
-    ranked = with_grand_total(ranked, sku, "value", "total")
+    ranked = with_running_sum(sku, "value", order, "cumulative", params, total="total")
     total = F.nullif(F.col("total"), F.lit(0)).cast("double")
     share = F.col("cumulative").cast("double") / total
     segment = first_match([share <= params.abc_a_share, share <= params.abc_b_share], VALUE_SEGMENT)
@@ -135,7 +134,7 @@ def abc_concentration(df, params: Params = DEFAULT) -> DataFrame:
         ),
         segment.alias("value_segment"),
     )
-    return ordered(out, [F.col("inventory_value").desc_nulls_last(), "SKU_ID"], df)
+    return ordered(out, [F.col("inventory_value").desc_nulls_last(), "SKU_ID"])
 
 
 def replenishment_efficiency(df, params: Params = DEFAULT) -> DataFrame:
@@ -158,7 +157,6 @@ def replenishment_efficiency(df, params: Params = DEFAULT) -> DataFrame:
     return ordered(
         out,
         [F.col("replenishment_to_demand_ratio").desc_nulls_last(), *pair_tiebreak()],
-        df,
     )
 
 
@@ -190,4 +188,4 @@ def priority_ranking(df, params: Params = DEFAULT) -> DataFrame:
     )
     return ordered(out, [F.col("inventory_priority_score").desc(),
         F.col("inventory_value").desc(),
-        *pair_tiebreak()], df)
+        *pair_tiebreak()])

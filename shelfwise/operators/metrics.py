@@ -138,17 +138,15 @@ def summarize_flags(fact: DataFrame, params: Params = DEFAULT) -> DataFrame:
     return fact.groupBy(*FLAG_KEYS).agg(*summary_aggs(params))
 
 
-# grouping_id of each grouping set in summarize_both (bit set = column not grouped)
-MAIN_SET_ID = (1 << len(FLAG_KEYS)) - 1
-FLAG_SET_ID = ((1 << len(SUMMARY_KEYS)) - 1) << len(FLAG_KEYS)
+def summarize_by_flag(fact: DataFrame, params: Params = DEFAULT) -> DataFrame:
+    """Mergeable sums per summary key and flags: one aggregate of the fact table
+    from which the summary and the flag profile are both merged."""
+    return fact.groupBy(*SUMMARY_KEYS, *FLAG_KEYS).agg(*summary_aggs(params))
 
 
-def summarize_both(fact: DataFrame, params: Params = DEFAULT) -> DataFrame:
-    """Summary and flag profile from one pass: GROUPING SETS over the two key
-    sets, one shuffle; ``_set`` tells the rows apart (MAIN_SET_ID / FLAG_SET_ID)."""
-    return fact.groupingSets(
-        [SUMMARY_KEYS, FLAG_KEYS], *SUMMARY_KEYS, *FLAG_KEYS
-    ).agg(*summary_aggs(params), F.grouping_id().alias("_set"))
+def merged(parts: DataFrame, keys: list[str], params: Params = DEFAULT) -> DataFrame:
+    """Mergeable sums at a coarser grain."""
+    return parts.groupBy(*keys).agg(*merge_aggs(params))
 
 
 class Inventory:
@@ -157,26 +155,21 @@ class Inventory:
     ``summary`` is derived lazily from ``fact`` unless a stored summary is
     given (``sources.store.inventory_data``).  Of all ``Params`` only
     ``overstock_rop_multiple`` enters the summary (row-level excess value); a
-    stored summary is valid for the value it was built with.  ``summary_rows`` is the row
-    count of a stored summary (a table statistic, taken once when it was
-    written); any grouping of the summary has at most that many rows."""
+    report asked for with another value is summarised from the fact table
+    again (``as_inventory``)."""
 
     def __init__(
         self,
         fact: DataFrame,
         summary: DataFrame | None = None,
         params: Params = DEFAULT,
-        summary_rows: int | None = None,
         flags: DataFrame | None = None,
-        flag_rows: int | None = None,
         dates: DataFrame | None = None,
     ):
         self.fact = fact
         self._summary = summary
         self.params = params
-        self.summary_rows = summary_rows
         self._flags = flags
-        self.flag_rows = flag_rows  # row count of a stored flag profile
         self._dates = dates
 
     @property
@@ -200,8 +193,12 @@ class Inventory:
         return self._flags
 
 
-def as_inventory(data, params: Params = DEFAULT) -> Inventory:
-    return data if isinstance(data, Inventory) else Inventory(data, params=params)
+def as_inventory(data, params: Params | None = None) -> Inventory:
+    if not isinstance(data, Inventory):
+        return Inventory(data, params=params or DEFAULT)
+    if params is not None and params.overstock_rop_multiple != data.params.overstock_rop_multiple:
+        return Inventory(data.fact, params=params, dates=data.dates)
+    return data
 
 
 def _mean(name: str) -> str:

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shelfwise.functions import distinct_count
 from shelfwise.labels import COVERAGE_CHECK, DIMENSIONS
@@ -81,15 +82,27 @@ def duplicate_groups(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     hashes per task), only rows whose hash repeats are kept (semi join; AQE
     broadcasts the repeated hashes when they are few, sort-merge otherwise),
     and the exact GROUP BY runs on those rows alone.  Hash collisions only add
-    candidates; the final GROUP BY removes them.
+    candidates; the final GROUP BY removes them.  A 64-bit hash does not follow
+    a collation, so collated keys go to the GROUP BY directly.
     """
+    if any(_collated(df, c) for c in keys):
+        return _repeated_groups(df, keys)
     h = F.xxhash64(*[F.col(c) for c in keys]).alias("_h")
     repeated = (
         df.select(h).groupBy("_h").count().filter(F.col("count") > 1).select("_h")
     )
     candidates = df.withColumn("_h", h).join(repeated, "_h", "left_semi").drop("_h")
+    return _repeated_groups(candidates, keys)
+
+
+def _collated(df: DataFrame, column: str) -> bool:
+    kind = df.schema[column].dataType
+    return isinstance(kind, T.StringType) and kind.simpleString() != "string"
+
+
+def _repeated_groups(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return (
-        candidates.groupBy(*keys)
+        df.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("record_count"))
         .filter(F.col("record_count") > 1)
     )
@@ -142,16 +155,10 @@ def _flag_distribution(data, flag: str, params: Params = DEFAULT) -> DataFrame:
     """Rows and share of all rows per flag value, from the flag profile."""
     inv = as_inventory(data, params)
     counts = group_metrics(inv, [flag], "records", params=params)
-    bounded = inv.flag_rows is not None and inv.flag_rows <= params.single_task_rows
-    if bounded:
-        # at most flag_rows groups (a stored statistic): the total is a window
-        # over them in one task, and they are sorted in one partition
-        total = F.sum("records").over(Window.partitionBy())
-    else:
-        total = inv.flags.agg(F.sum("n")).scalar()
+    total = inv.flags.agg(F.sum("n")).scalar()
     share = (F.col("records") * 100).cast("double") / F.nullif(total, F.lit(0)).cast("double")
     out = counts.select(flag, "records", round_half_up(share, 2).alias("percentage"))
-    return ordered(out, [F.col(flag).asc_nulls_first()], max_rows=inv.flag_rows)
+    return ordered(out, [F.col(flag).asc_nulls_first()])
 
 
 def promotion_distribution(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
@@ -191,7 +198,7 @@ def warehouse_profile(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
         r2("avg_order_all").alias("avg_order_quantity"),
         r2("avg_row_value").alias("avg_inventory_value"),
     )
-    return ordered(m, [F.col("avg_inventory_value").desc_nulls_last(), "Warehouse_ID"], df)
+    return ordered(m, [F.col("avg_inventory_value").desc_nulls_last(), "Warehouse_ID"])
 
 
 def sku_profile(df: DataFrame, params: Params = DEFAULT) -> DataFrame:

@@ -35,7 +35,7 @@ def with_cover_quartile(df, params: Params = DEFAULT, *extra: str) -> DataFrame:
     )
     order = [F.col("cover").asc_nulls_first(), *pair_tiebreak()]
     return with_ntile(
-        m, params.cover_quantiles, order, "cover_quartile", params, row_bound=inv.summary_rows
+        m, params.cover_quantiles, order, "cover_quartile", params
     )
 
 
@@ -85,7 +85,7 @@ def warehouse_concentration(df, params: Params = DEFAULT) -> DataFrame:
         r2("lead_time").alias("avg_lead_time"),
         "stockout_days",
     )
-    return ordered(m, [F.col("inventory_value").desc(), "Warehouse_ID"], df)
+    return ordered(m, [F.col("inventory_value").desc(), "Warehouse_ID"])
 
 
 def excess_inventory(df, params: Params = DEFAULT) -> DataFrame:
@@ -101,7 +101,7 @@ def excess_inventory(df, params: Params = DEFAULT) -> DataFrame:
         r2("forecast").alias("forecast"),
         action.alias("action"),
     )
-    return ordered(out, [F.col("inventory_value").desc(), *pair_tiebreak()], df)
+    return ordered(out, [F.col("inventory_value").desc(), *pair_tiebreak()])
 
 
 def action_summary(df, params: Params = DEFAULT) -> DataFrame:
@@ -119,8 +119,6 @@ def action_summary(df, params: Params = DEFAULT) -> DataFrame:
     return ordered(
         out,
         [F.col("inventory_value").desc_nulls_last(), "management_action"],
-        df,
-        max_rows=4,
     )
 
 

@@ -18,11 +18,8 @@ row into one task (``Exchange SinglePartition``).  The distributed path:
 5. global row number = offset + position; running sum = offset + running sum
    inside the partition.
 
-``Params.global_window="builtin"`` uses Spark's Window instead; same result.
-``"auto"`` (default) uses the single-task Window only for a proven small
-input: a known upper bound of its rows (the stored summary's row count,
-passed as ``row_bound``) or, without one, a count - at most
-``Params.single_task_rows``.  Larger inputs take the distributed path.
+``Params.global_window="builtin"`` uses Spark's Window instead, with the same
+result: a comparator for tests, since all rows meet in one task.
 """
 
 from __future__ import annotations
@@ -44,18 +41,6 @@ def _partitions(df: DataFrame, params: Params) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def _single_task(df: DataFrame, params: Params, row_bound: int | None) -> bool:
-    """Use the one-task Window only for a proven small input: a known upper
-    bound of its rows (e.g. the stored summary's row count) or a count."""
-    if params.global_window == "builtin":
-        return True
-    if params.global_window == "distributed":
-        return False
-    if row_bound is not None and row_bound <= params.single_task_rows:
-        return True
-    return df.count() <= params.single_task_rows
-
-
 def _positioned(df: DataFrame, order: Sequence[Column], params: Params) -> DataFrame:
     """df + _pid, _pos (0-based position inside its range partition), checkpointed."""
     ensure_checkpoint_dir(df.sparkSession)
@@ -89,6 +74,7 @@ def _offsets(tagged: DataFrame, value: str | None) -> DataFrame:
         cols += [
             F.sum("_s").over(before).alias("_off_s"),
             F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off_c"),
+            F.sum("_s").over(everything).alias("_total_s"),
         ]
     # at most one row per range partition: a bounded broadcast
     return per.select(*cols)
@@ -113,10 +99,9 @@ def with_ntile(
     order: Sequence[Column],
     out: str,
     params: Params = DEFAULT,
-    row_bound: int | None = None,
 ) -> DataFrame:
     """df + ``out`` = NTILE(k) OVER (ORDER BY order); order must be a total order."""
-    if _single_task(df, params, row_bound):
+    if params.global_window == "builtin":
         return df.withColumn(out, F.ntile(k).over(Window.orderBy(*order)))
     tagged = _positioned(df, order, params)
     offs = F.broadcast(_offsets(tagged, None))
@@ -134,12 +119,14 @@ def with_running_sum(
     order: Sequence[Column],
     out: str,
     params: Params = DEFAULT,
-    row_bound: int | None = None,
+    total: str | None = None,
 ) -> DataFrame:
-    """df + ``out`` = SUM(value) OVER (ORDER BY order ROWS UNBOUNDED PRECEDING)."""
-    if _single_task(df, params, row_bound):
+    """df + ``out`` = SUM(value) OVER (ORDER BY order ROWS UNBOUNDED PRECEDING);
+    with ``total``, also the sum over all rows in a column of that name."""
+    if params.global_window == "builtin":
         w = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return df.withColumn(out, F.sum(value).over(w))
+        df = df.withColumn(out, F.sum(value).over(w))
+        return df.withColumn(total, F.sum(value).over(Window.partitionBy())) if total else df
     tagged = _positioned(df, order, params)
     offs = F.broadcast(_offsets(tagged, value))
     inside = Window.partitionBy("_pid").orderBy("_pos").rowsBetween(
@@ -151,13 +138,7 @@ def with_running_sum(
     running = F.coalesce(F.col("_off_s"), F.lit(0)) + F.coalesce(
         F.sum(value).over(inside), F.lit(0)
     )
-    return (
-        tagged.join(offs, "_pid")
-        .withColumn(out, F.when(seen > 0, running))
-        .drop("_pid", "_pos", "_off_n", "_total_n", "_off_s", "_off_c")
-    )
-
-
-def with_grand_total(df: DataFrame, source: DataFrame, value: str, out: str) -> DataFrame:
-    """df + ``out`` = SUM(source.value) over all rows, as a scalar subquery."""
-    return df.withColumn(out, source.agg(F.sum(value)).scalar())
+    summed = tagged.join(offs, "_pid").withColumn(out, F.when(seen > 0, running))
+    if total:
+        summed = summed.withColumn(total, F.col("_total_s"))
+    return summed.drop("_pid", "_pos", "_off_n", "_total_n", "_off_s", "_off_c", "_total_s")

@@ -32,7 +32,7 @@ def pair_profile(df, params: Params = DEFAULT) -> DataFrame:
         money("inventory_value").alias("inventory_value"),
         status.alias("inventory_status"),
     )
-    return ordered(out, [F.col("inventory_value").desc(), *pair_tiebreak()], df)
+    return ordered(out, [F.col("inventory_value").desc(), *pair_tiebreak()])
 
 
 def understock_exposure(df, params: Params = DEFAULT) -> DataFrame:
@@ -45,7 +45,7 @@ def understock_exposure(df, params: Params = DEFAULT) -> DataFrame:
         r2("avg_gap").alias("inventory_gap"),
         r2("gap_value").alias("estimated_gap_value"),
     )
-    return ordered(out, [F.col("estimated_gap_value").desc_nulls_last(), *pair_tiebreak()], df)
+    return ordered(out, [F.col("estimated_gap_value").desc_nulls_last(), *pair_tiebreak()])
 
 
 def overstock_exposure(df, params: Params = DEFAULT) -> DataFrame:
@@ -61,7 +61,7 @@ def overstock_exposure(df, params: Params = DEFAULT) -> DataFrame:
         r2("cover").alias("days_of_cover"),
         r2("excess_value").alias("excess_inventory_value"),
     )
-    return ordered(out, [F.col("excess_inventory_value").desc_nulls_last(), *pair_tiebreak()], df)
+    return ordered(out, [F.col("excess_inventory_value").desc_nulls_last(), *pair_tiebreak()])
 
 
 def stockout(df, params: Params = DEFAULT) -> DataFrame:
@@ -81,7 +81,6 @@ def stockout(df, params: Params = DEFAULT) -> DataFrame:
     return ordered(
         out,
         [F.col("stockout_rate").desc(), F.col("stockout_days").desc(), *pair_tiebreak()],
-        df,
     )
 
 
@@ -109,7 +108,6 @@ def composite_score(df, params: Params = DEFAULT) -> DataFrame:
     return ordered(
         out,
         [F.col("risk_score").desc_nulls_last(), F.col("inventory_value").desc(), *pair_tiebreak()],
-        df,
     )
 
 
@@ -138,6 +136,4 @@ def opportunity_summary(df, params: Params = DEFAULT) -> DataFrame:
     return ordered(
         out,
         [F.col("estimated_opportunity_value").desc_nulls_last(), "inventory_status"],
-        df,
-        max_rows=3,
     )

@@ -41,7 +41,7 @@ def profile(df, params: Params = DEFAULT) -> DataFrame:
         "replenishment_events",
         r2("unit_cost").alias("avg_unit_cost"),
     )
-    return ordered(m, [F.col("avg_lead_time").desc_nulls_last(), "Supplier_ID"], df)
+    return ordered(m, [F.col("avg_lead_time").desc_nulls_last(), "Supplier_ID"])
 
 
 def replenishment_efficiency(df, params: Params = DEFAULT) -> DataFrame:
@@ -62,7 +62,7 @@ def replenishment_efficiency(df, params: Params = DEFAULT) -> DataFrame:
         r3(rr).alias("replenishment_ratio"),
         status.alias("replenishment_status"),
     )
-    return ordered(out, [F.col("replenishment_ratio").desc_nulls_last(), "Supplier_ID"], df)
+    return ordered(out, [F.col("replenishment_ratio").desc_nulls_last(), "Supplier_ID"])
 
 
 def lead_time_risk(df, params: Params = DEFAULT) -> DataFrame:
@@ -81,7 +81,7 @@ def lead_time_risk(df, params: Params = DEFAULT) -> DataFrame:
         "max_lead_time",
         risk.alias("lead_time_risk"),
     )
-    return ordered(out, [F.col("avg_lead_time").desc_nulls_last(), "Supplier_ID"], df)
+    return ordered(out, [F.col("avg_lead_time").desc_nulls_last(), "Supplier_ID"])
 
 
 def replenishment_gaps(df, params: Params = DEFAULT) -> DataFrame:
@@ -98,7 +98,7 @@ def replenishment_gaps(df, params: Params = DEFAULT) -> DataFrame:
         "replenishment_events",
         r3(rr).alias("replenishment_ratio"),
     )
-    return ordered(out, [F.col("replenishment_ratio").asc_nulls_first(), *pair_tiebreak()], df)
+    return ordered(out, [F.col("replenishment_ratio").asc_nulls_first(), *pair_tiebreak()])
 
 
 def high_risk_combinations(df, params: Params = DEFAULT) -> DataFrame:
@@ -115,4 +115,4 @@ def high_risk_combinations(df, params: Params = DEFAULT) -> DataFrame:
         r2(c).alias("days_of_cover"),
         risk.alias("supply_risk"),
     )
-    return ordered(out, [F.col("days_of_cover").asc_nulls_first(), *keys], df)
+    return ordered(out, [F.col("days_of_cover").asc_nulls_first(), *keys])

@@ -42,13 +42,9 @@ class Params:
     # no shuffle of the distinct values themselves).
     approx_distinct: bool = False
     # Global (un-partitioned) windows: "distributed" uses range partitioning
-    # plus per-partition offsets; "builtin" uses Spark's single-partition
-    # Window; "auto" uses the single task only for a proven small input (a
-    # known row bound such as the stored summary's row count, or a count) of
-    # at most ``single_task_rows`` rows; the same bound decides whether a
-    # report's final sort runs in one partition.
-    global_window: str = "auto"
-    single_task_rows: int = 1_000_000
+    # plus per-partition offsets, whatever the input size; "builtin" uses
+    # Spark's single-partition Window (a comparator for tests).
+    global_window: str = "distributed"
     # Range partitions for the distributed path; None = session's
     # spark.sql.shuffle.partitions.
     window_partitions: int | None = None

@@ -10,11 +10,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from shelfwise.operators import actions, demand, inventory, quality, quartile_actions, risk, supplier
 from shelfwise.params import DEFAULT, Params
-from shelfwise.sources import contract
+from shelfwise.sources import contract, variants
 from shelfwise.sources.catalog import table_inventory
+from shelfwise.sources.loader import with_collation
 from shelfwise.sources.store import inventory_data, inventory_table, source_table
 
 Operator = Callable[[DataFrame, Params], DataFrame]
@@ -105,6 +107,40 @@ def ingest_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contract.quarantine_report(inventory_table(spark, sf_dir))
 
 
+def _dirty(key: str) -> Callable[[SparkSession, str], DataFrame]:
+    """A quality report over the table with broken and repeated rows."""
+    return lambda spark, sf_dir: REPORTS[key][1](variants.stored_dirty_inventory(spark, sf_dir), DEFAULT)
+
+
+def dirty_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """I2 over the table with broken rows."""
+    return contract.quarantine_report(variants.stored_dirty_inventory(spark, sf_dir))
+
+
+def ingest_typed_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """I1: the fact table read back from CSV with its fixed schema, checked by its sums per warehouse."""
+    return (
+        variants.typed_copy(spark, sf_dir)
+        .groupBy("Warehouse_ID")
+        .agg(
+            F.count("*").alias("records"),
+            F.min("Date").alias("first_date"),
+            F.max("Date").alias("last_date"),
+            F.sum("Units_Sold").alias("units"),
+            F.sum(F.col("Unit_Cost") * F.col("Inventory_Level")).cast("decimal(38,2)").alias("inventory_value"),
+        )
+    )
+
+
+def ingest_collated_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """I4: keys that differ in case and accents only, grouped under a collation."""
+    mixed = with_collation(variants.mixed_case_inventory(inventory_table(spark, sf_dir)))
+    keys = ["SKU_ID", "Warehouse_ID"]
+    grouped = mixed.withColumnsRenamed({c: f"_{c}" for c in keys}).groupBy(*[f"_{c}" for c in keys])
+    out = grouped.agg(F.count("*").alias("records"), F.sum("Units_Sold").alias("units"), *[F.min(f"_{c}").alias(c) for c in keys])
+    return out.select(*[F.translate(F.lower(F.collate(c, "UTF8_BINARY")), "ĥ", "h").alias(c) for c in keys], "records", "units")
+
+
 def catalog_table_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """I3: exact row count of every table (source tables + derived fact table)."""
     tables = {
@@ -118,6 +154,14 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         "ingest_quarantine": ingest_quarantine,
         "catalog_table_rows": catalog_table_rows,
+        "ingest_typed_csv": ingest_typed_csv,
+        "ingest_collated_keys": ingest_collated_keys,
+        "dirty_quarantine": dirty_quarantine,
+        "dirty_null_counts": _dirty("dq_null_counts"),
+        "dirty_full_row_duplicates": _dirty("dq_full_row_duplicates"),
+        "dirty_business_key_duplicates": _dirty("dq_business_key_duplicates"),
+        "dirty_rule_violations": _dirty("dq_rule_violations"),
+        "dirty_commercial_logic": _dirty("dq_commercial_logic"),
     }
     for key in REPORTS:
         out[key] = lambda spark, sf_dir, _k=key: run(spark, _k, sf_dir)

@@ -9,24 +9,10 @@ from pyspark.sql import functions as F
 
 
 def table_inventory(tables: dict[str, DataFrame]) -> DataFrame:
-    """One row (table_name, table_rows) per table.
-
-    All scans run in one job: each table contributes only its name per row
-    (no data column is read), one grouped count over the union folds them
-    map-side, and a left join onto the list of names keeps empty tables
-    (0 rows)."""
-    spark = next(iter(tables.values())).sparkSession
-    rows = reduce(
-        DataFrame.unionByName,
-        [df.select(F.lit(name).alias("table_name")) for name, df in tables.items()],
-    )
-    counts = rows.groupBy("table_name").agg(F.count(F.lit(1)).alias("table_rows"))
-    names = spark.createDataFrame([(n,) for n in sorted(tables)], "table_name string")
-    return (
-        names.join(counts, "table_name", "left")
-        .select("table_name", F.coalesce("table_rows", F.lit(0).cast("bigint")).alias("table_rows"))
-        .orderBy("table_name")
-    )
+    """One row (table_name, table_rows) per table: a count of each (no data column
+    is read, one row per table and task is exchanged), and the union of them."""
+    counts = [df.agg(F.count(F.lit(1)).alias("table_rows")).select(F.lit(name).alias("table_name"), "table_rows") for name, df in tables.items()]
+    return reduce(DataFrame.unionAll, counts).orderBy("table_name")
 
 
 def catalog_inventory(spark, database: str | None = None) -> DataFrame:

@@ -2,17 +2,18 @@
 
 The inventory scripts ship no data, so the fact table is derived from
 ``lineitem`` (+ ``supplier``, ``nation``, ``region``): ship date -> Date,
-part key mod 200 -> SKU, order key mod 5 -> warehouse, the smallest supplier
-key of the day -> supplier, its region -> Region.  The remaining measures are
+part key -> SKU, order key mod 5 -> warehouse, the day's (smallest) supplier
+key -> supplier, its region -> Region.  SKUs and suppliers are whole keys, so
+the fact table, its pairs and their summary grow with the input; a day's SKU
+and warehouse nearly always have one line.  The remaining measures are
 integer / decimal formulas of those keys, so Spark and any SQL engine produce
 the same rows (see FIXTURES.md; ``FIXTURE_SQL`` is the same derivation as SQL
-text for the DuckDB oracle).  The modulo operations map keys onto the SKU and
-warehouse space; nothing is filtered - every lineitem row contributes to
-exactly one daily snapshot row.
+text for the DuckDB oracle).  Nothing is filtered: every lineitem row
+contributes to exactly one daily snapshot row, and a supplier, nation or
+region that is unknown leaves Region NULL for the row contract to find.
 
 Plan shape: lineitem scan (6 of 11 columns, no filter) -> partial
 HashAggregate on (day, sku, warehouse) -> one shuffle -> final aggregate.
-The aggregate has at most days x 200 x 5 rows, whatever the lineitem size.
 No join is hinted: ``supplier`` grows with scale, so the planner picks a
 broadcast from its size (``spark.sql.autoBroadcastJoinThreshold``, AQE at
 run time) and a sort-merge join beyond it; ``nation`` / ``region`` are
@@ -43,19 +44,20 @@ def derive_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
 def derive_from_frames(lineitem, supplier, nation, region) -> DataFrame:
     src = lineitem.select(
         F.col("l_shipdate").cast("date").alias("d"),
-        (F.col("l_partkey") % 200).cast("int").alias("p"),
+        F.col("l_partkey").cast("bigint").alias("pk"),
         (F.col("l_orderkey") % 5).cast("int").alias("w"),
         F.col("l_quantity").cast("int").alias("q"),
-        F.col("l_suppkey").cast("int").alias("sk"),
+        F.col("l_suppkey").cast("bigint").alias("sk"),
         F.when(F.col("l_discount") >= 0.08, 1).otherwise(0).alias("promo"),
     )
     grain = (
-        src.groupBy("d", "p", "w")
+        src.groupBy("d", "pk", "w")
         .agg(
             F.sum("q").cast("int").alias("q"),
             F.min("sk").alias("sk"),
             F.max("promo").alias("promo"),
         )
+        .withColumn("p", (F.col("pk") % 200).cast("int"))
         .withColumn(
             "t",
             (F.year("d") * 372 + F.month("d") * 31 + F.dayofmonth("d")).cast("int"),
@@ -66,16 +68,18 @@ def derive_from_frames(lineitem, supplier, nation, region) -> DataFrame:
     # whenever it is small and fall back to sort-merge join when it is not.
     p, w, t, q = F.col("p"), F.col("w"), F.col("t"), F.col("q")
     keyed = (
-        grain.join(supplier, grain.sk == supplier.s_suppkey)
-        .join(nation, F.col("s_nationkey") == nation.n_nationkey)
-        .join(region, F.col("n_regionkey") == region.r_regionkey)
+        grain.join(supplier, grain.sk == supplier.s_suppkey, "left")
+        .join(nation, F.col("s_nationkey") == nation.n_nationkey, "left")
+        .join(region, F.col("n_regionkey") == region.r_regionkey, "left")
     ).select(
         "d",
+        "pk",
+        "sk",
         "p",
         "w",
         "t",
         "promo",
-        (F.col("sk") % 10).alias("sup"),
+        (F.col("sk") % 10).cast("int").alias("sup"),
         F.col("r_name").alias("reg"),
         F.when(p == 199, 0)
         .when(((p % 20) == 3) & ((t % 5) == 0), 0)
@@ -97,9 +101,9 @@ def derive_from_frames(lineitem, supplier, nation, region) -> DataFrame:
     )
     out = stocked.select(
         F.col("d").alias("Date"),
-        F.concat(F.lit("SKU_"), (1000 + p).cast("string")).alias("SKU_ID"),
+        F.concat(F.lit("SKU_"), (1000 + F.col("pk")).cast("string")).alias("SKU_ID"),
         F.concat(F.lit("WH_"), (1 + w).cast("string")).alias("Warehouse_ID"),
-        F.concat(F.lit("SUP_"), (10 + sup).cast("string")).alias("Supplier_ID"),
+        F.concat(F.lit("SUP_"), (10 + F.col("sk")).cast("string")).alias("Supplier_ID"),
         F.col("reg").alias("Region"),
         units.cast("int").alias("Units_Sold"),
         F.col("inv").cast("int").alias("Inventory_Level"),
@@ -130,24 +134,24 @@ def derive_from_frames(lineitem, supplier, nation, region) -> DataFrame:
 # oracle queries.
 FIXTURE_SQL = """
 WITH src AS (
-  SELECT CAST(l_shipdate AS DATE) AS d, CAST(l_partkey % 200 AS INT) AS p, CAST(l_orderkey % 5 AS INT) AS w,
-         CAST(l_quantity AS INT) AS q, CAST(l_suppkey AS INT) AS sk,
+  SELECT CAST(l_shipdate AS DATE) AS d, CAST(l_partkey AS BIGINT) AS pk, CAST(l_orderkey % 5 AS INT) AS w,
+         CAST(l_quantity AS INT) AS q, CAST(l_suppkey AS BIGINT) AS sk,
          CASE WHEN l_discount >= 0.08 THEN 1 ELSE 0 END AS promo
   FROM lineitem
 ), grain AS (
-  SELECT d, p, w, CAST(SUM(q) AS INT) AS q, MIN(sk) AS sk, MAX(promo) AS promo,
+  SELECT d, pk, CAST(pk % 200 AS INT) AS p, w, CAST(SUM(q) AS INT) AS q, MIN(sk) AS sk, MAX(promo) AS promo,
          CAST(YEAR(d) * 372 + MONTH(d) * 31 + DAY(d) AS INT) AS t
-  FROM src GROUP BY d, p, w
+  FROM src GROUP BY d, pk, w
 ), keyed AS (
-  SELECT g.*, g.sk % 10 AS sup, r.r_name AS reg,
+  SELECT g.*, CAST(g.sk % 10 AS INT) AS sup, r.r_name AS reg,
          CASE WHEN g.p = 199 THEN 0
               WHEN g.p % 20 = 3 AND g.t % 5 = 0 THEN 0
               ELSE g.p % 10 + g.q END AS units,
          20 + (g.p * 13 + g.w * 29) % 400 AS rop
   FROM grain g
-  JOIN supplier s ON s.s_suppkey = g.sk
-  JOIN nation n ON n.n_nationkey = s.s_nationkey
-  JOIN region r ON r.r_regionkey = n.n_regionkey
+  LEFT JOIN supplier s ON s.s_suppkey = g.sk
+  LEFT JOIN nation n ON n.n_nationkey = s.s_nationkey
+  LEFT JOIN region r ON r.r_regionkey = n.n_regionkey
 ), stocked AS (
   SELECT k.*,
          CASE WHEN p % 4 = 1 AND w < 3 AND t % 11 = 0 THEN 0
@@ -155,9 +159,9 @@ WITH src AS (
   FROM keyed k
 )
 SELECT d AS Date,
-       CONCAT('SKU_', CAST(1000 + p AS VARCHAR(20))) AS SKU_ID,
+       CONCAT('SKU_', CAST(1000 + pk AS VARCHAR(20))) AS SKU_ID,
        CONCAT('WH_', CAST(1 + w AS VARCHAR(20))) AS Warehouse_ID,
-       CONCAT('SUP_', CAST(10 + sup AS VARCHAR(20))) AS Supplier_ID,
+       CONCAT('SUP_', CAST(10 + sk AS VARCHAR(20))) AS Supplier_ID,
        reg AS Region,
        units AS Units_Sold,
        inv AS Inventory_Level,

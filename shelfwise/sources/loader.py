@@ -25,7 +25,8 @@ def read_inventory(
 ) -> DataFrame:
     reader = spark.read.schema(INVENTORY_SCHEMA)
     if fmt == "csv":
-        reader = reader.option("header", header).option("dateFormat", "yyyy-MM-dd")
+        # columns are bound by the header's names, and a header that differs is an error
+        reader = reader.option("header", header).option("dateFormat", "yyyy-MM-dd").option("enforceSchema", not header)
     df = reader.format(fmt).load(path)
     return with_collation(df, collation) if collation else df.select(*COLUMNS)
 

@@ -1,28 +1,34 @@
-"""Materialise the derived fact table once per application.
-
-The reference keeps ``inventory_raw`` as a stored table that every script
-scans.  We do the same: the table is derived from the source tables once, written as
-Parquet under the session's ``spark.checkpoint.dir`` (a shared folder on a
-cluster), and each query scans that file.  The checkpoint folder is read from
-the session; only when it is unset (tests, a bare local session) a fresh
-scratch folder is created and registered.
+"""Stored inventory tables: the fact table, its mergeable summary, flag and date profiles.
+
+``store_inventory(fact, path)`` writes the four tables under a folder once and
+``open_inventory(spark, path)`` reads them in any later application; every
+report then reads the small tables instead of scanning the fact table.
+``inventory_data(spark, sf_dir)`` does so for the fact table derived from the
+source tables, in a folder of the application under ``spark.checkpoint.dir`` (a
+shared folder on a cluster).  Where that setting is missing, a local session
+(tests) gets a folder of its own and a cluster an error.
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
+import math
 import os
 import tempfile
 import threading
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from shelfwise.schema import INVENTORY_SCHEMA
+from shelfwise.params import DEFAULT, Params
+from shelfwise.schema import COLUMNS, INVENTORY_SCHEMA, PAIR
 from shelfwise.sources.derive import derive_inventory
 
+#: Rows of a file of the stored fact table or summary, from which the number of files follows.
+ROWS_PER_FILE = 1_000_000
+
 _LOCK = threading.Lock()
-_TABLES: dict[tuple[str, str], str] = {}
-_ROWS: dict[tuple[str, str], int] = {}  # row count of each stored summary / profile
+_PATHS: dict[tuple[str, str], str] = {}
 # One DataFrame handle per stored (immutable) table and application, like a
 # catalog entry: its schema and file listing are resolved once instead of by
 # a schema-inference job on every read.
@@ -42,23 +48,25 @@ def app_id(spark: SparkSession) -> str:
     return sc.applicationId if sc is not None else spark.conf.get("spark.app.id", "remote")
 
 
-def parallelism(spark: SparkSession) -> int:
+def files_for(spark: SparkSession, rows: int) -> int:
+    """Files for a stored table of so many rows: by size, at least one per core of a small cluster."""
     sc = _context(spark)
-    if sc is not None:
-        return sc.defaultParallelism
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cores = sc.defaultParallelism if sc is not None else 1
+    return max(min(cores, 64), math.ceil(rows / ROWS_PER_FILE))
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared checkpoint folder of this session (set one only if unset)."""
+    """The shared checkpoint folder of this session; only a local session may lack the setting."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     sc = _context(spark)
     if not root and sc is not None:
         root = sc.getCheckpointDir()
     if not root:
-        root = tempfile.mkdtemp(prefix="run-", dir=tempfile.gettempdir())
-        if sc is not None:
-            sc.setCheckpointDir(root)
+        master = sc.master if sc is not None else "remote"
+        if not master.startswith("local[") and master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="run-")
+        sc.setCheckpointDir(root)
     return root
 
 
@@ -70,25 +78,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def scratch_path(spark: SparkSession, *parts: str) -> str:
-    app = app_id(spark)
-    return "/".join([checkpoint_root(spark).rstrip("/"), f"shelfwise-{app}", *parts])
-
-
-def _materialize(spark: SparkSession, key: tuple[str, str], build) -> str:
-    with _LOCK:
-        path = _TABLES.get(key)
-        if path is None:
-            app, label = key
-            path = scratch_path(spark, *label.split("|"))
-            build().write.mode("overwrite").parquet(path)
-            _TABLES[key] = path
-    return path
+    return "/".join([checkpoint_root(spark).rstrip("/"), f"shelfwise-{app_id(spark)}", *parts])
 
 
 def _label(sf_dir: str) -> tuple[str, str]:
-    sf_dir = os.path.abspath(sf_dir) if "://" not in sf_dir else sf_dir
-    name = sf_dir.rstrip("/").replace("/", "_").replace(":", "_").strip("_")
-    return sf_dir, name
+    """The folder's full path and a name that no other path has."""
+    sf_dir = os.path.abspath(sf_dir) if "://" not in sf_dir else sf_dir.rstrip("/")
+    return sf_dir, hashlib.sha256(sf_dir.encode()).hexdigest()[:24]
 
 
 def source_table(spark: SparkSession, path: str) -> DataFrame:
@@ -111,106 +107,112 @@ def fact_layout(fact: DataFrame, n: int) -> DataFrame:
 def inventory_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The inventory fact table derived from ``sf_dir``, written once, then scanned.
 
-    Layout: range-partitioned and sorted by SKU, warehouse, date into as many
-    files as the cluster has cores.  Each file holds a contiguous run of
-    pairs, so map-side partial aggregation by pair folds almost everything
-    before the shuffle, and Parquet min/max statistics prune files on SKU.
-    Range bounds are sampled on the full (SKU, warehouse, date) key, so a pair
-    holding a third of all rows is split across files by date instead of
-    landing in one write task.
+    Layout: range-partitioned and sorted by SKU, warehouse, date, so that each
+    file holds a contiguous run of pairs: map-side partial aggregation by pair
+    folds almost everything before the shuffle, and Parquet min/max statistics
+    prune files on SKU.  Range bounds are sampled on the full key, so a pair
+    holding a third of all rows is split across files by date.
     """
     src, name = _label(sf_dir)
-    app = app_id(spark)
-
-    def build() -> DataFrame:
-        return fact_layout(derive_inventory(spark, src), parallelism(spark))
-
-    key = (app, f"inventory_raw|{name}")
-    path = _materialize(spark, key, build)
+    key = (app_id(spark), f"fact|{name}")
     with _LOCK:
         if key not in _FRAMES:
+            path = scratch_path(spark, name, "fact")
+            # at most a fact row for each row of the source
+            rows = spark.read.parquet(f"{src}/lineitem.parquet").count()
+            fact_layout(derive_inventory(spark, src), files_for(spark, rows)).write.mode("overwrite").parquet(path)
+            _PATHS[key] = path
             _FRAMES[key] = spark.read.schema(INVENTORY_SCHEMA).parquet(path)
         return _FRAMES[key]
 
 
-def inventory_data(spark: SparkSession, sf_dir: str):
-    """Fact table + its mergeable summary + flag profile, derived and written
-    once per application.
-
-    Summary (Supplier x Region x SKU x Warehouse) and flag profile (promotion x
-    stockout flag) come from one pass over the fact table (GROUPING SETS, one
-    shuffle of partial sums); the result is persisted while both are written.
-    The summary is stored bucketed by SKU x warehouse (one file per bucket):
-    pair- and supplier x pair-level reports then aggregate it without any
-    shuffle.  Bucketing the summary cannot concentrate skew - a hot pair has
-    only as many summary rows as it has suppliers x regions.
+def store_inventory(fact: DataFrame, path: str, params: Params = DEFAULT, *, copy_fact: bool = True) -> None:
+    """Write ``fact`` (unless it is stored already) and its aggregates under ``path``.
+
+    One aggregate of the fact table by summary key and flags gives both the
+    summary (Supplier x Region x SKU x Warehouse) and the flag profile; one
+    narrow aggregate gives the date profile.  The summary is bucketed by pair (one
+    file per bucket): reports by pair, or by supplier and pair, aggregate it without
+    a shuffle.  Bucketing cannot concentrate skew here: a hot pair has only as many
+    summary rows as it has suppliers x regions.  A manifest is written last: a folder
+    without one is not a stored inventory.
     """
-    from shelfwise.operators.metrics import (
-        FLAG_KEYS,
-        FLAG_SET_ID,
-        MAIN_SET_ID,
-        SUMMARY_KEYS,
-        Inventory,
-        summarize_both,
-        summarize_dates,
+    from shelfwise.operators.metrics import FLAG_KEYS, SUMMARY_KEYS, merged, summarize_by_flag, summarize_dates
+
+    spark, path = fact.sparkSession, path.rstrip("/")
+    if copy_fact:
+        kept = fact.select(*COLUMNS)
+        fact_layout(kept, files_for(spark, kept.count())).write.mode("overwrite").parquet(f"{path}/fact")
+        fact = spark.read.schema(kept.schema).parquet(f"{path}/fact")
+    summarize_by_flag(fact, params).write.mode("overwrite").parquet(f"{path}/by_flag")
+    parts = spark.read.parquet(f"{path}/by_flag")
+    n = files_for(spark, parts.count())
+    table = _summary_table(spark, path)
+    spark.sql(f"DROP TABLE IF EXISTS {table}")
+    summary = merged(parts, SUMMARY_KEYS, params).repartition(n, *PAIR).write.mode("overwrite")
+    summary.bucketBy(n, *PAIR).sortBy(*PAIR).option("path", f"{path}/summary").saveAsTable(table)
+    merged(parts, FLAG_KEYS, params).repartition(1).write.mode("overwrite").parquet(f"{path}/flags")
+    summarize_dates(fact).repartition(1).write.mode("overwrite").parquet(f"{path}/dates")
+    manifest = {"overstock_rop_multiple": params.overstock_rop_multiple, "fact": copy_fact, "files": n}
+    spark.createDataFrame([(json.dumps(manifest),)], "manifest string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
+
+
+def _summary_table(spark: SparkSession, path: str) -> str:
+    """Catalog name of the summary stored under ``path``: one per full path and application."""
+    return "shelfwise_summary_" + hashlib.sha256(f"{app_id(spark)} {path}".encode()).hexdigest()[:24]
+
+
+def open_inventory(spark: SparkSession, path: str, fact: DataFrame | None = None):
+    """The inventory stored under ``path``, by this or any earlier application."""
+    from dataclasses import replace
+
+    from shelfwise.operators.metrics import Inventory
+
+    path = path.rstrip("/")
+    manifest = json.loads(spark.read.text(f"{path}/manifest").first()[0])
+    if fact is None:
+        fact = spark.read.parquet(f"{path}/fact")
+    params = replace(DEFAULT, overstock_rop_multiple=manifest["overstock_rop_multiple"])
+    table = _summary_table(spark, path)
+    if not spark.catalog.tableExists(table):
+        keys = ", ".join(PAIR)
+        columns = spark.read.parquet(f"{path}/summary").schema.toDDL()
+        spark.sql(
+            f"CREATE TABLE {table} ({columns}) USING parquet CLUSTERED BY ({keys}) SORTED BY ({keys})"
+            f" INTO {manifest['files']} BUCKETS LOCATION '{path}/summary'"
+        )
+    return Inventory(
+        fact,
+        spark.table(table),
+        params,
+        flags=spark.read.parquet(f"{path}/flags"),
+        dates=spark.read.parquet(f"{path}/dates"),
     )
-    from shelfwise.schema import PAIR
 
+
+def inventory_data(spark: SparkSession, sf_dir: str):
+    """Derived fact table with its stored summary, flag and date profiles, built
+    once per application."""
     fact = inventory_table(spark, sf_dir)
     _, name = _label(sf_dir)
-    app = app_id(spark)
-    key = (app, f"inventory_summary|{name}")
-    flags_key = (app, f"inventory_flags|{name}")
-    dates_key = (app, f"inventory_dates|{name}")
-    table = "shelfwise_summary_" + "".join(ch if ch.isalnum() else "_" for ch in name)
+    key = (app_id(spark), f"inventory|{name}")
     with _LOCK:
-        if key not in _TABLES:
-            path = scratch_path(spark, "inventory_summary", name)
-            flags_path = scratch_path(spark, "inventory_flags", name)
-            n = parallelism(spark)
-            both = summarize_both(fact).persist()
-            try:
-                summary = (
-                    both.filter(F.col("_set") == MAIN_SET_ID)
-                    .drop("_set", *FLAG_KEYS)
-                    .repartition(n, *PAIR)
-                )
-                flags = both.filter(F.col("_set") == FLAG_SET_ID).drop("_set", *SUMMARY_KEYS)
-                flags.coalesce(1).write.mode("overwrite").parquet(flags_path)
-                try:
-                    (
-                        summary.write.mode("overwrite")
-                        .bucketBy(n, *PAIR)
-                        .sortBy(*PAIR)
-                        .option("path", path)
-                        .saveAsTable(table)
-                    )
-                    _TABLES[key] = f"table:{table}"
-                except Exception:  # a session without a writable catalog: plain files
-                    summary.write.mode("overwrite").parquet(path)
-                    _TABLES[key] = path
-            finally:
-                both.unpersist()
-            _TABLES[flags_key] = flags_path
-            dates_path = scratch_path(spark, "inventory_dates", name)
-            summarize_dates(fact).coalesce(1).write.mode("overwrite").parquet(dates_path)
-            _FRAMES[dates_key] = spark.read.parquet(dates_path)
-            _FRAMES[key] = _read_stored(spark, _TABLES[key])
-            _FRAMES[flags_key] = spark.read.parquet(flags_path)
-            _ROWS[key] = _FRAMES[key].count()  # table statistics
-            _ROWS[flags_key] = _FRAMES[flags_key].count()
-        summary, flags, dates = _FRAMES[key], _FRAMES[flags_key], _FRAMES[dates_key]
-    return Inventory(
-        fact,
-        summary,
-        summary_rows=_ROWS[key],
-        flags=flags,
-        flag_rows=_ROWS[flags_key],
-        dates=dates,
-    )
+        if key not in _FRAMES:
+            path = scratch_path(spark, name, "aggregates")
+            store_inventory(fact, path, copy_fact=False)
+            _FRAMES[key] = open_inventory(spark, path, fact)
+        return _FRAMES[key]
 
 
-def _read_stored(spark: SparkSession, stored: str) -> DataFrame:
-    if stored.startswith("table:"):
-        return spark.table(stored[len("table:"):])
-    return spark.read.parquet(stored)
+def derived_path(spark: SparkSession, sf_dir: str, what: str, build, fmt: str = "parquet") -> str:
+    """Folder of a table derived from the fact table of ``sf_dir``, written once per application."""
+    _, name = _label(sf_dir)
+    key = (app_id(spark), f"{what}|{name}")
+    df = build() if key not in _PATHS else None
+    with _LOCK:
+        if key not in _PATHS:
+            path = scratch_path(spark, name, what)
+            writer = df.write.mode("overwrite")
+            (writer.option("header", True) if fmt == "csv" else writer).format(fmt).save(path)
+            _PATHS[key] = path
+        return _PATHS[key]

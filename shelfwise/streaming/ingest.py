@@ -28,12 +28,10 @@ from pyspark.sql.streaming import StreamingQuery
 
 from shelfwise.operators.metrics import (
     FLAG_KEYS,
-    FLAG_SET_ID,
-    MAIN_SET_ID,
     SUMMARY_KEYS,
     Inventory,
-    merge_aggs,
-    summarize_both,
+    merged,
+    summarize_by_flag,
     summarize_dates,
 )
 from shelfwise.schema import COLUMNS, INVENTORY_SCHEMA
@@ -46,7 +44,7 @@ def snapshot_stream(
     """Streaming DataFrame of snapshot rows (fixed schema, checked)."""
     reader = spark.readStream.schema(INVENTORY_SCHEMA).format(fmt)
     if fmt == "csv":
-        reader = reader.option("header", True)
+        reader = reader.option("header", True).option("dateFormat", "yyyy-MM-dd").option("enforceSchema", False)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     stream = reader.load(source_dir)
@@ -65,14 +63,14 @@ def _write_batch(out_dir: str):
             bad = bad.withColumn("violations", F.concat_ws(",", "violations"))
             accepted.write.mode("overwrite").parquet(f"{out_dir}/fact/batch={batch_id}")
             bad.write.mode("overwrite").parquet(f"{out_dir}/quarantine/batch={batch_id}")
-            both = summarize_both(accepted).persist()  # key-space sized, used twice
-            both.filter(F.col("_set") == MAIN_SET_ID).drop("_set", *FLAG_KEYS).write.mode(
-                "overwrite"
-            ).parquet(f"{out_dir}/summary/batch={batch_id}")
-            both.filter(F.col("_set") == FLAG_SET_ID).drop("_set", *SUMMARY_KEYS).write.mode(
-                "overwrite"
-            ).parquet(f"{out_dir}/flags/batch={batch_id}")
-            both.unpersist()
+            parts = summarize_by_flag(accepted).persist()  # key-space sized, used twice
+            merged(parts, SUMMARY_KEYS).write.mode("overwrite").parquet(
+                f"{out_dir}/summary/batch={batch_id}"
+            )
+            merged(parts, FLAG_KEYS).write.mode("overwrite").parquet(
+                f"{out_dir}/flags/batch={batch_id}"
+            )
+            parts.unpersist()
             summarize_dates(accepted).write.mode("overwrite").parquet(
                 f"{out_dir}/dates/batch={batch_id}"
             )
@@ -125,6 +123,5 @@ def read_quarantine(spark: SparkSession, out_dir: str) -> DataFrame:
 def compact_summary(spark: SparkSession, out_dir: str, target_dir: str) -> DataFrame:
     """Merge all partial summaries into one row per key and write them to target_dir."""
     partials = spark.read.parquet(f"{out_dir}/summary").drop("batch")
-    merged = partials.groupBy(*SUMMARY_KEYS).agg(*merge_aggs())
-    merged.write.mode("overwrite").parquet(target_dir)
+    merged(partials, SUMMARY_KEYS).write.mode("overwrite").parquet(target_dir)
     return spark.read.parquet(target_dir)

@@ -58,15 +58,6 @@ def test_distributed_plan_has_no_single_partition_exchange(spark):
     assert got == sorted(r["q"] for r in df.withColumn("q", F.ntile(4).over(Window.orderBy(*order()))).collect())
 
 
-def test_auto_uses_single_task_only_below_bound(spark):
-    df = _frame(spark, [1.0, 2.0, 3.0])
-    small = replace(DEFAULT, global_window="auto", single_task_rows=10)
-    tiny = replace(DEFAULT, global_window="auto", single_task_rows=2, window_partitions=2)
-    a = [r["q"] for r in with_ntile(df, 4, order(), "q", small).orderBy("k").collect()]
-    b = [r["q"] for r in with_ntile(df, 4, order(), "q", tiny).orderBy("k").collect()]
-    assert a == b == [1, 2, 3]
-
-
 @pytest.mark.parametrize("mode", ["distributed", "builtin"])
 def test_ntile_hot_value(spark, mode):
     # a third of the rows share one cover value: the range bounds split them by key

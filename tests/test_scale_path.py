@@ -1,9 +1,5 @@
-"""The large-data code path (no single-task shortcuts) against the oracle.
-
-With ``single_task_rows=0`` and no stored row statistic, every report takes
-the path it would take at 100 TB: range-partitioned final sorts and the
-distributed NTILE / running sum (range partitions + checkpoint + offsets).
-"""
+"""Every report against the oracle on tables read back from a stored inventory,
+with more window partitions than cores and the flags and dates derived."""
 
 from dataclasses import replace
 
@@ -17,13 +13,13 @@ from shelfwise.sources.store import inventory_data
 from tests.conftest import SF_SMALL
 from tests.test_oracle import TABLES, _norm
 
-LARGE = replace(DEFAULT, single_task_rows=0, window_partitions=4)
+LARGE = replace(DEFAULT, window_partitions=4)
 
 
 @pytest.fixture(scope="module")
 def large_path_data(spark):
     stored = inventory_data(spark, SF_SMALL)
-    return Inventory(stored.fact, stored.summary, params=LARGE, summary_rows=None)
+    return Inventory(stored.fact, stored.summary, params=LARGE)
 
 
 @pytest.fixture(scope="module")
