@@ -24,13 +24,13 @@ def shape(plan: str) -> dict[str, object]:
         scans.add("summary" if "summary" in name else name or "parquet")
     for m in re.finditer(r"Location: InMemoryFileIndex\([^)]*\)\[([^\]]*)\]", plan):
         loc = m.group(1)
-        if "inventory_raw" in loc:
+        if "/fact" in loc:
             scans.add("fact")
-        elif "inventory_summary" in loc:
+        elif "/summary" in loc:
             scans.add("summary")
-        elif "inventory_flags" in loc:
+        elif "/flags" in loc:
             scans.add("flags")
-        elif "inventory_dates" in loc:
+        elif "/dates" in loc:
             scans.add("dates")
         else:
             scans.add(os.path.basename(loc.rstrip("/").split(",")[0]).replace(".parquet", "").rstrip("."))
