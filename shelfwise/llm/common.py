@@ -43,6 +43,32 @@ def written(df: DataFrame, *partitioned_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def in_bit_map(bits, keys):
+    """Which of ``keys`` (int64) have their bit set in a map made by ``bit_map`` (as an array of bytes)."""
+    at = keys & (MAP_BITS - 1)
+    return (bits[at >> 3] >> (at & 7) & 1).astype(bool)
+
+
+#: Bits of the map of marked rows (2 MB, whatever the input).
+MARK_BITS = 1 << 24
+
+
+def with_mark(df: DataFrame, key, marked: DataFrame) -> DataFrame:
+    """``df`` with column mark: true where ``key`` (long) is among the values of ``marked`` (one column), and for a few others.
+
+    The marks are a bit map in rows of 4 KB, MARK_BITS in all, which every task gets.
+    """
+    value = F.pmod(F.col(marked.columns[0]), F.lit(MARK_BITS))
+    bits = marked.select((value / 32768).cast("int").alias("word"), (value % 32768).alias("place")).groupBy("word").agg(F.bitmap_construct_agg("place").alias("bits"))
+    own = F.pmod(key, F.lit(MARK_BITS))
+    placed = df.withColumn("_word", (own / 32768).cast("int")).withColumn("_place", (own % 32768).cast("int"))
+    joined = placed.join(F.broadcast(bits.withColumnRenamed("word", "_word")), "_word", "left")
+    byte = F.conv(F.hex(F.expr("substring(bits, _place div 8 + 1, 1)")), 16, 10).cast("int")
+    mark = F.coalesce(F.expr("pmod(_place, 8)").cast("int"), F.lit(0))
+    on = F.coalesce(F.call_function("shiftright", byte, mark).bitwiseAND(F.lit(1)) == 1, F.lit(False))
+    return joined.withColumn("mark", on).select(*df.columns, "mark")
+
+
 def free_name(columns: list[str], name: str) -> str:
     """``name``, with underscores before it until no column has it."""
     taken = {c.lower() for c in columns}

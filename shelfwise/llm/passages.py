@@ -31,7 +31,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import MAP_BITS, bit_map, bound_batches, free_name, written
+from shelfwise.llm.common import MAP_BITS, bit_map, bound_batches, free_name, in_bit_map, written
 from shelfwise.llm.jaccard_join import _Order, _frequent
 
 K, MIN_WORDS, NUMERATOR, DENOMINATOR = 5, 50, 80, 100
@@ -40,7 +40,10 @@ SEEDS = (0x2545F4914F6CDD1D, 0x9FB21C651E98DF25, 0xD1B54A32D192ED03)
 #: Members of a group dealt to one task.
 PART = 4096
 
-WINDOWS = "key long, hi long, lo long, doc_id long, c long, left int, around array<int>"
+WINDOWS = "key long, hi long, lo long, doc_id long, c long, left int, size int"
+AROUND = "key long, hi long, lo long, doc_id long, c long, left int, around binary"
+#: Bytes kept of each surrounding shingle's hash: a chance agreement is one in 2 ** 24.
+HASH_BYTES = 3
 
 
 class _Windows:
@@ -64,16 +67,17 @@ class _Windows:
             off = np.concatenate([[0], np.cumsum(sizes)])
             own = np.repeat(np.arange(len(raw)), sizes)
             s = s[np.arange(off[-1]) - np.repeat(off[:-1] - first[:-1], sizes)]
-            found = [self._tree(f, s, off, own) for f in range(HASHES)] if len(s) else []
+            tier = self.order.tier(s)
+            found = [self._tree(f, s, off, own, tier) for f in range(HASHES)] if len(s) else []
             yield start, s, off, found
 
-    def _tree(self, f: int, s, off, own):
+    def _tree(self, f: int, s, off, own, tier):
         import numpy as np
 
         from shelfwise.llm.words import mix
 
         span = self.span
-        rank = self.order.tier(s) | (mix(s ^ np.uint64(SEEDS[f])) >> np.uint64(9))
+        rank = tier | (mix(s ^ np.uint64(SEEDS[f])) >> np.uint64(9))
         place = np.arange(len(s))
         value = ((rank >> np.uint64(6)) << np.uint64(6) | (place & 63).astype(np.uint64)).view(np.int64)
         low, width = value, 1
@@ -114,61 +118,71 @@ def _keys(docs: DataFrame, order, k: int, span: int) -> DataFrame:
     return docs.mapInArrow(keys, "key long")
 
 
-def _repeated(docs: DataFrame, order, bits, k: int, span: int) -> DataFrame:
-    """The windows whose signature repeats (and a few more), with their surroundings where the batch meets them first."""
+def _repeated(docs: DataFrame, order, bits, k: int, span: int, firsts=None) -> DataFrame:
+    """The windows whose signature repeats (and a few more), with a digest of their surroundings.
+
+    With ``firsts``, a map of (digest, document, place), those windows alone (and a few more),
+    with their surroundings.
+    """
 
     def windows_of(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
         import xxhash
 
-        windows, wanted = _Windows(order.value, k, span), np.unpackbits(np.frombuffer(bits.value, np.uint8), bitorder="little")
+        windows, wanted = _Windows(order.value, k, span), np.frombuffer(bits.value, np.uint8)
+        first = np.frombuffer(firsts.value, np.uint8) if firsts is not None else None
         for batch in batches:
-            ids, seen, rows = batch.column(0).to_pylist(), set(), []
+            ids, rows = batch.column(0).to_pylist(), []
             for start, s, off, found in windows(batch.column(1).to_pylist()):
                 for key, c, left, right, doc in found:
-                    hit = np.flatnonzero(wanted[(key.view(np.uint64) % np.uint64(MAP_BITS)).astype(np.int64)])
+                    hit = np.flatnonzero(in_bit_map(wanted, key))
                     lo, hi = np.maximum(left[hit], c[hit] - span + 1), np.minimum(right[hit], c[hit] + span - 1)
                     for x, own, a, b, d in zip(key[hit].tolist(), c[hit].tolist(), lo.tolist(), hi.tolist(), doc[hit].tolist()):
                         around = s[a : b + 1]
                         digest = xxhash.xxh3_128_digest(around.tobytes() + bytes([own - a]))
-                        fresh = (x, digest) not in seen
-                        seen.add((x, digest))
-                        rows.append((x, digest, ids[start + d], own - int(off[d]), own - a, around.astype(np.uint32).view(np.int32) if fresh else None))
+                        place, last = own - int(off[d]), b - a + 1
+                        if first is not None:
+                            at = (int.from_bytes(digest[:8], "little") ^ ids[start + d] << 17 ^ place << 41) & (MAP_BITS - 1)
+                            if not first[at >> 3] >> (at & 7) & 1:
+                                continue
+                            last = np.ascontiguousarray(around).view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES].tobytes()
+                        rows.append((x, digest, ids[start + d], place, own - a, last))
             if rows:
-                key, digest, doc, c, left, around = zip(*rows)
+                key, digest, doc, c, left, last = zip(*rows)
                 both = np.frombuffer(b"".join(digest), np.int64).reshape(-1, 2)
+                kind, name = (pa.int32(), "size") if first is None else (pa.binary(), "around")
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key, pa.int64()), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), pa.array(doc, pa.int64()), pa.array(c, pa.int64()), pa.array(left, pa.int32()), pa.array(around, pa.list_(pa.int32()))],
-                    names=["key", "hi", "lo", "doc_id", "c", "left", "around"],
+                    [pa.array(key, pa.int64()), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), pa.array(doc, pa.int64()), pa.array(c, pa.int64()), pa.array(left, pa.int32()), pa.array(last, kind)],
+                    names=["key", "hi", "lo", "doc_id", "c", "left", name],
                 )
 
-    return docs.mapInArrow(windows_of, WINDOWS)
+    return docs.mapInArrow(windows_of, WINDOWS if firsts is None else AROUND)
 
 
 def _agree(leader, other, span: int, numerator: int, denominator: int):
-    """For each row of ``other``: positions inside stretches of ``span`` that are similar enough to ``leader`` (both aligned at c, -1 outside)."""
+    """For each row: positions of ``other`` inside stretches of ``span`` that are similar enough to ``leader`` (both aligned at c, -1 outside)."""
     import numpy as np
 
     same = np.zeros(other.shape, bool)
     width = other.shape[1]
     for shift in range(-SHIFT, SHIFT + 1):
         a, b = max(0, shift), width + min(0, shift)
-        same[:, a:b] |= (other[:, a:b] == leader[a - shift : b - shift]) & (other[:, a:b] >= 0)
-    total = np.zeros((len(other), width + 1), np.int64)
+        same[:, a:b] |= (other[:, a:b] == leader[:, a - shift : b - shift]) & (other[:, a:b] >= 0)
+    total = np.zeros((len(other), width + 1), np.int32)
     np.cumsum(same, axis=1, out=total[:, 1:])
     m = total[:, span:] - total[:, :-span]
     # Jaccard of two stretches of span shingles with m in common
     good = m * denominator >= (2 * span - m) * numerator
-    # trimmed to shingles in common, so that nothing beside the passage is taken
-    cover = np.zeros((len(other), width + 1), np.int64)
+    cover = np.zeros((len(other), width + 1), np.int32)
     cover[:, : good.shape[1]] += good
     cover[:, span : span + good.shape[1]] -= good
     inside = np.cumsum(cover[:, :width], axis=1) > 0
-    ahead = np.maximum.accumulate((same & inside) * np.arange(1, width + 1), axis=1)
-    first = np.where((same & inside).any(1), (same & inside).argmax(1), width)
-    last = ahead[:, -1] - 1
+    # trimmed to shingles in common, so that nothing beside the passage is taken
+    known = same & inside
     column = np.arange(width)
+    first = np.where(known.any(axis=1), known.argmax(axis=1), width)
+    last = width - 1 - known[:, ::-1].argmax(axis=1)
     return inside & (column >= first[:, None]) & (column <= last[:, None])
 
 
@@ -176,7 +190,8 @@ def _clustered(members: DataFrame, span: int, numerator: int, denominator: int)
     """Members of each (key, part), in order of their first occurrence, against the group's leaders.
 
     Gives (key, hi, lo, by_doc, a, b): positions a..b around c repeat a passage of an earlier
-    member, first met in document by_doc; leaders come with by_doc null.
+    member, first met in document by_doc; leaders come with by_doc null. All groups of a batch
+    are compared at once, each with its next leader per round.
     """
 
     def join(batches: Iterator) -> Iterator:
@@ -184,51 +199,53 @@ def _clustered(members: DataFrame, span: int, numerator: int, denominator: int)
         import pyarrow as pa
 
         width = 2 * span - 1
-        group, leaders, out = None, [], []
-
-        def take(key, rows):
-            nonlocal leaders
-            table = np.full((len(rows), width), -1, np.int64)
-            for i, r in enumerate(rows):
-                at = span - 1 - r[4]
-                table[i, at : at + len(r[5])] = np.asarray(r[5], np.int64) & 0xFFFFFFFF
-            open_rows = np.arange(len(rows))
-            known = list(leaders)
-            while len(open_rows):
-                if known:
-                    by, lead = known.pop(0)
-                else:
-                    i = open_rows[0]
-                    by, lead = rows[i][2], table[i]
-                    leaders.append((by, lead))
-                    out.append((key, rows[i][0], rows[i][1], None, None, None))
-                    open_rows = open_rows[1:]
-                if len(open_rows):
-                    covered = _agree(lead, table[open_rows], span, numerator, denominator)
-                    met = covered.any(axis=1)
-                    for i, line in zip(open_rows[met].tolist(), covered[met]):
-                        edge = np.diff(np.concatenate([[0], line.view(np.int8), [0]]))
-                        for a, b in zip(np.flatnonzero(edge == 1).tolist(), (np.flatnonzero(edge == -1) - 1).tolist()):
-                            out.append((key, rows[i][0], rows[i][1], by, a - span + 1, b - span + 1))
-                    open_rows = open_rows[~met]
-
-        def batch_out():
-            columns = list(zip(*out))
-            out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, [pa.int64()] * 4 + [pa.int32()] * 2)], names=["key", "hi", "lo", "by_doc", "a", "b"])
 
+        def take(t):
+            key, part, hi, lo, doc = (t.column(i).to_numpy() for i in range(5))
+            n = len(key)
+            group = np.cumsum(np.concatenate([[0], (key[1:] != key[:-1]) | (part[1:] != part[:-1])]))
+            table = np.full((n, width), -1, np.int32)
+            for i, (left, raw) in enumerate(zip(t.column(6).to_pylist(), t.column(7).to_pylist())):
+                bytes_of = np.zeros((len(raw) // HASH_BYTES, 4), np.uint8)
+                bytes_of[:, :HASH_BYTES] = np.frombuffer(raw, np.uint8).reshape(-1, HASH_BYTES)
+                table[i, span - 1 - left : span - 1 - left + len(bytes_of)] = bytes_of.view(np.int32)[:, 0]
+            out = [[], [], [], []]
+            open_rows = np.arange(n)
+            while len(open_rows):
+                own = group[open_rows]
+                at_first = np.concatenate([[True], own[1:] != own[:-1]])
+                leaders = open_rows[at_first]
+                rest = open_rows[~at_first]
+                lead = leaders[np.searchsorted(group[leaders], group[rest])]
+                out[0].append(leaders), out[1].append(np.full(len(leaders), -1)), out[2].append(np.zeros(len(leaders), int)), out[3].append(np.zeros(len(leaders), int))
+                met = np.zeros(len(rest), bool)
+                for a in range(0, len(rest), 8192):
+                    some = slice(a, a + 8192)
+                    covered = _agree(table[lead[some]], table[rest[some]], span, numerator, denominator)
+                    met[some] = covered.any(axis=1)
+                    edge = np.diff(np.pad(covered.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+                    (row, begin), (_, end) = np.nonzero(edge == 1), np.nonzero(edge == -1)
+                    out[0].append(rest[some][row]), out[1].append(lead[some][row]), out[2].append(begin - span + 1), out[3].append(end - span)
+                open_rows = rest[~met]
+            row, lead, a, b = (np.concatenate(x) for x in out)
+            none = lead < 0
+            return pa.RecordBatch.from_arrays(
+                [pa.array(key[row]), pa.array(hi[row]), pa.array(lo[row]), pa.array(doc[lead], mask=none), pa.array(a.astype(np.int32), mask=none), pa.array(b.astype(np.int32), mask=none)],
+                names=["key", "hi", "lo", "by_doc", "a", "b"],
+            )
+
+        held = None
         for batch in batches:
-            held: list = []
-            for key, part, *row in zip(*(x.to_pylist() for x in batch.columns)):
-                if (key, part) != group:
-                    if held:
-                        take(group[0], held)
-                    group, held, leaders = (key, part), [], []
-                held.append(row)
-            if held:
-                take(group[0], held)
-            if out:
-                yield batch_out()
+            t = pa.Table.from_batches([batch])
+            t = (t if held is None else pa.concat_tables([held, t])).combine_chunks()
+            key, part = t.column(0).to_numpy(), t.column(1).to_numpy()
+            # the last group may go on in the next batch
+            start = len(key) - int(np.argmax(np.append((key[::-1] != key[-1]) | (part[::-1] != part[-1]), True))) if len(key) else 0
+            if start:
+                yield take(t.slice(0, start))
+            held = t.slice(start)
+        if held is not None and len(held):
+            yield take(held)
 
     ordered = members.select("key", "part", "hi", "lo", "doc_id", "c", "left", "around").repartition(F.col("key"), F.col("part")).sortWithinPartitions("key", "part", "doc_id", "c", "hi", "lo")
     return ordered.mapInArrow(join, "key long, hi long, lo long, by_doc long, a int, b int")
@@ -248,27 +265,35 @@ def repeats(docs: DataFrame, k: int = K, min_words: int = MIN_WORDS, numerator:
     bits = spark.sparkContext.broadcast(bit_map(again))
     found = written(_repeated(docs, order, bits, k, span))
 
-    members = found.groupBy("key", "hi", "lo").agg(
-        F.min(F.struct("doc_id", "c")).alias("first"), F.max("doc_id").alias("last_doc"), F.first("left").alias("left"), F.first("around", ignorenulls=True).alias("around")
+    members = found.groupBy("hi", "lo").agg(
+        F.min(F.struct("doc_id", "c")).alias("first"), F.max("doc_id").alias("last_doc"), F.first("key").alias("key"), F.first("left").alias("left"), F.first("size").alias("size")
     )
-    members = written(members.select("key", "hi", "lo", "first.*", "last_doc", "left", "around"))
-    sizes = members.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
-    dealt = members.join(sizes, "key").withColumn("part", F.pmod(F.col("hi"), F.ceil(F.col("size") / PART)).cast("int"))
+    members = written(members.select("key", "hi", "lo", "first.*", "last_doc", "left", "size"))
+    groups = members.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1")
+
+    def surroundings(of: DataFrame) -> DataFrame:
+        """The first occurrences of some members, with what surrounds them."""
+        place = F.expr("hi ^ shiftleft(doc_id, 17) ^ shiftleft(c, 41)").alias("key")
+        return _repeated(docs, order, bits, k, span, spark.sparkContext.broadcast(bit_map(of.select(place))))
+
+    large = written(groups.filter(F.col("members") > PART))
+    around = surroundings(members.join(groups, "key")).join(large, "key", "left")
+    dealt = around.withColumn("part", F.coalesce(F.pmod(F.col("hi"), F.ceil(F.col("members") / PART)).cast("int"), F.lit(0)))
     one = written(_clustered(dealt, span, numerator, denominator))
-    # leaders of the parts of one group meet in a second round
-    split = sizes.filter(F.col("size") > PART).select("key")
-    leaders = one.filter("by_doc is null").select("key", "hi", "lo").join(split, "key").join(members, ["key", "hi", "lo"]).withColumn("part", F.lit(0))
-    two = _clustered(leaders, span, numerator, denominator)
-    near = one.unionAll(two).filter("by_doc is not null").groupBy("key", "hi", "lo", "a", "b").agg(F.min("by_doc").alias("by_doc"))
+    near = one
+    if not large.isEmpty():
+        # leaders of the parts of one group meet in a second round
+        leaders = one.filter("by_doc is null").select("key", "hi", "lo").join(large.select("key"), "key").select("hi", "lo").distinct()
+        leaders = written(members.join(leaders, ["hi", "lo"]))
+        again = surroundings(leaders).join(leaders.select("hi", "lo"), ["hi", "lo"], "left_semi").withColumn("part", F.lit(0))
+        near = one.unionAll(_clustered(again, span, numerator, denominator))
 
     # every occurrence of a member repeats what the member repeats; later documents repeat the first one whole
-    at = found.select("key", "hi", "lo", "doc_id", "c")
-    by_member = at.join(near, ["key", "hi", "lo"]).filter("by_doc < doc_id").select("doc_id", (F.col("c") + F.col("a")).alias("first"), (F.col("c") + F.col("b") + k - 1).alias("last"), F.col("by_doc").alias("by"))
-    copies = members.filter("last_doc > doc_id").select("key", "hi", "lo", F.col("doc_id").alias("by"), "left", F.size("around").alias("size"))
-    by_copy = at.join(copies, ["key", "hi", "lo"]).filter("by < doc_id").select(
-        "doc_id", (F.col("c") - F.col("left")).alias("first"), (F.col("c") - F.col("left") + F.col("size") - 1 + k - 1).alias("last"), "by"
-    )
-    spans = by_member.unionAll(by_copy).groupBy("doc_id", "first").agg(F.max("last").alias("last"), F.min("by").alias("by"))
+    near = near.filter("by_doc is not null").select("hi", "lo", "a", "b", F.col("by_doc").alias("by")).distinct()
+    whole = members.filter("last_doc > doc_id").select("hi", "lo", (-F.col("left")).alias("a"), (F.col("size") - F.col("left") - 1).alias("b"), F.col("doc_id").alias("by"))
+    at = found.select("hi", "lo", "doc_id", "c").join(near.unionAll(whole), ["hi", "lo"]).filter("by < doc_id")
+    spans = at.select("doc_id", (F.col("c") + F.col("a")).alias("first"), (F.col("c") + F.col("b") + k - 1).alias("last"), "by")
+    spans = spans.groupBy("doc_id", "first").agg(F.max("last").alias("last"), F.min("by").alias("by"))
     w = Window.partitionBy("doc_id").orderBy("first")
     spans = spans.withColumn("reach", F.max("last").over(w.rowsBetween(Window.unboundedPreceding, -1)))
     spans = spans.withColumn("run", F.sum(F.when(F.col("first") <= F.col("reach") + 1, 0).otherwise(1)).over(w))
