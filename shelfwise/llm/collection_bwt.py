@@ -12,6 +12,15 @@ from __future__ import annotations
 import numpy as np
 
 
+#: A collection's suffixes fit a place of so many bits, beside a symbol of eight.
+PLACE_BITS = 24
+PLACE_MASK = np.uint32((1 << PLACE_BITS) - 1)
+
+
+def _sorted_symbols(bwt: np.ndarray) -> np.ndarray:
+    return np.sort(bwt.astype(np.uint32) << np.uint32(PLACE_BITS) | np.arange(len(bwt), dtype=np.uint32))
+
+
 def transform(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(bwt, lcp) of the sorted suffixes, the empty ones first, in the order of the strings.
 
@@ -34,17 +43,18 @@ def transform(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         active, place = active[live], place[live]
         by = np.argsort(place, kind="stable")
         active, place = active[by], place[by]
-        order = np.argsort(bwt, kind="stable")
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        zeros = int(np.count_nonzero(bwt == 0))
-        own, t = bwt[place], rank[place]
+        # symbols with their places, ascending: a symbol's rank is its suffix's next place
+        pairs = _sorted_symbols(bwt)
+        zeros = int(np.searchsorted(pairs, np.uint32(1 << PLACE_BITS)))
+        own = bwt[place].astype(np.uint32)
+        t = np.searchsorted(pairs, own << np.uint32(PLACE_BITS) | place.astype(np.uint32))
         new_place = m + t - zeros
         # neighbours that begin with the same symbol share one more than the least prefix between the places they come from
-        before = order[t - 1]
-        same_before = (t > 0) & (bwt[before] == own)
-        after = order[np.minimum(t + 1, len(order) - 1)]
-        same_after = (t + 1 < len(order)) & (bwt[after] == own)
+        before = pairs[t - 1]
+        same_before = (t > 0) & (before >> np.uint32(PLACE_BITS) == own)
+        after = pairs[np.minimum(t + 1, len(pairs) - 1)]
+        same_after = (t + 1 < len(pairs)) & (after >> np.uint32(PLACE_BITS) == own)
+        before, after = (before & PLACE_MASK).astype(np.int64), (after & PLACE_MASK).astype(np.int64)
         padded = np.append(lcp, np.uint16(0))
         prefix = _least(padded, np.where(same_before, before, place - 1) + 1, place + 1, same_before)
         suffix = _least(padded, place + 1, np.where(same_after, after, place) + 1, same_after)
@@ -77,9 +87,8 @@ def repeated_starts(strings: list[bytes], span: int) -> list[np.ndarray]:
     m = len(strings)
     hit = lcp >= span
     hit[:-1] |= hit[1:]
-    order = np.argsort(bwt, kind="stable")
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
+    rank = np.empty(len(bwt), np.int64)
+    rank[_sorted_symbols(bwt) & PLACE_MASK] = np.arange(len(bwt))
     zeros = int(np.count_nonzero(bwt == 0))
     sizes = np.array([len(s) for s in strings], np.int64)
     ends = np.cumsum(sizes)

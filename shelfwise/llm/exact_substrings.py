@@ -8,7 +8,8 @@ Each byte covered by a ``span``-byte string that also starts anywhere else goes.
    segments with the same anchor gram. Grams that occur once are left out.
 2. Equal segments are one member of their gram's group; where it occurs twice, all its
    windows repeat.
-3. Unlike segments of a group are sorted together: whole groups are gathered into
+3. Unlike segments of a group are sorted together, but for those that agree with no
+   other on the bytes that a shared string would need: whole groups are gathered into
    collections of bounded size, whose Burrows-Wheeler transform and common prefixes
    are built column by column (``collection_bwt``). A common prefix of ``span`` with
    either neighbour marks a repeated string.
@@ -28,11 +29,13 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import MAP_BITS, bit_map, bound_batches, written
+from shelfwise.llm.common import bit_map, bound_batches, in_bit_map, with_mark, written
 
 SPAN, GRAM = 200, 64
 #: Segments sorted together; a larger group takes the way of step 4.
-COLLECTION = 512
+COLLECTION = 112
+#: Ranges of a string's reach before its gram, by which members that can't repeat are told.
+PARTS = 16
 LARGE_GROUP = 4096
 #: Bytes of text whose anchors are found at a time, and the powers of the rolling hash.
 BLOCK = 1 << 20
@@ -112,25 +115,25 @@ def _grams(docs: DataFrame, span: int, gram: int) -> DataFrame:
     return docs.select("text").mapInArrow(grams, "key long")
 
 
-SEGMENTS = "key long, hi long, lo long, doc_id long, text_hash long, start long, windows int, bytes binary"
+SEGMENTS = "hi long, lo long, key long, doc_id long, text_hash long, start long, windows int, anchor int, bytes binary"
 
 
 def _segments(docs: DataFrame, bits, span: int, gram: int) -> DataFrame:
-    """Segments whose gram repeats (and a few more), with their bytes where a batch meets them first."""
+    """Segments whose gram repeats (and a few more), by digest, with gram and bytes where a batch meets them first."""
 
     def segments(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
         import xxhash
 
-        anchors, wanted = _Anchors(span, gram), np.unpackbits(np.frombuffer(bits.value, np.uint8), bitorder="little")
+        anchors, wanted = _Anchors(span, gram), np.frombuffer(bits.value, np.uint8)
         for batch in batches:
             ids, hashes = batch.column(0).to_pylist(), batch.column(2).to_pylist()
             raw = [(t or "").encode() for t in batch.column(1).to_pylist()]
             seen: set = set()
             for held, parts in anchors.blocks(raw):
                 key, anchor, first, last, piece, off = anchors(parts)
-                hit = np.flatnonzero(wanted[(key.view(np.uint64) % np.uint64(MAP_BITS)).astype(np.int64)])
+                hit = np.flatnonzero(in_bit_map(wanted, key))
                 rows = []
                 base = off[piece[hit]]
                 for k, a, s, e, p in zip(key[hit].tolist(), (anchor[hit] - first[hit]).tolist(), (first[hit] - base).tolist(), (last[hit] - base).tolist(), piece[hit].tolist()):
@@ -139,14 +142,14 @@ def _segments(docs: DataFrame, bits, span: int, gram: int) -> DataFrame:
                     fresh = digest not in seen
                     seen.add(digest)
                     text, at = held[p]
-                    rows.append((k, digest, ids[text], hashes[text], at + s, e - s + 1, own if fresh else None))
+                    rows.append((k if fresh else None, digest, ids[text], hashes[text], at + s, e - s + 1, a if fresh else None, own if fresh else None))
                 if rows:
-                    k, digest, doc, text_hash, start, windows, own = zip(*rows)
+                    k, digest, doc, text_hash, start, windows, a, own = zip(*rows)
                     both = np.frombuffer(b"".join(digest), np.int64).reshape(-1, 2)
                     long = pa.int64()
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(k, long), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), pa.array(doc, long), pa.array(text_hash, long), pa.array(start, long), pa.array(windows, pa.int32()), pa.array(own, pa.binary())],
-                        names=["key", "hi", "lo", "doc_id", "text_hash", "start", "windows", "bytes"],
+                        [pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), pa.array(k, long), pa.array(doc, long), pa.array(text_hash, long), pa.array(start, long), pa.array(windows, pa.int32()), pa.array(a, pa.int32()), pa.array(own, pa.binary())],
+                        names=["hi", "lo", "key", "doc_id", "text_hash", "start", "windows", "anchor", "bytes"],
                     )
 
     return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(segments, SEGMENTS)
@@ -159,8 +162,40 @@ def _runs(flags) -> list[tuple[int, int]]:
     return list(zip(np.flatnonzero(edge == 1).tolist(), (np.flatnonzero(edge == -1) - 1).tolist()))
 
 
-def _sorted_together(members: DataFrame, span: int) -> DataFrame:
-    """(key, hi, lo, a, b): windows a..b of a member repeat in another member of its group (or in itself)."""
+def _can_repeat(group: list[tuple], span: int, gram: int) -> list[tuple]:
+    """The members (.., occurrences, anchor, bytes) of one gram's group whose repeats are still to be found.
+
+    A shared string reaches ``left`` bytes before the gram in one of ``PARTS`` ranges, so two
+    members that share one agree on all bytes that every such string holds. Members that agree
+    with no other can't repeat, and a set of agreeing members that all occur twice or more
+    repeats anyway.
+    """
+    room = span - gram
+    step = -(-(room + 1) // PARTS)
+    root = list(range(len(group)))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    first: dict[tuple, int] = {}
+    for at, (*_, anchor, own) in enumerate(group):
+        for i in range(PARTS):
+            # strings with i * step <= left < (i + 1) * step hold these bytes at least
+            left, right = i * step, max(0, room - (i + 1) * step + 1)
+            if anchor >= left and anchor + gram + right <= len(own):
+                other = first.setdefault((i, own[anchor - left : anchor + gram + right]), at)
+                if other != at:
+                    root[find(at)] = find(other)
+    sets: dict[int, list[tuple]] = {}
+    for at, row in enumerate(group):
+        sets.setdefault(find(at), []).append(row)
+    return [row for rows in sets.values() if len(rows) > 1 and any(r[3] == 1 for r in rows) for row in rows]
+
+
+def _sorted_together(members: DataFrame, span: int, gram: int) -> DataFrame:
+    """(hi, lo, a, b): windows a..b of a member repeat in another member of its group (or in itself)."""
 
     def sort(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -168,25 +203,30 @@ def _sorted_together(members: DataFrame, span: int) -> DataFrame:
         from shelfwise.llm.collection_bwt import repeated_starts
 
         held: list = []
+        group: list = []
 
         def flush(rows):
             out = []
-            for (key, hi, lo, _), flags in zip(rows, repeated_starts([r[3] for r in rows], span)):
-                out += [(key, hi, lo, a, b) for a, b in _runs(flags)]
-            long = pa.int64()
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out) if out else [[]] * 5, [long, long, long, pa.int32(), pa.int32()])], names=["key", "hi", "lo", "a", "b"])
+            for (_, hi, lo, *_), flags in zip(rows, repeated_starts([r[5] for r in rows], span)):
+                out += [(hi, lo, a, b) for a, b in _runs(flags)]
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out) if out else [[]] * 4, kinds)], names=["hi", "lo", "a", "b"])
 
         for batch in batches:
             for row in zip(*(x.to_pylist() for x in batch.columns)):
-                if len(held) >= COLLECTION and row[0] != held[-1][0]:
-                    yield flush(held)
-                    held = []
-                held.append(row)
+                if group and row[0] != group[-1][0]:
+                    held += _can_repeat(group, span, gram)
+                    group = []
+                    if len(held) >= COLLECTION:
+                        yield flush(held)
+                        held = []
+                group.append(row)
+        held += _can_repeat(group, span, gram)
         if held:
             yield flush(held)
 
-    rows = members.select("key", "hi", "lo", "bytes").repartition("key").sortWithinPartitions("key")
-    return rows.mapInArrow(sort, "key long, hi long, lo long, a int, b int")
+    rows = members.select("key", "hi", "lo", "n", "anchor", "bytes").repartition("key").sortWithinPartitions("key")
+    return rows.mapInArrow(sort, "hi long, lo long, a int, b int")
 
 
 def _counted_apart(members: DataFrame, span: int) -> DataFrame:
@@ -198,15 +238,15 @@ def _counted_apart(members: DataFrame, span: int) -> DataFrame:
         import xxhash
 
         for batch in batches:
-            for key, hi, lo, own in zip(*(x.to_pylist() for x in batch.columns)):
+            for hi, lo, own in zip(*(x.to_pylist() for x in batch.columns)):
                 n = len(own) - span + 1
                 d = np.frombuffer(b"".join([xxhash.xxh3_128_digest(own[i : i + span]) for i in range(n)]), np.int64).reshape(-1, 2)
-                columns = [pa.array([x] * n, pa.int64()) for x in (key, hi, lo)]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(range(n), pa.int32()), pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy())], names=["key", "hi", "lo", "a", "x", "y"])
+                columns = [pa.array([x] * n, pa.int64()) for x in (hi, lo)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(range(n), pa.int32()), pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy())], names=["hi", "lo", "a", "x", "y"])
 
-    each = members.select("key", "hi", "lo", "bytes").mapInArrow(strings, "key long, hi long, lo long, a int, x long, y long")
+    each = members.select("hi", "lo", "bytes").mapInArrow(strings, "hi long, lo long, a int, x long, y long")
     again = each.groupBy("x", "y").agg(F.count("*").alias("n")).filter("n > 1").select("x", "y")
-    return each.join(again, ["x", "y"]).select("key", "hi", "lo", "a", F.col("a").alias("b"))
+    return each.join(again, ["x", "y"]).select("hi", "lo", "a", F.col("a").alias("b"))
 
 
 def repeated_spans(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
@@ -219,23 +259,27 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataF
     again = _grams(docs, span, gram).groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     bits = spark.sparkContext.broadcast(bit_map(again))
     found = written(_segments(docs, bits, span, gram))
-    members = found.groupBy("key", "hi", "lo").agg(F.count("*").alias("n"), F.first("windows").alias("windows"), F.first("bytes", ignorenulls=True).alias("bytes"))
-    members = written(members)
-    sizes = members.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
-    # members that occur twice have all their windows repeated already, but their partners may not
+    first = lambda c: F.first(c, ignorenulls=True).alias(c)
+    members = written(found.groupBy("hi", "lo").agg(F.count("*").alias("n"), first("windows"), first("key"), first("anchor"), first("bytes")))
+    # where a member occurs twice, all its windows repeat: a group of such members needs no sorting
+    sizes = members.groupBy("key").agg(F.count("*").alias("size"), F.min("n").alias("least")).filter("size > 1 and least = 1").drop("least")
     groups = members.join(sizes, "key")
-    apart = _sorted_together(groups.filter(F.col("size") <= LARGE_GROUP), span).unionAll(_counted_apart(groups.filter(F.col("size") > LARGE_GROUP), span))
-    copies = members.filter("n > 1").select("key", "hi", "lo", F.lit(0).alias("a"), (F.col("windows") - 1).alias("b"))
+    apart = _sorted_together(groups.filter(F.col("size") <= LARGE_GROUP), span, gram).unionAll(_counted_apart(groups.filter(F.col("size") > LARGE_GROUP), span))
+    copies = members.filter("n > 1").select("hi", "lo", F.lit(0).alias("a"), (F.col("windows") - 1).alias("b"))
     marked = copies.unionAll(apart)
-    at = found.select("key", "hi", "lo", "doc_id", "text_hash", "start").join(marked, ["key", "hi", "lo"])
+    at = found.select("hi", "lo", "doc_id", "text_hash", "start").join(marked, ["hi", "lo"])
     return at.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct((F.col("start") + F.col("a")).alias("first"), (F.col("start") + F.col("b")).alias("last"))).alias("starts"))
 
 
 def without_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_bytes, n_removed, spans (removed runs: first, length), kept (the remaining bytes)."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    spans = repeated_spans(docs, span, gram).withColumnRenamed("doc_id", "id").withColumnRenamed("text_hash", "th")
-    joined = docs.join(spans, F.col("doc_id").eqNullSafe(F.col("id")) & (F.xxhash64("text") == F.col("th")), "left").select("doc_id", "text", "starts")
+    spans = written(repeated_spans(docs, span, gram).withColumnRenamed("doc_id", "id").withColumnRenamed("text_hash", "th"))
+    # texts without spans, but for a few that the bounded map can't tell, are not exchanged
+    marked = with_mark(docs, F.xxhash64("text"), spans.select("th"))
+    with_spans = marked.filter("mark").join(spans, F.col("doc_id").eqNullSafe(F.col("id")) & (F.xxhash64("text") == F.col("th")), "left")
+    kind = spans.schema["starts"].dataType
+    joined = with_spans.select("doc_id", "text", "starts").unionAll(marked.filter("not mark").select("doc_id", "text", F.lit(None).cast(kind).alias("starts")))
 
     def cut(batches: Iterator) -> Iterator:
         import pyarrow as pa
