@@ -11,7 +11,7 @@ children together get the largest of theirs, a Gumbel value cut off at the node'
 Following the first child to the end is the best segmentation; the open node of largest
 value anywhere is where the next one branches off. So k distinct segmentations come out
 in order, a sample without replacement, and the largest value still open is the
-threshold that inclusion scores refer to.
+threshold that inclusion scores (logs of probabilities) refer to.
 
 Random numbers are hashes of (row key, sample, word, step): a row's sample does not depend
 on partitions, batches or retries.
@@ -27,6 +27,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,7 +41,7 @@ KEPT_EDGES, TOGETHER = 6_000_000, 40_000
 SEED = 17
 UNUSED = -1e8
 
-SCHEMA = "doc_id long, sample int, n_pieces long, log_prob double, gumbel double, inclusion double, ids array<int>, ids_crc32 long"
+SCHEMA = "doc_id long, sample int, n_pieces long, log_prob double, gumbel double, log_inclusion double, ids array<int>, ids_crc32 long"
 
 
 def piece_path() -> str:
@@ -170,7 +171,7 @@ class Lattices:
         source, size, piece, weight = (np.concatenate(x) for x in (source, size, piece, weight))
         # log mass of all cuts from each character on, by distance from the word's end
         distance = left[source]
-        by = np.lexsort((source, distance))
+        by = np.argsort(distance * n + source)
         source, size, piece, weight = source[by], size[by], piece[by], weight[by]
         bounds = np.searchsorted(distance[by], np.arange(1, int(left.max()) + 2))
         mass = np.zeros(n + 1)
@@ -186,7 +187,7 @@ class Lattices:
             top = np.maximum.reduceat(v, start)
             mass[own[start]] = top + np.log(np.add.reduceat(np.exp(v - np.repeat(top, np.diff(np.append(start, b - a)))), start))
         prob = np.exp(value - mass[source])
-        by = np.lexsort((-prob, source))
+        by = np.argsort(source - 0.5 * prob)
         source, size, piece, prob, last = source[by], size[by], piece[by], prob[by], last[by]
         first = np.flatnonzero(np.concatenate([[True], source[1:] != source[:-1]]))
         sums = np.cumsum(prob)
@@ -209,18 +210,31 @@ def _grown(array, used: int, more):
     return array
 
 
-def _uniform(*parts):
-    """Numbers in (0, 1) from the hash of the parts."""
+def _stream(seed, sample: int, purpose: int):
+    """The random stream of each seed (uint64 array) for one purpose of one sample."""
     import numpy as np
 
     from shelfwise.llm.words import mix
 
-    x = np.full(1, 0x9E3779B97F4A7C15, np.uint64)
-    for p in parts:
-        x = mix((x ^ np.asarray(p).astype(np.uint64)) * np.uint64(0xD1342543DE82EF95) + np.uint64(1))
+    return mix(mix(seed) ^ np.uint64((sample << 8 | purpose) * 0x9E3779B97F4A7C15 & (2**64 - 1)))
+
+
+def _uniform(stream, word, step):
+    """Numbers in (0, 1) from streams, one for each word and step."""
+    import numpy as np
+
+    from shelfwise.llm.words import mix
+
+    x = mix(stream + ((word << 24) + step).astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
     return ((x >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
+def _one(seed, sample: int, purpose: int, word: int = 0, step: int = 0) -> float:
+    import numpy as np
+
+    return float(_uniform(_stream(np.array([seed], np.uint64), sample, purpose), np.array([word]), np.array([step]))[0])
+
+
 class _Chain:
     """One segmentation: its edges in order, the word and step of each, and the values of its open branches."""
 
@@ -231,14 +245,14 @@ class _Chain:
         self.gumbel, self.log_prob, self.taken = gumbel, log_prob, taken
 
 
-def _walk(lattices: Lattices, node, key, word, step, sample: int):
+def _walk(lattices: Lattices, node, stream, word, step):
     """From each start, choices to the end of the word: (edge, word, step, start), ordered by start and step."""
     import numpy as np
 
     edges, starts, steps = [], [], []
     own = np.arange(len(node))
     while len(own):
-        u = _uniform(key, sample, word, step, 0)
+        u = _uniform(stream, word, step)
         e = lattices.first[node]
         late = np.flatnonzero(u >= lattices.upto[e])
         while len(late):
@@ -247,7 +261,7 @@ def _walk(lattices: Lattices, node, key, word, step, sample: int):
         edges.append(e), starts.append(own), steps.append(step)
         node = lattices.target[e]
         on = node >= 0
-        node, own, key, word, step = node[on].astype(np.int64), own[on], key[on], word[on], step[on] + 1
+        node, own, stream, word, step = node[on].astype(np.int64), own[on], stream[on], word[on], step[on] + 1
     if not edges:
         none = np.zeros(0, np.int64)
         return none, none, none
@@ -262,18 +276,18 @@ def _walk(lattices: Lattices, node, key, word, step, sample: int):
     return edge[place], start[place], step[place]
 
 
-def _open_values(before, rest, gumbel, key, sample: int, word, step):
+def _open_values(before, rest, gumbel, uniform):
     """Largest Gumbel value among the children not taken: location before + log(rest), cut off at ``gumbel``."""
     import numpy as np
 
     with np.errstate(divide="ignore"):
         location = before + np.log(rest)
-        e = -np.log(_uniform(key, sample, word, step, 1))
+        e = -np.log(uniform)
         return -np.logaddexp(-gumbel, np.log(e) - location)
 
 
 def sample_texts(lattices: Lattices, texts: list[str | None], keys: list[int], k: int) -> list[list[tuple]]:
-    """For each text, up to k of (ids, log_prob, gumbel, inclusion), largest Gumbel value first."""
+    """For each text, up to k of (ids, log_prob, gumbel, log_inclusion), largest Gumbel value first."""
     import numpy as np
 
     words = [lattices.words(t) for t in texts]
@@ -288,7 +302,7 @@ def sample_texts(lattices: Lattices, texts: list[str | None], keys: list[int], k
         for d, own in enumerate(roots):
             n = len(own)
             if not sample:
-                g = -math.log(-math.log(float(_uniform(seeds[d], 0, 0, 0, 2)[0])))
+                g = -math.log(-math.log(_one(seeds[d], 0, 2)))
                 plan.append((d, own, np.arange(n), np.zeros(n, np.int64), None, 0, -1, g))
                 continue
             best = max(((float(c.open.max()), i) for i, c in enumerate(chains[d]) if len(c.open)), default=(-math.inf, -1))
@@ -303,7 +317,7 @@ def sample_texts(lattices: Lattices, texts: list[str | None], keys: list[int], k
             node = int(np.searchsorted(lattices.first[: lattices.nodes + 1], e0, side="right")) - 1
             choices = [e for e in range(int(lattices.first[node]), int(lattices.first[node + 1])) if e not in taken]
             weights = [float(lattices.prob[e]) for e in choices]
-            x = float(_uniform(seeds[d], sample, c.word[t], c.step[t], 3)[0]) * sum(weights)
+            x = _one(seeds[d], sample, 3, int(c.word[t]), int(c.step[t])) * sum(weights)
             pick = len(choices) - 1
             for i, w in enumerate(weights):
                 x -= w
@@ -322,9 +336,9 @@ def sample_texts(lattices: Lattices, texts: list[str | None], keys: list[int], k
         if not plan:
             break
         sizes = [len(p[1]) for p in plan]
-        key = np.repeat(np.array([seeds[p[0]] for p in plan], np.uint64), sizes)
+        own_seeds = np.array([seeds[p[0]] for p in plan], np.uint64)
         node, word, step = (np.concatenate([p[i] for p in plan]) for i in (1, 2, 3))
-        edge, start, steps = _walk(lattices, node, key, word, step, sample)
+        edge, start, steps = _walk(lattices, node, np.repeat(_stream(own_seeds, sample, 0), sizes), word, step)
         bounds = np.searchsorted(start, np.cumsum([0, *sizes]))
         log_p, rest_p = np.log(lattices.prob[edge]), 1 - lattices.prob[edge]
         words_of = word[start] if len(start) else start
@@ -341,7 +355,8 @@ def sample_texts(lattices: Lattices, texts: list[str | None], keys: list[int], k
         gumbel = np.repeat(np.array([p[7] for p in plan]), np.diff(bounds))
         single = rest_p <= 0
         rest_p[single] = 0
-        values = _open_values(before, rest_p, gumbel, key[start] if len(start) else key[:0], sample, words_of, steps)
+        uniform = _uniform(np.repeat(_stream(own_seeds, sample, 1), np.diff(bounds)), words_of, steps)
+        values = _open_values(before, rest_p, gumbel, uniform)
         values[single] = -np.inf
         for p, a, b, log_prob in zip(plan, bounds[:-1], bounds[1:], first_of):
             if not p[4]:
@@ -351,7 +366,8 @@ def sample_texts(lattices: Lattices, texts: list[str | None], keys: list[int], k
             here = -math.inf
             if rest > 0:
                 # below the branch's value, as the siblings left behind are
-                here = float(_open_values(np.array([c.before[t]]), np.array([rest]), np.array([p[7]]), seeds[p[0]], sample, c.word[t : t + 1], c.step[t : t + 1])[0])
+                u = _one(seeds[p[0]], sample, 1, int(c.word[t]), int(c.step[t]))
+                here = float(_open_values(float(c.before[t]), rest, p[7], u))
             open_values = np.concatenate([np.full(t, -np.inf), [here], values[a:b]])
             chains[p[0]].append(
                 _Chain(
@@ -364,8 +380,9 @@ def sample_texts(lattices: Lattices, texts: list[str | None], keys: list[int], k
         threshold[d] = max((float(c.open.max()) for c in own if len(c.open)), default=-math.inf)
         rows = []
         for c in own:
+            # log of 1 - exp(-exp(x)): of drawing a value above the threshold
             x = c.log_prob - threshold[d]
-            rows.append((_ids(lattices, c.edge), c.log_prob, c.gumbel, 1.0 if x > 700 else -math.expm1(-math.exp(x))))
+            rows.append((_ids(lattices, c.edge), c.log_prob, c.gumbel, x if x < -30 else 0.0 if x > 5 else math.log(-math.expm1(-math.exp(x)))))
         out.append(rows)
     return out
 
@@ -375,10 +392,15 @@ def _ids(lattices: Lattices, edge):
     import numpy as np
 
     ids = lattices.piece[edge]
-    if len(ids) and ids.min() < 0:
-        parts = [[i] if i >= 0 else lattices.several[-1 - i] for i in ids.tolist()]
-        return np.array([x for p in parts for x in p], np.int32)
-    return ids.astype(np.int32)
+    fallback = np.flatnonzero(ids < 0)
+    if not len(fallback):
+        return ids
+    parts = [lattices.several[-1 - i] for i in ids[fallback].tolist()]
+    counts = np.ones(len(ids), np.int64)
+    counts[fallback] = [len(p) for p in parts]
+    out = np.repeat(ids, counts)
+    out[np.repeat(ids < 0, counts)] = [x for p in parts for x in p]
+    return out
 
 
 def sample(docs: DataFrame, k: int = SAMPLES, model_path: str | None = None, seed: int = SEED, with_ids: bool = True) -> DataFrame:
@@ -408,25 +430,30 @@ def sample(docs: DataFrame, k: int = SAMPLES, model_path: str | None = None, see
                     for i, (ids, p, g, q) in enumerate(own)
                 ]
                 kinds = [pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.list_(pa.int32()), pa.int64()]
-                names = ["doc_id", "sample", "n_pieces", "log_prob", "gumbel", "inclusion", "ids", "ids_crc32"]
+                names = ["doc_id", "sample", "n_pieces", "log_prob", "gumbel", "log_inclusion", "ids", "ids_crc32"]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds)], names=names)
 
     key = F.xxhash64(F.lit(seed), F.col("doc_id").cast("long")).alias("key")
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), key).mapInArrow(draw, SCHEMA)
 
 
+@lru_cache(maxsize=1)
+def _model(path: str):
+    import sentencepiece
+
+    return sentencepiece.SentencePieceProcessor(model_file=path)
+
+
 def decode(rows: DataFrame, model_path: str | None = None) -> DataFrame:
     """``rows`` (with ids: array<int>) with column decoded: their text. Null ids give null; ``rows`` must not have the column yet."""
     path = model_path or piece_path()
 
     @F.pandas_udf("string")
-    def text(batches: Iterator) -> Iterator:
+    def text(ids):
         import pandas as pd
-        import sentencepiece
 
-        model = sentencepiece.SentencePieceProcessor(model_file=path)
-        for ids in batches:
-            yield pd.Series([None if x is None else model.decode([int(i) for i in x]) for x in ids], dtype=object)
+        model = _model(path)
+        return pd.Series([None if x is None else model.decode([int(i) for i in x]) for x in ids], dtype=object)
 
     return rows.withColumn("decoded", text("ids"))
 
