@@ -9,7 +9,6 @@ plan's initial physical plan (before run-time re-planning).
 from __future__ import annotations
 
 import os
-import re
 import sys
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -17,24 +16,14 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from shelfwise.session import local_session  # noqa: E402
 
 
-def shape(plan: str) -> dict[str, object]:
+def shape(df) -> dict[str, object]:
+    plan = df._jdf.queryExecution().executedPlan().toString()
     scans = set()
-    for m in re.finditer(r"FileScan parquet ([^\[]*)\[", plan):
-        name = m.group(1).strip()
-        scans.add("summary" if "summary" in name else name or "parquet")
-    for m in re.finditer(r"Location: InMemoryFileIndex\([^)]*\)\[([^\]]*)\]", plan):
-        loc = m.group(1)
-        if "/fact" in loc:
-            scans.add("fact")
-        elif "/summary" in loc:
-            scans.add("summary")
-        elif "/flags" in loc:
-            scans.add("flags")
-        elif "/dates" in loc:
-            scans.add("dates")
-        else:
-            scans.add(os.path.basename(loc.rstrip("/").split(",")[0]).replace(".parquet", "").rstrip("."))
-    scans.discard("parquet")
+    for f in df.inputFiles():
+        folder = f.rsplit("/", 2)
+        scans.add(folder[2].replace(".parquet", "") if not folder[2].startswith("part-") else folder[1])
+    if "ExistingRDD" in plan:
+        scans.add("checkpoint of the ordered rows")
     return {
         "scans": ", ".join(sorted(scans)) or "-",
         "hash": plan.count("Exchange hashpartitioning"),
@@ -49,16 +38,15 @@ def shape(plan: str) -> dict[str, object]:
 
 def main() -> None:
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
-    import __spark_entry__ as E
+    from shelfwise.plans import all_queries
 
     spark = local_session()
     spark.sparkContext.setLogLevel("ERROR")
     print("| key | scans | hash exch. | range exch. | single-partition exch. | broadcast | bucketed scan | top-k | scalar subqueries |")
     print("|---|---|---|---|---|---|---|---|---|")
-    for key, fn in E.queries().items():
+    for key, fn in all_queries().items():
         df = fn(spark, sf_dir)
-        plan = df._jdf.queryExecution().executedPlan().toString()
-        s = shape(plan)
+        s = shape(df)
         print(
             f"| {key} | {s['scans']} | {s['hash']} | {s['range']} | {s['single']} | {s['broadcast']} "
             f"| {s['bucketed']} | {s['topk']} | {s['subq']} |"
