@@ -69,13 +69,6 @@ class ByteNet:
             y[stop] -= after[stop + 1]
         return np.maximum(y, 0, out=y), x
 
-    def chunk_logits(self, halves):
-        """Logits of the overlapping chunks given the max-pooled halves of one document."""
-        import numpy as np
-
-        pooled = np.maximum(halves[:-1], halves[1:]) if len(halves) > 1 else halves
-        return pooled @ self.out + self.out_bias
-
     def score(self, texts: list[bytes]) -> list[float]:
         import numpy as np
 
