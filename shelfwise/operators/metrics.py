@@ -36,11 +36,6 @@ FLAG_KEYS = ["Promotion_Flag", "Stockout_Flag"]
 _DEC0 = "decimal(38,0)"
 
 
-def dec_avg(x: Column) -> Column:
-    """Mean of a DECIMAL expression: exact SUM cast to double / COUNT."""
-    return F.sum(x).cast("double") / F.count(x)
-
-
 def units() -> Column:
     return F.col("Units_Sold")
 
