@@ -1,7 +1,7 @@
 """Near-duplicate passages by compact windows.
 
-A document is its sequence of word shingles. Under each of ``HASHES`` orders
-(rarer shingles first, then by hash) the Cartesian tree of the sequence gives
+A document is its sequence of word shingles. Under each of ``HASHES`` orders (by
+hash alone, so that an edit's shingles come first no more often than others) the Cartesian tree of the sequence gives
 compact windows (l, c, r): every subsequence of [l, r] that holds c has its
 min-hash at c. Nodes whose window is at least ``span`` shingles long are kept;
 they are the minima of the sliding windows of that length, and the tree over
@@ -12,7 +12,8 @@ around c, where they overlap by ``span`` or more, are candidate passages. Equal
 surroundings are one member of a group; members are joined with the group's
 leaders and verified shingle by shingle: a stretch of ``span`` positions counts
 when its Jaccard similarity, of shingles that agree (at most ``SHIFT`` apart),
-reaches the threshold. A member that agrees with no leader becomes one, so every
+reaches the threshold; a repeat word for word, with no shingle in common beyond it, must
+have ``min_words`` words. A member that agrees with no leader becomes one, so every
 member is compared with all texts unlike each other. Large groups are dealt out
 by parts, whose leaders are joined in a second round.
 
@@ -32,7 +33,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfwise.llm.common import MAP_BITS, bit_map, bound_batches, free_name, in_bit_map, written
-from shelfwise.llm.jaccard_join import _Order, _frequent
 
 K, MIN_WORDS, NUMERATOR, DENOMINATOR = 5, 50, 80, 100
 HASHES, SHIFT = 3, 2
@@ -49,8 +49,8 @@ HASH_BYTES = 3
 class _Windows:
     """Compact windows of a block of texts."""
 
-    def __init__(self, frequent, k: int, span: int) -> None:
-        self.order, self.k, self.span = _Order(frequent), k, span
+    def __init__(self, k: int, span: int) -> None:
+        self.k, self.span = k, span
 
     def __call__(self, texts: list[str | None]) -> Iterator[tuple]:
         """(first text of the block, shingle hashes, text offsets, then for each order: key, c, l, r, text)."""
@@ -67,17 +67,16 @@ class _Windows:
             off = np.concatenate([[0], np.cumsum(sizes)])
             own = np.repeat(np.arange(len(raw)), sizes)
             s = s[np.arange(off[-1]) - np.repeat(off[:-1] - first[:-1], sizes)]
-            tier = self.order.tier(s)
-            found = [self._tree(f, s, off, own, tier) for f in range(HASHES)] if len(s) else []
+            found = [self._tree(f, s, off, own) for f in range(HASHES)] if len(s) else []
             yield start, s, off, found
 
-    def _tree(self, f: int, s, off, own, tier):
+    def _tree(self, f: int, s, off, own):
         import numpy as np
 
         from shelfwise.llm.words import mix
 
         span = self.span
-        rank = tier | (mix(s ^ np.uint64(SEEDS[f])) >> np.uint64(9))
+        rank = mix(s ^ np.uint64(SEEDS[f])) >> np.uint64(1)
         place = np.arange(len(s))
         value = ((rank >> np.uint64(6)) << np.uint64(6) | (place & 63).astype(np.uint64)).view(np.int64)
         low, width = value, 1
@@ -105,11 +104,11 @@ class _Windows:
         return key, c, np.array(left, np.int64), np.array(right, np.int64), doc
 
 
-def _keys(docs: DataFrame, order, k: int, span: int) -> DataFrame:
+def _keys(docs: DataFrame, k: int, span: int) -> DataFrame:
     def keys(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        windows = _Windows(order.value, k, span)
+        windows = _Windows(k, span)
         for batch in batches:
             for _, _, _, found in windows(batch.column(1).to_pylist()):
                 for key, *_ in found:
@@ -118,7 +117,7 @@ def _keys(docs: DataFrame, order, k: int, span: int) -> DataFrame:
     return docs.mapInArrow(keys, "key long")
 
 
-def _repeated(docs: DataFrame, order, bits, k: int, span: int, firsts=None) -> DataFrame:
+def _repeated(docs: DataFrame, bits, k: int, span: int, firsts=None) -> DataFrame:
     """The windows whose signature repeats (and a few more), with a digest of their surroundings.
 
     With ``firsts``, a map of (digest, document, place), those windows alone (and a few more),
@@ -130,7 +129,7 @@ def _repeated(docs: DataFrame, order, bits, k: int, span: int, firsts=None) -> D
         import pyarrow as pa
         import xxhash
 
-        windows, wanted = _Windows(order.value, k, span), np.frombuffer(bits.value, np.uint8)
+        windows, wanted = _Windows(k, span), np.frombuffer(bits.value, np.uint8)
         first = np.frombuffer(firsts.value, np.uint8) if firsts is not None else None
         for batch in batches:
             ids, rows = batch.column(0).to_pylist(), []
@@ -183,7 +182,9 @@ def _agree(leader, other, span: int, numerator: int, denominator: int):
     column = np.arange(width)
     first = np.where(known.any(axis=1), known.argmax(axis=1), width)
     last = width - 1 - known[:, ::-1].argmax(axis=1)
-    return inside & (column >= first[:, None]) & (column <= last[:, None])
+    # what is shared word for word, without a break, counts from ``span`` shingles on
+    short = (last - first + 1 < span) & (known.sum(axis=1) == last - first + 1)
+    return inside & (column >= first[:, None]) & (column <= last[:, None]) & ~short[:, None]
 
 
 def _clustered(members: DataFrame, span: int, numerator: int, denominator: int) -> DataFrame:
@@ -260,10 +261,9 @@ def repeats(docs: DataFrame, k: int = K, min_words: int = MIN_WORDS, numerator:
     bound_batches(spark)
     span = min_words - k + 1
     docs = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    order = spark.sparkContext.broadcast(_frequent(docs, k))
-    again = _keys(docs, order, k, span).groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    again = _keys(docs, k, span).groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     bits = spark.sparkContext.broadcast(bit_map(again))
-    found = written(_repeated(docs, order, bits, k, span))
+    found = written(_repeated(docs, bits, k, span))
 
     members = found.groupBy("hi", "lo").agg(
         F.min(F.struct("doc_id", "c")).alias("first"), F.max("doc_id").alias("last_doc"), F.first("key").alias("key"), F.first("left").alias("left"), F.first("size").alias("size")
@@ -274,7 +274,7 @@ def repeats(docs: DataFrame, k: int = K, min_words: int = MIN_WORDS, numerator:
     def surroundings(of: DataFrame) -> DataFrame:
         """The first occurrences of some members, with what surrounds them."""
         place = F.expr("hi ^ shiftleft(doc_id, 17) ^ shiftleft(c, 41)").alias("key")
-        return _repeated(docs, order, bits, k, span, spark.sparkContext.broadcast(bit_map(of.select(place))))
+        return _repeated(docs, bits, k, span, spark.sparkContext.broadcast(bit_map(of.select(place))))
 
     large = written(groups.filter(F.col("members") > PART))
     around = surroundings(members.join(groups, "key")).join(large, "key", "left")

@@ -62,6 +62,40 @@ def test_parts_of_a_large_group(docs_of, monkeypatch):
     assert found_cover(passages.repeats(docs_of(rows))) == exact_cover(rows)
 
 
+def near_cover(rows, n=50, k=5, least=0.8):
+    """Words of each document inside an n-word window as like a window of an earlier document as ``least`` (sets of k-word shingles)."""
+    span, place, cover = n - k + 1, {}, {}
+    for i, text in sorted(rows, key=lambda r: r[0]):
+        w = WORD.findall(low(text))
+        s = [tuple(w[a : a + k]) for a in range(len(w) - k + 1)]
+        others = {d: len(t) for x in s for d, t in place.get(x, {}).items()}
+        for d in others:
+            theirs = [{p for p in place.get(x, {}).get(d, ())} for x in s]
+            for a in range(len(s) - span + 1):
+                starts = {q - t for t in range(a, a + span) for q in theirs[t]}
+                for b in {x + a + e for x in starts for e in range(-2, 3)}:
+                    m = len({s[t] for t in range(a, a + span) if any(b <= q < b + span for q in theirs[t])})
+                    if m >= least * (2 * span - m):
+                        cover.setdefault(i, set()).update(range(a, a + n))
+                        break
+        for a, x in enumerate(s):
+            place.setdefault(x, {}).setdefault(i, []).append(a)
+    return cover
+
+
+def test_one_off_edits_of_a_common_passage(docs_of):
+    p = words(90, 60).split()
+    rows = [(i, f"{words(2000 + i, 20)} {' '.join(p)} {words(3000 + i, 20)}") for i in range(30)]
+    edits = [p[:30] + [f"edit{i}"] + p[31:] for i in range(120)]
+    rows += [(1000 + i, f"{words(4000 + i, 20)} {' '.join(e)} {words(5000 + i, 20)}") for i, e in enumerate(edits)]
+    want = near_cover(rows[:1] + rows[30:32])
+    assert set(want) == {1000, 1001}
+    cover = found_cover(passages.repeats(docs_of(rows).coalesce(1)))
+    found = [i for i in range(1000, 1120) if len(cover.get(i, ())) >= 58]
+    assert len(found) >= 115
+    assert all(cover[i] <= set(range(15, 85)) for i in found)
+
+
 def test_without_repeats(docs_of, odd_rows):
     p = words(50, 60)
     rows = [(20, f"before {p} after"), (21, f"été\n{p}\n你好 end"), (22, p)] + odd_rows
