@@ -13,9 +13,11 @@ surroundings are one member of a group; members are joined with the group's
 leaders and verified shingle by shingle: a stretch of ``span`` positions counts
 when its Jaccard similarity, of shingles that agree (at most ``SHIFT`` apart),
 reaches the threshold; a repeat word for word, with no shingle in common beyond it, must
-have ``min_words`` words. A member that agrees with no leader becomes one, so every
-member is compared with all texts unlike each other. Large groups are dealt out
-by parts, whose leaders are joined in a second round.
+have ``min_words`` words. Every member is compared with each leader until all its stretches
+that can agree with anything are a leader's, shingle for shingle; what is left of it then
+agrees with the leader wherever it agrees with the member. Shingles that no other
+member has nearby agree with nothing and don't count. A member that stays becomes a
+leader itself. Large groups are dealt out by parts, whose leaders are joined in a second round.
 
 Of each passage the occurrence in the smallest doc_id stays; passages repeated
 inside one document only are left alone.
@@ -187,47 +189,122 @@ def _agree(leader, other, span: int, numerator: int, denominator: int):
     return inside & (column >= first[:, None]) & (column <= last[:, None]) & ~short[:, None]
 
 
-def _clustered(members: DataFrame, span: int, numerator: int, denominator: int) -> DataFrame:
+def _value_keys(key, table):
+    """A hash of (group, shingle) for each place of ``table``."""
+    import numpy as np
+
+    from shelfwise.llm.words import mix
+
+    return mix(key.view(np.uint64)[:, None] ^ ((table.astype(np.int64).view(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))).view(np.int64)
+
+
+def _shared(group, table):
+    """Places of ``table`` whose shingle its group has again at most ``SHIFT`` away."""
+    import numpy as np
+
+    width = table.shape[1]
+    row, column = np.nonzero(table >= 0)
+    own = group[row].astype(np.int64) << 31 | table[row, column].astype(np.int64) << 7 | column
+    by = np.argsort(own)
+    near = np.diff(own[by]) <= SHIFT
+    # places of one shingle follow each other; a step to the next shingle is longer, but at the ends of a table as wide as 128
+    near &= np.diff(own[by] >> 7) == 0
+    again = np.zeros(len(own), bool)
+    again[by[1:][near]] = True
+    again[by[:-1][near]] = True
+    out = np.zeros(table.shape, bool)
+    out[row[again], column[again]] = True
+    return out
+
+
+def _table(lefts, arounds, span: int):
+    """Surroundings as rows aligned at c, -1 outside."""
+    import numpy as np
+
+    table = np.full((len(lefts), 2 * span - 1), -1, np.int32)
+    for i, (left, raw) in enumerate(zip(lefts, arounds)):
+        bytes_of = np.zeros((len(raw) // HASH_BYTES, 4), np.uint8)
+        bytes_of[:, :HASH_BYTES] = np.frombuffer(raw, np.uint8).reshape(-1, HASH_BYTES)
+        table[i, span - 1 - left : span - 1 - left + len(bytes_of)] = bytes_of.view(np.int32)[:, 0]
+    return table
+
+
+def _values(members: DataFrame, span: int) -> DataFrame:
+    """``_value_keys`` of members, each once a member."""
+
+    def keys(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            table = _table(batch.column(1).to_pylist(), batch.column(2).to_pylist(), span)
+            row, column = np.nonzero(table >= 0)
+            both = np.stack([row, _value_keys(batch.column(0).to_numpy(), table)[row, column]], axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(both, axis=0)[:, 1].copy())], names=["key"])
+
+    return members.select("key", "left", "around").mapInArrow(keys, "key long")
+
+
+def _clustered(members: DataFrame, span: int, numerator: int, denominator: int, shared=None, parts: bool = False) -> DataFrame:
     """Members of each (key, part), in order of their first occurrence, against the group's leaders.
 
     Gives (key, hi, lo, by_doc, a, b): positions a..b around c repeat a passage of an earlier
-    member, first met in document by_doc; leaders come with by_doc null. All groups of a batch
-    are compared at once, each with its next leader per round.
+    member, first met in document by_doc. With ``parts``, of groups that go on in other parts,
+    leaders come too, with by_doc null. ``shared``: a map of the ``_value_keys`` that several
+    members have; without it the shingles of the part itself are looked through. All groups
+    of a batch are compared at once, each with its next leader per round.
     """
 
     def join(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        width = 2 * span - 1
+        wanted = np.frombuffer(shared.value, np.uint8) if shared is not None else None
+
+        def stretches(count):
+            total = np.zeros((len(count), count.shape[1] + 1), np.int32)
+            np.cumsum(count, axis=1, out=total[:, 1:])
+            return total
 
         def take(t):
             key, part, hi, lo, doc = (t.column(i).to_numpy() for i in range(5))
-            n = len(key)
             group = np.cumsum(np.concatenate([[0], (key[1:] != key[:-1]) | (part[1:] != part[:-1])]))
-            table = np.full((n, width), -1, np.int32)
-            for i, (left, raw) in enumerate(zip(t.column(6).to_pylist(), t.column(7).to_pylist())):
-                bytes_of = np.zeros((len(raw) // HASH_BYTES, 4), np.uint8)
-                bytes_of[:, :HASH_BYTES] = np.frombuffer(raw, np.uint8).reshape(-1, HASH_BYTES)
-                table[i, span - 1 - left : span - 1 - left + len(bytes_of)] = bytes_of.view(np.int32)[:, 0]
-            out = [[], [], [], []]
-            open_rows = np.arange(n)
+            table = _table(t.column(6).to_pylist(), t.column(7).to_pylist(), span)
+            known = _shared(group, table) if wanted is None else (table >= 0) & in_bit_map(wanted, _value_keys(key, table))
+            total = stretches(known)
+            m = total[:, span:] - total[:, :-span]
+            # stretches that can agree with another member's and are no leader's yet
+            own_stretch = m * denominator >= (2 * span - m) * numerator
+            done = np.zeros(table.shape, bool)
+            out = [[np.zeros(0, np.int64)] for _ in range(4)]
+            open_rows = np.flatnonzero(own_stretch.any(axis=1))
             while len(open_rows):
                 own = group[open_rows]
                 at_first = np.concatenate([[True], own[1:] != own[:-1]])
                 leaders = open_rows[at_first]
                 rest = open_rows[~at_first]
                 lead = leaders[np.searchsorted(group[leaders], group[rest])]
-                out[0].append(leaders), out[1].append(np.full(len(leaders), -1)), out[2].append(np.zeros(len(leaders), int)), out[3].append(np.zeros(len(leaders), int))
-                met = np.zeros(len(rest), bool)
-                for a in range(0, len(rest), 8192):
-                    some = slice(a, a + 8192)
-                    covered = _agree(table[lead[some]], table[rest[some]], span, numerator, denominator)
-                    met[some] = covered.any(axis=1)
-                    edge = np.diff(np.pad(covered.astype(np.int8), ((0, 0), (1, 1))), axis=1)
-                    (row, begin), (_, end) = np.nonzero(edge == 1), np.nonzero(edge == -1)
-                    out[0].append(rest[some][row]), out[1].append(lead[some][row]), out[2].append(begin - span + 1), out[3].append(end - span)
-                open_rows = rest[~met]
+                if parts:
+                    out[0].append(leaders), out[1].append(np.full(len(leaders), -1)), out[2].append(np.zeros(len(leaders), int)), out[3].append(np.zeros(len(leaders), int))
+                stays = np.ones(len(rest), bool)
+                for x in range(0, len(rest), 8192):
+                    row, by = rest[x : x + 8192], lead[x : x + 8192]
+                    covered = _agree(table[by], table[row], span, numerator, denominator)
+                    new = covered & ~done[row]
+                    done[row] |= new
+                    edge = np.diff(np.pad(new.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+                    (at, begin), (_, end) = np.nonzero(edge == 1), np.nonzero(edge == -1)
+                    out[0].append(row[at]), out[1].append(by[at]), out[2].append(begin - span + 1), out[3].append(end - span)
+                    unlike = known[row] & (table[row] != table[by])
+                    total = stretches(np.pad(unlike, ((0, 0), (SHIFT, SHIFT))))
+                    size = span + 2 * SHIFT
+                    left = own_stretch[row] & (total[:, size:] > total[:, :-size])
+                    if parts:
+                        # another part's leader may come from an earlier document than both
+                        left = np.where((doc[by] < doc[row])[:, None], left, own_stretch[row])
+                    own_stretch[row] = left
+                    stays[x : x + 8192] = left.any(axis=1)
+                open_rows = rest[stays]
             row, lead, a, b = (np.concatenate(x) for x in out)
             none = lead < 0
             return pa.RecordBatch.from_arrays(
@@ -277,19 +354,20 @@ def repeats(docs: DataFrame, k: int = K, min_words: int = MIN_WORDS, numerator:
         return _repeated(docs, bits, k, span, spark.sparkContext.broadcast(bit_map(of.select(place))))
 
     large = written(groups.filter(F.col("members") > PART))
-    around = surroundings(members.join(groups, "key")).join(large, "key", "left")
-    dealt = around.withColumn("part", F.coalesce(F.pmod(F.col("hi"), F.ceil(F.col("members") / PART)).cast("int"), F.lit(0)))
-    one = written(_clustered(dealt, span, numerator, denominator))
-    near = one
+    some = surroundings(members.join(groups.filter(F.col("members") <= PART), "key"))
+    near = written(_clustered(some.withColumn("part", F.lit(0)), span, numerator, denominator))
     if not large.isEmpty():
+        around = written(surroundings(members.join(large, "key")).join(large, "key"))
+        shared = spark.sparkContext.broadcast(bit_map(_values(around, span).groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")))
+        dealt = around.withColumn("part", F.pmod(F.col("hi"), F.ceil(F.col("members") / PART)).cast("int"))
+        one = written(_clustered(dealt, span, numerator, denominator, shared, parts=True))
         # leaders of the parts of one group meet in a second round
-        leaders = one.filter("by_doc is null").select("key", "hi", "lo").join(large.select("key"), "key").select("hi", "lo").distinct()
-        leaders = written(members.join(leaders, ["hi", "lo"]))
-        again = surroundings(leaders).join(leaders.select("hi", "lo"), ["hi", "lo"], "left_semi").withColumn("part", F.lit(0))
-        near = one.unionAll(_clustered(again, span, numerator, denominator))
+        leaders = one.filter("by_doc is null").select("key", "hi", "lo").distinct()
+        again = around.join(leaders, ["key", "hi", "lo"], "left_semi").withColumn("part", F.lit(0))
+        near = near.unionAll(one.filter("by_doc is not null")).unionAll(_clustered(again, span, numerator, denominator, shared))
 
     # every occurrence of a member repeats what the member repeats; later documents repeat the first one whole
-    near = near.filter("by_doc is not null").select("hi", "lo", "a", "b", F.col("by_doc").alias("by")).distinct()
+    near = near.select("hi", "lo", "a", "b", F.col("by_doc").alias("by")).distinct()
     whole = members.filter("last_doc > doc_id").select("hi", "lo", (-F.col("left")).alias("a"), (F.col("size") - F.col("left") - 1).alias("b"), F.col("doc_id").alias("by"))
     at = found.select("hi", "lo", "doc_id", "c").join(near.unionAll(whole), ["hi", "lo"]).filter("by < doc_id")
     spans = at.select("doc_id", (F.col("c") + F.col("a")).alias("first"), (F.col("c") + F.col("b") + k - 1).alias("last"), "by")

@@ -1,5 +1,7 @@
 import re
 
+import pytest
+
 from shelfwise.llm import passages
 from tests.llm.conftest import words
 
@@ -74,10 +76,11 @@ def near_cover(rows, n=50, k=5, least=0.8):
             for a in range(len(s) - span + 1):
                 starts = {q - t for t in range(a, a + span) for q in theirs[t]}
                 for b in {x + a + e for x in starts for e in range(-2, 3)}:
-                    m = len({s[t] for t in range(a, a + span) if any(b <= q < b + span for q in theirs[t])})
+                    shared = [t for t in range(a, a + span) if any(b <= q < b + span for q in theirs[t])]
+                    m = len({s[t] for t in shared})
                     if m >= least * (2 * span - m):
-                        cover.setdefault(i, set()).update(range(a, a + n))
-                        break
+                        # trimmed to what is shared
+                        cover.setdefault(i, set()).update(range(shared[0], shared[-1] + k))
         for a, x in enumerate(s):
             place.setdefault(x, {}).setdefault(i, []).append(a)
     return cover
@@ -96,6 +99,32 @@ def test_one_off_edits_of_a_common_passage(docs_of):
     assert all(cover[i] <= set(range(15, 85)) for i in found)
 
 
+def chain_rows():
+    """Copies of a passage with one edit, copies of these with one more; and longer passages around a short one."""
+    rows = []
+    for n in range(25):
+        p = words(6000 + n, 60).split()
+        one = p[:20] + [f"first{n}"] + p[21:]
+        two = one[:42] + [f"second{n}"] + one[43:]
+        rows += [(10 * n + i, f"{words(7000 + 10 * n + i, 15)} {' '.join(t)} {words(8000 + 10 * n + i, 15)}") for i, t in enumerate((p, one, two))]
+    for n in range(25):
+        p, before, after = words(6100 + n, 60), words(6200 + n, 40), words(6300 + n, 40)
+        rows += [(1000 + 10 * n + i, f"{words(7500 + 10 * n + i, 15)} {t} {words(8500 + 10 * n + i, 15)}") for i, t in enumerate((p, f"{before} {p}", f"{before} {p} {after}", f"{p} {after}"))]
+    return rows
+
+
+@pytest.mark.parametrize("part", [4096, 2])
+def test_chains_of_edits_and_mixed_lengths(docs_of, monkeypatch, part):
+    monkeypatch.setattr(passages, "PART", part)
+    rows = chain_rows()
+    want, cover = near_cover(rows), found_cover(passages.repeats(docs_of(rows)))
+    third = [i for i in want if i < 1000 and i % 10 == 2]
+    assert len(third) == 25
+    assert sum(len(cover.get(i, set()) & want[i]) >= 50 for i in third) >= 23
+    assert all(cover.get(i, set()) >= c for i, c in exact_cover(rows).items())
+    assert sum(len(cover.get(i, set()) & c) for i, c in want.items()) >= 0.95 * sum(map(len, want.values()))
+
+
 def test_without_repeats(docs_of, odd_rows):
     p = words(50, 60)
     rows = [(20, f"before {p} after"), (21, f"été\n{p}\n你好 end"), (22, p)] + odd_rows
