@@ -35,13 +35,13 @@ from pyspark.sql import functions as F
 from shelfwise.llm.common import bound_batches
 
 #: Segmentations of a text, and the power that piece weights are raised to (less: more even).
-SAMPLES, ALPHA = 2, 0.4
+SAMPLES, ALPHA = 8, 0.4
 #: Edges of word lattices a task keeps before it starts anew, and words walked side by side.
 KEPT_EDGES, TOGETHER = 6_000_000, 40_000
 SEED = 17
 UNUSED = -1e8
 
-SCHEMA = "doc_id long, sample int, n_pieces long, log_prob double, gumbel double, log_inclusion double, ids array<int>, ids_crc32 long"
+SCHEMA = "doc_id long, sample int, n_pieces long, log_prob double, gumbel double, log_inclusion double, ids array<int>, ids_crc32 long, round_trip boolean"
 
 
 def piece_path() -> str:
@@ -403,8 +403,8 @@ def _ids(lattices: Lattices, edge):
     return out
 
 
-def sample(docs: DataFrame, k: int = SAMPLES, model_path: str | None = None, seed: int = SEED, with_ids: bool = True) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text) up to k distinct segmentations: columns as in SCHEMA, sample from 1."""
+def sample(docs: DataFrame, k: int = SAMPLES, model_path: str | None = None, seed: int = SEED) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text) up to k distinct segmentations: columns as in SCHEMA, sample from 1; round_trip: whether the ids decode to the text."""
     path = model_path or piece_path()
     bound_batches(docs.sparkSession)
 
@@ -425,12 +425,12 @@ def sample(docs: DataFrame, k: int = SAMPLES, model_path: str | None = None, see
                 at = end
                 found = sample_texts(lattices, [r[1] for r in some], [r[2] for r in some], k)
                 out = [
-                    (doc_id, i + 1, len(ids), p, g, q, ids if with_ids else None, zlib.crc32(ids.astype("<i4").tobytes()))
-                    for (doc_id, _, _), own in zip(some, found)
+                    (doc_id, i + 1, len(ids), p, g, q, ids, zlib.crc32(ids.astype("<i4").tobytes()), lattices.model.decode(ids.tolist()) == (text or ""))
+                    for (doc_id, text, _), own in zip(some, found)
                     for i, (ids, p, g, q) in enumerate(own)
                 ]
-                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.list_(pa.int32()), pa.int64()]
-                names = ["doc_id", "sample", "n_pieces", "log_prob", "gumbel", "log_inclusion", "ids", "ids_crc32"]
+                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.list_(pa.int32()), pa.int64(), pa.bool_()]
+                names = ["doc_id", "sample", "n_pieces", "log_prob", "gumbel", "log_inclusion", "ids", "ids_crc32", "round_trip"]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds)], names=names)
 
     key = F.xxhash64(F.lit(seed), F.col("doc_id").cast("long")).alias("key")
@@ -461,4 +461,4 @@ def decode(rows: DataFrame, model_path: str | None = None) -> DataFrame:
 def op6(spark, sf_dir: str) -> DataFrame:
     from shelfwise.llm.common import table
 
-    return sample(table(spark, sf_dir, "documents", "doc_id", "text"), with_ids=False).drop("ids")
+    return sample(table(spark, sf_dir, "documents", "doc_id", "text"))

@@ -98,6 +98,14 @@ def test_sample_and_decode(docs_of, odd_rows):
     assert all(again[r.doc_id, r.sample] == tuple(r.ids) for r in out)
 
 
+def test_query_returns_the_segmentations(spark, tmp_path, docs_of, odd_rows):
+    docs_of(odd_rows).write.parquet(f"{tmp_path}/documents.parquet")
+    out, texts = P.op6(spark, str(tmp_path)).collect(), dict(odd_rows)
+    model = P._model(P.piece_path())
+    assert max(r.sample for r in out) == P.SAMPLES > 2
+    assert all(r.round_trip and model.decode(list(r.ids)) == (texts[r.doc_id] or "") and r.n_pieces == len(r.ids) for r in out)
+
+
 def test_fewer_segmentations_than_asked(lattices):
     ((own),) = (P.sample_texts(lattices, ["a"], [1], 5),)
     assert len(own[0]) == 2 == len(segmentations(lattices, "a"))
