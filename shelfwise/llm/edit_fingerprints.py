@@ -7,8 +7,8 @@ is emitted. A fingerprint keeps sampled steps of the walk, four bits of each: th
 whose shared random rank is below a bound that halves with each doubling of length, so
 that fingerprints of any two lengths have steps in common.
 
-``near_duplicates`` cuts fingerprints into bands of sampled steps, compares the texts of
-a band with its first one and verifies by likeness.
+``near_duplicates`` cuts fingerprints into bands of sampled steps, as wide as ``RECALL``
+at the threshold allows, and verifies every two different fingerprints of a band by likeness.
 
 Defined cases: a null text is empty; the fingerprint of an empty text holds no step, two
 empty texts are alike (1) and an empty and a non-empty one are not (0); equal texts have
@@ -37,6 +37,8 @@ BATCH = 4000
 #: Fewer walks than this go one by one.
 FEW = 24
 PERIOD = 4096
+#: Least share of pairs at the threshold, whose unlike steps lie anywhere, that share a band.
+RECALL = 0.98
 _PAD = "-"
 
 
@@ -203,12 +205,21 @@ def fingerprint(docs: DataFrame) -> DataFrame:
     return rows.select("block", "doc_id", "text", "halo").mapInArrow(walk, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
-def near_duplicates(found: DataFrame, least: float = 0.8, bands: int = 16) -> DataFrame:
-    """(a, b, likeness): documents of ``found`` (doc_id, fingerprint) against the first of a band they share.
+def band_width(steps: int, least: float) -> int:
+    """The most steps a band may have for ``RECALL`` at likeness ``least``, among ``steps`` in all."""
+    width = 1
+    while width < steps and 1 - (1 - least ** (width + 1)) ** (steps // (width + 1)) >= RECALL:
+        width += 1
+    return width
+
+
+def near_duplicates(found: DataFrame, least: float = 0.8, bands: int | None = None) -> DataFrame:
+    """(a, b, likeness), a < b: every two documents of ``found`` (doc_id, fingerprint) that share a band and are alike.
 
     Every fingerprint gives bands under its own length class and the next one, so that
-    texts on both sides of a class boundary meet. Equal fingerprints are one class, of its
-    smallest doc_id.
+    texts on both sides of a class boundary meet. Equal fingerprints are one class: each of
+    its documents comes with its smallest doc_id, at likeness 1, and that one stands for
+    the class in other pairs. Rows with null doc_id take no part.
     """
 
     def cut(batches: Iterator) -> Iterator:
@@ -223,7 +234,7 @@ def near_duplicates(found: DataFrame, least: float = 0.8, bands: int = 16) -> Da
                     steps = sampled_steps(use)
                     steps = steps[steps < STEPS << c]
                     line = own[np.searchsorted(sampled_steps(c), steps)].tobytes()
-                    width = max(1, len(sampled_steps(use)) // bands)
+                    width = max(1, len(sampled_steps(use)) // bands) if bands else band_width(len(steps), least)
                     for b in range(0, len(line) - width + 1, width):
                         part = line[b : b + width]
                         if part.strip(_PAD.encode()):
@@ -237,11 +248,13 @@ def near_duplicates(found: DataFrame, least: float = 0.8, bands: int = 16) -> Da
 
         return pd.Series([likeness(x, y) for x, y in zip(a, b)], dtype=float)
 
-    classes = found.groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "fingerprint")
-    rows = written(classes.mapInArrow(cut, "b long, fb string, band string"))
-    first = rows.groupBy("band").agg(F.min(F.struct("b", "fb")).alias("f"), F.count("*").alias("n")).filter("n > 1")
-    pairs = rows.join(first, "band").select(F.col("f.b").alias("a"), F.col("f.fb").alias("fa"), "b", "fb").filter("a <> b").distinct()
-    return pairs.withColumn("likeness", alike("fa", "fb")).filter(F.col("likeness") >= least).select("a", "b", "likeness")
+    found = written(found.filter("doc_id is not null").select(F.col("doc_id").cast("long"), "fingerprint").distinct())
+    classes = found.groupBy("fingerprint").agg(F.min("doc_id").alias("first"))
+    equal = found.join(classes, "fingerprint").filter("doc_id > first").select(F.col("first").alias("a"), F.col("doc_id").alias("b"), F.lit(1.0).alias("likeness"))
+    rows = written(classes.select("first", "fingerprint").mapInArrow(cut, "b long, fb string, band string"))
+    pairs = rows.select(F.col("b").alias("a"), F.col("fb").alias("fa"), "band").join(rows, "band").filter("a < b").select("a", "fa", "b", "fb").distinct()
+    near = pairs.withColumn("likeness", alike("fa", "fb")).filter(F.col("likeness") >= least)
+    return near.select("a", "b", "likeness").unionAll(equal).groupBy("a", "b").agg(F.max("likeness").alias("likeness"))
 
 
 def op8(spark, sf_dir: str) -> DataFrame:

@@ -73,3 +73,23 @@ def test_near_duplicates(spark, docs_of):
     pairs = {(r.a, r.b) for r in E.near_duplicates(found, 0.6).collect()}
     assert {b for _, b in pairs} >= {1, 2, 3} and all(a < 100 and b < 100 for a, b in pairs)
     assert E.near_duplicates(found.filter("false")).count() == 0
+
+
+def test_near_duplicates_against_brute_force(spark, docs_of):
+    opening = words(30, 60)
+    rows = [(0, f"{opening} {words(31, 300)}")]
+    for n in range(8):
+        base = words(40 + n, 300)
+        rows += [(10 * n + i, f"{opening} {base[: 300 * i]}{'xy' * (i > 1)}{base[300 * i :]}") for i in range(1, 6)]
+    found = E.fingerprint(docs_of(rows)).select("doc_id", "fingerprint").cache()
+    prints = {r.doc_id: r.fingerprint for r in found.collect()}
+    want = {(a, b) for a in prints for b in prints if a < b and E.likeness(prints[a], prints[b]) >= 0.8}
+    got = {(r.a, r.b): r.likeness for r in E.near_duplicates(found).collect()}
+    # the smallest document of a class of equal fingerprints stands for it
+    first = {i: min(j for j in prints if prints[j] == prints[i]) for i in prints}
+    met = {(a, b) for a, b in want if first[a] == first[b] or tuple(sorted((first[a], first[b]))) in got}
+    assert len(want) > 20 and set(got) <= want and len(met) >= 0.95 * len(want)
+    assert all((first[i], i) in got for i in prints if first[i] < i)
+    # exact copies are named
+    copies = spark.createDataFrame([(i, prints[11]) for i in (7, 5, 9, 5)], "doc_id long, fingerprint string")
+    assert {(r.a, r.b, r.likeness) for r in E.near_duplicates(copies).collect()} == {(5, 7, 1.0), (5, 9, 1.0)}
