@@ -34,6 +34,8 @@ _MARKUP = re.compile(
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 #: Elements that never hold the article's text.
 _APART = frozenset("nav header footer aside form dialog button menu figcaption".split())
+#: Elements that hold the whole page or article; names like has-sidebar tell of what is beside the text.
+_WHOLE = frozenset("html body main article".split())
 #: Names of classes, ids and roles of such elements.
 _APART_NAME = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|signup|login|search"
@@ -55,7 +57,7 @@ def _is_apart(tag: str, rest: str) -> bool:
         value = value.strip("\"'")
         name = name.lower()
         if name in ("class", "id", "role"):
-            if _APART_NAME.search(value):
+            if tag not in _WHOLE and _APART_NAME.search(value):
                 return True
         elif name == "hidden" or name == "aria-hidden" and value.lower() == "true":
             return True

@@ -22,6 +22,12 @@ def test_article_alone_is_kept():
     assert main_text(page(f"<h1>{ARTICLE[0]}</h1>{paragraphs}", beside, comments)) == "\n".join(ARTICLE)
 
 
+def test_names_on_the_page_and_the_article():
+    for tag in ("body class='has-sidebar'", "main id='with-comments'", "article class='post no-share'"):
+        assert main_text(f"<{tag}><p>{ARTICLE[1]}</p><div class='sidebar'>{words(39, 60)}</div></{tag.split()[0]}>") == ARTICLE[1]
+    assert main_text(f"<article hidden><p>{ARTICLE[1]}</p></article>") == ""
+
+
 def test_advert_inside_the_article():
     body = f"<p>{ARTICLE[1]}</p><div class=\"ad banner\">{words(40, 30)}</div><p>{ARTICLE[4]}</p>"
     assert main_text(page(body)) == f"{ARTICLE[1]}\n{ARTICLE[4]}"
