@@ -6,7 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfwise.llm import edit_fingerprints, exact_substrings, html_text, jaccard_join, neighbours, packing, passages, piece_sampling, quality, token_counts
+from shelfwise.llm import (
+    benchmark_automaton,
+    conversation_repair,
+    edit_fingerprints,
+    exact_substrings,
+    html_text,
+    jaccard_join,
+    neighbours,
+    oracle,
+    packing,
+    passages,
+    piece_sampling,
+    quality,
+    spelling,
+    token_counts,
+)
 
 
 def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +42,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_fingerprints": edit_fingerprints.op8,
         "op9_suffix_array_dedup": exact_substrings.op9,
         "op10_packing": packing.op10,
+        "op11_spelling_variants": spelling.op11,
+        "op12_conversation_repair": conversation_repair.op12,
+        "op13_benchmark_decontamination": benchmark_automaton.op13,
         "pipeline": _pipeline,
     }
 
@@ -57,4 +75,9 @@ GROUP BY d.doc_id"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_jaccard_join": OP7_SQL}
+    return {
+        "op7_jaccard_join": OP7_SQL,
+        "op11_spelling_variants": oracle.OP11_SQL,
+        "op12_conversation_repair": oracle.OP12_SQL,
+        "op13_benchmark_decontamination": oracle.OP13_SQL,
+    }

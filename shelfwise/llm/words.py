@@ -40,14 +40,30 @@ def blocks(texts: list[str | None]) -> Iterator[tuple[int, list[bytes]]]:
         yield first, held
 
 
-def word_hashes(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash of each word, first word of each text and the end, byte start of each word, byte end), bytes counted within its text."""
+def cut(raw: bytes, space: np.ndarray, size: int = BLOCK_BYTES) -> Iterator[tuple[int, bytes]]:
+    """(byte offset, piece) of ``raw``, cut after a separator at about every ``size`` bytes; a longer word stays whole."""
+    at, tried = 0, 0
+    while len(raw) - at - tried > size:
+        breaks = np.flatnonzero(space[np.frombuffer(raw, np.uint8, size, at + tried)])
+        if len(breaks):
+            end = at + tried + int(breaks[-1]) + 1
+            yield at, raw[at:end]
+            at, tried = end, 0
+        else:
+            tried += size
+    yield at, raw[at:]
+
+
+def word_hashes(raw: list[bytes], space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of each word, first word of each text and the end, byte start of each word, byte end), bytes counted within its text.
+
+    ``space``: which bytes part words (U+000A must)."""
     joined = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
     at = np.concatenate([[0], np.cumsum([len(r) + 1 for r in raw])])
-    space = _SPACE[joined]
-    before = np.concatenate([[True], space[:-1]])
-    starts = np.flatnonzero(~space & before)
-    ends = np.flatnonzero(space & ~before)
+    apart = space[joined]
+    before = np.concatenate([[True], apart[:-1]])
+    starts = np.flatnonzero(~apart & before)
+    ends = np.flatnonzero(apart & ~before)
     first = np.searchsorted(starts, at)
     if not len(starts):
         return np.zeros(0, np.uint64), first, starts, ends
@@ -55,7 +71,7 @@ def word_hashes(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     inside[starts] = starts
     inside = np.arange(len(joined)) - np.maximum.accumulate(inside)
     value = (joined.astype(np.uint64) + np.uint64(1)) * _POWERS[inside & (len(_POWERS) - 1)]
-    value[space] = 0
+    value[apart] = 0
     h = np.add.reduceat(value, starts)
     h = mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
     base = np.repeat(at[:-1], np.diff(first))
