@@ -209,6 +209,18 @@ def _keyed(reducer: Reducer, bits: bytes | None):
     return task
 
 
+#: Letters up to which levenshtein() verifies a pair; its time grows with the square of the length.
+SHORT = 64
+#: Whether ``word`` and ``other`` differ by exactly one edit. Of long words, the common prefix is found by
+#: doubling steps, and what follows the edit must be equal: a few comparisons of whole words.
+ONE_EDIT = f"""CASE WHEN abs(length(word) - length(other)) > 1 THEN false
+  WHEN length(word) <= {SHORT} THEN levenshtein(word, other, 1) = 1
+  ELSE word <> other AND aggregate(
+    sequence(30, 0, -1), 0,
+    (p, k) -> if(p + shiftleft(1, k) <= least(length(word), length(other))
+                 AND substr(word, p + 1, shiftleft(1, k)) = substr(other, p + 1, shiftleft(1, k)), p + shiftleft(1, k), p),
+    p -> substr(word, p + if(length(word) < length(other), 1, 2)) = substr(other, p + if(length(other) < length(word), 1, 2)))
+  END"""
 _KEYED = "key long, word string, n long, same boolean"
 
 
@@ -223,7 +235,7 @@ def near_pairs(vocabulary: DataFrame) -> DataFrame:
     probes = vocabulary.mapInArrow(_keyed(reducer, bits), _KEYED)
     targets = own.select("key", F.col("word").alias("other"), F.col("n").alias("other_n"))
     # a word's own key meets that of another word from both sides; all other keys from one
-    once = (~F.col("same") | (F.col("word") < F.col("other"))) & (F.levenshtein("word", "other", 1) == 1)
+    once = (~F.col("same") | (F.col("word") < F.col("other"))) & F.expr(ONE_EDIT)
     return probes.join(targets, "key").filter(once).select("word", "n", "other", "other_n")
 
 
