@@ -15,9 +15,10 @@ from shelfwise.labels import (
 )
 from shelfwise.operators.common import first_match, money, ordered, pair_tiebreak, r2, r3, top
 from shelfwise.operators.metrics import as_inventory, group_metrics
-from shelfwise.operators.ranking import with_running_sum
+from shelfwise.operators.ranking import By, with_running_sum
 from shelfwise.params import DEFAULT, Params
 from shelfwise.schema import PAIR
+from shelfwise.sources.store import ensure_checkpoint_dir
 
 
 def overall(df, params: Params = DEFAULT) -> DataFrame:
@@ -120,7 +121,10 @@ def abc_concentration(df, params: Params = DEFAULT) -> DataFrame:
     sku = group_metrics(inv, ["SKU_ID"], "inventory_value", params=params).withColumnRenamed(
         "inventory_value", "value"
     )
-    order = [F.col("value").desc_nulls_last(), F.col("SKU_ID").asc()]
+    if not inv.stored("sku"):  # an aggregate of plain rows, read for its ranges and again for the sums
+        ensure_checkpoint_dir(sku.sparkSession)
+        sku = sku.checkpoint()
+    order = [By("value", desc=True, nulls_last=True), By("SKU_ID")]
     ranked = with_running_sum(sku, "value", order, "cumulative", params, total="total")
     total = F.nullif(F.col("total"), F.lit(0)).cast("double")
     share = F.col("cumulative").cast("double") / total

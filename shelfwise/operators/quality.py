@@ -4,73 +4,46 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfwise.functions import distinct_count
-from shelfwise.labels import COVERAGE_CHECK, DIMENSIONS
+from shelfwise.labels import COVERAGE_CHECK
+from shelfwise.labels import DIMENSIONS as DIMENSION_LABELS
 from shelfwise.operators.common import first_match, ordered, r2, round_half_up
-from shelfwise.operators.metrics import as_inventory, group_metrics
+from shelfwise.operators.metrics import DIMENSIONS, as_inventory, group_metrics
 from shelfwise.operators.quality_rules import COMMERCIAL_CHECKS, NULL_COUNT_NAMES, RULE_VIOLATIONS
 from shelfwise.params import DEFAULT, Params
 from shelfwise.schema import COLUMNS, GRAIN
 
 
 def _summed(df, params: Params, names: list[tuple[str, str]]) -> DataFrame:
-    """One row of summary-held row counts: (summary column, output name)."""
+    """One row of row counts held by the total grain: (column, output name)."""
     m = group_metrics(df, [], *[c for c, _ in names], params=params)
     return m.select(*[F.col(c).alias(n) for c, n in names])
 
 
 def row_count(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
-    """Q201: number of rows (sum of the summary's row counts)."""
+    """Q201: number of rows."""
     return _summed(df, params, [("records", "total_rows")])
 
 
-_DIMENSIONS = ("SKU_ID", "Warehouse_ID", "Supplier_ID", "Region")
-
-
-def dimension_counts(df, *measures: str, params: Params = DEFAULT) -> Column:
-    """Exact distinct SKU / warehouse / supplier / region counts (and any
-    summary ``measures``) as one struct, read from the summary (a small scan)
-    as a scalar subquery.  Callers select it once into a column and take its
-    fields in a following projection, so the subquery runs once (an expensive
-    expression used several times is not inlined by the optimizer)."""
-    m = group_metrics(df, [], *measures, params=params, distinct=_DIMENSIONS)
-    fields = [F.col(f"distinct_{k}").alias(k) for k in _DIMENSIONS]
-    fields += [F.col(x).alias(x) for x in measures]
-    return m.select(F.struct(*fields).alias("c")).scalar()
-
-
 def span_cardinality(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
-    """Q202: date span and exact distinct counts.
-
-    Dates come from the date profile (one row per date); the other
-    dimensions from the summary, whose key columns hold exactly the fact
-    table's values."""
-    dates = as_inventory(df).dates
-    return (
-        dates.agg(
-            F.min("Date").alias("start_date"),
-            F.max("Date").alias("end_date"),
-            F.count("Date").alias("unique_dates"),
-        )
-        .withColumn("_dims", dimension_counts(df, params=params))
-        .select(
-            "start_date",
-            "end_date",
-            "unique_dates",
-            F.col("_dims.SKU_ID").alias("unique_skus"),
-            F.col("_dims.Warehouse_ID").alias("unique_warehouses"),
-            F.col("_dims.Supplier_ID").alias("unique_suppliers"),
-            F.col("_dims.Region").alias("unique_regions"),
-        )
+    """Q202: date span and exact distinct counts, held by the total grain (one row)."""
+    m = group_metrics(df, [], "start_date", "end_date", params=params, distinct=DIMENSIONS)
+    return m.select(
+        "start_date",
+        "end_date",
+        F.col("distinct_Date").alias("unique_dates"),
+        F.col("distinct_SKU_ID").alias("unique_skus"),
+        F.col("distinct_Warehouse_ID").alias("unique_warehouses"),
+        F.col("distinct_Supplier_ID").alias("unique_suppliers"),
+        F.col("distinct_Region").alias("unique_regions"),
     )
 
 
 def null_counts(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
-    """Q203: NULLs per column (counted while the summary is built)."""
+    """Q203: NULLs per column (counted with the total grain)."""
     return _summed(df, params, [(f"qc_{n}", n) for _, n in NULL_COUNT_NAMES])
 
 
@@ -134,28 +107,20 @@ def commercial_logic(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
 
 def coverage(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """Q208: is the Date x SKU x Warehouse cube dense?"""
-    dates = as_inventory(df).dates
     d = "decimal(38,0)"
-    base = dates.agg(
-        F.count("Date").alias("_dates"),
-        F.coalesce(F.sum("n"), F.lit(0).cast("bigint")).alias("actual_rows"),
-    ).withColumn("_dims", dimension_counts(df, params=params))
-    expected = (
-        F.col("_dates").cast(d)
-        * F.col("_dims.SKU_ID").cast(d)
-        * F.col("_dims.Warehouse_ID").cast(d)
-    )
-    return base.select(expected.alias("expected_rows"), "actual_rows").withColumn(
+    m = group_metrics(df, [], "records", params=params, distinct=GRAIN)
+    expected = F.col("distinct_Date").cast(d) * F.col("distinct_SKU_ID").cast(d) * F.col("distinct_Warehouse_ID").cast(d)
+    return m.select(expected.alias("expected_rows"), F.col("records").alias("actual_rows")).withColumn(
         "coverage_status",
         first_match([F.col("expected_rows") == F.col("actual_rows")], COVERAGE_CHECK),
     )
 
 
 def _flag_distribution(data, flag: str, params: Params = DEFAULT) -> DataFrame:
-    """Rows and share of all rows per flag value, from the flag profile."""
+    """Rows and share of all rows per flag value, from the flags grain."""
     inv = as_inventory(data, params)
     counts = group_metrics(inv, [flag], "records", params=params)
-    total = inv.flags.agg(F.sum("n")).scalar()
+    total = group_metrics(inv, [], "records", params=params).scalar()
     share = (F.col("records") * 100).cast("double") / F.nullif(total, F.lit(0)).cast("double")
     out = counts.select(flag, "records", round_half_up(share, 2).alias("percentage"))
     return ordered(out, [F.col(flag).asc_nulls_first()])
@@ -172,14 +137,11 @@ def stockout_distribution(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
 
 
 def dimension_cardinality(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
-    """Q211: distinct values per dimension (from the summary), unpivoted."""
-    wide = as_inventory(df).summary.agg(
-        *[
-            distinct_count(c, params.approx_distinct).alias(name)
-            for c, name in zip(_DIMENSIONS, DIMENSIONS)
-        ]
-    )
-    return wide.unpivot([], list(DIMENSIONS), "dimension", "unique_values")
+    """Q211: distinct values per dimension, unpivoted."""
+    keys = DIMENSIONS[1:]
+    m = group_metrics(df, [], params=params, distinct=keys)
+    wide = m.select(*[F.col(f"distinct_{k}").alias(name) for k, name in zip(keys, DIMENSION_LABELS)])
+    return wide.unpivot([], list(DIMENSION_LABELS), "dimension", "unique_values")
 
 
 def warehouse_profile(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
@@ -221,26 +183,19 @@ def sku_profile(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
 
 
 def summary(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
-    """Q214: validation summary counts.
-
-    Distinct dates come from the date profile; the row count, dimension
-    counts and flag counts from the summary in one scalar subquery."""
-    dates = as_inventory(df).dates
+    """Q214: validation summary counts."""
     held = ["records", "qc_stockout_records", "qc_promotion_records", "replenishment_events"]
-    return (
-        dates.agg(F.count("Date").alias("dates"))
-        .withColumn("_s", dimension_counts(df, *held, params=params))
-        .select(
-            F.col("_s.records").alias("total_records"),
-            "dates",
-            F.col("_s.SKU_ID").alias("skus"),
-            F.col("_s.Warehouse_ID").alias("warehouses"),
-            F.col("_s.Supplier_ID").alias("suppliers"),
-            F.col("_s.Region").alias("regions"),
-            F.col("_s.qc_stockout_records").alias("stockout_records"),
-            F.col("_s.qc_promotion_records").alias("promotion_records"),
-            F.col("_s.replenishment_events").alias("replenishment_records"),
-        )
+    m = group_metrics(df, [], *held, params=params, distinct=DIMENSIONS)
+    return m.select(
+        F.col("records").alias("total_records"),
+        F.col("distinct_Date").alias("dates"),
+        F.col("distinct_SKU_ID").alias("skus"),
+        F.col("distinct_Warehouse_ID").alias("warehouses"),
+        F.col("distinct_Supplier_ID").alias("suppliers"),
+        F.col("distinct_Region").alias("regions"),
+        F.col("qc_stockout_records").alias("stockout_records"),
+        F.col("qc_promotion_records").alias("promotion_records"),
+        F.col("replenishment_events").alias("replenishment_records"),
     )
 
 

@@ -2,8 +2,8 @@
 
 The quartile is NTILE(4) over all SKU x warehouse pairs ordered by days of
 cover (zero demand = NULL cover sorts first), ties broken by SKU, warehouse.
-It is computed with the global ranking of ``ranking`` (distributed path
-beyond a checked row count).
+Boundary rows are found by exact selection and pairs classified by comparison
+(``ranking``); the reports on the top quartile need one boundary only.
 """
 
 from __future__ import annotations
@@ -23,20 +23,36 @@ from shelfwise.operators.common import (
     top,
 )
 from shelfwise.operators.metrics import as_inventory, group_metrics
-from shelfwise.operators.ranking import with_ntile
+from shelfwise.operators.ranking import By, above_tile, with_ntile
 from shelfwise.params import DEFAULT, Params
 from shelfwise.schema import PAIR
+from shelfwise.sources.store import ensure_checkpoint_dir
 
 
-def with_cover_quartile(df, params: Params = DEFAULT, *extra: str) -> DataFrame:
+_ORDER = [By("cover"), *[By(c) for c in PAIR]]
+
+
+def _pairs(df, params: Params, *extra: str) -> DataFrame:
+    """Pair measures that are read more than once: of stored grains as they are, of plain rows by way of a checkpoint."""
     inv = as_inventory(df, params)
-    m = group_metrics(
-        inv, PAIR, "cover", "inventory", "reorder_point", "inventory_value", *extra, params=params
-    )
-    order = [F.col("cover").asc_nulls_first(), *pair_tiebreak()]
-    return with_ntile(
-        m, params.cover_quantiles, order, "cover_quartile", params
-    )
+    m = group_metrics(inv, PAIR, "cover", "inventory", "reorder_point", "inventory_value", *extra, params=params)
+    if inv.stored("pair"):
+        return m
+    ensure_checkpoint_dir(m.sparkSession)
+    return m.checkpoint()
+
+
+def with_cover_quartile(df, params: Params = DEFAULT, *extra: str) -> DataFrame:
+    return with_ntile(_pairs(df, params, *extra), params.cover_quantiles, _ORDER, "cover_quartile", params)
+
+
+def _with_top_quartile(df, params: Params, *extra: str) -> DataFrame:
+    """Pair measures + top_quartile: whether the pair is in the highest tile of cover."""
+    k = params.cover_quantiles
+    if params.global_window == "builtin" or k < 2:
+        return with_cover_quartile(df, params, *extra).withColumn("top_quartile", F.col("cover_quartile") == k)
+    pairs = _pairs(df, params, *extra)
+    return pairs.withColumn("top_quartile", above_tile(pairs, k, _ORDER, k - 1))
 
 
 def executive_summary(df, params: Params = DEFAULT) -> DataFrame:
@@ -90,8 +106,8 @@ def warehouse_concentration(df, params: Params = DEFAULT) -> DataFrame:
 
 def excess_inventory(df, params: Params = DEFAULT) -> DataFrame:
     """Q754: top cover quartile; REVIEW EXCESS when also above the reorder point."""
-    q = with_cover_quartile(df, params, "forecast")
-    top_q = F.col("cover_quartile") == params.cover_quantiles
+    q = _with_top_quartile(df, params, "forecast")
+    top_q = F.col("top_quartile")
     action = first_match([top_q & (F.col("inventory") > F.col("reorder_point"))], EXCESS_ACTION)
     out = q.filter(top_q).select(
         *PAIR,
@@ -106,9 +122,9 @@ def excess_inventory(df, params: Params = DEFAULT) -> DataFrame:
 
 def action_summary(df, params: Params = DEFAULT) -> DataFrame:
     """Q755: pairs and value per management action."""
-    q = with_cover_quartile(df, params, "stockout_rate")
+    q = _with_top_quartile(df, params, "stockout_rate")
     inv, rop = F.col("inventory"), F.col("reorder_point")
-    top_q = F.col("cover_quartile") == params.cover_quantiles
+    top_q = F.col("top_quartile")
     action = first_match(
         [inv < rop, F.col("stockout_rate") > 0, top_q & (inv > rop)], MANAGEMENT_ACTION
     )
@@ -124,9 +140,9 @@ def action_summary(df, params: Params = DEFAULT) -> DataFrame:
 
 def priority_list(df, params: Params = DEFAULT) -> DataFrame:
     """Q756: flagged pairs (under reorder point, stockouts or top quartile), top by value."""
-    q = with_cover_quartile(df, params, "stockout_rate")
+    q = _with_top_quartile(df, params, "stockout_rate")
     inv, rop = F.col("inventory"), F.col("reorder_point")
-    top_q = F.col("cover_quartile") == params.cover_quantiles
+    top_q = F.col("top_quartile")
     keep = (inv < rop) | (F.col("stockout_rate") > 0) | top_q
     action = first_match([inv < rop, F.col("stockout_rate") > 0, top_q], QUARTILE_PRIORITY_ACTION)
     out = q.filter(keep).select(

@@ -1,22 +1,22 @@
-"""Global (un-partitioned) window functions that scale.
+"""Global (un-partitioned) ranks and running sums that scale.
 
 ``NTILE(k) OVER (ORDER BY ...)`` and a running ``SUM ... ROWS UNBOUNDED
 PRECEDING`` have no PARTITION BY; Spark's Window operator then moves every
-row into one task (``Exchange SinglePartition``).  The distributed path:
-
-1. ``repartitionByRange(n, order)`` + ``sortWithinPartitions(order)``: the
-   rows are globally ordered across n partitions (bounds are sampled from the
-   full composite key, so a hot value of the first key is split by the
-   tie-breaking keys);
-2. ``monotonically_increasing_id`` on the sorted partitions yields
-   (partition, position in partition) without another sort;
-3. ``checkpoint()`` (reliable, in the shared checkpoint folder) freezes that
-   assignment: range bounds come from a sample, and a recomputation after
-   executor loss must not move rows between partitions;
-4. per-partition count / sum -> a table of at most n rows -> exclusive
-   prefix offsets -> broadcast join (size bounded by n);
-5. global row number = offset + position; running sum = offset + running sum
-   inside the partition.
+row into one task (``Exchange SinglePartition``).  Here rows are compared by one
+key, a struct of the ordering columns (``order_key``), and nothing is sorted globally:
+
+* a tile is known from its last row's key, and that row is found by exact selection
+  (``keys_at``): rows are counted between ``FAN`` keys taken from a hashed sample,
+  the range that holds the wanted rank is narrowed the same way until it has
+  at most ``LEAF`` rows, and only those are sorted.  Every row then gets its
+  tile by comparison with the k - 1 boundary keys;
+* a running sum comes from a histogram: ranges of the key between sampled keys,
+  their sums as offsets (a number per range), and a window inside each range.
+
+Ranges are literals of the plan, so a recomputation after executor loss puts each
+row where it was, without a checkpoint.  The sample moves range bounds only; ranks, tiles
+and sums are exact.  A hot value of the first column is split by the others, since
+the whole key is unique.
 
 ``Params.global_window="builtin"`` uses Spark's Window instead, with the same
 result: a comparator for tests, since all rows meet in one task.
@@ -25,120 +25,157 @@ result: a comparator for tests, since all rows meet in one task.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shelfwise.params import DEFAULT, Params
-from shelfwise.sources.store import ensure_checkpoint_dir
-
-_LOW33 = (1 << 33) - 1
-
-
-def _partitions(df: DataFrame, params: Params) -> int:
-    if params.window_partitions:
-        return params.window_partitions
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
-def _positioned(df: DataFrame, order: Sequence[Column], params: Params) -> DataFrame:
-    """df + _pid, _pos (0-based position inside its range partition), checkpointed."""
-    ensure_checkpoint_dir(df.sparkSession)
-    mid = F.monotonically_increasing_id()
-    tagged = (
-        df.repartitionByRange(_partitions(df, params), *order)
-        .sortWithinPartitions(*order)
-        .withColumn("_mid", mid)
-        .withColumn("_pid", F.shiftrightunsigned("_mid", 33))
-        .withColumn("_pos", F.col("_mid").bitwiseAND(F.lit(_LOW33)))
-        .drop("_mid")
-    )
-    return tagged.checkpoint(eager=True)
-
-
-def _offsets(tagged: DataFrame, value: str | None) -> DataFrame:
-    aggs = [F.count(F.lit(1)).alias("_n")]
-    if value:
-        aggs += [F.sum(value).alias("_s"), F.count(value).alias("_c")]
-    per = tagged.groupBy("_pid").agg(*aggs)
-    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.orderBy("_pid").rowsBetween(
-        Window.unboundedPreceding, Window.unboundedFollowing
-    )
-    cols = [
-        "_pid",
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off_n"),
-        F.sum("_n").over(everything).alias("_total_n"),
-    ]
-    if value:
-        cols += [
-            F.sum("_s").over(before).alias("_off_s"),
-            F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off_c"),
-            F.sum("_s").over(everything).alias("_total_s"),
-        ]
-    # at most one row per range partition: a bounded broadcast
-    return per.select(*cols)
-
-
-def _ntile_expr(k: int) -> Column:
-    """NTILE(k) from the 1-based global row number _rn and the row count _total_n:
-    the first N % k tiles hold N div k + 1 rows, the others N div k."""
-    return F.expr(
-        f"""CASE WHEN _rn <= (_total_n % {k}) * (_total_n div {k} + 1)
-                 THEN (_rn - 1) div (_total_n div {k} + 1) + 1
-                 ELSE (_total_n % {k})
-                      + (_rn - (_total_n % {k}) * (_total_n div {k} + 1) - 1) div (_total_n div {k})
-                      + 1
-            END"""
-    ).cast("int")
-
-
-def with_ntile(
-    df: DataFrame,
-    k: int,
-    order: Sequence[Column],
-    out: str,
-    params: Params = DEFAULT,
-) -> DataFrame:
+
+#: Ranges that one pass counts, and rows of a range that is sorted.
+FAN, LEAF = 16, 16_384
+#: Sampled keys per range bound, so that ranges are near to even.
+OVERSAMPLE = 8
+#: Ranges of a running sum, at most: the depth of its comparisons is the logarithm.
+MAX_RANGES = 256
+
+
+class By(NamedTuple):
+    """One ordering column: ascending with NULLs first, unless said otherwise (descending: numbers only)."""
+
+    column: str
+    desc: bool = False
+    nulls_last: bool = False
+
+
+def order_key(order: Sequence[By]) -> Column:
+    """One value per row that compares as ORDER BY does: a struct, in which NULL is the least."""
+    parts = []
+    for i, by in enumerate(order):
+        value = -F.col(by.column) if by.desc else F.col(by.column)
+        if by.nulls_last:
+            parts.append(F.col(by.column).isNull().alias(f"n{i}"))
+        parts.append(value.alias(f"v{i}"))
+    return F.struct(*parts)
+
+
+def _literal(key: Row, kind: T.StructType) -> str:
+    """A collected key as SQL text, of its own types (text, since a plan of many constants is built by one call)."""
+    parts = []
+    for value, field in zip(key, kind.fields):
+        text = str(value).replace("\\", "\\\\").replace("'", "\\'")
+        parts.append(f"'{field.name}', CAST({'NULL' if value is None else f"'{text}'"} AS {field.dataType.simpleString()})")
+    return f"named_struct({', '.join(parts)})"
+
+
+def _sampled(keys: DataFrame, rows: int, ranges: int) -> list[Row]:
+    """At most ranges - 1 keys that part ``keys`` (column key, ``rows`` rows) into near to even ranges, ascending."""
+    wanted = max(1, ranges * OVERSAMPLE)
+    every = max(1, rows // wanted)
+    hashed = keys.filter(F.pmod(F.xxhash64("key"), F.lit(every)) == 0) if every > 1 else keys
+    found = [r.key for r in hashed.orderBy("key").limit(4 * wanted).collect()]
+    return [found[len(found) * i // ranges] for i in range(1, ranges)] if len(found) >= ranges else found
+
+
+def _range_of(key: str, bounds: Sequence[str], low: int = 0) -> str:
+    """How many of the ascending bounds are below the key, by bisection (SQL text)."""
+    if not bounds:
+        return str(low)
+    middle = len(bounds) // 2
+    above = _range_of(key, bounds[middle + 1 :], low + middle + 1)
+    return f"CASE WHEN {key} > {bounds[middle]} THEN {above} ELSE {_range_of(key, bounds[:middle], low)} END"
+
+
+def tile_ends(rows: int, k: int) -> list[int]:
+    """Rank of the last row of each tile but the last: the first rows % k tiles have a row more."""
+    return [i * (rows // k) + min(i, rows % k) for i in range(1, k)]
+
+
+def keys_at(keys: DataFrame, rows: int, ranks: Sequence[int]) -> list[Row | None]:
+    """The keys at the given 1-based ranks of ``keys`` (column key, ``rows`` rows); None at rank 0."""
+    kind = keys.schema["key"].dataType
+    # (keys, rows before, rows) of the range in which each wanted rank lies
+    held = {rank: (keys, 0, rows) for rank in ranks if rank}
+    found: dict[int, Row | None] = {0: None}
+    while held:
+        rank, (inside, before, rows) = held.popitem()
+        sampled = _sampled(inside, rows, FAN) if rows > LEAF else []
+        if len(set(sampled)) < 2:  # a few rows, or (where keys repeat) rows that are mostly one key
+            found[rank] = inside.orderBy("key").offset(rank - before - 1).limit(1).first().key
+            continue
+        bounds = [_literal(k, kind) for k in sampled]
+        counts = dict(inside.groupBy(F.expr(_range_of("key", bounds)).alias("range")).count().collect())
+        fellows = [rank, *[r for r, h in held.items() if h[0] is inside]]  # ranks of the same range: one pass
+        for i in range(len(bounds) + 1):
+            n = counts.get(i, 0)
+            wanted = [r for r in fellows if before < r <= before + n]
+            if wanted:
+                part = inside.filter(f"key > {bounds[i - 1]}") if i else inside
+                part = part.filter(f"key <= {bounds[i]}") if i < len(bounds) else part
+                held |= {r: (part, before, n) for r in wanted}
+            before += n
+    return [found[r] for r in ranks]
+
+
+def above_tile(df: DataFrame, k: int, order: Sequence[By], tile: int) -> Column:
+    """Whether a row of ``df`` lies above tile ``tile`` of NTILE(k) OVER (ORDER BY order): a comparison with one key."""
+    own = order_key(order)
+    keys, rows = df.select(own.alias("key")), df.count()
+    (key,) = keys_at(keys, rows, [tile_ends(rows, k)[tile - 1]])
+    return F.lit(True) if key is None else own > F.expr(_literal(key, keys.schema["key"].dataType))
+
+
+def with_ntile(df: DataFrame, k: int, order: Sequence[By], out: str, params: Params = DEFAULT) -> DataFrame:
     """df + ``out`` = NTILE(k) OVER (ORDER BY order); order must be a total order."""
+    own = order_key(order)
     if params.global_window == "builtin":
-        return df.withColumn(out, F.ntile(k).over(Window.orderBy(*order)))
-    tagged = _positioned(df, order, params)
-    offs = F.broadcast(_offsets(tagged, None))
-    return (
-        tagged.join(offs, "_pid")
-        .withColumn("_rn", F.col("_off_n") + F.col("_pos") + 1)
-        .withColumn(out, _ntile_expr(k))
-        .drop("_pid", "_pos", "_off_n", "_total_n", "_rn")
-    )
+        return df.withColumn(out, F.ntile(k).over(Window.orderBy(own)))
+    keys, rows = df.select(own.alias("key")), df.count()
+    kind = keys.schema["key"].dataType
+    tile = F.lit(1)
+    for key in keys_at(keys, rows, tile_ends(rows, k)):
+        if key is not None:
+            tile = tile + (own > F.expr(_literal(key, kind))).cast("int")
+    return df.withColumn(out, tile.cast("int"))
+
+
+def _ranges(df: DataFrame, order: Sequence[By], params: Params) -> DataFrame:
+    """df + _key and _range: the row's range among ranges that are literals of the plan."""
+    n = params.window_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = df.select(order_key(order).alias("key"))
+    kind = keys.schema["key"].dataType
+    bounds = [_literal(k, kind) for k in _sampled(keys, keys.count(), min(n, MAX_RANGES))]
+    return df.withColumn("_key", order_key(order)).withColumn("_range", F.expr(_range_of("_key", bounds)))
 
 
 def with_running_sum(
-    df: DataFrame,
-    value: str,
-    order: Sequence[Column],
-    out: str,
-    params: Params = DEFAULT,
-    total: str | None = None,
+    df: DataFrame, value: str, order: Sequence[By], out: str, params: Params = DEFAULT, total: str | None = None
 ) -> DataFrame:
     """df + ``out`` = SUM(value) OVER (ORDER BY order ROWS UNBOUNDED PRECEDING);
     with ``total``, also the sum over all rows in a column of that name."""
     if params.global_window == "builtin":
-        w = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        own = order_key(order)
+        w = Window.orderBy(own).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         df = df.withColumn(out, F.sum(value).over(w))
         return df.withColumn(total, F.sum(value).over(Window.partitionBy())) if total else df
-    tagged = _positioned(df, order, params)
-    offs = F.broadcast(_offsets(tagged, value))
-    inside = Window.partitionBy("_pid").orderBy("_pos").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    # SQL semantics: NULLs are skipped; the sum is NULL while no non-NULL
-    # value has been seen yet (counted across partitions with _off_c)
-    seen = F.col("_off_c") + F.count(value).over(inside)
-    running = F.coalesce(F.col("_off_s"), F.lit(0)) + F.coalesce(
-        F.sum(value).over(inside), F.lit(0)
-    )
-    summed = tagged.join(offs, "_pid").withColumn(out, F.when(seen > 0, running))
+    ranged = _ranges(df, order, params)
+    # the histogram: one row per range, MAX_RANGES at most; sums and counts of the ranges before become constants
+    per = ranged.groupBy("_range").agg(F.sum(value).alias("s"), F.count(value).alias("c")).collect()
+    kind = ranged.groupBy().agg(F.sum(value).alias("s")).schema["s"].dataType.simpleString()
+    sums, counts, reached, seen_before = {}, {}, None, 0
+    for r in sorted(per):
+        sums[r["_range"]], counts[r["_range"]] = reached, seen_before
+        reached = r.s if reached is None else reached if r.s is None else reached + r.s
+        seen_before += r.c
+    constant = lambda v: f"CAST({'NULL' if v is None else repr(str(v))} AS {kind})"
+    at = lambda of: F.expr(f"element_at(map({', '.join(f'{k}, {v}' for k, v in of.items())}), _range)") if of else F.lit(None)
+    inside = Window.partitionBy("_range").orderBy("_key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # SQL semantics: NULLs are skipped; the sum is NULL while no non-NULL value has been seen yet
+    seen = at({k: f"{n}L" for k, n in counts.items()}) + F.count(value).over(inside)
+    before = at({k: constant(v) for k, v in sums.items()})
+    running = F.coalesce(before, F.lit(0)) + F.coalesce(F.sum(value).over(inside), F.lit(0))
+    summed = ranged.withColumn(out, F.when(seen > 0, running))
     if total:
-        summed = summed.withColumn(total, F.col("_total_s"))
-    return summed.drop("_pid", "_pos", "_off_n", "_total_n", "_off_s", "_off_c", "_total_s")
+        summed = summed.withColumn(total, F.expr(constant(reached)))
+    return summed.drop("_key", "_range")

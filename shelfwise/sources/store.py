@@ -1,31 +1,33 @@
-"""Stored inventory tables: the fact table, its mergeable summary, flag and date profiles.
-
-``store_inventory(fact, path)`` writes the four tables under a folder once and
-``open_inventory(spark, path)`` reads them in any later application; every
-report then reads the small tables instead of scanning the fact table.
-``inventory_data(spark, sf_dir)`` does so for the fact table derived from the
-source tables, in a folder of the application under ``spark.checkpoint.dir`` (a
-shared folder on a cluster).  Where that setting is missing, a local session
-(tests) gets a folder of its own and a cluster an error.
+"""Stored inventory tables: the fact table and the lattice of its grains.
+
+``store_inventory(fact, path)`` writes the fact table and every grain of
+``operators.metrics.GRAINS`` under a folder once and ``open_inventory(spark, path)``
+reads them in any later application; every report then reads the smallest grain that
+answers it instead of scanning the fact table. ``inventory_data(spark, sf_dir)`` does so
+for the fact table derived from the source tables, in a folder of the application
+under ``spark.checkpoint.dir`` (a shared folder on a cluster).  Where that
+setting is missing, a local session (tests) gets a folder of its own and a
+cluster an error.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
-import math
 import os
 import tempfile
 import threading
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from shelfwise.params import DEFAULT, Params
 from shelfwise.schema import COLUMNS, INVENTORY_SCHEMA, PAIR
 from shelfwise.sources.derive import derive_inventory
 
-#: Rows of a file of the stored fact table or summary, from which the number of files follows.
-ROWS_PER_FILE = 1_000_000
+#: Grains written side by side: most are small, so their jobs leave cores free.
+WRITERS = 4
 
 _LOCK = threading.Lock()
 _PATHS: dict[tuple[str, str], str] = {}
@@ -48,13 +50,6 @@ def app_id(spark: SparkSession) -> str:
     return sc.applicationId if sc is not None else spark.conf.get("spark.app.id", "remote")
 
 
-def files_for(spark: SparkSession, rows: int) -> int:
-    """Files for a stored table of so many rows: by size, at least one per core of a small cluster."""
-    sc = _context(spark)
-    cores = sc.defaultParallelism if sc is not None else 1
-    return max(min(cores, 64), math.ceil(rows / ROWS_PER_FILE))
-
-
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared checkpoint folder of this session; only a local session may lack the setting."""
     root = spark.conf.get("spark.checkpoint.dir", None)
@@ -96,12 +91,15 @@ def source_table(spark: SparkSession, path: str) -> DataFrame:
         return _FRAMES[key]
 
 
-def fact_layout(fact: DataFrame, n: int) -> DataFrame:
-    """Write layout of the fact table: n range partitions on (SKU, warehouse,
-    date), sorted.  Bounds are sampled on the whole key, so one pair with a
-    third of all rows spreads over about a third of the partitions."""
-    key = ["SKU_ID", "Warehouse_ID", "Date"]
-    return fact.repartitionByRange(n, *key).sortWithinPartitions(*key)
+def fact_layout(fact: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Write layout of the fact table: range partitions on (SKU, warehouse, date), sorted.
+
+    Bounds are sampled on the whole key, so one pair with a third of all rows
+    spreads over about a third of the partitions.  Their number is the session's
+    (``spark.sql.shuffle.partitions``, joined by size under AQE) unless given."""
+    key = [*PAIR, "Date"]
+    dealt = fact.repartitionByRange(partitions, *key) if partitions else fact.repartitionByRange(*key)
+    return dealt.sortWithinPartitions(*key)
 
 
 def inventory_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,50 +116,61 @@ def inventory_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     with _LOCK:
         if key not in _FRAMES:
             path = scratch_path(spark, name, "fact")
-            # at most a fact row for each row of the source
-            rows = spark.read.parquet(f"{src}/lineitem.parquet").count()
-            fact_layout(derive_inventory(spark, src), files_for(spark, rows)).write.mode("overwrite").parquet(path)
+            fact_layout(derive_inventory(spark, src)).write.mode("overwrite").parquet(path)
             _PATHS[key] = path
             _FRAMES[key] = spark.read.schema(INVENTORY_SCHEMA).parquet(path)
         return _FRAMES[key]
 
 
+def _write_all(jobs: dict[str, DataFrame], path: str) -> dict[str, DataFrame]:
+    """Write independent tables side by side and read them back."""
+
+    def write(item):
+        name, df = item
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
+        return name, df.sparkSession.read.schema(df.schema).parquet(f"{path}/{name}")
+
+    with ThreadPoolExecutor(WRITERS) as pool:
+        return dict(pool.map(write, jobs.items()))
+
+
 def store_inventory(fact: DataFrame, path: str, params: Params = DEFAULT, *, copy_fact: bool = True) -> None:
-    """Write ``fact`` (unless it is stored already) and its aggregates under ``path``.
-
-    One aggregate of the fact table by summary key and flags gives both the
-    summary (Supplier x Region x SKU x Warehouse) and the flag profile; one
-    narrow aggregate gives the date profile.  The summary is bucketed by pair (one
-    file per bucket): reports by pair, or by supplier and pair, aggregate it without
-    a shuffle.  Bucketing cannot concentrate skew here: a hot pair has only as many
-    summary rows as it has suppliers x regions.  A manifest is written last: a folder
-    without one is not a stored inventory.
+    """Write ``fact`` (unless it is stored already) and the lattice of its grains under ``path``.
+
+    Grains without a finer one are aggregated from the rows, each reading its own columns;
+    the others are rolled up from the pairs. Distinct counts are rows of the
+    grains that hold both keys. A manifest is written last: a folder without one is not
+    a stored inventory.
     """
-    from shelfwise.operators.metrics import FLAG_KEYS, SUMMARY_KEYS, merged, summarize_by_flag, summarize_dates
+    from shelfwise.operators.metrics import GRAINS, KEY_GRAINS, from_rows, key_counts, merged
 
     spark, path = fact.sparkSession, path.rstrip("/")
     if copy_fact:
         kept = fact.select(*COLUMNS)
-        fact_layout(kept, files_for(spark, kept.count())).write.mode("overwrite").parquet(f"{path}/fact")
+        fact_layout(kept).write.mode("overwrite").parquet(f"{path}/fact")
         fact = spark.read.schema(kept.schema).parquet(f"{path}/fact")
-    summarize_by_flag(fact, params).write.mode("overwrite").parquet(f"{path}/by_flag")
-    parts = spark.read.parquet(f"{path}/by_flag")
-    n = files_for(spark, parts.count())
-    table = _summary_table(spark, path)
-    spark.sql(f"DROP TABLE IF EXISTS {table}")
-    summary = merged(parts, SUMMARY_KEYS, params).repartition(n, *PAIR).write.mode("overwrite")
-    summary.bucketBy(n, *PAIR).sortBy(*PAIR).option("path", f"{path}/summary").saveAsTable(table)
-    merged(parts, FLAG_KEYS, params).repartition(1).write.mode("overwrite").parquet(f"{path}/flags")
-    summarize_dates(fact).repartition(1).write.mode("overwrite").parquet(f"{path}/dates")
-    manifest = {"overstock_rop_multiple": params.overstock_rop_multiple, "fact": copy_fact, "files": n}
+    parts = f"{path}/parts"  # grains whose distinct counts are still to come
+    rows = {n: from_rows(fact, g, params) for n, g in GRAINS.items() if not g.finer}
+    kept = _write_all({n: df for n, df in rows.items() if not GRAINS[n].distinct}, path)
+    kept |= _write_all({n: df for n, df in rows.items() if GRAINS[n].distinct}, parts)
+    counted = {}
+    for name in ("sku", "warehouse", "supplier"):
+        grain = GRAINS[name]
+        own = merged(kept[grain.finer], grain) if grain.finer else kept[name]
+        for other in grain.distinct:
+            both = "pair" if {*grain.keys, other} == set(PAIR) else "supplier_pair"
+            counts = key_counts(kept[both], grain.keys, other, unique=both == "pair").withColumnRenamed(grain.keys[0], "_key")
+            own = own.join(counts, own[grain.keys[0]].eqNullSafe(counts["_key"]), "left").drop("_key")
+        counted[name] = own
+    kept |= _write_all(counted, path)
+    total = kept["total"]
+    for key in GRAINS["total"].distinct:
+        total = total.withColumn(f"d_{key}", kept[KEY_GRAINS[key]].agg(F.count(key)).scalar())
+    _write_all({"total": total}, path)
+    manifest = {"overstock_rop_multiple": params.overstock_rop_multiple, "fact": copy_fact, "grains": list(GRAINS)}
     spark.createDataFrame([(json.dumps(manifest),)], "manifest string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
 
 
-def _summary_table(spark: SparkSession, path: str) -> str:
-    """Catalog name of the summary stored under ``path``: one per full path and application."""
-    return "shelfwise_summary_" + hashlib.sha256(f"{app_id(spark)} {path}".encode()).hexdigest()[:24]
-
-
 def open_inventory(spark: SparkSession, path: str, fact: DataFrame | None = None):
     """The inventory stored under ``path``, by this or any earlier application."""
     from dataclasses import replace
@@ -173,26 +182,11 @@ def open_inventory(spark: SparkSession, path: str, fact: DataFrame | None = None
     if fact is None:
         fact = spark.read.parquet(f"{path}/fact")
     params = replace(DEFAULT, overstock_rop_multiple=manifest["overstock_rop_multiple"])
-    table = _summary_table(spark, path)
-    if not spark.catalog.tableExists(table):
-        keys = ", ".join(PAIR)
-        columns = spark.read.parquet(f"{path}/summary").schema.toDDL()
-        spark.sql(
-            f"CREATE TABLE {table} ({columns}) USING parquet CLUSTERED BY ({keys}) SORTED BY ({keys})"
-            f" INTO {manifest['files']} BUCKETS LOCATION '{path}/summary'"
-        )
-    return Inventory(
-        fact,
-        spark.table(table),
-        params,
-        flags=spark.read.parquet(f"{path}/flags"),
-        dates=spark.read.parquet(f"{path}/dates"),
-    )
+    return Inventory(fact, {name: spark.read.parquet(f"{path}/{name}") for name in manifest["grains"]}, params)
 
 
 def inventory_data(spark: SparkSession, sf_dir: str):
-    """Derived fact table with its stored summary, flag and date profiles, built
-    once per application."""
+    """Derived fact table with its stored grains, built once per application."""
     fact = inventory_table(spark, sf_dir)
     _, name = _label(sf_dir)
     key = (app_id(spark), f"inventory|{name}")

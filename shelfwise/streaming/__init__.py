@@ -1,9 +1,9 @@
 from shelfwise.streaming.ingest import (
-    compact_summary,
+    compact_grains,
     read_ingested,
     read_quarantine,
     snapshot_stream,
     start_ingest,
 )
 
-__all__ = ["compact_summary", "read_ingested", "read_quarantine", "snapshot_stream", "start_ingest"]
+__all__ = ["compact_grains", "read_ingested", "read_quarantine", "snapshot_stream", "start_ingest"]

@@ -7,16 +7,16 @@ micro-batch:
 
 * ``<out>/fact/batch=<id>``: accepted rows (the fact table, appended);
 * ``<out>/quarantine/batch=<id>``: broken rows with the names of the rules;
-* ``<out>/summary/batch=<id>``: the batch's mergeable partial summary;
-* ``<out>/flags/batch=<id>``: the batch's partial flag profile (same pass);
-* ``<out>/dates/batch=<id>``: the batch's partial date profile (rows per date).
+* ``<out>/<grain>/batch=<id>``: the batch's partial rows of every grain of the lattice
+  (``operators.metrics.GRAINS``);
+* ``<out>/published/batch=<id>``: written last; a batch without it is not read, so a
+  reader sees a batch's rows with all of its grains or not at all.
 
-Each batch overwrites only its own ``batch=<id>`` folder, so a batch replayed
+Each batch overwrites only its own ``batch=<id>`` folders, so a batch replayed
 after a failure (same id, from the checkpoint) replaces its earlier partial
-output instead of duplicating it.  The summary is append-only partial sums:
-every measure in ``operators.metrics`` is a sum / min / max / distinct count
-over summary rows, so reports read the partials directly; ``compact_summary``
-merges them into one row per key when the folder gets long.  No event-time
+output instead of duplicating it.  Grains are append-only partial rows: every
+column is a sum / min / max over them, so reports merge the partials as they read them;
+``compact_grains`` merges them into one row per key when the folders get long.  No event-time
 window or watermark is needed: every report covers all snapshot days.
 """
 
@@ -26,14 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from shelfwise.operators.metrics import (
-    FLAG_KEYS,
-    SUMMARY_KEYS,
-    Inventory,
-    merged,
-    summarize_by_flag,
-    summarize_dates,
-)
+from shelfwise.operators.metrics import GRAINS, Inventory, from_rows, merged
 from shelfwise.schema import COLUMNS, INVENTORY_SCHEMA
 from shelfwise.sources import contract
 
@@ -63,17 +56,9 @@ def _write_batch(out_dir: str):
             bad = bad.withColumn("violations", F.concat_ws(",", "violations"))
             accepted.write.mode("overwrite").parquet(f"{out_dir}/fact/batch={batch_id}")
             bad.write.mode("overwrite").parquet(f"{out_dir}/quarantine/batch={batch_id}")
-            parts = summarize_by_flag(accepted).persist()  # key-space sized, used twice
-            merged(parts, SUMMARY_KEYS).write.mode("overwrite").parquet(
-                f"{out_dir}/summary/batch={batch_id}"
-            )
-            merged(parts, FLAG_KEYS).write.mode("overwrite").parquet(
-                f"{out_dir}/flags/batch={batch_id}"
-            )
-            parts.unpersist()
-            summarize_dates(accepted).write.mode("overwrite").parquet(
-                f"{out_dir}/dates/batch={batch_id}"
-            )
+            for name, grain in GRAINS.items():
+                from_rows(accepted, grain).write.mode("overwrite").parquet(f"{out_dir}/{name}/batch={batch_id}")
+            batch.sparkSession.range(1).write.mode("overwrite").parquet(f"{out_dir}/published/batch={batch_id}")
         finally:
             batch.unpersist()
 
@@ -102,26 +87,26 @@ def start_ingest(
     return writer.start()
 
 
+def _published(spark: SparkSession, out_dir: str, name: str) -> DataFrame:
+    """The rows of one folder that belong to published batches."""
+    batches = spark.read.parquet(f"{out_dir}/published").select("batch").distinct()
+    return spark.read.parquet(f"{out_dir}/{name}").join(F.broadcast(batches), "batch", "left_semi").drop("batch")
+
+
 def read_ingested(spark: SparkSession, out_dir: str) -> Inventory:
-    """The ingested fact table with its (partial) summary and flag profile."""
-    fact = spark.read.parquet(f"{out_dir}/fact").drop("batch")
-    summary = spark.read.parquet(f"{out_dir}/summary").drop("batch")
-    flags = spark.read.parquet(f"{out_dir}/flags").drop("batch")
-    # a date can arrive in several batches: merge the partial date profiles
-    dates = (
-        spark.read.parquet(f"{out_dir}/dates")
-        .groupBy("Date")
-        .agg(F.sum("n").alias("n"))
-    )
-    return Inventory(fact, summary, flags=flags, dates=dates)
+    """The ingested fact table with the partial grains of its batches."""
+    grains = {name: _published(spark, out_dir, name) for name in GRAINS}
+    return Inventory(_published(spark, out_dir, "fact"), grains, partial=True)
 
 
 def read_quarantine(spark: SparkSession, out_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{out_dir}/quarantine")
+    return _published(spark, out_dir, "quarantine")
 
 
-def compact_summary(spark: SparkSession, out_dir: str, target_dir: str) -> DataFrame:
-    """Merge all partial summaries into one row per key and write them to target_dir."""
-    partials = spark.read.parquet(f"{out_dir}/summary").drop("batch")
-    merged(partials, SUMMARY_KEYS).write.mode("overwrite").parquet(target_dir)
-    return spark.read.parquet(target_dir)
+def compact_grains(spark: SparkSession, out_dir: str, target_dir: str) -> dict[str, DataFrame]:
+    """Merge the partial rows of every grain into one row per key and write them under target_dir."""
+    out = {}
+    for name, grain in GRAINS.items():
+        merged(_published(spark, out_dir, name), grain).write.mode("overwrite").parquet(f"{target_dir}/{name}")
+        out[name] = spark.read.parquet(f"{target_dir}/{name}")
+    return out

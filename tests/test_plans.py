@@ -4,7 +4,10 @@ import re
 
 import pytest
 
-from shelfwise.operators import actions, demand, inventory, quality
+from pyspark.sql import functions as F
+
+from shelfwise.operators import actions, demand, inventory, quality, quartile_actions, risk, supplier
+from shelfwise.operators.metrics import group_metrics
 from shelfwise.sources.derive import derive_inventory
 from shelfwise.sources.store import inventory_data
 from tests.conftest import SF_SMALL
@@ -19,7 +22,7 @@ def data(spark):
     return inventory_data(spark, SF_SMALL)
 
 
-def test_pair_report_reads_only_needed_summary_columns(data):
+def test_pair_report_reads_only_needed_columns(data):
     p = plan(inventory.coverage_risk(data))
     cols = re.search(r"FileScan parquet [^\[]*\[([^\]]*)\]", p).group(1)
     assert "s_units" in cols and "s_lead" in cols
@@ -27,11 +30,51 @@ def test_pair_report_reads_only_needed_summary_columns(data):
         assert unused not in cols
 
 
-def test_pair_reports_aggregate_bucketed_summary_without_shuffle(data):
-    for op in (inventory.coverage_risk, actions.prioritized_list):
-        p = plan(op(data))
-        assert "Bucketed: true" in p
-        assert "hashpartitioning" not in p
+def test_pair_reports_project_the_pair_grain(data):
+    """No aggregate and no shuffle but the report's own order."""
+    for op in (inventory.coverage_risk, actions.prioritized_list, risk.composite_score):
+        df = op(data)
+        assert "Aggregate" not in plan(df) and "hashpartitioning" not in plan(df)
+        assert all("/pair/" in f for f in df.inputFiles())
+
+
+def test_each_report_reads_the_smallest_grain_that_answers_it(data):
+    reads = {
+        "total": [quality.row_count, quality.span_cardinality, quality.null_counts, quality.coverage, quality.dimension_cardinality,
+                  quality.summary, inventory.overall, demand.overall, supplier.overall, actions.executive_kpis, quartile_actions.executive_summary],
+        "warehouse": [quality.warehouse_profile, inventory.warehouse_efficiency, actions.warehouse_priorities, quartile_actions.warehouse_concentration],
+        "sku": [quality.sku_profile, demand.sku_volatility, demand.volatility_segments],
+        "supplier": [supplier.profile, supplier.replenishment_efficiency, supplier.lead_time_risk],
+        "supplier_pair": [supplier.high_risk_combinations],
+        "flags": [demand.promotion_impact, demand.stockout_risk],
+    }
+    for name, ops in reads.items():
+        for op in ops:
+            df = op(data)
+            assert {f.rsplit("/", 2)[1] for f in df.inputFiles()} == {name}, op.__name__
+            assert name == "flags" or "Aggregate" not in plan(df)  # so neither an Expand per distinct count
+    sizes = {n: data.grain(n).count() for n in ("total", "warehouse", "supplier", "sku", "pair", "supplier_pair")}
+    assert list(sizes.values()) == sorted(sizes.values()) and sizes["pair"] == data.fact.select("SKU_ID", "Warehouse_ID").distinct().count()
+
+
+def test_stored_distinct_counts(data):
+    for key, others in (("SKU_ID", ["Warehouse_ID"]), ("Warehouse_ID", ["SKU_ID", "Supplier_ID"]), ("Supplier_ID", ["SKU_ID", "Warehouse_ID"])):
+        aggs = [F.count_distinct(o).alias(f"distinct_{o}") for o in others]
+        want = sorted(map(tuple, data.fact.groupBy(key).agg(*aggs).collect()))
+        assert sorted(map(tuple, group_metrics(data, [key], distinct=others).collect())) == want
+
+
+def test_top_quartile_needs_no_sort_and_no_checkpoint(data):
+    for op in (quartile_actions.action_summary, quartile_actions.priority_list):
+        df = op(data)
+        assert "ExistingRDD" not in plan(df) and all("/pair/" in f for f in df.inputFiles())
+    assert "Sort" not in plan(quartile_actions.priority_list(data)).replace("TakeOrderedAndProject", "")
+    assert "SinglePartition" not in plan(inventory.abc_concentration(data))
+
+
+def test_keyless_reports_of_plain_rows_aggregate_them_directly(data):
+    p = plan(quality.null_counts(data.fact))
+    assert "hashpartitioning" not in p and p.count("SinglePartition") == 1
 
 
 def test_limit_reports_use_take_ordered(data):
@@ -44,33 +87,19 @@ def _scan_cols(p):
     return {c.split("#")[0] for c in m.group(1).split(",")}
 
 
-def test_row_checks_read_two_summary_columns(data):
+def test_row_checks_read_two_columns(data):
     assert _scan_cols(plan(quality.commercial_logic(data))) == {
         "qc_non_positive_margin",
         "qc_replenishment_at_zero_inventory",
     }
 
 
-def _all_scans(p):
-    return [
-        {c.split("#")[0] for c in m.split(",")}
-        for m in re.findall(r"FileScan parquet [^\[]*\[([^\]]*)\]", p)
-    ]
-
-
-def test_flag_reports_read_the_flag_profile(data):
+def test_flag_reports_read_the_flags_grain(data):
     cols = _scan_cols(plan(demand.stockout_risk(data)))
     assert "Stockout_Flag" in cols and "s_units" in cols
     assert "SKU_ID" not in cols and "s_margin" not in cols
 
 
-def test_date_counts_read_the_date_profile_not_the_fact_table(data):
-    report = quality.span_cardinality(data)
-    assert {"Date"} in _all_scans(plan(report))
-    files = report.inputFiles()
-    assert any("/dates/" in f for f in files) and not any("/fact/" in f for f in files)
-
-
 def test_derivation_prunes_lineitem(spark):
     p = plan(derive_inventory(spark, SF_SMALL))
     li = [m for m in re.findall(r"FileScan parquet \[([^\]]*)\]", p) if "l_partkey" in m][0]

@@ -1,12 +1,16 @@
 """Every report against the oracle on tables read back from a stored inventory,
-with more window partitions than cores and the flags and dates derived."""
+as partial grains (each row's batch apart), with more ranges than cores."""
 
+import tempfile
 from dataclasses import replace
+from functools import reduce
 
 import pytest
 
 import __spark_entry__ as E
-from shelfwise.operators.metrics import Inventory
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from shelfwise.operators.metrics import GRAINS, Inventory, from_rows
 from shelfwise.params import DEFAULT
 from shelfwise.plans.registry import REPORTS
 from shelfwise.sources.store import inventory_data
@@ -19,7 +23,13 @@ LARGE = replace(DEFAULT, window_partitions=4)
 @pytest.fixture(scope="module")
 def large_path_data(spark):
     stored = inventory_data(spark, SF_SMALL)
-    return Inventory(stored.fact, stored.summary, params=LARGE)
+    half = F.pmod(F.xxhash64(*stored.fact.columns), F.lit(2))
+    parts = [stored.fact.filter(half == i) for i in (0, 1)]
+    grains = {name: reduce(DataFrame.unionAll, [from_rows(p, g) for p in parts]) for name, g in GRAINS.items()}
+    path = tempfile.mkdtemp(prefix="run-")
+    for name, df in grains.items():
+        df.write.parquet(f"{path}/{name}")
+    return Inventory(stored.fact, {name: spark.read.parquet(f"{path}/{name}") for name in grains}, LARGE, partial=True)
 
 
 @pytest.fixture(scope="module")

@@ -6,7 +6,7 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from shelfwise.operators import actions
-from shelfwise.operators.ranking import _positioned
+from shelfwise.operators.ranking import By, _ranges
 from shelfwise.params import DEFAULT
 from shelfwise.sources.store import fact_layout
 
@@ -43,8 +43,8 @@ def test_distributed_ranking_splits_a_hot_value(spark):
     rows = [(f"k{i:04d}", 7.0 if i % 3 == 0 else float(i)) for i in range(900)]
     df = spark.createDataFrame(rows, "k string, cover double")
     p = replace(DEFAULT, global_window="distributed", window_partitions=6)
-    tagged = _positioned(df, [F.col("cover").asc(), F.col("k").asc()], p)
-    sizes = [r["count"] for r in tagged.groupBy("_pid").count().collect()]
+    tagged = _ranges(df, [By("cover"), By("k")], p)
+    sizes = [r["count"] for r in tagged.groupBy("_range").count().collect()]
     assert max(sizes) < 0.25 * sum(sizes)
 
 
