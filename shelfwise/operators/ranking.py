@@ -36,7 +36,7 @@ from shelfwise.params import DEFAULT, Params
 #: Ranges that one pass counts, and rows of a range that is sorted.
 FAN, LEAF = 16, 16_384
 #: Sampled keys per range bound, so that ranges are near to even.
-OVERSAMPLE = 8
+OVERSAMPLE = 32
 #: Ranges of a running sum, at most: the depth of its comparisons is the logarithm.
 MAX_RANGES = 256
 

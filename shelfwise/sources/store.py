@@ -142,17 +142,25 @@ def store_inventory(fact: DataFrame, path: str, params: Params = DEFAULT, *, cop
     grains that hold both keys. A manifest is written last: a folder without one is not
     a stored inventory.
     """
-    from shelfwise.operators.metrics import GRAINS, KEY_GRAINS, from_rows, key_counts, merged
+    from shelfwise.operators.metrics import GRAINS, from_rows
 
     spark, path = fact.sparkSession, path.rstrip("/")
     if copy_fact:
         kept = fact.select(*COLUMNS)
         fact_layout(kept).write.mode("overwrite").parquet(f"{path}/fact")
         fact = spark.read.schema(kept.schema).parquet(f"{path}/fact")
-    parts = f"{path}/parts"  # grains whose distinct counts are still to come
     rows = {n: from_rows(fact, g, params) for n, g in GRAINS.items() if not g.finer}
-    kept = _write_all({n: df for n, df in rows.items() if not GRAINS[n].distinct}, path)
-    kept |= _write_all({n: df for n, df in rows.items() if GRAINS[n].distinct}, parts)
+    store_grains(rows, path, params, copy_fact)
+
+
+def store_grains(bases: dict[str, DataFrame], path: str, params: Params = DEFAULT, fact: bool = False) -> None:
+    """Write the lattice under ``path`` from the grains that have no finer one (one row per key), then the manifest."""
+    from shelfwise.operators.metrics import GRAINS, KEY_GRAINS, key_counts, merged
+
+    spark = next(iter(bases.values())).sparkSession
+    kept = _write_all({n: df for n, df in bases.items() if not GRAINS[n].distinct}, path)
+    # grains whose distinct counts are still to come
+    kept |= _write_all({n: df for n, df in bases.items() if GRAINS[n].distinct}, f"{path}/parts")
     counted = {}
     for name in ("sku", "warehouse", "supplier"):
         grain = GRAINS[name]
@@ -167,7 +175,7 @@ def store_inventory(fact: DataFrame, path: str, params: Params = DEFAULT, *, cop
     for key in GRAINS["total"].distinct:
         total = total.withColumn(f"d_{key}", kept[KEY_GRAINS[key]].agg(F.count(key)).scalar())
     _write_all({"total": total}, path)
-    manifest = {"overstock_rop_multiple": params.overstock_rop_multiple, "fact": copy_fact, "grains": list(GRAINS)}
+    manifest = {"overstock_rop_multiple": params.overstock_rop_multiple, "fact": fact, "grains": list(GRAINS)}
     spark.createDataFrame([(json.dumps(manifest),)], "manifest string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
 
 

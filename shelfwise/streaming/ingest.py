@@ -29,6 +29,7 @@ from pyspark.sql.streaming import StreamingQuery
 from shelfwise.operators.metrics import GRAINS, Inventory, from_rows, merged
 from shelfwise.schema import COLUMNS, INVENTORY_SCHEMA
 from shelfwise.sources import contract
+from shelfwise.sources.store import open_inventory, store_grains
 
 
 def snapshot_stream(
@@ -103,10 +104,8 @@ def read_quarantine(spark: SparkSession, out_dir: str) -> DataFrame:
     return _published(spark, out_dir, "quarantine")
 
 
-def compact_grains(spark: SparkSession, out_dir: str, target_dir: str) -> dict[str, DataFrame]:
-    """Merge the partial rows of every grain into one row per key and write them under target_dir."""
-    out = {}
-    for name, grain in GRAINS.items():
-        merged(_published(spark, out_dir, name), grain).write.mode("overwrite").parquet(f"{target_dir}/{name}")
-        out[name] = spark.read.parquet(f"{target_dir}/{name}")
-    return out
+def compact_grains(spark: SparkSession, out_dir: str, target_dir: str) -> Inventory:
+    """Merge the partial rows of all published batches into a stored lattice under target_dir, one row per key."""
+    bases = {name: merged(_published(spark, out_dir, name), grain) for name, grain in GRAINS.items() if not grain.finer}
+    store_grains(bases, target_dir)
+    return open_inventory(spark, target_dir, _published(spark, out_dir, "fact"))

@@ -5,7 +5,7 @@ from decimal import Decimal
 
 from pyspark.sql import functions as F
 
-from shelfwise.operators import actions, inventory, quality, quartile_actions
+from shelfwise.operators import actions, inventory, quality, quartile_actions, supplier
 from shelfwise.operators.metrics import GRAINS, Inventory
 from shelfwise.sources.derive import derive_inventory
 from shelfwise.streaming import compact_grains, read_ingested, read_quarantine, start_ingest
@@ -63,12 +63,11 @@ def test_stream_ingest_matches_batch(spark):
         assert _rows(op(got)) == _rows(op(batch)), op.__name__
 
     # merged grains give the same reports
-    merged = compact_grains(spark, out, tempfile.mkdtemp(prefix="run-merged-") + "/s")
-    compacted = Inventory(got.fact, merged)
-    for op in (actions.condition_counts, inventory.warehouse_efficiency, quality.promotion_distribution):
+    compacted = compact_grains(spark, out, tempfile.mkdtemp(prefix="run-merged-") + "/s")
+    for op in (actions.condition_counts, inventory.warehouse_efficiency, quality.promotion_distribution, quality.summary, supplier.profile):
         assert _rows(op(compacted)) == _rows(op(batch)), op.__name__
-    for name, df in merged.items():
-        keys = df.select(*GRAINS[name].keys)
+    for name in GRAINS:
+        keys = compacted.grain(name).select(*GRAINS[name].keys)
         assert keys.count() == keys.distinct().count() <= spark.read.parquet(f"{out}/{name}").count()
 
     # a batch that is not published yet is not read, whatever it has written so far
