@@ -197,6 +197,10 @@ class Inventory:
     def stored(self, name: str) -> bool:
         return name in self._grains
 
+    def table(self, name: str) -> DataFrame:
+        """A stored table that is no grain."""
+        return self._grains[name]
+
     def grain(self, name: str) -> DataFrame:
         """The grain, one row per key, as stored or from the fact table."""
         held = self._grains.get(name)

@@ -82,17 +82,17 @@ def _repeated_groups(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def full_row_duplicates(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
-    """Q204: number of distinct full rows that occur more than once."""
-    df = as_inventory(df).fact
-    return duplicate_groups(df, COLUMNS).agg(
-        F.count(F.lit(1)).alias("duplicate_full_rows")
-    )
+    """Q204: number of distinct full rows that occur more than once (of a stored inventory, found when it was stored)."""
+    inv = as_inventory(df)
+    groups = inv.table("repeated_rows") if inv.stored("repeated_rows") else duplicate_groups(inv.fact, COLUMNS)
+    return groups.agg(F.count(F.lit(1)).alias("duplicate_full_rows"))
 
 
 def business_key_duplicates(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
-    """Q205: Date x SKU x Warehouse keys with more than one row."""
-    df = as_inventory(df).fact
-    return duplicate_groups(df, GRAIN).select(*GRAIN, "record_count")
+    """Q205: Date x SKU x Warehouse keys with more than one row (of a stored inventory, found when it was stored)."""
+    inv = as_inventory(df)
+    groups = inv.table("repeated_keys") if inv.stored("repeated_keys") else duplicate_groups(inv.fact, GRAIN)
+    return groups.select(*GRAIN, "record_count")
 
 
 def rule_violations(df: DataFrame, params: Params = DEFAULT) -> DataFrame:

@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 from shelfwise.operators import actions, demand, inventory, quality, quartile_actions, risk, supplier
 from shelfwise.params import DEFAULT, Params
 from shelfwise.sources import contract, variants
-from shelfwise.sources.catalog import table_inventory
-from shelfwise.sources.loader import with_collation
-from shelfwise.sources.store import inventory_data, inventory_table, source_table
+from shelfwise.sources.catalog import footer_inventory
+from shelfwise.sources.loader import with_key_numbers
+from shelfwise.sources.store import inventory_data, inventory_path, inventory_table
 
 Operator = Callable[[DataFrame, Params], DataFrame]
 
@@ -133,21 +133,25 @@ def ingest_typed_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ingest_collated_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """I4: keys that differ in case and accents only, grouped under a collation."""
-    mixed = with_collation(variants.mixed_case_inventory(inventory_table(spark, sf_dir)))
+    """I4: keys that differ in case and accents only, grouped under a collation by way of key dictionaries."""
+    return collated_units(variants.mixed_case_inventory(inventory_table(spark, sf_dir)))
+
+
+def collated_units(fact: DataFrame) -> DataFrame:
+    """Rows and units per SKU and warehouse, keys compared without case and accents."""
     keys = ["SKU_ID", "Warehouse_ID"]
-    grouped = mixed.withColumnsRenamed({c: f"_{c}" for c in keys}).groupBy(*[f"_{c}" for c in keys])
-    out = grouped.agg(F.count("*").alias("records"), F.sum("Units_Sold").alias("units"), *[F.min(f"_{c}").alias(c) for c in keys])
-    return out.select(*[F.translate(F.lower(F.collate(c, "UTF8_BINARY")), "ĥ", "h").alias(c) for c in keys], "records", "units")
+    numbered = with_key_numbers(fact, keys)
+    by = [f"{k}_{part}" for k in keys for part in ("number", "label")]
+    out = numbered.groupBy(*by).agg(F.count("*").alias("records"), F.sum("Units_Sold").alias("units"))
+    return out.select(*[F.col(f"{k}_label").alias(k) for k in keys], "records", "units")
 
 
 def catalog_table_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """I3: exact row count of every table (source tables + derived fact table)."""
-    tables = {
-        name: source_table(spark, f"{sf_dir.rstrip('/')}/{name}.parquet") for name in SOURCE_TABLES
-    }
-    tables["inventory_raw"] = inventory_table(spark, sf_dir)
-    return table_inventory(tables)
+    """I3: exact row count of every table (source tables + derived fact table), from Parquet footers."""
+    folder = sf_dir.rstrip("/")
+    inventory_table(spark, sf_dir)
+    paths = {name: f"{folder}/{name}.parquet" for name in SOURCE_TABLES}
+    return footer_inventory(spark, paths | {"inventory_raw": inventory_path(spark, sf_dir)})
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

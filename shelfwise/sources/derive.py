@@ -2,9 +2,10 @@
 
 The inventory scripts ship no data, so the fact table is derived from
 ``lineitem`` (+ ``supplier``, ``nation``, ``region``): ship date -> Date,
-part key -> SKU, order key mod 5 -> warehouse, the day's (smallest) supplier
-key -> supplier, its region -> Region.  SKUs and suppliers are whole keys, so
-the fact table, its pairs and their summary grow with the input; a day's SKU
+part key -> SKU, order key mod 5 -> one of the five warehouses that serve the
+part's group of 500, the day's (smallest) supplier key -> supplier, its region ->
+Region.  SKUs and suppliers are whole keys and warehouses follow the parts, so
+the fact table and all its grains but flags grow with the input; a day's SKU
 and warehouse nearly always have one line.  The remaining measures are
 integer / decimal formulas of those keys, so Spark and any SQL engine produce
 the same rows (see FIXTURES.md; ``FIXTURE_SQL`` is the same derivation as SQL
@@ -28,6 +29,10 @@ from pyspark.sql import functions as F
 from shelfwise.schema import COLUMNS
 
 
+#: Warehouses that stock a part, and parts that share them: warehouses grow with the parts, pairs don't multiply.
+STORES, SITE_PARTS = 5, 500
+
+
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -45,7 +50,7 @@ def derive_from_frames(lineitem, supplier, nation, region) -> DataFrame:
     src = lineitem.select(
         F.col("l_shipdate").cast("date").alias("d"),
         F.col("l_partkey").cast("bigint").alias("pk"),
-        (F.col("l_orderkey") % 5).cast("int").alias("w"),
+        (F.col("l_orderkey") % STORES).cast("int").alias("w"),
         F.col("l_quantity").cast("int").alias("q"),
         F.col("l_suppkey").cast("bigint").alias("sk"),
         F.when(F.col("l_discount") >= 0.08, 1).otherwise(0).alias("promo"),
@@ -102,7 +107,7 @@ def derive_from_frames(lineitem, supplier, nation, region) -> DataFrame:
     out = stocked.select(
         F.col("d").alias("Date"),
         F.concat(F.lit("SKU_"), (1000 + F.col("pk")).cast("string")).alias("SKU_ID"),
-        F.concat(F.lit("WH_"), (1 + w).cast("string")).alias("Warehouse_ID"),
+        F.concat(F.lit("WH_"), (1 + w + STORES * F.expr(f"pk div {SITE_PARTS}")).cast("string")).alias("Warehouse_ID"),
         F.concat(F.lit("SUP_"), (10 + F.col("sk")).cast("string")).alias("Supplier_ID"),
         F.col("reg").alias("Region"),
         units.cast("int").alias("Units_Sold"),
@@ -160,7 +165,7 @@ WITH src AS (
 )
 SELECT d AS Date,
        CONCAT('SKU_', CAST(1000 + pk AS VARCHAR(20))) AS SKU_ID,
-       CONCAT('WH_', CAST(1 + w AS VARCHAR(20))) AS Warehouse_ID,
+       CONCAT('WH_', CAST(CAST(1 + w + 5 * ((pk - pk % 500) / 500) AS BIGINT) AS VARCHAR(20))) AS Warehouse_ID,
        CONCAT('SUP_', CAST(10 + sk AS VARCHAR(20))) AS Supplier_ID,
        reg AS Region,
        units AS Units_Sold,

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from shelfwise.params import DEFAULT, Params
 from shelfwise.schema import COLUMNS, INVENTORY_SCHEMA, PAIR
+from shelfwise.schema import GRAIN as KEY
 from shelfwise.sources.derive import derive_inventory
 
 #: Grains written side by side: most are small, so their jobs leave cores free.
@@ -82,15 +83,6 @@ def _label(sf_dir: str) -> tuple[str, str]:
     return sf_dir, hashlib.sha256(sf_dir.encode()).hexdigest()[:24]
 
 
-def source_table(spark: SparkSession, path: str) -> DataFrame:
-    """A read-only source table, its schema resolved once per application."""
-    key = (app_id(spark), f"source|{path}")
-    with _LOCK:
-        if key not in _FRAMES:
-            _FRAMES[key] = spark.read.parquet(path)
-        return _FRAMES[key]
-
-
 def fact_layout(fact: DataFrame, partitions: int | None = None) -> DataFrame:
     """Write layout of the fact table: range partitions on (SKU, warehouse, date), sorted.
 
@@ -122,6 +114,11 @@ def inventory_table(spark: SparkSession, sf_dir: str) -> DataFrame:
         return _FRAMES[key]
 
 
+def inventory_path(spark: SparkSession, sf_dir: str) -> str:
+    """Folder of the fact table that ``inventory_table`` has written."""
+    return _PATHS[(app_id(spark), f"fact|{_label(sf_dir)[1]}")]
+
+
 def _write_all(jobs: dict[str, DataFrame], path: str) -> dict[str, DataFrame]:
     """Write independent tables side by side and read them back."""
 
@@ -139,10 +136,12 @@ def store_inventory(fact: DataFrame, path: str, params: Params = DEFAULT, *, cop
 
     Grains without a finer one are aggregated from the rows, each reading its own columns;
     the others are rolled up from the pairs. Distinct counts are rows of the
-    grains that hold both keys. A manifest is written last: a folder without one is not
+    grains that hold both keys. Business keys and whole rows that repeat are found here once
+    (few, in a fact table that is nearly clean). A manifest is written last: a folder without one is not
     a stored inventory.
     """
     from shelfwise.operators.metrics import GRAINS, from_rows
+    from shelfwise.operators.quality import duplicate_groups
 
     spark, path = fact.sparkSession, path.rstrip("/")
     if copy_fact:
@@ -150,6 +149,10 @@ def store_inventory(fact: DataFrame, path: str, params: Params = DEFAULT, *, cop
         fact_layout(kept).write.mode("overwrite").parquet(f"{path}/fact")
         fact = spark.read.schema(kept.schema).parquet(f"{path}/fact")
     rows = {n: from_rows(fact, g, params) for n, g in GRAINS.items() if not g.finer}
+    repeats = _write_all({"repeated_keys": duplicate_groups(fact, KEY)}, path)["repeated_keys"].select(*[F.col(c).alias(f"_{c}") for c in KEY])
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in KEY]
+    # a row that repeats has a business key that repeats: only those rows are grouped whole
+    rows["repeated_rows"] = duplicate_groups(fact.join(repeats, same, "left_semi"), COLUMNS)
     store_grains(rows, path, params, copy_fact)
 
 
@@ -158,9 +161,9 @@ def store_grains(bases: dict[str, DataFrame], path: str, params: Params = DEFAUL
     from shelfwise.operators.metrics import GRAINS, KEY_GRAINS, key_counts, merged
 
     spark = next(iter(bases.values())).sparkSession
-    kept = _write_all({n: df for n, df in bases.items() if not GRAINS[n].distinct}, path)
+    kept = _write_all({n: df for n, df in bases.items() if n not in GRAINS or not GRAINS[n].distinct}, path)
     # grains whose distinct counts are still to come
-    kept |= _write_all({n: df for n, df in bases.items() if GRAINS[n].distinct}, f"{path}/parts")
+    kept |= _write_all({n: df for n, df in bases.items() if n not in kept}, f"{path}/parts")
     counted = {}
     for name in ("sku", "warehouse", "supplier"):
         grain = GRAINS[name]
@@ -175,7 +178,7 @@ def store_grains(bases: dict[str, DataFrame], path: str, params: Params = DEFAUL
     for key in GRAINS["total"].distinct:
         total = total.withColumn(f"d_{key}", kept[KEY_GRAINS[key]].agg(F.count(key)).scalar())
     _write_all({"total": total}, path)
-    manifest = {"overstock_rop_multiple": params.overstock_rop_multiple, "fact": fact, "grains": list(GRAINS)}
+    manifest = {"overstock_rop_multiple": params.overstock_rop_multiple, "fact": fact, "grains": list(GRAINS), "repeats": "repeated_rows" in bases}
     spark.createDataFrame([(json.dumps(manifest),)], "manifest string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
 
 
@@ -190,7 +193,8 @@ def open_inventory(spark: SparkSession, path: str, fact: DataFrame | None = None
     if fact is None:
         fact = spark.read.parquet(f"{path}/fact")
     params = replace(DEFAULT, overstock_rop_multiple=manifest["overstock_rop_multiple"])
-    return Inventory(fact, {name: spark.read.parquet(f"{path}/{name}") for name in manifest["grains"]}, params)
+    names = manifest["grains"] + ["repeated_keys", "repeated_rows"] * manifest["repeats"]
+    return Inventory(fact, {name: spark.read.parquet(f"{path}/{name}") for name in names}, params)
 
 
 def inventory_data(spark: SparkSession, sf_dir: str):

@@ -111,7 +111,7 @@ def test_schema_check_rejects_wrong_types(spark):
     df = spark.createDataFrame([(1,)], "Units_Sold string")
     assert contract.check_schema(df)
     try:
-        contract.annotate(df)
+        contract.masked(df)
         raise AssertionError("expected a schema error")
     except ValueError as e:
         assert "schema mismatch" in str(e)

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from shelfwise.operators import actions, demand, inventory, quality, quartile_actions, risk, supplier
 from shelfwise.operators.metrics import group_metrics
 from shelfwise.sources.derive import derive_inventory
-from shelfwise.sources.store import inventory_data
+from shelfwise.plans import all_queries
+from shelfwise.sources import contract
+from shelfwise.sources.store import inventory_data, inventory_table, open_inventory, store_inventory
 from tests.conftest import SF_SMALL
 
 
@@ -107,6 +109,41 @@ def test_derivation_prunes_lineitem(spark):
     assert cols == {"l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_shipdate"}
 
 
-def test_duplicate_check_hashes_before_exact_group(data):
-    p = plan(quality.full_row_duplicates(data))
+def test_duplicate_check_hashes_unsorted_rows_before_the_exact_group(data):
+    p = plan(quality.full_row_duplicates(data.fact))
     assert "xxhash64" in p and "LeftSemi" in p
+
+
+def test_duplicates_of_a_stored_fact_need_no_exchange(data):
+    assert "Exchange" not in plan(quality.business_key_duplicates(data))
+    p = plan(quality.full_row_duplicates(data))
+    assert "hashpartitioning" not in p and not any("/fact/" in f for f in quality.full_row_duplicates(data).inputFiles())
+
+
+def test_stored_duplicates_are_those_of_the_rows(spark, make_inventory, tmp_path):
+    """One row copied many times, business keys that repeat with other values, NULL keys."""
+    rows = [dict(SKU_ID="HOT")] * 2000 + [dict(SKU_ID=f"S{i}", Units_Sold=i) for i in range(40)]
+    rows += [dict(SKU_ID="S3", Units_Sold=99), dict(SKU_ID=None), dict(SKU_ID=None), dict(SKU_ID=None, Units_Sold=1)]
+    fact = make_inventory(rows)
+    store_inventory(fact, str(tmp_path / "kept"))
+    data = open_inventory(spark, str(tmp_path / "kept"))
+    want = {(r.SKU_ID, r.record_count) for r in quality.business_key_duplicates(fact).collect()}
+    assert {(r.SKU_ID, r.record_count) for r in quality.business_key_duplicates(data).collect()} == want == {("HOT", 2000), ("S3", 2), (None, 3)}
+    assert quality.full_row_duplicates(data).first()[0] == quality.full_row_duplicates(fact).first()[0] == 2
+
+
+def test_table_counts_come_from_footers(spark):
+    df = all_queries()["catalog_table_rows"](spark, SF_SMALL)
+    assert plan(df).count("PushedAggregation: [COUNT(*)]") == 15 or plan(df).count("COUNT(*)") >= 15
+    assert spark.conf.get("spark.sql.parquet.aggregatePushdown") == "false"  # the caller's settings stay
+
+
+def test_contract_evaluates_each_rule_once_per_row(data):
+    good, bad = contract.split(data.fact)
+    p = plan(bad)
+    assert p.count("(length(SKU_ID") <= 2 and "violations" in p  # the filter's mask, and the mask of the rows that it keeps
+
+
+def test_warehouses_grow_with_the_input(spark):
+    small, large = (inventory_table(spark, f"/root/testdata/{sf}").select("Warehouse_ID").distinct().count() for sf in ("sf0.001", "sf0.01"))
+    assert (small, large) == (5, 20)

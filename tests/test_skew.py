@@ -54,3 +54,16 @@ def test_reports_on_hot_pair_are_whole(make_inventory):
     assert actions.action_matrix(fact).count() == pairs
     hot = [r for r in actions.action_matrix(fact).collect() if r["SKU_ID"] == "HOT"]
     assert len(hot) == 1
+
+
+def test_hot_warehouse_is_folded_before_the_exchange(make_inventory):
+    """A warehouse with most rows: partial sums per task cross the exchange, not its rows."""
+    from shelfwise.operators import inventory, quality
+    from shelfwise.operators.metrics import GRAINS, from_rows
+
+    fact = make_inventory([dict(SKU_ID=f"S{i % 50}", Warehouse_ID="HOT" if i % 10 else f"W{i % 7}", Units_Sold=i % 5) for i in range(3000)]).repartition(6)
+    plan = from_rows(fact, GRAINS["warehouse"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("HashAggregate") == 2 and "partial_sum" in plan
+    rows = {r["Warehouse_ID"]: r for r in quality.warehouse_profile(fact).collect()}
+    assert rows["HOT"]["observations"] == 2700 and rows["HOT"]["active_skus"] == 45
+    assert sum(r["observations"] for r in rows.values()) == 3000 and inventory.warehouse_efficiency(fact).count() == len(rows)
