@@ -15,7 +15,7 @@ from shelfwise.labels import (
 )
 from shelfwise.operators.common import first_match, money, ordered, pair_tiebreak, r2, r3, top
 from shelfwise.operators.metrics import as_inventory, group_metrics
-from shelfwise.operators.ranking import By, with_running_sum
+from shelfwise.operators.ranking import By, range_sums, with_running_sum
 from shelfwise.params import DEFAULT, Params
 from shelfwise.schema import PAIR
 from shelfwise.sources.store import ensure_checkpoint_dir
@@ -112,20 +112,32 @@ def reorder_buffer(df, params: Params = DEFAULT) -> DataFrame:
     return ordered(out, [F.col("buffer_value").desc_nulls_last(), *pair_tiebreak()])
 
 
+_VALUE_ORDER = [By("value", desc=True, nulls_last=True), By("SKU_ID")]
+
+
+def _sku_values(inv, params: Params) -> DataFrame:
+    sku = group_metrics(inv, ["SKU_ID"], "inventory_value", params=params).withColumnRenamed("inventory_value", "value")
+    if inv.stored("sku"):
+        return sku
+    # an aggregate of plain rows, read for its ranges and again for the sums
+    ensure_checkpoint_dir(sku.sparkSession)
+    return sku.checkpoint()
+
+
+def value_ranges(df, ranges: int) -> dict:
+    """The histogram of value over all SKUs, most valuable first (stored with a lattice)."""
+    inv = as_inventory(df)
+    return range_sums(_sku_values(inv, DEFAULT), "value", _VALUE_ORDER, ranges)
+
+
 def abc_concentration(df, params: Params = DEFAULT) -> DataFrame:
     """Q306: ABC (Pareto) classes of SKUs by running share of inventory value.
 
     The SKU that crosses a line falls in the lower class; a zero total gives C.
     """
     inv = as_inventory(df, params)
-    sku = group_metrics(inv, ["SKU_ID"], "inventory_value", params=params).withColumnRenamed(
-        "inventory_value", "value"
-    )
-    if not inv.stored("sku"):  # an aggregate of plain rows, read for its ranges and again for the sums
-        ensure_checkpoint_dir(sku.sparkSession)
-        sku = sku.checkpoint()
-    order = [By("value", desc=True, nulls_last=True), By("SKU_ID")]
-    ranked = with_running_sum(sku, "value", order, "cumulative", params, total="total")
+    known = inv.marks.get("value_ranges")
+    ranked = with_running_sum(_sku_values(inv, params), "value", _VALUE_ORDER, "cumulative", params, "total", known)
     total = F.nullif(F.col("total"), F.lit(0)).cast("double")
     share = F.col("cumulative").cast("double") / total
     segment = first_match([share <= params.abc_a_share, share <= params.abc_b_share], VALUE_SEGMENT)

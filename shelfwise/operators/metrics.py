@@ -188,11 +188,13 @@ class Inventory:
         grains: dict[str, DataFrame] | None = None,
         params: Params = DEFAULT,
         partial: bool = False,
+        marks: dict | None = None,
     ):
         self.fact = fact
         self.params = params
         self._grains = dict(grains or {})
         self._partial = partial
+        self.marks = marks or {}  # boundary keys and histograms of whole rankings
 
     def stored(self, name: str) -> bool:
         return name in self._grains

@@ -23,7 +23,7 @@ from shelfwise.operators.common import (
     top,
 )
 from shelfwise.operators.metrics import as_inventory, group_metrics
-from shelfwise.operators.ranking import By, above_tile, with_ntile
+from shelfwise.operators.ranking import By, above, tile_keys, with_ntile
 from shelfwise.params import DEFAULT, Params
 from shelfwise.schema import PAIR
 from shelfwise.sources.store import ensure_checkpoint_dir
@@ -42,8 +42,15 @@ def _pairs(df, params: Params, *extra: str) -> DataFrame:
     return m.checkpoint()
 
 
+def cover_tiles(df, k: int) -> list:
+    """The boundary keys of the tiles of cover over all pairs (stored with a lattice)."""
+    return tile_keys(_pairs(df, DEFAULT), k, _ORDER)
+
+
 def with_cover_quartile(df, params: Params = DEFAULT, *extra: str) -> DataFrame:
-    return with_ntile(_pairs(df, params, *extra), params.cover_quantiles, _ORDER, "cover_quartile", params)
+    k = params.cover_quantiles
+    known = as_inventory(df).marks.get("cover_tiles", {}).get(str(k))
+    return with_ntile(_pairs(df, params, *extra), k, _ORDER, "cover_quartile", params, known)
 
 
 def _with_top_quartile(df, params: Params, *extra: str) -> DataFrame:
@@ -52,7 +59,9 @@ def _with_top_quartile(df, params: Params, *extra: str) -> DataFrame:
     if params.global_window == "builtin" or k < 2:
         return with_cover_quartile(df, params, *extra).withColumn("top_quartile", F.col("cover_quartile") == k)
     pairs = _pairs(df, params, *extra)
-    return pairs.withColumn("top_quartile", above_tile(pairs, k, _ORDER, k - 1))
+    known = as_inventory(df).marks.get("cover_tiles", {}).get(str(k))
+    last = known[-1] if known else tile_keys(pairs, k, _ORDER, [k - 1])[0]
+    return pairs.withColumn("top_quartile", above(pairs, _ORDER, last))
 
 
 def executive_summary(df, params: Params = DEFAULT) -> DataFrame:

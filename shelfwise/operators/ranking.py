@@ -60,7 +60,7 @@ def order_key(order: Sequence[By]) -> Column:
     return F.struct(*parts)
 
 
-def _literal(key: Row, kind: T.StructType) -> str:
+def _literal(key: Sequence, kind: T.StructType) -> str:
     """A collected key as SQL text, of its own types (text, since a plan of many constants is built by one call)."""
     parts = []
     for value, field in zip(key, kind.fields):
@@ -118,64 +118,85 @@ def keys_at(keys: DataFrame, rows: int, ranks: Sequence[int]) -> list[Row | None
     return [found[r] for r in ranks]
 
 
-def above_tile(df: DataFrame, k: int, order: Sequence[By], tile: int) -> Column:
-    """Whether a row of ``df`` lies above tile ``tile`` of NTILE(k) OVER (ORDER BY order): a comparison with one key."""
-    own = order_key(order)
-    keys, rows = df.select(own.alias("key")), df.count()
-    (key,) = keys_at(keys, rows, [tile_ends(rows, k)[tile - 1]])
-    return F.lit(True) if key is None else own > F.expr(_literal(key, keys.schema["key"].dataType))
+def tile_keys(df: DataFrame, k: int, order: Sequence[By], tiles: Sequence[int] | None = None) -> list[list | None]:
+    """The key of the last row of each tile of NTILE(k) OVER (ORDER BY order) (all but the last tile, unless
+    named), its values as text so that they can be stored; None for a tile that ends before the first row."""
+    keys, rows = df.select(order_key(order).alias("key")), df.count()
+    ends = tile_ends(rows, k)
+    found = keys_at(keys, rows, [ends[t - 1] for t in tiles] if tiles else ends)
+    return [key and [None if v is None else str(v) for v in key] for key in found]
 
 
-def with_ntile(df: DataFrame, k: int, order: Sequence[By], out: str, params: Params = DEFAULT) -> DataFrame:
-    """df + ``out`` = NTILE(k) OVER (ORDER BY order); order must be a total order."""
+def above(df: DataFrame, order: Sequence[By], key: list | None) -> Column:
+    """Whether a row of ``df`` is after the row of that key: a comparison with a constant."""
     own = order_key(order)
+    return F.lit(True) if key is None else own > F.expr(_literal(key, df.select(own.alias("key")).schema["key"].dataType))
+
+
+def with_ntile(
+    df: DataFrame, k: int, order: Sequence[By], out: str, params: Params = DEFAULT, keys: list | None = None
+) -> DataFrame:
+    """df + ``out`` = NTILE(k) OVER (ORDER BY order); order must be a total order.  ``keys``: its ``tile_keys``, if known."""
     if params.global_window == "builtin":
-        return df.withColumn(out, F.ntile(k).over(Window.orderBy(own)))
-    keys, rows = df.select(own.alias("key")), df.count()
-    kind = keys.schema["key"].dataType
+        return df.withColumn(out, F.ntile(k).over(Window.orderBy(order_key(order))))
     tile = F.lit(1)
-    for key in keys_at(keys, rows, tile_ends(rows, k)):
+    for key in tile_keys(df, k, order) if keys is None else keys:
         if key is not None:
-            tile = tile + (own > F.expr(_literal(key, kind))).cast("int")
+            tile = tile + above(df, order, key).cast("int")
     return df.withColumn(out, tile.cast("int"))
 
 
-def _ranges(df: DataFrame, order: Sequence[By], params: Params) -> DataFrame:
-    """df + _key and _range: the row's range among ranges that are literals of the plan."""
-    n = params.window_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def range_sums(df: DataFrame, value: str, order: Sequence[By], ranges: int) -> dict:
+    """A histogram of ``df`` by ``order``: the bounds of near to even ranges, and per range the sum and the count of
+    ``value`` in the ranges before; with the total. Text and numbers only, MAX_RANGES of them at most."""
     keys = df.select(order_key(order).alias("key"))
-    kind = keys.schema["key"].dataType
-    bounds = [_literal(k, kind) for k in _sampled(keys, keys.count(), min(n, MAX_RANGES))]
-    return df.withColumn("_key", order_key(order)).withColumn("_range", F.expr(_range_of("_key", bounds)))
+    sampled = _sampled(keys, keys.count(), min(ranges, MAX_RANGES))
+    bounds = [[None if v is None else str(v) for v in key] for key in sampled]
+    text = [_literal(key, keys.schema["key"].dataType) for key in bounds]
+    ranged = df.select(order_key(order).alias("key"), value).withColumn("range", F.expr(_range_of("key", text)))
+    per = {r["range"]: r for r in ranged.groupBy("range").agg(F.sum(value).alias("s"), F.count(value).alias("c")).collect()}
+    sums, counts, reached, seen = [], [], None, 0
+    for i in range(len(bounds) + 1):
+        sums.append(None if reached is None else str(reached))
+        counts.append(seen)
+        if i in per and per[i].s is not None:
+            reached = per[i].s if reached is None else reached + per[i].s
+        seen += per[i].c if i in per else 0
+    return {"bounds": bounds, "sums": sums, "counts": counts, "total": None if reached is None else str(reached)}
+
+
+def _ranged(df: DataFrame, order: Sequence[By], bounds: list) -> DataFrame:
+    """df + _key and _range: the row's range between bounds that are constants of the plan."""
+    keyed = df.withColumn("_key", order_key(order))
+    text = [_literal(key, keyed.schema["_key"].dataType) for key in bounds]
+    return keyed.withColumn("_range", F.expr(_range_of("_key", text)))
 
 
 def with_running_sum(
-    df: DataFrame, value: str, order: Sequence[By], out: str, params: Params = DEFAULT, total: str | None = None
+    df: DataFrame,
+    value: str,
+    order: Sequence[By],
+    out: str,
+    params: Params = DEFAULT,
+    total: str | None = None,
+    histogram: dict | None = None,
 ) -> DataFrame:
-    """df + ``out`` = SUM(value) OVER (ORDER BY order ROWS UNBOUNDED PRECEDING);
-    with ``total``, also the sum over all rows in a column of that name."""
+    """df + ``out`` = SUM(value) OVER (ORDER BY order ROWS UNBOUNDED PRECEDING); with ``total``, also
+    the sum over all rows in a column of that name.  ``histogram``: its ``range_sums``, if known."""
     if params.global_window == "builtin":
-        own = order_key(order)
-        w = Window.orderBy(own).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        w = Window.orderBy(order_key(order)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         df = df.withColumn(out, F.sum(value).over(w))
         return df.withColumn(total, F.sum(value).over(Window.partitionBy())) if total else df
-    ranged = _ranges(df, order, params)
-    # the histogram: one row per range, MAX_RANGES at most; sums and counts of the ranges before become constants
-    per = ranged.groupBy("_range").agg(F.sum(value).alias("s"), F.count(value).alias("c")).collect()
-    kind = ranged.groupBy().agg(F.sum(value).alias("s")).schema["s"].dataType.simpleString()
-    sums, counts, reached, seen_before = {}, {}, None, 0
-    for r in sorted(per):
-        sums[r["_range"]], counts[r["_range"]] = reached, seen_before
-        reached = r.s if reached is None else reached if r.s is None else reached + r.s
-        seen_before += r.c
-    constant = lambda v: f"CAST({'NULL' if v is None else repr(str(v))} AS {kind})"
-    at = lambda of: F.expr(f"element_at(map({', '.join(f'{k}, {v}' for k, v in of.items())}), _range)") if of else F.lit(None)
+    ranges = params.window_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    known = range_sums(df, value, order, ranges) if histogram is None else histogram
+    kind = df.groupBy().agg(F.sum(value).alias("s")).schema["s"].dataType.simpleString()
+    constant = lambda v: f"CAST({'NULL' if v is None else repr(v)} AS {kind})"
+    before = F.expr(f"element_at(array({', '.join(map(constant, known['sums']))}), _range + 1)")
+    seen = F.expr(f"element_at(array({', '.join(f'{n}L' for n in known['counts'])}), _range + 1)")
     inside = Window.partitionBy("_range").orderBy("_key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     # SQL semantics: NULLs are skipped; the sum is NULL while no non-NULL value has been seen yet
-    seen = at({k: f"{n}L" for k, n in counts.items()}) + F.count(value).over(inside)
-    before = at({k: constant(v) for k, v in sums.items()})
     running = F.coalesce(before, F.lit(0)) + F.coalesce(F.sum(value).over(inside), F.lit(0))
-    summed = ranged.withColumn(out, F.when(seen > 0, running))
+    summed = _ranged(df, order, known["bounds"]).withColumn(out, F.when(seen + F.count(value).over(inside) > 0, running))
     if total:
-        summed = summed.withColumn(total, F.expr(constant(reached)))
+        summed = summed.withColumn(total, F.expr(constant(known["total"])))
     return summed.drop("_key", "_range")

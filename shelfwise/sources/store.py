@@ -158,7 +158,7 @@ def store_inventory(fact: DataFrame, path: str, params: Params = DEFAULT, *, cop
 
 def store_grains(bases: dict[str, DataFrame], path: str, params: Params = DEFAULT, fact: bool = False) -> None:
     """Write the lattice under ``path`` from the grains that have no finer one (one row per key), then the manifest."""
-    from shelfwise.operators.metrics import GRAINS, KEY_GRAINS, key_counts, merged
+    from shelfwise.operators.metrics import GRAINS, KEY_GRAINS, Inventory, key_counts, merged
 
     spark = next(iter(bases.values())).sparkSession
     kept = _write_all({n: df for n, df in bases.items() if n not in GRAINS or not GRAINS[n].distinct}, path)
@@ -178,10 +178,21 @@ def store_grains(bases: dict[str, DataFrame], path: str, params: Params = DEFAUL
     for key in GRAINS["total"].distinct:
         total = total.withColumn(f"d_{key}", kept[KEY_GRAINS[key]].agg(F.count(key)).scalar())
     _write_all({"total": total}, path)
-    manifest = {"overstock_rop_multiple": params.overstock_rop_multiple, "fact": fact, "grains": list(GRAINS), "repeats": "repeated_rows" in bases}
+    marks = _marks(Inventory(None, kept, params))
+    manifest = {"overstock_rop_multiple": params.overstock_rop_multiple, "fact": fact, "grains": list(GRAINS), "repeats": "repeated_rows" in bases, "marks": marks}
     spark.createDataFrame([(json.dumps(manifest),)], "manifest string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
 
 
+def _marks(data) -> dict:
+    """What reports that rank all pairs or SKUs need of the whole ranking: a few boundary keys and one histogram."""
+    from shelfwise.operators.inventory import value_ranges
+    from shelfwise.operators.quartile_actions import cover_tiles
+
+    spark = data.grain("pair").sparkSession
+    k, ranges = DEFAULT.cover_quantiles, int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return {"cover_tiles": {str(k): cover_tiles(data, k)}, "value_ranges": value_ranges(data, ranges)}
+
+
 def open_inventory(spark: SparkSession, path: str, fact: DataFrame | None = None):
     """The inventory stored under ``path``, by this or any earlier application."""
     from dataclasses import replace
@@ -194,7 +205,7 @@ def open_inventory(spark: SparkSession, path: str, fact: DataFrame | None = None
         fact = spark.read.parquet(f"{path}/fact")
     params = replace(DEFAULT, overstock_rop_multiple=manifest["overstock_rop_multiple"])
     names = manifest["grains"] + ["repeated_keys", "repeated_rows"] * manifest["repeats"]
-    return Inventory(fact, {name: spark.read.parquet(f"{path}/{name}") for name in names}, params)
+    return Inventory(fact, {name: spark.read.parquet(f"{path}/{name}") for name in names}, params, marks=manifest["marks"])
 
 
 def inventory_data(spark: SparkSession, sf_dir: str):

@@ -9,7 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from shelfwise.operators import ranking
-from shelfwise.operators.ranking import By, above_tile, keys_at, order_key, with_ntile, with_running_sum
+from shelfwise.operators.ranking import By, above, keys_at, order_key, tile_keys, with_ntile, with_running_sum
 from shelfwise.params import DEFAULT
 
 DIST = replace(DEFAULT, global_window="distributed", window_partitions=3)
@@ -75,9 +75,8 @@ def test_selection_with_odd_keys(spark):
     frame = df.select(order_key(by).alias("key"))
     ranked = [tuple(r.key) for r in frame.orderBy("key").collect()]
     assert [tuple(k) for k in keys_at(frame, len(rows), range(1, len(rows) + 1))] == ranked
-    for tile in (1, 2, 3):
-        above = {r.i for r in df.filter(above_tile(df, 4, by, tile)).collect()}
-        assert above == {r.i for r in with_ntile(df, 4, by, "q", BUILTIN).collect() if r.q > tile}
+    for tile, key in enumerate(tile_keys(df, 4, by), 1):
+        assert {r.i for r in df.filter(above(df, by, key)).collect()} == {r.i for r in with_ntile(df, 4, by, "q", BUILTIN).collect() if r.q > tile}
 
 
 def test_selection_among_repeated_keys(spark):

@@ -1,13 +1,10 @@
 """A key holding a third of all rows must not land in one task."""
 
 import datetime as dt
-from dataclasses import replace
-
 from pyspark.sql import functions as F
 
 from shelfwise.operators import actions
-from shelfwise.operators.ranking import By, _ranges
-from shelfwise.params import DEFAULT
+from shelfwise.operators.ranking import By, _ranged, range_sums
 from shelfwise.sources.store import fact_layout
 
 
@@ -42,8 +39,8 @@ def test_fact_layout_spreads_a_hot_pair(make_inventory):
 def test_distributed_ranking_splits_a_hot_value(spark):
     rows = [(f"k{i:04d}", 7.0 if i % 3 == 0 else float(i)) for i in range(900)]
     df = spark.createDataFrame(rows, "k string, cover double")
-    p = replace(DEFAULT, global_window="distributed", window_partitions=6)
-    tagged = _ranges(df, [By("cover"), By("k")], p)
+    by = [By("cover"), By("k")]
+    tagged = _ranged(df, by, range_sums(df, "cover", by, 6)["bounds"])
     sizes = [r["count"] for r in tagged.groupBy("_range").count().collect()]
     assert max(sizes) < 0.25 * sum(sizes)
 
