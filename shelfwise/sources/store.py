@@ -21,6 +21,7 @@ from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from shelfwise.params import DEFAULT, Params
 from shelfwise.schema import COLUMNS, INVENTORY_SCHEMA, PAIR
@@ -28,7 +29,7 @@ from shelfwise.schema import GRAIN as KEY
 from shelfwise.sources.derive import derive_inventory
 
 #: Grains written side by side: most are small, so their jobs leave cores free.
-WRITERS = 4
+WRITERS = 6
 
 _LOCK = threading.Lock()
 _PATHS: dict[tuple[str, str], str] = {}
@@ -149,7 +150,8 @@ def store_inventory(fact: DataFrame, path: str, params: Params = DEFAULT, *, cop
         fact_layout(kept).write.mode("overwrite").parquet(f"{path}/fact")
         fact = spark.read.schema(kept.schema).parquet(f"{path}/fact")
     rows = {n: from_rows(fact, g, params) for n, g in GRAINS.items() if not g.finer}
-    repeats = _write_all({"repeated_keys": duplicate_groups(fact, KEY)}, path)["repeated_keys"].select(*[F.col(c).alias(f"_{c}") for c in KEY])
+    rows["repeated_keys"] = _write_all({"repeated_keys": duplicate_groups(fact, KEY)}, path)["repeated_keys"]
+    repeats = rows["repeated_keys"].select(*[F.col(c).alias(f"_{c}") for c in KEY])
     same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in KEY]
     # a row that repeats has a business key that repeats: only those rows are grouped whole
     rows["repeated_rows"] = duplicate_groups(fact.join(repeats, same, "left_semi"), COLUMNS)
@@ -161,7 +163,8 @@ def store_grains(bases: dict[str, DataFrame], path: str, params: Params = DEFAUL
     from shelfwise.operators.metrics import GRAINS, KEY_GRAINS, Inventory, key_counts, merged
 
     spark = next(iter(bases.values())).sparkSession
-    kept = _write_all({n: df for n, df in bases.items() if n not in GRAINS or not GRAINS[n].distinct}, path)
+    kept = {n: df for n, df in bases.items() if n == "repeated_keys"}  # written already
+    kept |= _write_all({n: df for n, df in bases.items() if n not in kept and (n not in GRAINS or not GRAINS[n].distinct)}, path)
     # grains whose distinct counts are still to come
     kept |= _write_all({n: df for n, df in bases.items() if n not in kept}, f"{path}/parts")
     counted = {}
@@ -177,9 +180,16 @@ def store_grains(bases: dict[str, DataFrame], path: str, params: Params = DEFAUL
     total = kept["total"]
     for key in GRAINS["total"].distinct:
         total = total.withColumn(f"d_{key}", kept[KEY_GRAINS[key]].agg(F.count(key)).scalar())
-    _write_all({"total": total}, path)
+    kept |= _write_all({"total": total}, path)
     marks = _marks(Inventory(None, kept, params))
-    manifest = {"overstock_rop_multiple": params.overstock_rop_multiple, "fact": fact, "grains": list(GRAINS), "repeats": "repeated_rows" in bases, "marks": marks}
+    tables = ["repeated_keys", "repeated_rows"] if "repeated_rows" in bases else []
+    manifest = {
+        "overstock_rop_multiple": params.overstock_rop_multiple,
+        "fact": fact,
+        # schemas are stored, so that opening infers none
+        "tables": {name: kept[name].schema.json() for name in [*GRAINS, *tables]},
+        "marks": marks,
+    }
     spark.createDataFrame([(json.dumps(manifest),)], "manifest string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
 
 
@@ -204,8 +214,11 @@ def open_inventory(spark: SparkSession, path: str, fact: DataFrame | None = None
     if fact is None:
         fact = spark.read.parquet(f"{path}/fact")
     params = replace(DEFAULT, overstock_rop_multiple=manifest["overstock_rop_multiple"])
-    names = manifest["grains"] + ["repeated_keys", "repeated_rows"] * manifest["repeats"]
-    return Inventory(fact, {name: spark.read.parquet(f"{path}/{name}") for name in names}, params, marks=manifest["marks"])
+    tables = {
+        name: spark.read.schema(StructType.fromJson(json.loads(schema))).parquet(f"{path}/{name}")
+        for name, schema in manifest["tables"].items()
+    }
+    return Inventory(fact, tables, params, marks=manifest["marks"])
 
 
 def inventory_data(spark: SparkSession, sf_dir: str):
