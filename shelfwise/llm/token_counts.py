@@ -15,7 +15,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import bound_batches
+from shelfwise.llm.common import bound_batches, table, written
 from shelfwise.llm.encoding import ChunkEncoder, word_bpe_path
 
 #: Lengths per block of the two-level suffix sums: no window spans the whole table.
@@ -45,7 +45,8 @@ def histogram(counted: DataFrame) -> DataFrame:
     or more; truncated_total: tokens left when every document is cut to n_tokens;
     docs_up_to_share: share of documents of at most this length (its quantile).
     """
-    per = counted.groupBy("n_tokens").agg(F.count("*").alias("n_docs"))
+    # stored, since three branches read it and each would count all texts anew
+    per = written(counted.groupBy("n_tokens").agg(F.count("*").alias("n_docs")))
     per = per.withColumn("block", F.floor(F.col("n_tokens") / BLOCK)).withColumn("own", F.col("n_tokens") * F.col("n_docs"))
     blocks = per.groupBy("block").agg(F.sum("n_docs").alias("d"), F.sum("own").alias("t"))
     # blocks of blocks, so that the one-partition window sees few rows whatever the lengths
@@ -96,6 +97,4 @@ def quantiles(hist: DataFrame, shares: list[float]) -> DataFrame:
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
-    from shelfwise.llm.common import table
-
     return histogram(lengths(table(spark, sf_dir, "documents", "text")))
