@@ -1,9 +1,9 @@
 """Token ids of whole texts from a public tokenizer whose tokens never cross white space.
 
-The ids of a text are those of its white-space chunks, one after the other, so
-each task encodes a chunk once and keeps its ids as bytes in a bounded table.
-A new chunk is normalised, split into the tokenizer's words and handed to the
-tokenizer's own BPE model word by word; chunks beyond Latin letters go through
+The ids of a text are those of its words, one after the other, so each task encodes a
+word once, with the tokenizer's own BPE model, and keeps its ids as bytes in a
+bounded table. A text of Latin letters is lower-cased and split into words in one
+pass; other texts go by white-space chunks, and chunks beyond Latin letters through
 the whole tokenizer.
 """
 
@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
 from array import array
 from collections.abc import Iterable, Iterator
 
@@ -21,6 +22,17 @@ KEPT_CHUNKS, KEPT_LENGTH = 400_000, 64
 _ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 _ASCII_PLAIN = re.compile(r"[!-~]+")
 _LATIN_PLAIN = re.compile("[!-~¡-ɏ]+")
+#: A text of Latin letters, their numbers and marks, and white space: its words are found in one pass.
+_LATIN_TEXT = re.compile("[ \t\n\r\f\v!-~¡-ɏ]*")
+
+
+def _latin_words() -> re.Pattern:
+    """The word pattern for lower-cased Latin text, its classes by the categories of U+0021..U+024F (and what they become in lower case)."""
+    text = "".join(map(chr, [*range(0x21, 0x7F), *range(0xA1, 0x250)]))
+    own = sorted(set(text + text.lower()))
+    letters = re.escape("".join(c for c in own if unicodedata.category(c)[0] == "L"))
+    numbers = re.escape("".join(c for c in own if unicodedata.category(c)[0] == "N"))
+    return re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^ \t\n\r\f\v{letters}{numbers}]+")
 
 
 def word_bpe_path() -> str:
@@ -29,8 +41,7 @@ def word_bpe_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def _chunks(text: str | None) -> list[str]:
-    text = text or ""
+def _chunks(text: str) -> list[str]:
     for space in "\n\t\r\f\v":
         text = text.replace(space, " ")
     return text.split(" ")
@@ -49,8 +60,17 @@ class _Words(dict):
     def __init__(self, model) -> None:
         self._model = model
         self._letters = _byte_letters()
+        self._older: dict[str, bytes] = {}
+
+    def trim(self) -> None:
+        if len(self) > KEPT_CHUNKS:
+            self._older = dict(self)
+            self.clear()
 
     def __missing__(self, word: str) -> bytes:
+        if word in self._older:
+            ids = self[word] = self._older[word]
+            return ids
         known = word if word.isascii() else "".join(map(self._letters.__getitem__, word.encode()))
         ids = array("I", [t.id for t in self._model.tokenize(known)]).tobytes()
         if len(word) <= KEPT_LENGTH:
@@ -65,9 +85,9 @@ class _ChunkIds(dict):
         import regex
 
         self._tokenizer = tokenizer
-        self._normalizer = tokenizer.normalizer
         self._words = _Words(tokenizer.model)
         self._older: dict[str, bytes] = {}
+        self._text_words = _latin_words()
         self._latin_words = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
     def __missing__(self, chunk: str) -> bytes:
@@ -76,18 +96,24 @@ class _ChunkIds(dict):
         elif _ASCII_PLAIN.fullmatch(chunk):
             ids = b"".join(map(self._words.__getitem__, _ASCII_WORDS.findall(chunk.lower())))
         elif _LATIN_PLAIN.fullmatch(chunk):
-            ids = b"".join(map(self._words.__getitem__, self._latin_words.findall(self._normalizer.normalize_str(chunk))))
+            # of these letters none is composed by NFC, so lower case is all that the normaliser does
+            ids = b"".join(map(self._words.__getitem__, self._latin_words.findall(chunk.lower())))
         else:
             ids = array("I", self._tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
         if len(chunk) <= KEPT_LENGTH:
             self[chunk] = ids
         return ids
 
+    def of(self, text: str) -> bytes:
+        if _LATIN_TEXT.fullmatch(text):
+            return b"".join(map(self._words.__getitem__, self._text_words.findall(text.lower())))
+        return b"".join(map(self.__getitem__, _chunks(text)))
+
     def trim(self) -> None:
         if len(self) > KEPT_CHUNKS:
             self._older = dict(self)
             self.clear()
-            self._words.clear()
+        self._words.trim()
 
 
 class ChunkEncoder:
@@ -105,4 +131,4 @@ class ChunkEncoder:
         known = self._ids
         for text in texts:
             known.trim()
-            yield b"".join(map(known.__getitem__, _chunks(text)))
+            yield known.of(text or "")

@@ -97,4 +97,4 @@ def _arrow(rows: list[tuple], with_ids: bool):
 def op10(spark, sf_dir: str) -> DataFrame:
     from shelfwise.llm.common import table
 
-    return pack(table(spark, sf_dir, "documents", "doc_id", "text"), with_ids=False).drop("ids", "bucket")
+    return pack(table(spark, sf_dir, "documents", "doc_id", "text"), with_ids=False).drop("ids")

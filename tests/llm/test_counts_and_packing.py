@@ -28,6 +28,12 @@ def test_encoder_is_the_tokenizer(spark, tokenizer):
         assert memoryview(ids).cast("I").tolist() == ids_of(tokenizer, text), text
 
 
+def test_letters_that_only_become_lower_case(tokenizer):
+    for code in [*range(0x21, 0x7F), *range(0xA1, 0x250)]:
+        for text in (chr(code), f"a{chr(code)}Z", f"{chr(code)}{chr(code)}"):
+            assert tokenizer.normalizer.normalize_str(text) == text.lower(), hex(code)
+
+
 def test_token_counts_against_brute_force(docs_of, odd_rows, tokenizer):
     counted = token_counts.lengths(docs_of(odd_rows))
     n = sorted(len(ids_of(tokenizer, t)) for _, t in odd_rows)
