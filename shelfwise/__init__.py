@@ -2,7 +2,7 @@
 
 Every operator takes the daily inventory fact table (one row per
 Date x SKU x Warehouse) - as a DataFrame or as an ``Inventory`` (fact table
-plus stored summaries) - and returns a DataFrame; nothing is collected to the
+plus stored grains) - and returns a DataFrame; nothing is collected to the
 driver.  See README.md for the operator list.
 """
 
