@@ -36,7 +36,7 @@ def transform(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     bwt = np.zeros(m, np.uint8)
     full = sizes > 0
     bwt[full] = flat[ends[full] - 1]
-    lcp = np.zeros(m, np.uint16)
+    lcp = np.zeros(m + 1, np.uint16)  # and a zero behind the last
     place = np.arange(m)
     for j in range(1, int(sizes.max(initial=0)) + 1):
         live = sizes[active] >= j
@@ -55,9 +55,7 @@ def transform(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         after = pairs[np.minimum(t + 1, len(pairs) - 1)]
         same_after = (t + 1 < len(pairs)) & (after >> np.uint32(PLACE_BITS) == own)
         before, after = (before & PLACE_MASK).astype(np.int64), (after & PLACE_MASK).astype(np.int64)
-        padded = np.append(lcp, np.uint16(0))
-        prefix = _least(padded, np.where(same_before, before, place - 1) + 1, place + 1, same_before)
-        suffix = _least(padded, place + 1, np.where(same_after, after, place) + 1, same_after)
+        prefix, suffix = _least(lcp, before + 1, place + 1, same_before), _least(lcp, place + 1, after + 1, same_after)
         symbols = np.zeros(len(active), np.uint8)
         more = sizes[active] > j
         symbols[more] = flat[ends[active[more]] - j - 1]
@@ -65,18 +63,19 @@ def transform(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         old[new_place] = False
         next_bwt, next_lcp = np.empty(len(old), np.uint8), np.zeros(len(old) + 1, np.uint16)
         next_bwt[old], next_bwt[new_place] = bwt, symbols
-        next_lcp[:-1][old] = lcp
+        next_lcp[:-1][old] = lcp[:-1]
         next_lcp[new_place + 1] = suffix
         next_lcp[new_place] = prefix
-        bwt, lcp, place = next_bwt, next_lcp[:-1], new_place
-    return bwt, lcp
+        bwt, lcp, place = next_bwt, next_lcp, new_place
+    return bwt, lcp[:-1]
 
 
 def _least(values: np.ndarray, start: np.ndarray, stop: np.ndarray, use: np.ndarray) -> np.ndarray:
     """1 + min(values[start:stop]) where ``use``, else 0."""
     out = np.zeros(len(start), np.uint16)
     if use.any():
-        at = np.stack([start[use], stop[use]], 1).ravel()
+        at = np.empty(2 * np.count_nonzero(use), np.int64)
+        at[::2], at[1::2] = start[use], stop[use]
         out[use] = np.minimum.reduceat(values, at)[::2] + 1
     return out
 

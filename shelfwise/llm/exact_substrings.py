@@ -11,8 +11,10 @@ Each byte covered by a ``span``-byte string that also starts anywhere else goes.
 3. Unlike segments of a group are sorted together, but for those that agree with no
    other on the bytes that a shared string would need: whole groups are gathered into
    collections of bounded size, whose Burrows-Wheeler transform and common prefixes
-   are built column by column (``collection_bwt``). A common prefix of ``span`` with
-   either neighbour marks a repeated string.
+   are built column by column (``collection_bwt``). Every string holds the gram of its
+   group at its anchor, so two symbols stand for the gram: the columns are fewer, and a
+   common prefix of ``span``, less what the gram lost, with either neighbour marks a
+   repeated string.
 4. A group larger than a collection is split by its windows instead: digests of its
    strings are counted, which needs no group in one place.
 
@@ -32,8 +34,10 @@ from pyspark.sql import functions as F
 from shelfwise.llm.common import bit_map, bound_batches, in_bit_map, with_mark, written
 
 SPAN, GRAM = 200, 64
-#: Segments sorted together; a larger group takes the way of step 4.
-COLLECTION = 112
+#: Segments sorted together, of at most half as many groups; a larger group takes the way of step 4.
+COLLECTION = 224
+#: A byte that UTF-8 doesn't have: with a byte for the group, it stands for the anchor gram in a collection.
+GRAM_MARK = b"\xfe"
 #: Ranges of a string's reach before its gram, by which members that can't repeat are told.
 PARTS = 16
 LARGE_GROUP = 4096
@@ -207,7 +211,9 @@ def _sorted_together(members: DataFrame, span: int, gram: int) -> DataFrame:
 
         def flush(rows):
             out = []
-            for (_, hi, lo, *_), flags in zip(rows, repeated_starts([r[5] for r in rows], span)):
+            number: dict[int, int] = {}
+            brief = [own[:anchor] + GRAM_MARK + bytes([number.setdefault(key, len(number))]) + own[anchor + gram :] for key, *_, anchor, own in rows]
+            for (_, hi, lo, *_), flags in zip(rows, repeated_starts(brief, span - gram + 2)):
                 out += [(hi, lo, a, b) for a, b in _runs(flags)]
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out) if out else [[]] * 4, kinds)], names=["hi", "lo", "a", "b"])
