@@ -2,9 +2,16 @@
 
 Markup is stripped to one line per block element. Lines in menus, headers, footers,
 sidebars, notices, adverts, forms and comment sections, and lines that are mostly
-links, count no text. Text lengths are summed over sliding windows of ``WINDOW``
-lines: text begins where a window surges over the threshold and ends where the
-windows after it dive to nothing; the text lines between are kept.
+links, count no text; what stands apart inside a line is left out of it. Text lengths
+are summed over sliding windows of ``WINDOW`` lines: text begins where a window surges
+over the threshold and ends where the windows after it dive to nothing; the text lines
+between are kept.
+
+Structure goes before names. Where article elements hold text that surges and at least
+half of the page's, all their lines that count are the text, short ones behind an advert
+too, and nothing outside them. Inside them captions and paragraphs made of links count,
+and a name sets an element apart only if every word of it tells of such a part
+(``related-posts``, but not ``related-work``).
 
 Defined cases: null, empty and textless pages give an empty text; unclosed or cut-off
 markup ends with the page; repeated rows are extracted each; other columns are
@@ -16,6 +23,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,7 +41,7 @@ _MARKUP = re.compile(
 )
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 #: Elements that never hold the article's text.
-_APART = frozenset("nav header footer aside form dialog button menu figcaption".split())
+_APART = frozenset("nav header footer aside form dialog button menu".split())
 #: Elements that hold the whole page or article; names like has-sidebar tell of what is beside the text.
 _WHOLE = frozenset("html body main article".split())
 #: Names of classes, ids and roles of such elements.
@@ -42,6 +50,15 @@ _APART_NAME = re.compile(
     r"|nav\w*|menus?|breadcrumbs?|side-?bar|aside|footer|header|masthead|toolbar|share|sharing|social|related|recommend\w*|comments?|comment-?list|replies|reply|disqus|widgets?|complementary|contentinfo|navigation)(?=$|[\s_-])",
     re.I,
 )
+#: Words that may stand beside such a name in one name of an element inside an article.
+_BESIDE = frozenset(
+    "area articles bar block blocks body box button buttons cards center col column container content entry feed foot form global google head icons in inline inner item items left link links list main mid middle mini mobile module native"
+    " outer page panel post posts primary right row secondary section site slot small stories sticky text thread title top bottom unit user wide wrap wrapper".split()
+)
+#: Blocks of prose, which count inside an article even if they are links.
+_PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre dd figcaption".split())
+#: How an owner's line begins.
+_OWNER = re.compile(r"(?:©|\(c\)|copyright\b)", re.I)
 _BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul button".split()
 )
@@ -50,14 +67,25 @@ _LOOSE = frozenset("p li dd dt td th tr option".split())
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 
 
-def _is_apart(tag: str, rest: str) -> bool:
-    if tag in _APART:
+def _names_apart(value: str, in_article: bool) -> bool:
+    if not in_article:
+        return bool(_APART_NAME.search(value))
+    for name in value.split():
+        words = [w for w in re.split(r"[_-]+", re.sub("side-bar", "sidebar", name, flags=re.I)) if w]
+        told = [w for w in words if _APART_NAME.search(w)]
+        if _APART_NAME.search(name) and all(w in told or w.lower() in _BESIDE or w.isdigit() for w in words):
+            return True
+    return False
+
+
+def _is_apart(tag: str, rest: str, in_article: bool) -> bool:
+    if tag in _APART or tag == "figcaption" and not in_article:
         return True
     for name, value in _ATTRIBUTE.findall(rest) if rest else ():
         value = value.strip("\"'")
         name = name.lower()
         if name in ("class", "id", "role"):
-            if tag not in _WHOLE and _APART_NAME.search(value):
+            if tag not in _WHOLE and _names_apart(value, in_article):
                 return True
         elif name == "hidden" or name == "aria-hidden" and value.lower() == "true":
             return True
@@ -66,38 +94,43 @@ def _is_apart(tag: str, rest: str) -> bool:
     return False
 
 
-def lines(page: str) -> list[tuple[str, int]]:
-    """(text, text that counts) of each block of a page, in order."""
-    out: list[tuple[str, int]] = []
+def lines(page: str) -> list[tuple[str, int, bool]]:
+    """(text, text that counts, whether in an article element) of each block of a page, in order."""
+    out: list[tuple[str, int, bool]] = []
     stack: list[tuple[str, bool]] = []
-    apart = 0
+    apart = inside = 0
     parts: list[str] = []
+    beside: list[str] = []
     in_link = linked = 0
     at = 0
 
     def end_line() -> None:
         nonlocal linked
         text = " ".join("".join(parts).split())
+        counts = len(text)
+        if not inside:
+            counts = 0 if linked > LINK_SHARE * counts or counts < SURGE and _OWNER.match(text) else counts
+        elif not (stack and stack[-1][0] in _PROSE):
+            counts = 0 if linked > LINK_SHARE * counts else counts
+        out.append((text or " ".join("".join(beside).split()), counts, inside > 0))
         parts.clear()
-        if text or not out or out[-1][0] or out[-1][1]:
-            counts = 0 if apart or linked > LINK_SHARE * len(text) else len(text)
-            out.append((text, counts))
-        else:
-            out.append(("", 0))
+        beside.clear()
         linked = 0
 
     def add(raw: str) -> None:
         nonlocal linked
         if raw:
             text = html.unescape(raw)
-            parts.append(text)
-            if in_link:
+            (beside if apart else parts).append(text)
+            if in_link and not apart:
                 linked += len(" ".join(text.split()))
 
     def pop_to(i: int) -> None:
-        nonlocal apart
+        nonlocal apart, inside
         while len(stack) > i:
-            apart -= stack.pop()[1]
+            name, own = stack.pop()
+            apart -= own
+            inside -= name == "article"
 
     for m in _MARKUP.finditer(page):
         add(page[at : m.start()])
@@ -117,7 +150,7 @@ def lines(page: str) -> list[tuple[str, int]]:
             in_link = 0
             if not closing and stack and stack[-1][0] in _LOOSE and (tag == stack[-1][0] or stack[-1][0] == "p"):
                 pop_to(len(stack) - 1)
-        elif not _is_apart(tag, m["rest"] or "") and not closing:
+        elif not closing and not apart and not _is_apart(tag, m["rest"] or "", inside > 0):
             continue
         if closing:
             for i in range(len(stack) - 1, -1, -1):
@@ -125,9 +158,10 @@ def lines(page: str) -> list[tuple[str, int]]:
                     pop_to(i)
                     break
         elif tag not in _VOID and not (m["rest"] or "").endswith("/"):
-            own = _is_apart(tag, m["rest"] or "")
+            own = _is_apart(tag, m["rest"] or "", inside > 0)
             stack.append((tag, own))
             apart += own
+            inside += tag == "article"
     add(page[at:])
     end_line()
     return out
@@ -136,16 +170,16 @@ def lines(page: str) -> list[tuple[str, int]]:
 def main_text(page: str | None) -> str:
     """The kept blocks of a page, joined by newlines."""
     rows = lines(page or "")
-    n = len(rows)
-    sums = [0] * (n + 1)
-    for i, (_, counts) in enumerate(rows):
-        sums[i + 1] = sums[i] + counts
-    window = [sums[min(n, i + WINDOW)] - sums[i] for i in range(n)]
-    most = max(window, default=0)
-    if not most:
+    total = sum(counts for _, counts, _ in rows)
+    if not total:
         return ""
+    window = _windows([counts for _, counts, _ in rows])
     # a page with little text surges at half of its fullest window
-    surge = min(SURGE, (most + 1) // 2)
+    surge = min(SURGE, (max(window) + 1) // 2)
+    inside = [counts if own else 0 for _, counts, own in rows]
+    if 2 * sum(inside) >= total and max(_windows(inside)) >= surge:
+        return "\n".join(text for (text, _, _), counts in zip(rows, inside) if counts)
+    n = len(rows)
     kept: list[str] = []
     i = 0
     while i < n:
@@ -156,11 +190,18 @@ def main_text(page: str | None) -> str:
         while dive < n and window[dive]:
             dive += 1
         if max(window[i:dive]) >= surge:
-            kept += [text for text, counts in rows[i:dive] if counts]
+            kept += [text for text, counts, _ in rows[i:dive] if counts]
         i = dive
     return "\n".join(kept)
 
 
+def _windows(counts: list[int]) -> list[int]:
+    """Text of the ``WINDOW`` lines from each line on."""
+    sums = [0, *accumulate(counts)]
+    n = len(counts)
+    return [sums[min(n, i + WINDOW)] - sums[i] for i in range(n)]
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars), one row per row of ``pages`` (page_id, url, html)."""
     bound_batches(pages.sparkSession)

@@ -33,6 +33,34 @@ def test_advert_inside_the_article():
     assert main_text(page(body)) == f"{ARTICLE[1]}\n{ARTICLE[4]}"
 
 
+def test_structure_goes_before_names():
+    long, other = f"<p>{ARTICLE[1]}</p>", f"<p>{ARTICLE[4]}</p>"
+    advert = f"<div class='ad'><p>{words(41, 30)}</p><p>{words(42, 20)}</p><p>Buy</p><p>now</p></div>"
+    # a short closing paragraph behind a long advert
+    assert main_text(page(f"{long}{advert}<p>The end.</p>")) == f"{ARTICLE[1]}\nThe end."
+    # a paragraph that is a link; a list of links is a menu
+    assert main_text(page(f"{long}<p><a href='/s'>The whole study is here</a></p>{other}<ul><li><a href='/a'>more</a></ul>")) == f"{ARTICLE[1]}\nThe whole study is here\n{ARTICLE[4]}"
+    for tag in ('section class="related-work"', 'div id="search-results-of-the-study"', "div class='with-sidebar'"):
+        assert main_text(page(f"{long}<{tag}>{other}</{tag.split()[0]}>")) == f"{ARTICLE[1]}\n{ARTICLE[4]}"
+    for tag in ("div class='related-posts'", "div class='x ad-slot-2'", "section id='post_comments'", "div class='newsletter-signup box'", "div class='side-bar'", "div role=complementary"):
+        assert main_text(page(f"{long}<{tag}>{other}</{tag.split()[0]}>")) == ARTICLE[1]
+    assert main_text(page(f"{long}<figure><img src=x><figcaption>What it shows</figcaption></figure>")) == f"{ARTICLE[1]}\nWhat it shows"
+    assert main_text(page(long, after="<div>\u00a9 2024 the owners of the site</div>")) == ARTICLE[1]
+    assert main_text(f"<div>{long}{other}</div><div>&copy; 2024 the owners</div>") == f"{ARTICLE[1]}\n{ARTICLE[4]}"
+
+
+def test_advert_inside_a_line():
+    body = f"{ARTICLE[1]} Before <span class='ad'><span>BUY</span> <b>NOW</b></span> after"
+    for whole in (page(f"<p>{body}</p>"), f"<div><p>{body}</p></div>"):
+        assert main_text(whole) == f"{ARTICLE[1]} Before after"
+
+
+def test_articles_that_hold_little():
+    # cards beside the text, and no article around it
+    cards = "".join(f"<article><a href='/{i}'>{words(60 + i, 4)}</a></article>" for i in range(4))
+    assert main_text(f"<div><p>{ARTICLE[4]}</p></div><div>{cards}</div>") == ARTICLE[4]
+
+
 def test_markup_and_references():
     body = f"<p><b>{ARTICLE[1]}.<br><p>A &amp;&lt;&eacute;&#233; b</b>old  \n <i>i</i>t x<ul><li>one<li>two</ul>"
     assert main_text(page(body)) == f"{ARTICLE[1]}.\nA &<éé bold it x\none\ntwo"
