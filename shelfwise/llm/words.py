@@ -18,6 +18,8 @@ _POWERS[1:] = np.uint64(_BASE)
 _POWERS = np.multiply.accumulate(_POWERS)
 #: Bytes of text hashed at a time (one text at least).
 BLOCK_BYTES = 1 << 22
+#: Bytes of texts given to ``word_hashes`` together by ``blocks``, whose work memory is some 40 times as much.
+TEXT_BYTES = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -28,12 +30,12 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def blocks(texts: list[str | None]) -> Iterator[tuple[int, list[bytes]]]:
-    """(index of the first, UTF-8 texts with A-Z lower-cased), at most about BLOCK_BYTES each; null is empty."""
+    """(index of the first, UTF-8 texts with A-Z lower-cased), at most about TEXT_BYTES each, one text at least; null is empty."""
     first, held, size = 0, [], 0
     for i, text in enumerate(texts):
         held.append((text or "").encode().lower())
         size += len(held[-1])
-        if size >= BLOCK_BYTES:
+        if size >= TEXT_BYTES:
             yield first, held
             first, held, size = i + 1, [], 0
     if held:
