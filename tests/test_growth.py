@@ -56,3 +56,20 @@ def test_fact_rows_are_moved_before_their_measures(spark, sf):
     assert len(narrow.columns) < len(COLUMNS) and not {"Unit_Cost", "Demand_Forecast"} & set(narrow.columns)
     got, want = store.inventory_table(spark, sf), derive_inventory(spark, sf)
     assert got.count() == want.count() and got.exceptAll(want).isEmpty()
+
+
+@pytest.mark.parametrize("words", [1, 1 << 20])
+def test_repeated_rows_are_found_without_moving_rows(spark, make_inventory, monkeypatch, words):
+    """Whether the map of hashes is sparse or full; with NULL keys, a hot row and keys that repeat with other values."""
+    monkeypatch.setattr(quality, "MAP_WORDS", words)
+    rows = [dict(SKU_ID=f"S{i % 150}", Units_Sold=i // 300) for i in range(400)] + [dict(SKU_ID=None)] * 3 + [dict(SKU_ID="HOT")] * 50
+    fact = make_inventory(rows)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        groups = quality.duplicate_groups(fact, COLUMNS)
+        assert "SortMergeJoin" not in plan(groups)
+        got = sorted((r.SKU_ID or "", r.Units_Sold, r.record_count) for r in groups.collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    want = fact.groupBy(*COLUMNS).count().filter("count > 1").collect()
+    assert got == sorted((r.SKU_ID or "", r.Units_Sold, r["count"]) for r in want)
