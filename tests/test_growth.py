@@ -58,6 +58,18 @@ def test_fact_rows_are_moved_before_their_measures(spark, sf):
     assert got.count() == want.count() and got.exceptAll(want).isEmpty()
 
 
+def test_partitions_follow_the_rows(spark, sf, monkeypatch):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    assert store.sized_session(spark, 10).conf.get("spark.sql.shuffle.partitions") == before
+    monkeypatch.setattr(store, "ROWS_PER_PARTITION", 10)
+    want = all_queries()["ingest_collated_keys"](spark, sf)
+    assert int(want.sparkSession.conf.get("spark.sql.shuffle.partitions")) == 33  # 322 lines
+    assert want.agg(F.sum("records")).first()[0] == store.inventory_table(spark, sf).count()
+    dirty = all_queries()["dirty_full_row_duplicates"](spark, sf)
+    assert int(dirty.sparkSession.conf.get("spark.sql.shuffle.partitions")) == 33
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before
+
+
 @pytest.mark.parametrize("words", [1, 1 << 20])
 def test_repeated_rows_are_found_without_moving_rows(spark, make_inventory, monkeypatch, words):
     """Whether the map of hashes is sparse or full; with NULL keys, a hot row and keys that repeat with other values."""
