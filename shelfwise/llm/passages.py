@@ -41,6 +41,10 @@ HASHES, SHIFT = 3, 2
 SEEDS = (0x2545F4914F6CDD1D, 0x9FB21C651E98DF25, 0xD1B54A32D192ED03)
 #: Members of a group dealt to one task.
 PART = 4096
+#: A leader is compared with all members of a group of so many, and with its candidates in a larger one.
+COMPARED = 12
+#: Members compared side by side, one group at least.
+TOGETHER = 24_000
 
 WINDOWS = "key long, hi long, lo long, doc_id long, c long, left int, size int"
 AROUND = "key long, hi long, lo long, doc_id long, c long, left int, around binary"
@@ -217,6 +221,79 @@ def _shared(group, table):
     return out
 
 
+class _Candidates:
+    """The rows of large groups that a leader may agree with, by a few of their shingles.
+
+    A stretch holds c and either the ``span // 2`` places before it or those behind it. It lacks at most ``apart`` of the
+    leader's shingles, so of ``apart + 1`` combs of these places (every ``apart + 1``-th) one agrees whole, and with it the comb's
+    place farthest from c. A run of one word around c agrees there with little else.
+    """
+
+    def __init__(self, table, span: int, numerator: int, denominator: int) -> None:
+        import numpy as np
+
+        apart = span + (-2 * span * numerator // (numerator + denominator))
+        half = span // 2
+        self.table = table
+        #: combs need a place each; without them every row is a candidate
+        self.usable = half > apart
+        far = list(range(half - apart, half + 1)) if self.usable else []
+        self.columns = np.array([span - 1 - d for d in far] + [span - 1 + d for d in far], np.int64)
+
+    def _keys(self, group, rows, shift: int):
+        """(keys of group, comb and the shingle ``shift`` places from the comb's, their rows)."""
+        import numpy as np
+
+        column = self.columns + shift
+        inside = np.flatnonzero((column >= 0) & (column < self.table.shape[1]))
+        values = self.table[rows[:, None], column[inside]].astype(np.int64)
+        at, comb = np.nonzero(values >= 0)
+        return (group[rows[at]].astype(np.int64) * len(self.columns) + inside[comb]) << 8 * HASH_BYTES | values[at, comb], rows[at]
+
+    def linked(self, group, rows):
+        """A number for each of ``rows``, equal for any two of which one may be the other's candidate."""
+        import numpy as np
+
+        key, row = (np.concatenate(x) for x in zip(*(self._keys(group, rows, s) for s in range(-SHIFT, SHIFT + 1))))
+        by = np.argsort(key)
+        key, at = key[by], np.searchsorted(rows, row[by])
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        size = np.diff(np.append(first, len(key)))
+        several = np.repeat(size > 1, size)
+        at, size = at[several], size[size > 1]
+        first = np.cumsum(size) - size
+        label = np.arange(len(rows))
+        while len(at):
+            least = label.copy()
+            np.minimum.at(least, at, np.repeat(np.minimum.reduceat(label[at], first), size))
+            least = least[least]
+            if (least == label).all():
+                break
+            label = least
+        return label
+
+    def index(self, group, rows) -> None:
+        import numpy as np
+
+        key, row = self._keys(group, rows, 0)
+        by = np.argsort(key, kind="stable")
+        self.key, self.row = key[by], row[by]
+
+    def __call__(self, group, leaders):
+        import numpy as np
+
+        wanted = np.unique(np.concatenate([self._keys(group, leaders, s)[0] for s in range(-SHIFT, SHIFT + 1)]))
+        return np.unique(self.row[_ranges(np.searchsorted(self.key, wanted), np.searchsorted(self.key, wanted, side="right"))])
+
+
+def _ranges(start, stop):
+    """All numbers from start to stop - 1, range after range."""
+    import numpy as np
+
+    size = stop - start
+    return np.arange(size.sum()) + np.repeat(start - (np.cumsum(size) - size), size)
+
+
 def _table(lefts, arounds, span: int):
     """Surroundings as rows aligned at c, -1 outside."""
     import numpy as np
@@ -251,8 +328,9 @@ def _clustered(members: DataFrame, span: int, numerator: int, denominator: int,
     Gives (key, hi, lo, by_doc, a, b): positions a..b around c repeat a passage of an earlier
     member, first met in document by_doc. With ``parts``, of groups that go on in other parts,
     leaders come too, with by_doc null. ``shared``: a map of the ``_value_keys`` that several
-    members have; without it the shingles of the part itself are looked through. All groups
-    of a batch are compared at once, each with its next leader per round.
+    members have; without it the shingles of the part itself are looked through. Several groups
+    together are compared at once, each with its next leader per round; a large group's members that
+    can't agree with each other go by sets of their own, one leader a set (``_Candidates``).
     """
 
     def join(batches: Iterator) -> Iterator:
@@ -277,24 +355,57 @@ def _clustered(members: DataFrame, span: int, numerator: int, denominator: int,
             own_stretch = m * denominator >= (2 * span - m) * numerator
             done = np.zeros(table.shape, bool)
             out = [[np.zeros(0, np.int64)] for _ in range(4)]
-            open_rows = np.flatnonzero(own_stretch.any(axis=1))
-            while len(open_rows):
-                own = group[open_rows]
-                at_first = np.concatenate([[True], own[1:] != own[:-1]])
-                leaders = open_rows[at_first]
-                rest = open_rows[~at_first]
-                lead = leaders[np.searchsorted(group[leaders], group[rest])]
+            # a member may come again from a later place that the map of first places can't tell from the first
+            same = np.lexsort((lo, hi))
+            again = (hi[same][1:] == hi[same][:-1]) & (lo[same][1:] == lo[same][:-1]) & (group[same][1:] == group[same][:-1])
+            is_open = own_stretch.any(axis=1)
+            is_open[same[1:][again]] = False
+            # only open rows are compared; those of a large group by sets that can't agree with each other
+            order, own = np.flatnonzero(is_open), group[is_open]
+            candidates = _Candidates(table, span, numerator, denominator)
+            sets = own.astype(np.int64) * len(group)
+            if candidates.usable:
+                many = np.bincount(own, minlength=1)[own] > COMPARED
+                sets[many] += candidates.linked(group, order[many])
+                by = np.argsort(sets, kind="stable")
+                order, sets = order[by], sets[by]
+            first = np.flatnonzero(np.concatenate([[True], sets[1:] != sets[:-1]])) if len(sets) else np.zeros(0, np.int64)
+            end = np.append(first[1:], len(order))[: len(first)]
+            number = np.repeat(np.arange(len(first)), end - first)
+            set_of = np.zeros(len(group), np.int64)
+            set_of[order] = number
+            large = (end - first > COMPARED) & candidates.usable
+            if large.any():
+                candidates.index(set_of, order[large[number]])
+            # each set's next leader is its first open row
+            at, leader_of, going = first.copy(), np.zeros(len(first), np.int64), np.arange(len(first))
+            while True:
+                moving = going
+                while len(moving):
+                    moving = moving[at[moving] < end[moving]]
+                    moving = moving[~is_open[order[at[moving]]]]
+                    at[moving] += 1
+                going = going[at[going] < end[going]]
+                if not len(going):
+                    break
+                leaders = order[at[going]]
+                is_open[leaders], leader_of[going] = False, leaders
                 if parts:
                     out[0].append(leaders), out[1].append(np.full(len(leaders), -1)), out[2].append(np.zeros(len(leaders), int)), out[3].append(np.zeros(len(leaders), int))
-                stays = np.ones(len(rest), bool)
+                few = going[~large[going]]
+                rest = order[_ranges(at[few] + 1, end[few])]
+                if len(few) < len(going):
+                    rest = np.concatenate([rest, candidates(set_of, leaders[large[going]])])
+                rest = rest[is_open[rest]]
+                lead = leader_of[set_of[rest]]
                 for x in range(0, len(rest), 8192):
                     row, by = rest[x : x + 8192], lead[x : x + 8192]
                     covered = _agree(table[by], table[row], span, numerator, denominator)
                     new = covered & ~done[row]
                     done[row] |= new
                     edge = np.diff(np.pad(new.astype(np.int8), ((0, 0), (1, 1))), axis=1)
-                    (at, begin), (_, end) = np.nonzero(edge == 1), np.nonzero(edge == -1)
-                    out[0].append(row[at]), out[1].append(by[at]), out[2].append(begin - span + 1), out[3].append(end - span)
+                    (found, begin), (_, stop) = np.nonzero(edge == 1), np.nonzero(edge == -1)
+                    out[0].append(row[found]), out[1].append(by[found]), out[2].append(begin - span + 1), out[3].append(stop - span)
                     unlike = known[row] & (table[row] != table[by])
                     total = stretches(np.pad(unlike, ((0, 0), (SHIFT, SHIFT))))
                     size = span + 2 * SHIFT
@@ -303,8 +414,7 @@ def _clustered(members: DataFrame, span: int, numerator: int, denominator: int,
                         # another part's leader may come from an earlier document than both
                         left = np.where((doc[by] < doc[row])[:, None], left, own_stretch[row])
                     own_stretch[row] = left
-                    stays[x : x + 8192] = left.any(axis=1)
-                open_rows = rest[stays]
+                    is_open[row] = left.any(axis=1)
             row, lead, a, b = (np.concatenate(x) for x in out)
             none = lead < 0
             return pa.RecordBatch.from_arrays(
@@ -315,15 +425,18 @@ def _clustered(members: DataFrame, span: int, numerator: int, denominator: int,
         held = None
         for batch in batches:
             t = pa.Table.from_batches([batch])
-            t = (t if held is None else pa.concat_tables([held, t])).combine_chunks()
+            held = t if held is None else pa.concat_tables([held, t])
+            if len(held) < TOGETHER:
+                continue
+            t = held.combine_chunks()
             key, part = t.column(0).to_numpy(), t.column(1).to_numpy()
             # the last group may go on in the next batch
-            start = len(key) - int(np.argmax(np.append((key[::-1] != key[-1]) | (part[::-1] != part[-1]), True))) if len(key) else 0
+            start = len(key) - int(np.argmax(np.append((key[::-1] != key[-1]) | (part[::-1] != part[-1]), True)))
             if start:
                 yield take(t.slice(0, start))
             held = t.slice(start)
         if held is not None and len(held):
-            yield take(held)
+            yield take(held.combine_chunks())
 
     ordered = members.select("key", "part", "hi", "lo", "doc_id", "c", "left", "around").repartition(F.col("key"), F.col("part")).sortWithinPartitions("key", "part", "doc_id", "c", "hi", "lo")
     return ordered.mapInArrow(join, "key long, hi long, lo long, by_doc long, a int, b int")

@@ -145,3 +145,28 @@ def test_without_repeats(docs_of, odd_rows):
 def test_empty(docs_of):
     assert passages.repeats(docs_of([])).count() == 0
     assert passages.without_repeats(docs_of([])).count() == 0
+
+
+def test_candidates_are_few_and_miss_no_agreement():
+    import numpy as np
+
+    span, r = 46, np.random.default_rng(5)
+    passages_of = r.integers(100, 1 << 20, (12, 91))
+    table = passages_of[r.integers(0, 12, 300)].astype(np.int32)
+    for row in table:
+        row[r.integers(0, 91, r.integers(0, 8))] = r.integers(100, 1 << 20)
+        if r.random() < 0.3:
+            at = int(r.integers(0, 40))
+            row[at:-1] = row[at + 1 :].copy()
+        row[38:52] = 7  # a run of one word around c, in all of them
+    group = np.zeros(len(table), np.int64)
+    near = passages._Candidates(table, span, 80, 100)
+    rows = np.arange(len(table))
+    near.index(group, rows)
+    label, found = near.linked(group, rows), 0
+    for i in rows:
+        like = np.flatnonzero(passages._agree(table[[i] * len(table)], table, span, 80, 100).any(axis=1))
+        near_i = near(group, rows[i : i + 1])
+        assert set(like) <= set(near_i.tolist()) and (label[like] == label[i]).all()
+        found += len(near_i)
+    assert found < len(table) ** 2 / 4
