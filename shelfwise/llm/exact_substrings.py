@@ -266,11 +266,19 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataF
     bits = spark.sparkContext.broadcast(bit_map(again))
     found = written(_segments(docs, bits, span, gram))
     first = lambda c: F.first(c, ignorenulls=True).alias(c)
-    members = written(found.groupBy("hi", "lo").agg(F.count("*").alias("n"), first("windows"), first("key"), first("anchor"), first("bytes")))
+    members = written(found.groupBy("hi", "lo").agg(F.count("*").alias("n"), first("windows"), first("key")))
     # where a member occurs twice, all its windows repeat: a group of such members needs no sorting
-    sizes = members.groupBy("key").agg(F.count("*").alias("size"), F.min("n").alias("least")).filter("size > 1 and least = 1").drop("least")
-    groups = members.join(sizes, "key")
-    apart = _sorted_together(groups.filter(F.col("size") <= LARGE_GROUP), span, gram).unionAll(_counted_apart(groups.filter(F.col("size") > LARGE_GROUP), span))
+    sizes = written(members.groupBy("key").agg(F.count("*").alias("size"), F.min("n").alias("least")).filter("size > 1 and least = 1").drop("least"))
+    # bytes move only of groups to be sorted, and of a few that the bounded map can't tell
+    held = with_mark(found.filter("bytes is not null"), F.col("key"), sizes.select("key")).filter("mark")
+    held = held.groupBy("hi", "lo").agg(first("anchor"), first("bytes"))
+
+    def groups(which: str) -> DataFrame:
+        return members.join(sizes.filter(which), "key").join(held, ["hi", "lo"])
+
+    apart = _sorted_together(groups(f"size <= {LARGE_GROUP}"), span, gram)
+    if not sizes.filter(F.col("size") > LARGE_GROUP).isEmpty():
+        apart = apart.unionAll(_counted_apart(groups(f"size > {LARGE_GROUP}"), span))
     copies = members.filter("n > 1").select("hi", "lo", F.lit(0).alias("a"), (F.col("windows") - 1).alias("b"))
     marked = copies.unionAll(apart)
     at = found.select("hi", "lo", "doc_id", "text_hash", "start").join(marked, ["hi", "lo"])

@@ -83,3 +83,11 @@ def test_marks(spark):
     df = spark.range(-3000, 3000)
     marked = {r.id for r in with_mark(df, df["id"], spark.range(-2999, 3000, 2)).filter("mark").collect()}
     assert marked == set(range(-2999, 3000, 2))
+
+
+def test_bytes_are_stored_once(docs_of, monkeypatch):
+    stored, keep = [], exact_substrings.written
+    monkeypatch.setattr(exact_substrings, "written", lambda df, *by: stored.append(df.columns) or keep(df, *by))
+    rows = rows_of(4)
+    assert found(docs_of(rows), 60, 20) == brute(rows, 60)
+    assert sum("bytes" in columns for columns in stored) == 1
