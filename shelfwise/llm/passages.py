@@ -481,16 +481,20 @@ def repeats(docs: DataFrame, k: int = K, min_words: int = MIN_WORDS, numerator:
 
     # Occurrences in a member's first document repeat what the member repeats. Those in later documents repeat the
     # first one whole, and with it all that the member repeats: one row for each, whatever the member was matched with.
-    near = written(near.groupBy("hi", "lo", "a", "b").agg(F.min("by_doc").alias("by")))
+    # Each occurrence meets its member once.
+    near = near.groupBy("hi", "lo", "a", "b").agg(F.min("by_doc").alias("by"))
+    reached = near.groupBy("hi", "lo").agg(
+        F.min("a").alias("low"), F.max("b").alias("high"), F.min("by").alias("least"), F.collect_list(F.struct("a", "b", "by")).alias("stretches")
+    )
+    whole = F.struct(
+        F.least(-F.col("left"), "low").alias("a"), F.greatest(F.col("size") - F.col("left") - 1, "high").alias("b"), F.least("own_doc", "least").alias("by")
+    )
     owners = members.select("hi", "lo", F.col("doc_id").alias("own_doc"), "last_doc", "left", "size")
-    reached = near.groupBy("hi", "lo").agg(F.min("a").alias("low"), F.max("b").alias("high"), F.min("by").alias("least"))
-    whole = owners.filter("last_doc > own_doc").join(reached, ["hi", "lo"], "left").select(
-        "hi", "lo", "own_doc", F.least(-F.col("left"), "low").alias("a"), F.greatest(F.col("size") - F.col("left") - 1, "high").alias("b"), F.least("own_doc", "least").alias("by")
+    facts = owners.join(reached, ["hi", "lo"], "left").filter("last_doc > own_doc or least < own_doc").select(
+        "hi", "lo", "own_doc", whole.alias("whole"), F.filter("stretches", lambda x: x.by < F.col("own_doc")).alias("stretches")
     )
-    places = found.select("hi", "lo", "doc_id", "c")
-    later = places.join(whole, ["hi", "lo"]).filter("own_doc < doc_id").select("doc_id", "c", "a", "b", "by")
-    own = near.join(owners.select("hi", "lo", F.col("own_doc").alias("doc_id")), ["hi", "lo"]).filter("by < doc_id")
-    at = later.unionByName(places.join(own, ["hi", "lo", "doc_id"]).select("doc_id", "c", "a", "b", "by"))
+    met = found.select("hi", "lo", "doc_id", "c").join(facts, ["hi", "lo"])
+    at = met.select("doc_id", "c", F.inline(F.when(F.col("doc_id") > F.col("own_doc"), F.array("whole")).otherwise(F.col("stretches"))))
     spans = at.select("doc_id", (F.col("c") + F.col("a")).alias("first"), (F.col("c") + F.col("b") + k - 1).alias("last"), "by")
     spans = spans.groupBy("doc_id", "first").agg(F.max("last").alias("last"), F.min("by").alias("by"))
     w = Window.partitionBy("doc_id").orderBy("first")

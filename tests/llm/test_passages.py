@@ -170,3 +170,12 @@ def test_candidates_are_few_and_miss_no_agreement():
         assert set(like) <= set(near_i.tolist()) and (label[like] == label[i]).all()
         found += len(near_i)
     assert found < len(table) ** 2 / 4
+
+
+def test_each_occurrence_meets_its_member_once(docs_of):
+    p = words(95, 60)
+    rows = [(i, f"{words(9000 + i, 20)} {p} {words(9500 + i, 20)}") for i in range(40)]
+    out = passages.repeats(docs_of(rows))
+    # one join for the members' facts, one for their occurrences
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 2
+    assert found_cover(out) == exact_cover(rows)
