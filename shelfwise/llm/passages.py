@@ -44,7 +44,7 @@ PART = 4096
 #: A leader is compared with all members of a group of so many, and with its candidates in a larger one.
 COMPARED = 12
 #: Members compared side by side, one group at least.
-TOGETHER = 24_000
+TOGETHER = 8_000
 
 WINDOWS = "key long, hi long, lo long, doc_id long, c long, left int, size int"
 AROUND = "key long, hi long, lo long, doc_id long, c long, left int, around binary"
