@@ -45,6 +45,8 @@ PART = 4096
 COMPARED = 12
 #: Members compared side by side, one group at least.
 TOGETHER = 8_000
+#: Members of a set tried as leaders side by side at most, pairs of these with the set's open members, and matches looked at together.
+LEADERS, PAIRS, MATCHES = 512, 8_000_000, 2_000_000
 
 WINDOWS = "key long, hi long, lo long, doc_id long, c long, left int, size int"
 AROUND = "key long, hi long, lo long, doc_id long, c long, left int, around binary"
@@ -165,6 +167,39 @@ def _repeated(docs: DataFrame, bits, k: int, span: int, firsts=None) -> DataFram
     return docs.mapInArrow(windows_of, WINDOWS if firsts is None else AROUND)
 
 
+def _least(span: int, numerator: int, denominator: int) -> int:
+    """Shingles that two stretches of ``span`` must have in common."""
+    return -(-2 * span * numerator // (numerator + denominator))
+
+
+class _Alike:
+    """Which pairs of rows may have a stretch that agrees, by one byte of each shingle: others don't agree anywhere."""
+
+    def __init__(self, table, span: int, numerator: int, denominator: int) -> None:
+        import numpy as np
+
+        self.width, self.least = table.shape[1], _least(span, numerator, denominator)
+        # outside, a leader and a row differ
+        self.rows = np.full((len(table), -(-self.width // 32) * 32), 255, np.uint8)
+        self.rows[:, : self.width] = np.where(table < 0, 255, table & 255)
+        self.leaders = np.full((len(table), self.rows.shape[1] + 2 * SHIFT), 254, np.uint8)
+        self.leaders[:, SHIFT : SHIFT + self.width] = np.where(table < 0, 254, table & 255)
+
+    def __call__(self, leader, row):
+        import numpy as np
+
+        out = np.zeros(len(row), bool)
+        for x in range(0, len(row), 2048):
+            one, other = self.leaders[leader[x : x + 2048]], self.rows[row[x : x + 2048]]
+            width = other.shape[1]
+            same = other == one[:, :width]
+            for shift in range(1, 2 * SHIFT + 1):
+                same |= other == one[:, shift : shift + width]
+            bits = np.packbits(same, axis=1).view(np.uint32)
+            out[x : x + 2048] = np.bitwise_count(bits).sum(axis=1) >= self.least
+        return out
+
+
 def _agree(leader, other, span: int, numerator: int, denominator: int):
     """For each row: positions of ``other`` inside stretches of ``span`` that are similar enough to ``leader`` (both aligned at c, -1 outside)."""
     import numpy as np
@@ -232,7 +267,7 @@ class _Candidates:
     def __init__(self, table, span: int, numerator: int, denominator: int) -> None:
         import numpy as np
 
-        apart = span + (-2 * span * numerator // (numerator + denominator))
+        apart = span - _least(span, numerator, denominator)
         half = span // 2
         self.table = table
         #: combs need a place each; without them every row is a candidate
@@ -279,6 +314,19 @@ class _Candidates:
         by = np.argsort(key, kind="stable")
         self.key, self.row = key[by], row[by]
 
+    def among(self, group, leaders, start_of, place) -> Iterator:
+        """For candidates of many leaders, each leader's ``start_of`` plus the row's ``place``, some more than once, about MATCHES at a time."""
+        import numpy as np
+
+        key, row = (np.concatenate(x) for x in zip(*(self._keys(group, leaders, s) for s in range(-SHIFT, SHIFT + 1))))
+        by = np.argsort(row, kind="stable")
+        key, at = key[by], np.searchsorted(leaders, row[by])
+        start, stop = np.searchsorted(self.key, key), np.searchsorted(self.key, key, side="right")
+        upto, start_of, place = np.cumsum(stop - start), start_of[at], place[self.row]
+        cuts = np.unique(np.searchsorted(upto, np.arange(MATCHES, upto[-1] if len(upto) else 0, MATCHES))).tolist()
+        for a, b in zip([0, *cuts], [*cuts, len(at)]):
+            yield np.repeat(start_of[a:b], stop[a:b] - start[a:b]) + place[_ranges(start[a:b], stop[a:b])]
+
     def __call__(self, group, leaders):
         import numpy as np
 
@@ -375,46 +423,77 @@ def _clustered(members: DataFrame, span: int, numerator: int, denominator: int,
             set_of = np.zeros(len(group), np.int64)
             set_of[order] = number
             large = (end - first > COMPARED) & candidates.usable
-            if large.any():
-                candidates.index(set_of, order[large[number]])
-            # each set's next leader is its first open row
-            at, leader_of, going = first.copy(), np.zeros(len(first), np.int64), np.arange(len(first))
-            while True:
-                moving = going
-                while len(moving):
-                    moving = moving[at[moving] < end[moving]]
-                    moving = moving[~is_open[order[at[moving]]]]
-                    at[moving] += 1
-                going = going[at[going] < end[going]]
-                if not len(going):
-                    break
-                leaders = order[at[going]]
-                is_open[leaders], leader_of[going] = False, leaders
+
+            def compared(row, by):
+                for x in range(0, len(row), 8192):
+                    compare(row[x : x + 8192], by[x : x + 8192])
+
+            def compare(row, by):
+                covered = _agree(table[by], table[row], span, numerator, denominator)
+                new = covered & ~done[row]
+                done[row] |= new
+                edge = np.diff(np.pad(new.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+                (found, begin), (_, stop) = np.nonzero(edge == 1), np.nonzero(edge == -1)
+                out[0].append(row[found]), out[1].append(by[found]), out[2].append(begin - span + 1), out[3].append(stop - span)
+                unlike = known[row] & (table[row] != table[by])
+                total = stretches(np.pad(unlike, ((0, 0), (SHIFT, SHIFT))))
+                size = span + 2 * SHIFT
+                left = own_stretch[row] & (total[:, size:] > total[:, :-size])
+                if parts:
+                    # another part's leader may come from an earlier document than both
+                    left = np.where((doc[by] < doc[row])[:, None], left, own_stretch[row])
+                own_stretch[row] = left
+                is_open[row] = left.any(axis=1)
+
+            # the first open rows of each set, more each time, meet the set's later ones
+            alike, tried = _Alike(table, span, numerator, denominator), 1
+            place, undecided = np.zeros(len(group), np.int64), np.zeros(len(group), bool)
+            while len(order):
+                own = set_of[order]
+                first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+                size = np.diff(np.append(first, len(order)))
+                several = large[own[first]]
+                count = np.minimum(size, np.clip(PAIRS // size, 1, tried))
+                base = np.cumsum(count * size) - count * size
+                place[order] = _ranges(np.zeros(len(size), np.int64), size)
+                pairs = np.zeros(int((count * size).sum()), bool)
+                pairs[_ranges(base[~several], (base + count * size)[~several])] = True
+                leaders = order[_ranges(first, first + count)]
+                if several.any():
+                    candidates.index(set_of, order[np.repeat(several, size)])
+                    some = leaders[np.repeat(several, count)]
+                    start_of = _ranges(np.zeros(len(size), np.int64), count) * np.repeat(size, count) + np.repeat(base, count)
+                    by = np.argsort(some)
+                    for at in candidates.among(set_of, some[by], start_of[np.repeat(several, count)][by], place):
+                        pairs[at] = True
+                at = np.flatnonzero(pairs)
+                in_set = np.searchsorted(base, at, side="right") - 1
+                by, row = np.divmod(at - base[in_set], size[in_set])
+                later = row > by
+                by, row = order[(first[in_set] + by)[later]], order[(first[in_set] + row)[later]]
+                good = alike(by, row)
+                by, row = by[good], row[good]
+                # each row meets its leaders in their order, as soon as it is known whether the next one of them stays
+                sort = np.lexsort((by, row))
+                by, row = by[sort], row[sort]
+                begin = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else np.zeros(0, np.int64)
+                end, met = np.append(begin[1:], len(row))[: len(begin)], row[begin]
+                undecided[met] = True
+                active = np.arange(len(met))
+                while len(active):
+                    ready = active[~undecided[by[begin[active]]]]
+                    lead = by[begin[ready]]
+                    begin[ready] += 1
+                    stays = is_open[lead]
+                    compared(met[ready[stays]], lead[stays])
+                    over = ready[(begin[ready] >= end[ready]) | ~is_open[met[ready]]]
+                    undecided[met[over]] = False
+                    active = active[undecided[met[active]]]
+                leaders = leaders[is_open[leaders]]
+                is_open[leaders] = False
                 if parts:
                     out[0].append(leaders), out[1].append(np.full(len(leaders), -1)), out[2].append(np.zeros(len(leaders), int)), out[3].append(np.zeros(len(leaders), int))
-                few = going[~large[going]]
-                rest = order[_ranges(at[few] + 1, end[few])]
-                if len(few) < len(going):
-                    rest = np.concatenate([rest, candidates(set_of, leaders[large[going]])])
-                rest = rest[is_open[rest]]
-                lead = leader_of[set_of[rest]]
-                for x in range(0, len(rest), 8192):
-                    row, by = rest[x : x + 8192], lead[x : x + 8192]
-                    covered = _agree(table[by], table[row], span, numerator, denominator)
-                    new = covered & ~done[row]
-                    done[row] |= new
-                    edge = np.diff(np.pad(new.astype(np.int8), ((0, 0), (1, 1))), axis=1)
-                    (found, begin), (_, stop) = np.nonzero(edge == 1), np.nonzero(edge == -1)
-                    out[0].append(row[found]), out[1].append(by[found]), out[2].append(begin - span + 1), out[3].append(stop - span)
-                    unlike = known[row] & (table[row] != table[by])
-                    total = stretches(np.pad(unlike, ((0, 0), (SHIFT, SHIFT))))
-                    size = span + 2 * SHIFT
-                    left = own_stretch[row] & (total[:, size:] > total[:, :-size])
-                    if parts:
-                        # another part's leader may come from an earlier document than both
-                        left = np.where((doc[by] < doc[row])[:, None], left, own_stretch[row])
-                    own_stretch[row] = left
-                    is_open[row] = left.any(axis=1)
+                order, tried = order[is_open[order]], min(2 * tried, LEADERS)
             row, lead, a, b = (np.concatenate(x) for x in out)
             none = lead < 0
             return pa.RecordBatch.from_arrays(

@@ -179,3 +179,59 @@ def test_each_occurrence_meets_its_member_once(docs_of):
     # one join for the members' facts, one for their occurrences
     assert out._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 2
     assert found_cover(out) == exact_cover(rows)
+
+
+def joined(members, span, parts):
+    """What ``_clustered`` makes of members in one task, as rows, and how many pairs it compared in full."""
+    import pyarrow as pa
+
+    class Members:
+        def select(self, *_):
+            return self
+
+        repartition = sortWithinPartitions = select
+
+        def mapInArrow(self, join, _):
+            return join
+
+    def counted(leader, other, *how):
+        nonlocal pairs
+        pairs += len(other)
+        return agree(leader, other, *how)
+
+    pairs, agree, col = 0, passages._agree, passages.F.col
+    passages._agree, passages.F.col = counted, str
+    try:
+        names = ["key", "part", "hi", "lo", "doc_id", "c", "left", "around"]
+        batch = pa.RecordBatch.from_pydict(dict(zip(names, zip(*members))))
+        out = passages._clustered(Members(), span, 80, 100, parts=parts)(iter([batch.slice(0, 100), batch.slice(100)]))
+        return sorted(pa.Table.from_batches(list(out)).to_pylist(), key=str), pairs
+    finally:
+        passages._agree, passages.F.col = agree, col
+
+
+@pytest.mark.parametrize("parts", [False, True])
+def test_leaders_side_by_side_give_what_leaders_in_turn_give(monkeypatch, parts):
+    import numpy as np
+
+    span, r = 46, np.random.default_rng(8)
+    center, own = r.integers(1, 1 << 24, 91), r.integers(1, 1 << 24, (120, 91))
+    rows = []
+    for i in range(700):
+        row = own[r.integers(0, 120)].copy()
+        # all share the 31 places around c, which are no passage; some are edited copies of others
+        row[30:61] = center[30:61]
+        row[r.integers(0, 91, r.integers(0, 9))] = r.integers(1, 1 << 24, 1)
+        a, b = (0, 91) if i % 3 else sorted(r.integers([0, 60], [31, 92]))
+        rows.append((row, int(a), int(b)))
+    raw = lambda x: np.ascontiguousarray(x, np.uint32).view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
+    members = [(5 + (i >= 500) + (i >= 690), 0, i, i, i, 0, 45 - a, raw(row[a:b])) for i, (row, a, b) in enumerate(rows)]
+    found, pairs = joined(members, span, parts)
+    monkeypatch.setattr(passages, "LEADERS", 1)
+    one_by_one, _ = joined(members, span, parts)
+    assert found == one_by_one and len([x for x in found if x["by_doc"] is not None]) > 200
+    monkeypatch.setattr(passages, "_Alike", lambda *_: lambda leader, row: np.ones(len(row), bool))
+    monkeypatch.setattr(passages, "COMPARED", 1000)
+    assert joined(members, span, parts)[0] == found
+    # those that share only what is around c are not compared in full
+    assert pairs < 700 * 20
