@@ -39,6 +39,9 @@ SAMPLES, ALPHA = 8, 0.4
 #: Edges of word lattices a task keeps before it starts anew, and words walked side by side.
 KEPT_EDGES, TOGETHER = 6_000_000, 40_000
 SEED = 17
+#: Choices of a chain whose open values are found at first; and more than a Gumbel value of a 53-bit number can be.
+EARLY, LARGEST = 200, 36.8
+STEP = 0xD1342543DE82EF95
 UNUSED = -1e8
 
 SCHEMA = "doc_id long, sample int, n_pieces long, log_prob double, gumbel double, log_inclusion double, ids array<int>, ids_crc32 long, round_trip boolean"
@@ -90,6 +93,7 @@ class Lattices:
             if prefix in weights:
                 self.state_id[state], self.state_weight[state] = weights[prefix][0], math.log(weights[prefix][1])
         self.longest = max(map(len, weights))
+        self._spelling()
         bits = 2 + (len(keys) - 1).bit_length()
         self.shift = np.uint64(64 - bits)
         self.slot_key, self.slot_state = np.full((1 << bits) + 64, -1, np.int64), np.zeros((1 << bits) + 64, np.int64)
@@ -98,6 +102,53 @@ class Lattices:
                 slot += 1
             self.slot_key[slot], self.slot_state[slot] = key, value
 
+    def _spelling(self) -> None:
+        """Each piece's bytes, the word mark as a space, in columns of eight, and masks of as many bytes."""
+        import numpy as np
+
+        n, of_byte = self.model.vocab_size(), {i: bytes([b]) for b, i in self.byte.items()}
+        spelt = [of_byte.get(i) or self.model.id_to_piece(i).replace("▁", " ").encode() for i in range(n)]
+        self.size = np.array([len(x) for x in spelt], np.int64)
+        self.mask = np.array([(1 << 8 * min(j, 8)) - 1 for j in range(int(self.size.max()) + 1)], np.uint64)
+        columns = -(-int(self.size.max()) // 8)
+        self.bytes_of = np.frombuffer(b"".join(x.ljust(8 * columns, b"\0") for x in spelt), "<u8").reshape(n, columns).T.copy()
+
+    def spells(self, ids, bounds, norms: list[bytes]):
+        """Whether ids[bounds[i]:bounds[i + 1]] spell norms[i], the normalised text with spaces for word marks; equal ``norms`` may follow each other."""
+        import numpy as np
+
+        places, raw, size = [], [], 0
+        for i, norm in enumerate(norms):
+            if i and norm is norms[i - 1]:
+                places.append(places[-1])
+                continue
+            places.append(size)
+            raw.append(norm)
+            size += len(norm)
+        columns = len(self.bytes_of)
+        buffer = np.frombuffer(b"".join([*raw, bytes(8 * columns)]), np.uint8)
+        # eight bytes from each byte on
+        windows = np.ndarray((len(buffer) - 7,), "<u8", buffer, strides=(1,)).copy()
+        ids = ids.astype(np.int64)
+        counts, sizes = np.diff(bounds), self.size.take(ids)
+        upto = np.concatenate([[0], np.cumsum(sizes)])
+        whole = upto[bounds[1:]] - upto[bounds[:-1]] == [len(x) for x in norms]
+        at = upto[:-1]
+        at += np.repeat(np.array(places, np.int64) - upto[bounds[:-1]], counts)
+        np.minimum(at, size, out=at)
+        wrong = windows.take(at)
+        wrong ^= self.bytes_of[0].take(ids)
+        wrong &= self.mask.take(sizes)
+        wrong = wrong != 0
+        more = np.flatnonzero(sizes > 8)
+        for column in range(1, columns):
+            wrong[more] |= ((windows[at[more] + 8 * column] ^ self.bytes_of[column][ids[more]]) & self.mask[sizes[more] - 8 * column]) != 0
+            more = more[sizes[more] > 8 * (column + 1)]
+        if wrong.any():
+            wrong = np.concatenate([[0], np.cumsum(wrong)])
+            whole &= wrong[bounds[1:]] == wrong[bounds[:-1]]
+        return whole
+
     def _slots(self, keys):
         import numpy as np
 
@@ -126,8 +177,9 @@ class Lattices:
         self.nodes = self.edges = 0
         self.several: list[list[int]] = []
         self.first = np.zeros(1 << 16, np.int64)  # of each node's edges
-        self.upto, self.prob = np.zeros(1 << 18), np.zeros(1 << 18)
-        self.target, self.piece = np.zeros(1 << 18, np.int32), np.zeros(1 << 18, np.int32)
+        # an edge is left for the next one where a number's first 53 bits reach its limit; it leads to its target's first edge
+        self.limit, self.prob, self.log_prob = np.zeros(1 << 18, np.uint64), np.zeros(1 << 18), np.zeros(1 << 18)
+        self.target, self.piece = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int32)
 
     def words(self, text: str | None) -> list[str]:
         """The words of the normalised text, each with the mark that starts it."""
@@ -141,7 +193,7 @@ class Lattices:
 
         if self.edges > KEPT_EDGES:
             self._reset()
-        new = [w for w in dict.fromkeys(words) if w not in self.roots]
+        new = list(dict.fromkeys([w for w in words if w not in self.roots]))
         if not new:
             return
         text = "".join(new)
@@ -165,6 +217,8 @@ class Lattices:
                 source.append(lone), size.append(np.ones(len(lone), np.int64)), piece.append(-1 - len(self.several) - np.arange(len(lone)))
                 raw = [text[i].encode() for i in lone.tolist()]
                 weight.append(math.log(self.rare) * np.array([len(r) for r in raw], float))
+                # one byte is a piece like any other
+                piece[-1] = np.array([self.byte[r[0]] if len(r) == 1 else x for r, x in zip(raw, piece[-1].tolist())], np.int64)
                 self.several += [[self.byte[b] for b in r] for r in raw]
             on = known & (left[at] > length)
             at, state = at[on], state[on]
@@ -195,8 +249,9 @@ class Lattices:
         upto = sums - np.repeat(sums[first] - prob[first], counts)
         upto[first + counts - 1] = 2.0  # the last edge takes what is left
         self.first = _grown(self.first, self.nodes, np.append(first, len(source)) + self.edges)
-        self.upto, self.prob = _grown(self.upto, self.edges, upto), _grown(self.prob, self.edges, prob)
-        self.target = _grown(self.target, self.edges, np.where(last, -1, source + size + self.nodes))
+        self.limit = _grown(self.limit, self.edges, np.ceil(upto * 2.0**53 - 0.5).astype(np.uint64))
+        self.prob, self.log_prob = _grown(self.prob, self.edges, prob), _grown(self.log_prob, self.edges, np.log(prob))
+        self.target = _grown(self.target, self.edges, np.where(last, -1, np.append(first, 0)[np.where(last, 0, source + size)] + self.edges))
         self.piece = _grown(self.piece, self.edges, piece)
         self.nodes, self.edges = self.nodes + n, self.edges + len(source)
 
@@ -225,55 +280,81 @@ def _uniform(stream, word, step):
 
     from shelfwise.llm.words import mix
 
-    x = mix(stream + ((word << 24) + step).astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
-    return ((x >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
+    x = mix(stream + _key(word, step))
+    # below 1, so that its logarithm is not 0
+    return np.minimum(((x >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53, 1 - 2.0**-53)
+
+
+class _Chain:
+    """One segmentation: its edges up to the one that branched off and those walked from there on."""
+
+    __slots__ = ("head", "walk", "gumbel", "log_prob")
+
+    def __init__(self, head, walk, gumbel: float, log_prob: float) -> None:
+        self.head, self.walk, self.gumbel, self.log_prob = head, walk, gumbel, log_prob
 
 
-def _one(seed, sample: int, purpose: int, word: int = 0, step: int = 0) -> float:
+def _key(word, step):
+    """What a word and a step add to a stream."""
     import numpy as np
 
-    return float(_uniform(_stream(np.array([seed], np.uint64), sample, purpose), np.array([word]), np.array([step]))[0])
+    return ((word << 24) + step).astype(np.uint64) * np.uint64(STEP)
 
 
-class _Chain:
-    """One segmentation: its edges in order, the word and step of each, and the values of its open branches."""
+def _ranges(start, stop):
+    """All numbers from start to stop - 1, range after range."""
+    import numpy as np
+
+    size = stop - start
+    return np.arange(size.sum()) + np.repeat(start - (np.cumsum(size) - size), size)
 
-    __slots__ = ("edge", "word", "step", "before", "open", "gumbel", "log_prob", "taken")
 
-    def __init__(self, edge, word, step, before, open_values, gumbel, log_prob, taken) -> None:
-        self.edge, self.word, self.step, self.before, self.open = edge, word, step, before, open_values
-        self.gumbel, self.log_prob, self.taken = gumbel, log_prob, taken
+def _numbers(key):
+    """The first 53 bits of each key's number, as ``_uniform`` draws it."""
+    import numpy as np
+
+    x = key >> np.uint64(30)
+    x ^= key
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    y = x >> np.uint64(27)
+    x ^= y
+    x *= np.uint64(0x94D049BB133111EB)
+    np.right_shift(x, np.uint64(31), out=y)
+    x ^= y
+    x >>= np.uint64(11)
+    return x
 
 
-def _walk(lattices: Lattices, node, stream, word, step):
-    """From each start, choices to the end of the word: (edge, word, step, start), ordered by start and step."""
+def _walk(lattices: Lattices, edge, key):
+    """From each start (a node's first edge, its stream's key), choices to the end of the word: edges in order, and each start's first."""
     import numpy as np
 
-    edges, starts, steps = [], [], []
-    own = np.arange(len(node))
+    count, own, rounds = np.zeros(len(edge), np.int64), np.arange(len(edge)), []
     while len(own):
-        u = _uniform(stream, word, step)
-        e = lattices.first[node]
-        late = np.flatnonzero(u >= lattices.upto[e])
+        x = _numbers(key)
+        late = np.flatnonzero(x >= lattices.limit.take(edge))
+        u, e = x.take(late), edge.take(late)
         while len(late):
-            e[late] += 1
-            late = late[u[late] >= lattices.upto[e[late]]]
-        edges.append(e), starts.append(own), steps.append(step)
-        node = lattices.target[e]
-        on = node >= 0
-        node, own, stream, word, step = node[on].astype(np.int64), own[on], stream[on], word[on], step[on] + 1
-    if not edges:
-        none = np.zeros(0, np.int64)
-        return none, none, none
-    edge, start, step = np.concatenate(edges), np.concatenate(starts), np.concatenate(steps)
-    counts = np.bincount(start)
-    offset = np.cumsum(counts) - counts
-    # every start's choices were found one per round, so round r is its r-th
-    rank = np.concatenate([np.full(len(s), r) for r, s in enumerate(starts)])
-    at = offset[start] + rank
-    place = np.empty(len(at), np.int64)
-    place[at] = np.arange(len(at))
-    return edge[place], start[place], step[place]
+            e += 1
+            on = np.flatnonzero(u >= lattices.limit.take(e))
+            edge[late] = e
+            late, u, e = late.take(on), u.take(on), e.take(on)
+        rounds.append((own, edge))
+        target = lattices.target.take(edge)
+        on = np.flatnonzero(target >= 0)
+        if len(rounds) == 1:
+            count += 1
+        else:
+            count[own] += 1
+        edge, own, key = target.take(on), own.take(on), key.take(on)
+        key += np.uint64(STEP)
+    first = np.concatenate([[0], np.cumsum(count)])
+    out = np.empty(first[-1], np.int64)
+    for r, (own, edge) in enumerate(rounds):
+        at = first.take(own)
+        at += r
+        out[at] = edge
+    return out, first
 
 
 def _open_values(before, rest, gumbel, uniform):
@@ -286,120 +367,186 @@ def _open_values(before, rest, gumbel, uniform):
         return -np.logaddexp(-gumbel, np.log(e) - location)
 
 
-def sample_texts(lattices: Lattices, texts: list[str | None], keys: list[int], k: int) -> list[list[tuple]]:
-    """For each text, up to k of (ids, log_prob, gumbel, log_inclusion), largest Gumbel value first."""
+def _largest_open(lattices: Lattices, edges, first, text_first, base, gumbel, streams, word, step, few: int):
+    """For each text the ``few`` largest open values of a walk, as lists of (-value, place, edge, word, step, log of the probability before).
+
+    ``first``: each start's first edge; ``text_first``: each text's first start. The logs fall with every choice, so that
+    late choices can't be among the largest: more than EARLY are looked at only if they could be.
+    """
+    import numpy as np
+
+    begin, end = first[text_first[:-1]], first[text_first[1:]]
+    out: list[list[tuple]] = [[] for _ in begin]
+    width, texts, wider = EARLY, np.flatnonzero(end > begin), []
+    while len(texts):
+        # so many texts side by side that a long one's table stays small
+        side = max(1, 5_000_000 // width)
+        group, texts = texts[:side], texts[side:]
+        b, e = begin[group], end[group]
+        cells = max(1, min(width, int((e - b).max())))
+        at = b[:, None] + np.arange(cells)
+        inside = at < e[:, None]
+        at[~inside] = b[0]
+        edge, start = edges.take(at), np.searchsorted(first, at, side="right") - 1
+        w, t = word.take(start), step.take(start) + at - first.take(start)
+        log_p, left = np.where(inside, lattices.log_prob.take(edge), 0.0), np.where(inside, 1 - lattices.prob.take(edge), 0.0)
+        before = base[group][:, None] + np.cumsum(log_p, axis=1)
+        later = before[:, -1]
+        before = np.concatenate([base[group][:, None], before[:, :-1]], axis=1)
+        value = _open_values(before, np.maximum(left, 0.0), gumbel[group][:, None], _uniform(streams[group][:, None], w, t))
+        value[left <= 0] = -np.inf
+        take = min(few, cells)
+        best = np.argpartition(-value, take - 1, axis=1)[:, :take] if take < cells else np.broadcast_to(np.arange(cells), value.shape)
+        top = np.take_along_axis(value, best, axis=1)
+        least = top.min(axis=1) if take == few else np.full(len(group), -np.inf)
+        more = (e - b > cells) & (-np.logaddexp(-gumbel[group], -(later + LARGEST)) >= least)
+        pick = np.arange(len(group))[:, None], best
+        found = zip(group.tolist(), more.tolist(), (-top).tolist(), best.tolist(), edge[pick].tolist(), w[pick].tolist(), t[pick].tolist(), before[pick].tolist())
+        for text, again, *columns in found:
+            if not again:
+                out[text] = [x for x in zip(*columns) if x[0] < math.inf]
+        wider.append(group[more])
+        if not len(texts):
+            width, texts, wider = 4 * width, np.concatenate(wider), []
+    return out
+
+
+def _sampled(lattices: Lattices, texts: list[str | None], keys: list[int], k: int):
+    """The chains of each text, largest Gumbel value first, the largest value still open, and the words of the texts."""
+    import heapq
+
     import numpy as np
 
     words = [lattices.words(t) for t in texts]
     lattices.add([w for own in words for w in own])
-    roots = [np.array([lattices.roots[w] for w in own], np.int64) for own in words]
-    seeds = [np.uint64(x & (2**64 - 1)) for x in keys]
+    sizes = np.array([len(own) for own in words], np.int64)
+    upto = np.cumsum(sizes)
+    roots = lattices.first[np.array([lattices.roots[w] for own in words for w in own], np.int64)].astype(np.int64)
+    word = np.arange(len(roots)) - np.repeat(upto - sizes, sizes)
+    of_word = _key(word, np.int64(0))
+    seeds = np.array([x & (2**64 - 1) for x in keys], np.uint64)
     chains: list[list[_Chain]] = [[] for _ in texts]
-    threshold = [-math.inf] * len(texts)
+    branches: list[list[tuple]] = [[] for _ in texts]  # heaps of (-value, -chain, place or -1, edge, word, step, log before, edges taken)
+    none = np.zeros(0, np.int64)
     for sample in range(k):
-        # the walks of this sample over all texts, side by side
-        plan: list[tuple] = []
-        for d, own in enumerate(roots):
-            n = len(own)
-            if not sample:
-                g = -math.log(-math.log(_one(seeds[d], 0, 2)))
-                plan.append((d, own, np.arange(n), np.zeros(n, np.int64), None, 0, -1, g))
-                continue
-            best = max(((float(c.open.max()), i) for i, c in enumerate(chains[d]) if len(c.open)), default=(-math.inf, -1))
-            if best[0] == -math.inf:
-                continue
-            c = chains[d][best[1]]
-            t = int(c.open.argmax())
-            c.open[t] = -np.inf
-            e0 = int(c.edge[t])
-            taken = {e0, *(c.taken[1] if c.taken and c.taken[0] == t else ())}
+        if not sample:
+            own = np.arange(len(texts))
+            zero = np.zeros(len(texts), np.int64)
+            gumbel = -np.log(-np.log(_uniform(_stream(seeds, 0, 2), zero, zero)))
+            base, start = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
+            heads = [none] * len(texts)
+        else:
+            own = np.array([d for d, heap in enumerate(branches) if heap], np.int64)
+            if not len(own):
+                break
+            cut = [heapq.heappop(branches[d]) for d in own.tolist()]
+            at_word, at_step = np.array([x[4] for x in cut], np.int64), np.array([x[5] for x in cut], np.int64)
             # the node's edges lie together; its first is found from the edge taken
-            node = int(np.searchsorted(lattices.first[: lattices.nodes + 1], e0, side="right")) - 1
-            choices = [e for e in range(int(lattices.first[node]), int(lattices.first[node + 1])) if e not in taken]
-            weights = [float(lattices.prob[e]) for e in choices]
-            x = _one(seeds[d], sample, 3, int(c.word[t]), int(c.step[t])) * sum(weights)
-            pick = len(choices) - 1
-            for i, w in enumerate(weights):
-                x -= w
-                if x < 0:
-                    pick = i
-                    break
-            chosen, word, step = choices[pick], int(c.word[t]), int(c.step[t])
-            target = int(lattices.target[chosen])
-            later = np.arange(word + 1, n)
-            head = [target] if target >= 0 else []
-            node_list = np.concatenate([np.array(head, np.int64), own[word + 1 :]])
-            word_list = np.concatenate([np.full(len(head), word), later])
-            step_list = np.concatenate([np.full(len(head), step + 1), np.zeros(len(later), np.int64)])
-            rest = sum(weights) - weights[pick] if len(choices) > 1 else 0.0
-            plan.append((d, node_list, word_list, step_list, (c, t, chosen, max(rest, 0.0), taken), 0, best[1], best[0]))
-        if not plan:
-            break
-        sizes = [len(p[1]) for p in plan]
-        own_seeds = np.array([seeds[p[0]] for p in plan], np.uint64)
-        node, word, step = (np.concatenate([p[i] for p in plan]) for i in (1, 2, 3))
-        edge, start, steps = _walk(lattices, node, np.repeat(_stream(own_seeds, sample, 0), sizes), word, step)
-        bounds = np.searchsorted(start, np.cumsum([0, *sizes]))
-        log_p, rest_p = np.log(lattices.prob[edge]), 1 - lattices.prob[edge]
-        words_of = word[start] if len(start) else start
-        parts, first_of = [], []
-        for p, a, b in zip(plan, bounds[:-1], bounds[1:]):
-            base = 0.0
-            if p[4]:
-                c, t, chosen, _, _ = p[4]
-                base = float(c.before[t]) + math.log(float(lattices.prob[chosen]))
-            sums = np.cumsum(log_p[a:b])
-            before = np.concatenate([[base], base + sums[:-1]]) if b > a else np.zeros(0)
-            parts.append(before), first_of.append(base + (float(sums[-1]) if b > a else 0.0))
-        before = np.concatenate(parts)
-        gumbel = np.repeat(np.array([p[7] for p in plan]), np.diff(bounds))
-        single = rest_p <= 0
-        rest_p[single] = 0
-        uniform = _uniform(np.repeat(_stream(own_seeds, sample, 1), np.diff(bounds)), words_of, steps)
-        values = _open_values(before, rest_p, gumbel, uniform)
-        values[single] = -np.inf
-        for p, a, b, log_prob in zip(plan, bounds[:-1], bounds[1:], first_of):
-            if not p[4]:
-                chains[p[0]].append(_Chain(edge[a:b], words_of[a:b], steps[a:b], before[a:b], values[a:b].copy(), p[7], log_prob, None))
-                continue
-            c, t, chosen, rest, taken = p[4]
-            here = -math.inf
-            if rest > 0:
-                # below the branch's value, as the siblings left behind are
-                u = _one(seeds[p[0]], sample, 1, int(c.word[t]), int(c.step[t]))
-                here = float(_open_values(float(c.before[t]), rest, p[7], u))
-            open_values = np.concatenate([np.full(t, -np.inf), [here], values[a:b]])
-            chains[p[0]].append(
-                _Chain(
-                    np.concatenate([c.edge[:t], [chosen], edge[a:b]]), np.concatenate([c.word[: t + 1], words_of[a:b]]), np.concatenate([c.step[: t + 1], steps[a:b]]),
-                    np.concatenate([c.before[: t + 1], before[a:b]]), open_values, p[7], log_prob, (t, taken),
-                )
-            )
-    out = []
-    for d, own in enumerate(chains):
-        threshold[d] = max((float(c.open.max()) for c in own if len(c.open)), default=-math.inf)
-        rows = []
-        for c in own:
-            # log of 1 - exp(-exp(x)): of drawing a value above the threshold
-            x = c.log_prob - threshold[d]
-            rows.append((_ids(lattices, c.edge), c.log_prob, c.gumbel, x if x < -30 else 0.0 if x > 5 else math.log(-math.expm1(-math.exp(x)))))
-        out.append(rows)
-    return out
-
-
-def _ids(lattices: Lattices, edge):
-    """Piece ids of edges, as int32; fallbacks become their bytes' ids."""
+            node = np.searchsorted(lattices.first[: lattices.nodes + 1], np.array([x[3] for x in cut], np.int64), side="right") - 1
+            bounds = zip(lattices.first[node].tolist(), lattices.first[node + 1].tolist())
+            draw = _uniform(_stream(seeds[own], sample, 3), at_word, at_step).tolist()
+            heads, chosen, rests, bases = [], [], [], []
+            for d, (_, chain, place, e0, _, _, before, taken), (a, b), x in zip(own.tolist(), cut, bounds, draw):
+                probs = lattices.prob[a:b].tolist()
+                choices = [e for e in range(a, b) if e != e0 and e not in taken]
+                weights = [probs[e - a] for e in choices]
+                total = sum(weights)
+                x *= total
+                pick = len(choices) - 1
+                for i, w in enumerate(weights):
+                    x -= w
+                    if x < 0:
+                        pick = i
+                        break
+                c = chains[d][-chain]
+                edge = choices[pick]
+                chosen.append(edge)
+                rests.append(max(total - weights[pick], 0.0) if len(choices) > 1 else 0.0)
+                bases.append(before + math.log(probs[edge - a]))
+                heads.append(np.concatenate([c.head[:-1] if place < 0 else c.head, c.walk[: max(place, 0)], np.array([edge], np.int64)]))
+            gumbel, base = -np.array([x[0] for x in cut]), np.array(bases)
+            target = lattices.target[np.array(chosen, np.int64)]
+            # a choice inside a word goes on in the place of its word
+            start = at_word + (target < 0)
+        place_of = _ranges((upto - sizes)[own] + start, upto[own])
+        count = sizes[own] - start
+        text_first = np.concatenate([[0], np.cumsum(count)])
+        edge, step = roots[place_of], np.zeros(len(place_of), np.int64)
+        stream = _stream(seeds[own], sample, 0)
+        if sample:
+            inside = np.flatnonzero(target >= 0)
+            edge[text_first[inside]], step[text_first[inside]] = target[inside], at_step[inside] + 1
+        key = of_word[place_of]
+        key += step.astype(np.uint64) * np.uint64(STEP)
+        key += np.repeat(stream, count)
+        edges, first = _walk(lattices, edge, key)
+        begin, end = first[text_first[:-1]], first[text_first[1:]]
+        sums = np.zeros(len(own))
+        some = np.flatnonzero(end > begin)
+        if len(some):
+            sums[some] = np.add.reduceat(lattices.log_prob[edges], begin[some])
+        opened = _largest_open(lattices, edges, first, text_first, base, gumbel, _stream(seeds[own], sample, 1), word[place_of], step, k - sample)
+        if sample:
+            # below the branch's value, as the siblings left behind are
+            rest = np.array(rests)
+            here = _open_values(np.array([x[6] for x in cut]), rest, gumbel, _uniform(_stream(seeds[own], sample, 1), at_word, at_step)).tolist()
+        found = zip(own.tolist(), begin.tolist(), end.tolist(), gumbel.tolist(), (base + sums).tolist(), heads, opened)
+        for i, (d, a, b, g, log_prob, head, values) in enumerate(found):
+            chain = -len(chains[d])
+            chains[d].append(_Chain(head, edges[a:b], g, log_prob))
+            for x in values:
+                heapq.heappush(branches[d], (x[0], chain, *x[1:], ()))
+            if sample and rests[i] > 0 and here[i] > -math.inf:
+                _, _, _, e0, w, t, before, taken = cut[i]
+                heapq.heappush(branches[d], (-here[i], chain, -1, chosen[i], w, t, before, (e0, *taken)))
+    return chains, [-heap[0][0] if heap else -math.inf for heap in branches], words
+
+
+def _inclusion(log_prob: float, threshold: float) -> float:
+    """Log of 1 - exp(-exp(x)): of drawing a value above the threshold."""
+    x = log_prob - threshold
+    return x if x < -30 else 0.0 if x > 5 else math.log(-math.expm1(-math.exp(x)))
+
+
+def _ids(lattices: Lattices, chains: list[list[_Chain]]):
+    """Piece ids of all chains after each other, as int32, and where each chain's begin; fallbacks become their bytes' ids."""
     import numpy as np
 
-    ids = lattices.piece[edge]
+    parts = [x for own in chains for c in own for x in (c.head, c.walk)]
+    bounds = np.concatenate([[0], np.cumsum([len(x) for x in parts], dtype=np.int64)])[::2]
+    ids = lattices.piece.take(np.concatenate([np.zeros(0, np.int64), *parts]))
     fallback = np.flatnonzero(ids < 0)
     if not len(fallback):
-        return ids
-    parts = [lattices.several[-1 - i] for i in ids[fallback].tolist()]
+        return ids, bounds
+    several = [lattices.several[-1 - i] for i in ids[fallback].tolist()]
     counts = np.ones(len(ids), np.int64)
-    counts[fallback] = [len(p) for p in parts]
+    counts[fallback] = [len(x) for x in several]
     out = np.repeat(ids, counts)
-    out[np.repeat(ids < 0, counts)] = [x for p in parts for x in p]
+    out[np.repeat(ids < 0, counts)] = [x for own in several for x in own]
+    return out, np.concatenate([[0], np.cumsum(counts)])[bounds]
+
+
+def sample_texts(lattices: Lattices, texts: list[str | None], keys: list[int], k: int) -> list[list[tuple]]:
+    """For each text, up to k of (ids, log_prob, gumbel, log_inclusion), largest Gumbel value first."""
+    if not texts:
+        return []
+    chains, thresholds, _ = _sampled(lattices, texts, keys, k)
+    ids, bounds = _ids(lattices, chains)
+    spans = iter(zip(bounds[:-1].tolist(), bounds[1:].tolist()))
+    return [[(ids[slice(*next(spans))], c.log_prob, c.gumbel, _inclusion(c.log_prob, t)) for c in own] for own, t in zip(chains, thresholds)]
+
+
+def _round_trips(lattices: Lattices, texts: list[str | None], words: list[list[str]], chains: list[list[_Chain]], ids, bounds) -> list[bool]:
+    """Whether each chain's ids decode to its text: by the bytes that they spell, whose first mark is no part of the text, or else by the model."""
+    norms = ["".join(own).replace("▁", " ").encode() for own in words]
+    spelt = iter(lattices.spells(ids, bounds, [norm for norm, own in zip(norms, chains) for _ in own]).tolist())
+    spans, out = iter(zip(bounds[:-1].tolist(), bounds[1:].tolist())), []
+    for text, norm, own in zip(texts, norms, chains):
+        text = text or ""
+        plain = norm[:1] == b" " and norm[1:] == text.encode()
+        for _ in own:
+            a, b = next(spans)
+            out.append(next(spelt) and plain or lattices.model.decode(ids[a:b].tolist()) == text)
     return out
 
 
@@ -409,9 +556,10 @@ def sample(docs: DataFrame, k: int = SAMPLES, model_path: str | None = None, see
     bound_batches(docs.sparkSession)
 
     def draw(batches: Iterator) -> Iterator:
+        import numpy as np
         import pyarrow as pa
 
-        lattices = Lattices(path)
+        lattices = _lattices(path)
         for batch in batches:
             rows = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()))
             at = 0
@@ -423,20 +571,30 @@ def sample(docs: DataFrame, k: int = SAMPLES, model_path: str | None = None, see
                     end += 1
                 some = rows[at:end]
                 at = end
-                found = sample_texts(lattices, [r[1] for r in some], [r[2] for r in some], k)
-                out = [
-                    (doc_id, i + 1, len(ids), p, g, q, ids, zlib.crc32(ids.astype("<i4").tobytes()), lattices.model.decode(ids.tolist()) == (text or ""))
-                    for (doc_id, text, _), own in zip(some, found)
-                    for i, (ids, p, g, q) in enumerate(own)
-                ]
-                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.list_(pa.int32()), pa.int64(), pa.bool_()]
+                texts = [r[1] for r in some]
+                chains, thresholds, words = _sampled(lattices, texts, [r[2] for r in some], k)
+                ids, bounds = _ids(lattices, chains)
+                trips = _round_trips(lattices, texts, words, chains, ids, bounds)
+                raw, spans = memoryview(ids.astype("<i4", copy=False)).cast("B"), (4 * bounds).tolist()
+                crcs = [zlib.crc32(raw[a:b]) for a, b in zip(spans[:-1], spans[1:])]
+                out = [(r[0], i + 1, c.log_prob, c.gumbel, _inclusion(c.log_prob, t)) for r, own, t in zip(some, chains, thresholds) for i, c in enumerate(own)]
+                doc_id, number, p, g, q = zip(*out)
+                arrays = [
+                    pa.array(doc_id, pa.int64()), pa.array(number, pa.int32()), pa.array(np.diff(bounds)), pa.array(p, pa.float64()), pa.array(g, pa.float64()), pa.array(q, pa.float64()),
+                    pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids)), pa.array(crcs, pa.int64()), pa.array(trips, pa.bool_()),
+                ]
                 names = ["doc_id", "sample", "n_pieces", "log_prob", "gumbel", "log_inclusion", "ids", "ids_crc32", "round_trip"]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds)], names=names)
+                yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     key = F.xxhash64(F.lit(seed), F.col("doc_id").cast("long")).alias("key")
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), key).mapInArrow(draw, SCHEMA)
 
 
+@lru_cache(maxsize=1)
+def _lattices(path: str) -> Lattices:
+    return Lattices(path)
+
+
 @lru_cache(maxsize=1)
 def _model(path: str):
     import sentencepiece

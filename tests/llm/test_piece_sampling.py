@@ -120,3 +120,37 @@ def test_long_words(lattices):
 
 def test_empty(docs_of):
     assert P.sample(docs_of([])).count() == 0
+
+
+def test_open_values_of_early_choices_are_enough(lattices, monkeypatch):
+    import numpy as np
+
+    texts = [words(20 + i, 60 * i) for i in range(6)] + ["x" * 700, "a a " * 300, "été 你好 😀 É", "the", None] + [words(40, 6000)]
+    keys, seen, values = list(range(len(texts))), [], P._open_values
+
+    def counted(before, rest, gumbel, uniform):
+        seen.append(np.size(uniform))
+        return values(before, rest, gumbel, uniform)
+
+    monkeypatch.setattr(P, "_open_values", counted)
+    found = P.sample_texts(lattices, texts, keys, 4)
+    # most choices of a long text come too late to be where another segmentation branches off
+    assert sum(seen) < sum(len(x[0]) for own in found for x in own) / 2
+    for early in (3, 10**6):
+        monkeypatch.setattr(P, "EARLY", early)
+        other = P.sample_texts(lattices, texts, keys, 4)
+        assert [[(x[0].tolist(), *x[1:]) for x in own] for own in other] == [[(x[0].tolist(), *x[1:]) for x in own] for own in found]
+
+
+def test_spelling_of_ids(lattices):
+    import numpy as np
+
+    texts = ["internationalization of été 你好 😀", "the end\n", ""]
+    ids = [lattices.model.encode(t) for t in texts]
+    norms = ["".join(lattices.words(t)).replace("▁", " ").encode() for t in texts]
+    for cut in range(len(ids[0])):
+        wrong = [*ids[0][:cut], ids[0][cut] % 30000 + 300, *ids[0][cut + 1 :]]
+        rows = [ids[0], wrong, ids[1], ids[1][:-1], ids[0], ids[2], ids[2] + ids[1]]
+        bounds = np.concatenate([[0], np.cumsum([len(x) for x in rows])])
+        spelt = lattices.spells(np.array([i for x in rows for i in x], np.int32), bounds, [norms[0], norms[0], norms[1], norms[1], norms[0], norms[2], norms[2]])
+        assert spelt.tolist() == [True, False, True, False, True, True, False]
