@@ -18,13 +18,13 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import bound_batches
+from shelfwise.llm.common import bound_batches, giving_back
 from shelfwise.llm.encoding import ChunkEncoder, word_bpe_path
 
 END_ID = 2
 MAX_LENGTH = 4096
 #: Pieces handed back to Spark at a time.
-OUT_IDS = 2_000_000
+OUT_IDS = 500_000
 
 SCHEMA = "doc_id long, start long, length long, ids array<int>, ids_crc32 long, doc_tokens long"
 
@@ -71,7 +71,7 @@ def pack(
             if rows:
                 yield _arrow(rows, with_ids)
 
-    out = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, SCHEMA)
+    out = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(giving_back(cut), SCHEMA)
     return out.select(
         "doc_id", "start", "length", "ids", "ids_crc32", "doc_tokens",
         F.log2("length").cast("int").alias("bucket"),

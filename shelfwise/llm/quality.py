@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfwise.llm.common import bound_batches, free_name
+from shelfwise.llm.common import bound_batches, free_name, giving_back
 
 #: Labelled documents used for fitting, at most, and chunks of each.
 SAMPLE, CHUNKS = 6000, 6
@@ -210,7 +210,7 @@ def sample_chunks(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> Da
 
     # the sample has at most ``limit`` rows of 12 bytes
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(picked), "doc_id")
-    return texts.select("doc_id", "label", "text").mapInArrow(chunks, "doc_id long, label int, chunk binary")
+    return texts.select("doc_id", "label", "text").mapInArrow(giving_back(chunks), "doc_id long, label int, chunk binary")
 
 
 def train(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> ByteNet:
@@ -236,7 +236,7 @@ def scored(docs: DataFrame, net: ByteNet, name: str = "score") -> DataFrame:
             yield batch.append_column(name, pa.array(shared.value.score(texts), pa.float64()))
 
     docs = docs.withColumn("text", F.col("text").cast("string"))
-    return docs.mapInArrow(score, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
+    return docs.mapInArrow(giving_back(score), T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def without_rejected(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
