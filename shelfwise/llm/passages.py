@@ -43,6 +43,10 @@ SEEDS = (0x2545F4914F6CDD1D, 0x9FB21C651E98DF25, 0xD1B54A32D192ED03)
 PART = 4096
 #: A leader is compared with all members of a group of so many, and with its candidates in a larger one.
 COMPARED = 12
+#: Members of a set whose candidates are found by their own rarest shingles, in so many ranges of stretches.
+MANY, RANGES = 1024, 4
+#: Rounds after which these are looked for anew.
+INDEXED = 8
 #: Members compared side by side, one group at least.
 TOGETHER = 8_000
 #: Members of a set tried as leaders side by side at most, pairs of these with the set's open members, and matches looked at together.
@@ -60,8 +64,11 @@ class _Windows:
     def __init__(self, k: int, span: int) -> None:
         self.k, self.span = k, span
 
-    def __call__(self, texts: list[str | None]) -> Iterator[tuple]:
-        """(first text of the block, shingle hashes, text offsets, then for each order: key, c, l, r, text)."""
+    def __call__(self, texts: list[str | None], bounds: bool = True) -> Iterator[tuple]:
+        """(first text of the block, shingle hashes, text offsets, then for each order: key, c, l, r, text).
+
+        l and r are looked for up to ``span`` - 1 places from c; without ``bounds`` they are c.
+        """
         import numpy as np
 
         from shelfwise.llm.words import blocks, shingles, word_hashes
@@ -75,10 +82,10 @@ class _Windows:
             off = np.concatenate([[0], np.cumsum(sizes)])
             own = np.repeat(np.arange(len(raw)), sizes)
             s = s[np.arange(off[-1]) - np.repeat(off[:-1] - first[:-1], sizes)]
-            found = [self._tree(f, s, off, own) for f in range(HASHES)] if len(s) else []
+            found = [self._tree(f, s, off, own, bounds) for f in range(HASHES)] if len(s) else []
             yield start, s, off, found
 
-    def _tree(self, f: int, s, off, own):
+    def _tree(self, f: int, s, off, own, bounds: bool):
         import numpy as np
 
         from shelfwise.llm.words import mix
@@ -96,20 +103,29 @@ class _Windows:
         keep = np.ones(len(low), bool)
         keep[1:] = low[1:] != low[:-1]
         c = np.unique(starts[keep] + ((low[keep] & 63) - starts[keep] & 63))
-        # the Cartesian tree: previous and next smaller node, each text by itself
-        doc, v = own[c], value[c].tolist()
-        at, left, right = c.tolist(), off[doc].tolist(), (off[doc + 1] - 1).tolist()
-        docs, stack = doc.tolist(), []
-        for j, x in enumerate(v):
-            if j and docs[j] != docs[j - 1]:
-                stack = []
-            while stack and v[stack[-1]] > x:
-                right[stack.pop()] = at[j] - 1
-            if stack:
-                left[j] = at[stack[-1]] + 1
-            stack.append(j)
+        doc, v = own[c], value[c]
+        left = right = c
+        if bounds:
+            # the Cartesian tree: previous and next smaller node, each text by itself
+            left = self._smaller(c, v, np.maximum(off[doc], c - span + 1))
+            right = -self._smaller(-c[::-1], v[::-1], np.maximum(1 - off[doc + 1], 1 - c - span)[::-1])[::-1]
         key = mix((s[c] ^ np.uint64(SEEDS[f])) + np.uint64(f)).view(np.int64)
-        return key, c, np.array(left, np.int64), np.array(right, np.int64), doc
+        return key, c, left, right, doc
+
+    @staticmethod
+    def _smaller(place, value, least):
+        """For each place (ascending), the first one behind the nearest earlier place of smaller value, ``least`` if that comes first."""
+        import numpy as np
+
+        bound, at, step = least.copy(), np.arange(len(place)), 0
+        while len(at):
+            step += 1
+            at = at[at >= step]
+            at = at[place[at - step] >= least[at]]
+            smaller = value[at - step] < value[at]
+            bound[at[smaller]] = place[at[smaller] - step] + 1
+            at = at[~smaller]
+        return bound
 
 
 def _keys(docs: DataFrame, k: int, span: int) -> DataFrame:
@@ -118,7 +134,7 @@ def _keys(docs: DataFrame, k: int, span: int) -> DataFrame:
 
         windows = _Windows(k, span)
         for batch in batches:
-            for _, _, _, found in windows(batch.column(1).to_pylist()):
+            for _, _, _, found in windows(batch.column(1).to_pylist(), bounds=False):
                 for key, *_ in found:
                     yield pa.RecordBatch.from_arrays([pa.array(key)], names=["key"])
 
@@ -139,30 +155,29 @@ def _repeated(docs: DataFrame, bits, k: int, span: int, firsts=None) -> DataFram
 
         windows, wanted = _Windows(k, span), np.frombuffer(bits.value, np.uint8)
         first = np.frombuffer(firsts.value, np.uint8) if firsts is not None else None
+        names = ["key", "hi", "lo", "doc_id", "c", "left", "size" if first is None else "around"]
+        one = [bytes([i]) for i in range(span)]
         for batch in batches:
-            ids, rows = batch.column(0).to_pylist(), []
+            ids = batch.column(0).to_numpy()
             for start, s, off, found in windows(batch.column(1).to_pylist()):
+                raw = s.tobytes()
+                short = np.ascontiguousarray(s).view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES].tobytes()
                 for key, c, left, right, doc in found:
                     hit = np.flatnonzero(in_bit_map(wanted, key))
-                    lo, hi = np.maximum(left[hit], c[hit] - span + 1), np.minimum(right[hit], c[hit] + span - 1)
-                    for x, own, a, b, d in zip(key[hit].tolist(), c[hit].tolist(), lo.tolist(), hi.tolist(), doc[hit].tolist()):
-                        around = s[a : b + 1]
-                        digest = xxhash.xxh3_128_digest(around.tobytes() + bytes([own - a]))
-                        place, last = own - int(off[d]), b - a + 1
-                        if first is not None:
-                            at = (int.from_bytes(digest[:8], "little") ^ ids[start + d] << 17 ^ place << 41) & (MAP_BITS - 1)
-                            if not first[at >> 3] >> (at & 7) & 1:
-                                continue
-                            last = np.ascontiguousarray(around).view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES].tobytes()
-                        rows.append((x, digest, ids[start + d], place, own - a, last))
-            if rows:
-                key, digest, doc, c, left, last = zip(*rows)
-                both = np.frombuffer(b"".join(digest), np.int64).reshape(-1, 2)
-                kind, name = (pa.int32(), "size") if first is None else (pa.binary(), "around")
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key, pa.int64()), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), pa.array(doc, pa.int64()), pa.array(c, pa.int64()), pa.array(left, pa.int32()), pa.array(last, kind)],
-                    names=["key", "hi", "lo", "doc_id", "c", "left", name],
-                )
+                    if not len(hit):
+                        continue
+                    key, c, left, end, doc = key[hit], c[hit], left[hit], right[hit] + 1, doc[hit]
+                    before, place, own = c - left, c - off[doc], ids[start + doc]
+                    digests = [xxhash.xxh3_128_digest(raw[a:b] + one[x]) for a, b, x in zip((8 * left).tolist(), (8 * end).tolist(), before.tolist())]
+                    both = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+                    columns = [key, both[:, 0], both[:, 1], own, place, before.astype(np.int32)]
+                    if first is None:
+                        last = pa.array((end - left).astype(np.int32))
+                    else:
+                        wanted_here = in_bit_map(first, both[:, 0] ^ own << 17 ^ place << 41)
+                        columns, left, end = [x[wanted_here] for x in columns], left[wanted_here], end[wanted_here]
+                        last = pa.array([short[a:b] for a, b in zip((HASH_BYTES * left).tolist(), (HASH_BYTES * end).tolist())], pa.binary())
+                    yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(x)) for x in columns), last], names=names)
 
     return docs.mapInArrow(windows_of, WINDOWS if firsts is None else AROUND)
 
@@ -334,6 +349,99 @@ class _Candidates:
         return np.unique(self.row[_ranges(np.searchsorted(self.key, wanted), np.searchsorted(self.key, wanted, side="right"))])
 
 
+class _Rarest:
+    """The rows of very large sets to which a leader may add anything, by the rows' rarest shingles.
+
+    A stretch that agrees with a leader lacks at most ``apart`` of its places, so of any ``apart + 1`` of them one agrees. For
+    each range of stretches a row is found by as many places that all its stretches of the range hold: those whose
+    shingle the fewest rows of the set have near. A place that no other row has near finds nothing and is taken first.
+
+    A row of which one run of places is covered already gains by a leader that has one of its other shingles near, or that
+    has all shingles of an open stretch: of these the rarest one of each range. So a line that thousands
+    of rows share brings them together once, and not with each other's leaders for ever.
+    """
+
+    def __init__(self, number, table, rows, known, stretch, span: int, numerator: int, denominator: int) -> None:
+        import numpy as np
+
+        self.number, self.table, self.known, self.stretch = number, table, known, stretch.copy()
+        self.span, self.apart = span, span - _least(span, numerator, denominator)
+        self.at = np.zeros(len(table), np.int64)
+        self.at[rows] = np.arange(len(rows))
+        self.near = np.zeros((len(rows), table.shape[1]), np.int32)
+        for own in np.split(rows, np.flatnonzero(np.diff(number[rows])) + 1):
+            parts = np.split(own, range(8192, len(own), 8192))
+            everything = np.sort(np.concatenate([self._keys(x)[0] for x in parts]))
+            for x in parts:
+                key, row, place = self._keys(x)
+                by = np.argsort(key)
+                near = np.searchsorted(everything, key[by] + SHIFT, side="right") - np.searchsorted(everything, key[by] - SHIFT)
+                self.near[self.at[x[row[by]]], place[by]] = near
+
+    def index(self, rows, stretch, done) -> None:
+        """``rows`` as they are now: ``stretch`` are the starts of open stretches, ``done`` the places covered."""
+        import numpy as np
+
+        keys = [self._chosen(rows[x : x + 8192], stretch, done) for x in range(0, len(rows), 8192)]
+        key, row = (np.concatenate(x) for x in zip(*keys))
+        by = np.argsort(key)
+        self.key, self.row = key[by], row[by]
+
+    def _chosen(self, rows, stretch, done):
+        import numpy as np
+
+        near, known, held = self.near[self.at[rows]], self.known[rows], done[rows]
+        width, never = near.shape[1], np.iinfo(np.int32).max
+        column = np.arange(width)
+        run = held.any(axis=1) & (held.sum(axis=1) == width - held[:, ::-1].argmax(axis=1) - held.argmax(axis=1))
+        starts = np.where(run[:, None], stretch[rows], self.stretch[rows])
+        chosen = known & ~held & run[:, None]
+        step = max(1, min(-(-self.span // RANGES), self.span - self.apart))
+        for low in range(0, starts.shape[1], step):
+            some = starts[:, low : low + step]
+            any_of = np.flatnonzero(some.any(axis=1))
+            some = some[any_of]
+            first, last = low + some.argmax(axis=1), low + some.shape[1] - 1 - some[:, ::-1].argmax(axis=1)
+            all_hold = (column >= last[:, None]) & (column < first[:, None] + self.span)
+            cost, covered = np.where(all_hold, near[any_of], never), run[any_of]
+            least = np.argpartition(cost[~covered], self.apart, axis=1)[:, : self.apart + 1]
+            chosen[any_of[~covered][:, None], least] = True
+            least = np.where(known[any_of[covered]], cost[covered], never).argmin(axis=1)
+            chosen[any_of[covered], least] = True
+        chosen &= near > 1
+        row, place = np.nonzero(chosen)
+        return self._key(rows[row], place), rows[row]
+
+    def _key(self, row, place):
+        """One number of set, shingle and place."""
+        import numpy as np
+
+        return (self.number[row].astype(np.int64) << 8 * HASH_BYTES | self.table[row, place]) << 8 | place
+
+    def _keys(self, rows):
+        """(``_key``, number of the row in ``rows``, place) for all places."""
+        import numpy as np
+
+        row, place = np.nonzero(self.table[rows] >= 0)
+        return self._key(rows[row], place), row, place
+
+    def __call__(self, leaders, wanted) -> Iterator:
+        """(leaders, rows behind them that are ``wanted`` and may gain by them), about MATCHES at a time."""
+        import numpy as np
+
+        key, at, _ = self._keys(leaders)
+        start, stop = np.searchsorted(self.key, key - SHIFT), np.searchsorted(self.key, key + SHIFT, side="right")
+        upto = np.cumsum(np.bincount(at, stop - start, len(leaders)))
+        # a leader's rows come together
+        cuts = np.unique(np.searchsorted(upto, np.arange(MATCHES, upto[-1] if len(upto) else 0, MATCHES)))
+        cuts = np.searchsorted(at, cuts).tolist()
+        for a, b in zip([0, *cuts], [*cuts, len(at)]):
+            row, by = self.row[_ranges(start[a:b], stop[a:b])], np.repeat(leaders[at[a:b]], stop[a:b] - start[a:b])
+            later = (row > by) & wanted[row]
+            by, row = np.divmod(np.unique(by[later] * len(self.table) + row[later]), len(self.table))
+            yield by, row
+
+
 def _ranges(start, stop):
     """All numbers from start to stop - 1, range after range."""
     import numpy as np
@@ -346,12 +454,14 @@ def _table(lefts, arounds, span: int):
     """Surroundings as rows aligned at c, -1 outside."""
     import numpy as np
 
-    table = np.full((len(lefts), 2 * span - 1), -1, np.int32)
-    for i, (left, raw) in enumerate(zip(lefts, arounds)):
-        bytes_of = np.zeros((len(raw) // HASH_BYTES, 4), np.uint8)
-        bytes_of[:, :HASH_BYTES] = np.frombuffer(raw, np.uint8).reshape(-1, HASH_BYTES)
-        table[i, span - 1 - left : span - 1 - left + len(bytes_of)] = bytes_of.view(np.int32)[:, 0]
-    return table
+    width = 2 * span - 1
+    size = np.fromiter(map(len, arounds), np.int64, len(arounds)) // HASH_BYTES
+    bytes_of = np.zeros((size.sum(), 4), np.uint8)
+    bytes_of[:, :HASH_BYTES] = np.frombuffer(b"".join(arounds), np.uint8).reshape(-1, HASH_BYTES)
+    start = np.arange(len(size)) * width + span - 1 - np.asarray(lefts, np.int64)
+    table = np.full(len(size) * width, -1, np.int32)
+    table[_ranges(start, start + size)] = bytes_of.view(np.int32)[:, 0]
+    return table.reshape(-1, width)
 
 
 def _values(members: DataFrame, span: int) -> DataFrame:
@@ -378,7 +488,8 @@ def _clustered(members: DataFrame, span: int, numerator: int, denominator: int,
     leaders come too, with by_doc null. ``shared``: a map of the ``_value_keys`` that several
     members have; without it the shingles of the part itself are looked through. Several groups
     together are compared at once, each with its next leader per round; a large group's members that
-    can't agree with each other go by sets of their own, one leader a set (``_Candidates``).
+    can't agree with each other go by sets of their own, one leader a set (``_Candidates``), and those
+    of a very large set are compared with leaders that have one of their rarest shingles (``_Rarest``).
     """
 
     def join(batches: Iterator) -> Iterator:
@@ -423,6 +534,9 @@ def _clustered(members: DataFrame, span: int, numerator: int, denominator: int,
             set_of = np.zeros(len(group), np.int64)
             set_of[order] = number
             large = (end - first > COMPARED) & candidates.usable
+            wide = end - first > MANY
+            in_wide = order[np.repeat(wide, end - first)]
+            rarest = _Rarest(set_of, table, in_wide, known, own_stretch, span, numerator, denominator) if len(in_wide) else None
 
             def compared(row, by):
                 for x in range(0, len(row), 8192):
@@ -446,18 +560,20 @@ def _clustered(members: DataFrame, span: int, numerator: int, denominator: int,
                 is_open[row] = left.any(axis=1)
 
             # the first open rows of each set, more each time, meet the set's later ones
-            alike, tried = _Alike(table, span, numerator, denominator), 1
+            alike, tried, rounds = _Alike(table, span, numerator, denominator), 1, 0
             place, undecided = np.zeros(len(group), np.int64), np.zeros(len(group), bool)
             while len(order):
                 own = set_of[order]
                 first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
                 size = np.diff(np.append(first, len(order)))
-                several = large[own[first]]
-                count = np.minimum(size, np.clip(PAIRS // size, 1, tried))
-                base = np.cumsum(count * size) - count * size
+                by_rarest = wide[own[first]]
+                several = large[own[first]] & ~by_rarest
+                count = np.minimum(size, np.where(by_rarest, tried, np.clip(PAIRS // size, 1, tried)))
+                pairs_of = np.where(by_rarest, 0, count * size)
+                base = np.cumsum(pairs_of) - pairs_of
                 place[order] = _ranges(np.zeros(len(size), np.int64), size)
-                pairs = np.zeros(int((count * size).sum()), bool)
-                pairs[_ranges(base[~several], (base + count * size)[~several])] = True
+                pairs = np.zeros(int(pairs_of.sum()), bool)
+                pairs[_ranges(base[~several], (base + pairs_of)[~several])] = True
                 leaders = order[_ranges(first, first + count)]
                 if several.any():
                     candidates.index(set_of, order[np.repeat(several, size)])
@@ -472,7 +588,15 @@ def _clustered(members: DataFrame, span: int, numerator: int, denominator: int,
                 later = row > by
                 by, row = order[(first[in_set] + by)[later]], order[(first[in_set] + row)[later]]
                 good = alike(by, row)
-                by, row = by[good], row[good]
+                met_by, met_row = [by[good]], [row[good]]
+                if by_rarest.any():
+                    if tried < LEADERS or not rounds % INDEXED:
+                        rarest.index(order[np.repeat(by_rarest, size)], own_stretch, done)
+                    rounds += 1
+                    for by, row in rarest(leaders[np.repeat(by_rarest, count)], is_open):
+                        good = alike(by, row)
+                        met_by.append(by[good]), met_row.append(row[good])
+                by, row = np.concatenate(met_by), np.concatenate(met_row)
                 # each row meets its leaders in their order, as soon as it is known whether the next one of them stays
                 sort = np.lexsort((by, row))
                 by, row = by[sort], row[sort]
@@ -546,10 +670,15 @@ def repeats(docs: DataFrame, k: int = K, min_words: int = MIN_WORDS, numerator:
         return _repeated(docs, bits, k, span, spark.sparkContext.broadcast(bit_map(of.select(place))))
 
     large = written(groups.filter(F.col("members") > PART))
-    some = surroundings(members.join(groups.filter(F.col("members") <= PART), "key"))
-    near = written(_clustered(some.withColumn("part", F.lit(0)), span, numerator, denominator))
-    if not large.isEmpty():
-        around = written(surroundings(members.join(large, "key")).join(large, "key"))
+    around = surroundings(members.join(groups, "key"))
+    if large.isEmpty():
+        near = written(_clustered(around.withColumn("part", F.lit(0)), span, numerator, denominator))
+    else:
+        # one scan for all groups
+        around = written(around)
+        some = around.join(large, "key", "left_anti")
+        near = written(_clustered(some.withColumn("part", F.lit(0)), span, numerator, denominator))
+        around = written(around.join(large, "key"))
         shared = spark.sparkContext.broadcast(bit_map(_values(around, span).groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")))
         dealt = around.withColumn("part", F.pmod(F.col("hi"), F.ceil(F.col("members") / PART)).cast("int"))
         one = written(_clustered(dealt, span, numerator, denominator, shared, parts=True))

@@ -235,3 +235,57 @@ def test_leaders_side_by_side_give_what_leaders_in_turn_give(monkeypatch, parts)
     assert joined(members, span, parts)[0] == found
     # those that share only what is around c are not compared in full
     assert pairs < 700 * 20
+
+
+def test_surroundings_are_scanned_once_for_all_groups(docs_of, monkeypatch):
+    monkeypatch.setattr(passages, "PART", 4)
+    scans, repeated = [], passages._repeated
+    monkeypatch.setattr(passages, "_repeated", lambda *a: scans.append(a) or repeated(*a))
+    p, q = words(96, 60), words(97, 60)
+    rows = [(i, f"{words(9600 + i, 20)} {p} {words(9700 + i, 20)}") for i in range(12)]
+    rows += [(100 + i, f"{words(9800 + i, 20)} {q}") for i in range(3)]
+    assert found_cover(passages.repeats(docs_of(rows))) == exact_cover(rows)
+    assert len(scans) == 2
+
+
+def test_bounds_of_windows_are_the_nearest_smaller_places():
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    for span in (2, 5, 46):
+        place = np.flatnonzero(r.random(300) < 0.4)
+        value, least = r.permutation(len(place)), np.maximum(place - span + 1, (place >= 150) * 150)
+        want = [max([p + 1 for p, v in zip(place[:j], value[:j]) if v < value[j] and p >= least[j]], default=least[j]) for j in range(len(place))]
+        assert passages._Windows._smaller(place, value, least).tolist() == want
+
+
+def long_line_rows(n):
+    """Members that share a run of one word, short of a passage, beside text of their own; some are edited copies."""
+    import numpy as np
+
+    r, own, rows = np.random.default_rng(12), np.random.default_rng(13).integers(1, 1 << 24, (n, 91)), []
+    for i in range(n):
+        row = own[r.integers(0, n)].copy()
+        begin, end = sorted(r.integers([2, 46], [46, 90]))
+        row[max(begin, end - 44) : end] = 7
+        row[r.integers(0, 91, r.integers(0, 4))] = r.integers(1, 1 << 24, 1)
+        if i % 20 == 0:
+            row[45:87], row[:45] = 7, own[i, :45]
+        rows.append((5, 0, i, i, i, 0, 45, np.ascontiguousarray(row, np.uint32).view(np.uint8).reshape(-1, 4)[:, :3].tobytes()))
+    return rows
+
+
+@pytest.mark.parametrize("parts", [False, True])
+def test_rarest_shingles_give_what_all_candidates_give(monkeypatch, parts):
+    tried, alike = [], passages._Alike.__call__
+    monkeypatch.setattr(passages._Alike, "__call__", lambda self, by, row: tried.append(len(by)) or alike(self, by, row))
+    rows = long_line_rows(600)
+    found, _ = joined(rows, 46, parts)
+    before = sum(tried)
+    tried.clear()
+    monkeypatch.setattr(passages, "MANY", 20)
+    assert joined(rows, 46, parts)[0] == found and len([x for x in found if x["by_doc"] is not None]) > 100
+    assert sum(tried) < 0.7 * before
+    monkeypatch.setattr(passages, "INDEXED", 1)
+    monkeypatch.setattr(passages, "LEADERS", 3)
+    assert joined(rows, 46, parts)[0] == found
