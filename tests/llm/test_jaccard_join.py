@@ -114,3 +114,45 @@ def test_needed_map_has_every_id(spark):
 
 def test_links_are_named_for_what_they_are(docs_of):
     assert jaccard_join.link_components(docs_of([])).columns == ["doc_id", "n_shingles", "component_id", "kept_links"]
+
+
+def all_links(rows, k, numerator, denominator):
+    """For each doc_id, the other documents that it links with, pair by pair."""
+    sets = {i: shingles(t, k) for i, t in rows if i is not None}
+    like = lambda a, b: a and b and denominator * len(a & b) >= numerator * len(a | b)
+    return {i: sum(1 for j, b in sets.items() if i != j and like(a, b)) for i, a in sets.items()}
+
+
+@pytest.mark.parametrize("k,numerator,tile", [(3, 90, 512), (3, 90, 3), (1, 50, 4), (5, 80, 1)])
+def test_all_links_are_counted(docs_of, odd_rows, monkeypatch, k, numerator, tile):
+    monkeypatch.setattr(jaccard_join, "TILE", tile)
+    rows = copies(k) + [(i if i is None else i + 1000, t) for i, t in odd_rows]
+    want = all_links(rows, k, numerator, 100)
+    got = jaccard_join.link_components(docs_of(rows), k, numerator, 100).collect()
+    assert {r.doc_id: r.kept_links for r in got if r.doc_id is not None} == want
+    assert sum(want.values()) > 100 and [r.kept_links for r in got if r.doc_id is None] == [0]
+
+
+def test_links_inside_a_large_component(docs_of, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "TILE", 16)
+    monkeypatch.setattr(jaccard_join, "COLUMNS", 5)
+    base = words(15, 150).split()
+    rows = [(i, " ".join(base[:i] + [f"own{i}"] + base[i + 1 :])) for i in range(100)]
+    got = {r.doc_id: r.kept_links for r in jaccard_join.link_components(docs_of(rows)).collect()}
+    assert got == {i: 99 for i in range(100)} == all_links(rows, 3, 90, 100)
+
+
+def test_op7_joins_whole_components(docs_of, monkeypatch):
+    from shelfwise.llm import common
+
+    rows = copies(6)
+    counted, link_counts = [], jaccard_join._link_counts
+    monkeypatch.setattr(common, "table", lambda *_: docs_of(rows).select("doc_id", "text"))
+    monkeypatch.setattr(jaccard_join, "_link_counts", lambda *a: counted.append(link_counts(*a)) or counted[-1])
+    out = jaccard_join.op7(None, "")
+    assert out.columns == ["doc_id", "n_shingles", "component_id"] and len(counted) == 1
+    one = {}  # each set's documents, and the links of one of them
+    for i, t in rows:
+        one.setdefault(frozenset(shingles(t, 3)), []).append(i)
+    links = all_links(rows, 3, 90, 100)
+    assert sorted(r.links for r in counted[0].collect()) == sorted(n for ids in one.values() if (n := links[ids[0]] - len(ids) + 1))
