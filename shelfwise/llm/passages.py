@@ -45,6 +45,8 @@ PART = 4096
 COMPARED = 12
 #: Members of a set whose candidates are found by their own rarest shingles, in so many ranges of stretches.
 MANY, RANGES = 1024, 4
+#: Rows that have a shingle of such a set near each other from which on it is common.
+COMMON = 128
 #: Rounds after which these are looked for anew.
 INDEXED = 8
 #: Members compared side by side, one group at least.
@@ -357,8 +359,12 @@ class _Rarest:
     shingle the fewest rows of the set have near. A place that no other row has near finds nothing and is taken first.
 
     A row of which one run of places is covered already gains by a leader that has one of its other shingles near, or that
-    has all shingles of an open stretch: of these the rarest one of each range. So a line that thousands
-    of rows share brings them together once, and not with each other's leaders for ever.
+    has all shingles of an open stretch and at its ends: of these the rarest one.
+
+    Where such a place is common, the row is found by all its other shingles too. A leader that has none of these agrees
+    with it by common ones alone, just as an earlier leader with the same common shingles does: only the first of
+    these looks for rows by common places. A row whose common places have others between them is found by all leaders, since
+    what lies between could make an exact repeat, which may be too short, of another leader's agreement.
     """
 
     def __init__(self, number, table, rows, known, stretch, span: int, numerator: int, denominator: int) -> None:
@@ -369,23 +375,31 @@ class _Rarest:
         self.at = np.zeros(len(table), np.int64)
         self.at[rows] = np.arange(len(rows))
         self.near = np.zeros((len(rows), table.shape[1]), np.int32)
+        # places whose shingle a common place of another row may agree with
+        self.common = np.zeros(self.near.shape, bool)
+        self.seen: set[bytes] = set()
         for own in np.split(rows, np.flatnonzero(np.diff(number[rows])) + 1):
             parts = np.split(own, range(8192, len(own), 8192))
-            everything = np.sort(np.concatenate([self._keys(x)[0] for x in parts]))
+            everything = np.concatenate([self._keys(x)[0] for x in parts])
+            everything.sort()
             for x in parts:
                 key, row, place = self._keys(x)
                 by = np.argsort(key)
-                near = np.searchsorted(everything, key[by] + SHIFT, side="right") - np.searchsorted(everything, key[by] - SHIFT)
-                self.near[self.at[x[row[by]]], place[by]] = near
+                at, place = self.at[x[row[by]]], place[by]
+                around = lambda reach, key=key[by]: np.searchsorted(everything, key + reach, side="right") - np.searchsorted(everything, key - reach)
+                self.near[at, place] = around(SHIFT)
+                self.common[at, place] = around(2 * SHIFT) > COMMON
 
     def index(self, rows, stretch, done) -> None:
         """``rows`` as they are now: ``stretch`` are the starts of open stretches, ``done`` the places covered."""
         import numpy as np
 
         keys = [self._chosen(rows[x : x + 8192], stretch, done) for x in range(0, len(rows), 8192)]
-        key, row = (np.concatenate(x) for x in zip(*keys))
-        by = np.argsort(key)
-        self.key, self.row = key[by], row[by]
+        self.indexes = []
+        for found in zip(*keys):
+            key, row = (np.concatenate(x) for x in zip(*found))
+            by = np.argsort(key)
+            self.indexes.append((key[by], row[by]))
 
     def _chosen(self, rows, stretch, done):
         import numpy as np
@@ -394,8 +408,12 @@ class _Rarest:
         width, never = near.shape[1], np.iinfo(np.int32).max
         column = np.arange(width)
         run = held.any(axis=1) & (held.sum(axis=1) == width - held[:, ::-1].argmax(axis=1) - held.argmax(axis=1))
-        starts = np.where(run[:, None], stretch[rows], self.stretch[rows])
         chosen = known & ~held & run[:, None]
+        for start in range(stretch.shape[1]):
+            some = np.flatnonzero(run & stretch[rows, start])
+            low, high = max(0, start - SHIFT), start + self.span + SHIFT
+            chosen[some, low + np.where(known[some, low:high], near[some, low:high], never).argmin(axis=1)] = True
+        starts = self.stretch[rows] & ~run[:, None]
         step = max(1, min(-(-self.span // RANGES), self.span - self.apart))
         for low in range(0, starts.shape[1], step):
             some = starts[:, low : low + step]
@@ -403,14 +421,28 @@ class _Rarest:
             some = some[any_of]
             first, last = low + some.argmax(axis=1), low + some.shape[1] - 1 - some[:, ::-1].argmax(axis=1)
             all_hold = (column >= last[:, None]) & (column < first[:, None] + self.span)
-            cost, covered = np.where(all_hold, near[any_of], never), run[any_of]
-            least = np.argpartition(cost[~covered], self.apart, axis=1)[:, : self.apart + 1]
-            chosen[any_of[~covered][:, None], least] = True
-            least = np.where(known[any_of[covered]], cost[covered], never).argmin(axis=1)
-            chosen[any_of[covered], least] = True
+            least = np.argpartition(np.where(all_hold, near[any_of], never), self.apart, axis=1)[:, : self.apart + 1]
+            chosen[any_of[:, None], least] = True
         chosen &= near > 1
-        row, place = np.nonzero(chosen)
-        return self._key(rows[row], place), rows[row]
+        common = near > COMMON
+        by_common = chosen & common
+        apart = common.sum(axis=1) != width - common[:, ::-1].argmax(axis=1) - common.argmax(axis=1)
+        by_others = chosen & ~common | by_common.any(axis=1)[:, None] & known & ~common & (near > 1)
+        out = []
+        for places in (by_others | by_common & apart[:, None], by_common & ~apart[:, None]):
+            row, place = np.nonzero(places)
+            out.append((self._key(rows[row], place), rows[row]))
+        return out
+
+    def _common_of(self, leaders) -> list[bytes]:
+        import numpy as np
+
+        values = np.where(self.common[self.at[leaders]], self.table[leaders], -1)
+        return [n.tobytes() + x.tobytes() for n, x in zip(self.number[leaders], values)]
+
+    def stayed(self, leaders) -> None:
+        """These have met all rows behind them."""
+        self.seen.update(self._common_of(leaders))
 
     def _key(self, row, place):
         """One number of set, shingle and place."""
@@ -429,17 +461,19 @@ class _Rarest:
         """(leaders, rows behind them that are ``wanted`` and may gain by them), about MATCHES at a time."""
         import numpy as np
 
-        key, at, _ = self._keys(leaders)
-        start, stop = np.searchsorted(self.key, key - SHIFT), np.searchsorted(self.key, key + SHIFT, side="right")
-        upto = np.cumsum(np.bincount(at, stop - start, len(leaders)))
-        # a leader's rows come together
-        cuts = np.unique(np.searchsorted(upto, np.arange(MATCHES, upto[-1] if len(upto) else 0, MATCHES)))
-        cuts = np.searchsorted(at, cuts).tolist()
-        for a, b in zip([0, *cuts], [*cuts, len(at)]):
-            row, by = self.row[_ranges(start[a:b], stop[a:b])], np.repeat(leaders[at[a:b]], stop[a:b] - start[a:b])
-            later = (row > by) & wanted[row]
-            by, row = np.divmod(np.unique(by[later] * len(self.table) + row[later]), len(self.table))
-            yield by, row
+        new = np.array([x not in self.seen for x in self._common_of(leaders)], bool)
+        for (keys, rows), some in zip(self.indexes, (leaders, leaders[new])):
+            key, at, _ = self._keys(some)
+            start, stop = np.searchsorted(keys, key - SHIFT), np.searchsorted(keys, key + SHIFT, side="right")
+            upto = np.cumsum(np.bincount(at, stop - start, len(some)))
+            # a leader's rows come together
+            cuts = np.unique(np.searchsorted(upto, np.arange(MATCHES, upto[-1] if len(upto) else 0, MATCHES)))
+            cuts = np.searchsorted(at, cuts).tolist()
+            for a, b in zip([0, *cuts], [*cuts, len(at)]):
+                row, by = rows[_ranges(start[a:b], stop[a:b])], np.repeat(some[at[a:b]], stop[a:b] - start[a:b])
+                later = (row > by) & wanted[row]
+                by, row = np.divmod(np.unique(by[later] * len(self.table) + row[later]), len(self.table))
+                yield by, row
 
 
 def _ranges(start, stop):
@@ -613,8 +647,11 @@ def _clustered(members: DataFrame, span: int, numerator: int, denominator: int,
                     over = ready[(begin[ready] >= end[ready]) | ~is_open[met[ready]]]
                     undecided[met[over]] = False
                     active = active[undecided[met[active]]]
+                by_rarest = np.repeat(by_rarest, count)[is_open[leaders]]
                 leaders = leaders[is_open[leaders]]
                 is_open[leaders] = False
+                if by_rarest.any():
+                    rarest.stayed(leaders[by_rarest])
                 if parts:
                     out[0].append(leaders), out[1].append(np.full(len(leaders), -1)), out[2].append(np.zeros(len(leaders), int)), out[3].append(np.zeros(len(leaders), int))
                 order, tried = order[is_open[order]], min(2 * tried, LEADERS)

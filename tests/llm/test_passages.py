@@ -286,6 +286,6 @@ def test_rarest_shingles_give_what_all_candidates_give(monkeypatch, parts):
     monkeypatch.setattr(passages, "MANY", 20)
     assert joined(rows, 46, parts)[0] == found and len([x for x in found if x["by_doc"] is not None]) > 100
     assert sum(tried) < 0.7 * before
-    monkeypatch.setattr(passages, "INDEXED", 1)
-    monkeypatch.setattr(passages, "LEADERS", 3)
-    assert joined(rows, 46, parts)[0] == found
+    for name, value in (("INDEXED", 1), ("LEADERS", 3), ("COMMON", 2)):
+        monkeypatch.setattr(passages, name, value)
+        assert joined(rows, 46, parts)[0] == found
